@@ -124,3 +124,52 @@ def hash_text(word: bytes, lower: bool = False) -> int:
     """What ``word_hashes`` gives for one word."""
     data = np.frombuffer(word, np.uint8)
     return int(word_hashes(data, np.array([0]), np.array([len(data)]), lower=lower)[0])
+
+
+def small_batches(batches, column: int, limit: int = 8 << 20):
+    """The same rows in batches whose texts have about ``limit`` bytes (a longer text has one of its own)."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        _, offsets = string_buffers(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+class HashTable:
+    """Positions of distinct non-zero uint64 keys, by open addressing; lookups are vectorised."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slot(keys[left], step)
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]
+            mine = free & (self.keys[slot] == keys[left])
+            self.at[slot[mine]] = left[mine]
+            left, step = left[~mine], step + 1
+        self.steps = step
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        first = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (first.astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, or -1."""
+        slot = self._slot(keys, 0)
+        out = np.where(self.keys[slot] == keys, self.at[slot], -1).astype(np.int64)
+        left = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+        for step in range(1, self.steps):
+            if not len(left):
+                break
+            slot = self._slot(keys[left], step)
+            have = self.keys[slot]
+            hit = have == keys[left]
+            out[left[hit]] = self.at[slot[hit]]
+            left = left[~hit & (have != 0)]
+        return out

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing
-from ._store import table
+from . import archives, decontamination, mixing, neighbours
+from ._store import Scratch, table
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .suffix_tree import score_documents
+
+
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +23,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "archives")
+    archives.write_arc(table(spark, sf_dir, "pages"), scratch.path("arc"))
+    archives.convert(spark, scratch.path("arc"), scratch.path("warc"))
+    scratch.drop("arc")
+    return archives.read_warc(spark, scratch.path("warc"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), 16)
     return placed.select(
@@ -25,6 +38,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,14 +58,42 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_simhash": op2_simhash,
+    "op5_archives": op5_archives,
     "op6_sharding": op6_sharding,
+    "op7_voronoi": op7_voronoi,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
 }
 
+ARCHIVES_ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id IS NOT NULL THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS kept FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM k
+"""
+
+VORONOI_ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
+  FROM v q, v d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_archives": ARCHIVES_ORACLE,
+    "op7_voronoi": VORONOI_ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
