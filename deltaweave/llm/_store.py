@@ -6,6 +6,7 @@ again; only where that is unset (tests on one machine) is a folder made.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -13,6 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
+#: Shuffle files go as soon as the table that needed them is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +51,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read again."""
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        with settings(self.spark, {CLEANUP: "true"}):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
-from ._text import string_buffers, window_hashes, word_bounds, word_hashes
+from ._store import CLEANUP, Scratch, settings
+from ._text import small_batches, string_buffers, window_hashes, word_bounds, word_hashes
 
 WINDOW, KGRAM = 35, 12
 BATCHES, MAX_RUNS = 3, 2
 #: Entries gathered before a block is counted.
-BLOCK_ENTRIES = 1 << 21
+BLOCK_ENTRIES = 1 << 20
 SECOND_BASE = 0x6A09E667F3BCC909
 
 ENTRY = "h bigint, n int, row bigint, pos int"
@@ -99,7 +99,7 @@ def _entries(window: int, kgram: int):
                 ["h", "n", "row", "pos"],
             )
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             words, first = _words(batch.column(1))
             at, h = minimizers(words, first, window, kgram)
             text = np.searchsorted(first, at, side="right") - 1
@@ -131,7 +131,8 @@ class FingerprintIndex:
     def _write(self, df: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         rows = df.repartition(self.buckets, "h").sortWithinPartitions("h")
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.scratch.path(name)).saveAsTable(name)
+        with settings(self.spark, {CLEANUP: "true"}):
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.scratch.path(name)).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -214,7 +215,7 @@ def _candidate_windows(window: int, kgram: int):
                 ["h1", "h2", "n", "row", "pos", "len"],
             )
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             data, offsets = string_buffers(batch.column(1))
             starts, ends, first = word_bounds(data, offsets)
             w1, w2 = (word_hashes(data, starts, ends, base) for base in (0x5851F42D4C957F2D, SECOND_BASE))
@@ -247,7 +248,7 @@ def _candidate_windows(window: int, kgram: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).to_pylist()
             ranges = batch.column(2).to_pylist()
             kept, total, gone, spans = [], [], [], []
@@ -277,7 +278,7 @@ def _cut(window: int):
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, batches: int = BATCHES) -> DataFrame:
-    """row, pos, len: ranges of ``len`` consecutive repeated windows from word ``pos`` on; docs has row, text."""
+    """row, ranges: for each row with any, runs of ``len`` consecutive repeated windows from word ``pos`` on; docs has row, text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     index = FingerprintIndex(spark, scratch, window, kgram)
@@ -288,21 +289,25 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, b
         found = new if found is None else found.unionByName(new)
     index.close()
     places = scratch.keep(found.groupBy("row").agg(F.collect_set("pos").alias("places")), "places")
+    for i in range(batches):
+        scratch.drop(f"candidates{i}")
     # Repeated rows share their row number and so their places; each still counts as an occurrence.
     windows = docs.join(places, "row").select("row", "text", "places").mapInArrow(_candidate_windows(window, kgram), WINDOWS)
     windows = scratch.keep(windows, "windows")
+    scratch.drop("places")
     # A hash has at most one row for each block here, so no group is large.
     times = F.sum("n").over(Window.partitionBy("h1", "h2"))
     unsettled = windows.where("n > 0").select("h1", "h2", "n", "row", "pos").withColumn("times", times).where("times > 1 AND pos >= 0").select("row", "pos", F.lit(1).alias("len"))
-    return unsettled.unionByName(windows.where("n = 0").select("row", "pos", "len"))
+    every = unsettled.unionByName(windows.where("n = 0").select("row", "pos", "len"))
+    ranges = scratch.keep(every.groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("ranges")), "ranges")
+    scratch.drop("windows")
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, text (kept words joined by spaces), n_words, n_removed, spans (word ranges cut) for every row."""
-    scratch = Scratch(docs.sparkSession, "removed")
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    ranges = repeated_ranges(rows, window, kgram, batches).groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("ranges"))
-    ranges = scratch.keep(ranges, "ranges")
+    ranges = repeated_ranges(rows, window, kgram, batches)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         rows.join(ranges, "row", "left")
