@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontamination, mixing, neighbours
+from . import archives, decontamination, extraction, mixing, neighbours, quality
 from ._store import Scratch, table
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -23,6 +23,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "archives")
     archives.write_arc(table(spark, sf_dir, "pages"), scratch.path("arc"))
@@ -60,6 +71,8 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_simhash": op2_simhash,
+    "op3_extraction": op3_extraction,
+    "op4_quality": op4_quality,
     "op5_archives": op5_archives,
     "op6_sharding": op6_sharding,
     "op7_voronoi": op7_voronoi,
