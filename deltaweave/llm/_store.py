@@ -52,7 +52,7 @@ class Scratch:
         """Write df and return it as read again."""
         schema = df.schema
         with settings(self.spark, {CLEANUP: "true"}):
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -38,6 +38,8 @@ from ._store import Scratch
 
 RECORDS = 5000
 REVISIT_BYTES = 1000
+#: Groups of equal payloads (about 250 bytes each) up to so many are broadcast to the rows they mark.
+BROADCAST_GROUPS = 100_000
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -199,6 +201,9 @@ def convert(spark: SparkSession, arc: str, warc: str, records: int = RECORDS) ->
         .where("n > 1")
         .drop("n")
     )
+    groups = scratch.keep(groups, "groups")
+    if groups.count() <= BROADCAST_GROUPS:  # else payloads are shuffled by digest
+        groups = F.broadcast(groups)
     marked = rows.join(groups, ["digest", "payload_bytes"], "left").withColumn("revisit", F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id")))
     block = F.when(F.col("revisit"), F.col("http")).otherwise(F.concat("http", "payload"))
     refers = F.when(
