@@ -81,7 +81,7 @@ FROM {conversations} WHERE role = 'assistant'"""
 REGIONS = """
 SELECT p_partkey AS region_id, p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, (p_partkey * 37 % 90) / 1e2 AS x0, (p_partkey * 53 % 90) / 1e2 AS y0,
   (p_partkey * 37 % 90) / 1e2 + (p_partkey % 5 + 3) / 1e2 AS x1, (p_partkey * 53 % 90) / 1e2 + (p_partkey % 3 + 3) / 1e2 AS y1,
-  CAST(150 + p_partkey * 17 % 6000 AS INT) AS area_px, (p_partkey % 101) / 1e2 AS magnitude
+  CAST(150 + p_partkey * 17 % 6000 AS INT) AS area_px, (p_partkey * 7919 % 1009) / 1009e0 AS magnitude
 FROM {part} WHERE p_partkey % 4 = 0"""
 
 CHANGE_BOXES = """

@@ -137,7 +137,10 @@ def match_elements(a: DataFrame, b: DataFrame, transforms: DataFrame, s: Setting
         return frame
 
     keep = [*BUCKET, "ord", "content", "x", "y"]
-    return a.select(keep).groupBy(*BUCKET).cogroup(moved.groupBy(*BUCKET)).applyInPandas(solve, MATCH)
+    # Both sides may come from one table; new names keep their columns apart.
+    left = a.select(*[F.col(c).alias(c) for c in keep]).alias("a")
+    right = moved.select(*[F.col(c).alias(c) for c in keep]).alias("b")
+    return left.groupBy(*[F.col(f"a.{c}") for c in BUCKET]).cogroup(right.groupBy(*[F.col(f"b.{c}") for c in BUCKET])).applyInPandas(solve, MATCH)
 
 
 def candidate_costs(a: DataFrame, b: DataFrame, similarity_of, s: Settings = DEFAULT) -> DataFrame:

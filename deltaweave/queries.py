@@ -174,17 +174,13 @@ def _classified(spark, d) -> DataFrame:
 def classify_elements(spark, d):
     return _classified(spark, d).select("k", "type", "confidence")
 
-
-DOC_LINES_SPARK = "SELECT doc_id, posexplode(split(text, '\\n')) AS (i, line) FROM {documents}"
-
-
 @query(f"""WITH l AS (SELECT doc_id, i - 1 AS i, a[i] AS t, least(1, i / 100e0) AS y FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) p) q)
 SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_doc FROM (
   SELECT doc_id, CASE WHEN regexp_matches(s, '^([1-9]|1[0-2]|[A-J])$') AND y >= 0.98 THEN 'zone_label' WHEN regexp_matches(s, '{T.DELETED_NOTE}') THEN 'note_deleted' WHEN regexp_matches(s, '{T.NUMBERED_NOTE}') THEN 'note'
     WHEN y BETWEEN 0.55 AND 0.8 AND FALSE THEN 'datasheet_row' WHEN s = '' OR (s NOT LIKE '% %' AND length(s) <= 20) THEN 'unknown' ELSE 'text' END AS type
   FROM (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM l) z) c GROUP BY type""")
 def classify_document_lines(spark, d):
-    lines = I.made(spark, d, "SELECT doc_id, explode(split(text, chr(10))) AS line FROM {documents}") if False else spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     found = lines.withColumn("c", T.classify(col("line"), lit(0.5), F.least(lit(1.0), (col("i") + 1) / 100)))
     return found.groupBy(col("c.type").alias("type")).agg(F.count(lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
@@ -279,10 +275,6 @@ def page_elements(spark, d):
 
 # --- identity and registration -----------------------------------------------
 
-#: Sides are near copies of documents: lines over 30 characters, each once.
-LINES = """WITH l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, {explode} AS line FROM documents) q WHERE length(line) > 30)"""
-
-
 @query("""WITH l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) q WHERE length(line) > 30),
 n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), r AS (SELECT line FROM l GROUP BY line HAVING count(*) BETWEEN 2 AND 50),
 s AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM l a JOIN r USING (line) JOIN l b USING (line) WHERE a.doc_id < b.doc_id GROUP BY ALL)
@@ -423,12 +415,12 @@ def indel_pairs(spark, d):
 
 
 @query(f"""SELECT k, round(CASE WHEN one THEN ca * guard ELSE m * ca * cb END, 4) AS confidence FROM (
-  SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey % 3 = 0 AS one, 1 - l_discount AS ca, 1 - l_tax AS cb, CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE greatest(0, least(1, l_quantity / 40 - 0.1)) END AS m, CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE greatest(0, least(1, (l_quantity / 50 - 0.55) / 0.4)) END AS guard FROM lineitem) q""")
+  SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey % 3 = 0 AS one, 1 - l_discount AS ca, 1 - l_tax AS cb, CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE greatest(0, least(1, l_quantity / 40.37e0 - 0.1e0)) END AS m, CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE greatest(0, least(1, (l_quantity / 50.19e0 - 0.55e0) / 0.4e0)) END AS guard FROM lineitem) q""")
 def delta_confidence(spark, d):
     l = spark.read.parquet(f"{d}/lineitem.parquet")  # noqa: E741
     one = col("l_partkey") % 3 == 0
-    margin = F.when(col("l_partkey") % 5 != 0, col("l_quantity") / 40 - 0.1)
-    near = F.when(col("l_partkey") % 7 != 0, col("l_quantity") / 50)
+    margin = F.when(col("l_partkey") % 5 != 0, col("l_quantity") / 40.37 - 0.1)
+    near = F.when(col("l_partkey") % 7 != 0, col("l_quantity") / 50.19)
     return l.select((col("l_orderkey") * 10 + col("l_linenumber")).alias("k"), deltas.confidence(lit(True), ~one, 1 - col("l_discount"), 1 - col("l_tax"), margin, near).alias("confidence"))
 
 
@@ -642,11 +634,11 @@ def last_emissions(spark, d):
     return evaluation.last_emission(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "event_id", ["event_type", "value"])
 
 
-@query("SELECT conv_id * 1000 + turn AS k, CASE conv_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS correct, CASE conv_id % 3 WHEN 2 THEN 'unclear: it is' ELSE 'it is' END AS reason FROM conversations")
+@query("SELECT conv_id * 1000 + turn AS k, CASE conv_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS correct, CASE conv_id % 3 WHEN 2 THEN 'unclear: it is' ELSE 'it is' END AS reason FROM conversations")
 def judge_verdicts(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     reply = F.when(col("conv_id") % 3 == 0, "CORRECT: it is").when(col("conv_id") % 3 == 1, " incorrect - it is").otherwise("unclear: it is")
-    return c.select((col("conv_id") * 1000 + col("turn")).alias("k"), X.verdict(reply).alias("v")).select("k", "v.correct", "v.reason")
+    return c.select((col("conv_id") * 1000 + col("turn")).alias("k"), X.verdict(reply).alias("v")).select("k", col("v.correct").cast("string").alias("correct"), "v.reason")
 
 
 @query("SELECT user_id, count(*) AS n_calls, round(avg(value), 6) AS mean_latency, round(sum(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 1000 / 1000.0 * 0.5 + event_id % 77 / 1000.0 * 1.5 END), 4) AS cost FROM events GROUP BY user_id")
@@ -658,8 +650,8 @@ def backend_costs(spark, d):
 
 # --- edits -------------------------------------------------------------------
 
-NOTES = """SELECT p_partkey % 40 AS pair_id, CAST(1 + p_partkey / 40 AS INT) AS note_no, CASE WHEN p_partkey % 3 = 0 THEN 'DELETED.' ELSE p_name || ' SEE NOTE ' || CAST(p_partkey % 20 AS STRING) END AS body FROM {part} WHERE p_partkey < 1200"""
-NOTES = NOTES.replace("CAST(1 + p_partkey / 40 AS INT)", "CAST(FLOOR(p_partkey / 4e1) AS INT) + 1")
+NOTES = """SELECT p_partkey % 40 AS pair_id, CAST(FLOOR(p_partkey / 4e1) AS INT) + 1 AS note_no, CASE WHEN p_partkey % 3 = 0 THEN 'DELETED.' ELSE p_name || ' SEE NOTE ' || CAST(p_partkey % 20 AS STRING) END AS body FROM {part} WHERE p_partkey < 1200"""
+
 
 
 @query(f"SELECT pair_id, CASE WHEN note_no >= 5 THEN note_no + 1 ELSE note_no END AS note_no, body FROM {I.named(NOTES)} n UNION ALL SELECT DISTINCT pair_id, 5, 'NEW NOTE' FROM {I.named(NOTES)} n")
@@ -709,7 +701,6 @@ def span_rollup(spark, d):
     return trace.rollup(I.made(spark, d, EVENT_SPANS), ["user_id", "event_type"])
 
 
-TREE = "SELECT user_id AS correlation_id, event_id AS span_id, CASE WHEN event_id % 8 = 0 THEN NULL ELSE event_id - event_id % 8 + FLOOR((event_id % 8 - 1) / 2e0) END AS parent_id, event_type AS name FROM {events}"
 TREE = "SELECT CAST(FLOOR(event_id / 8e0) AS BIGINT) AS correlation_id, event_id AS span_id, CASE WHEN event_id % 8 = 0 THEN NULL ELSE CAST(event_id - event_id % 8 + FLOOR((event_id % 8 - 1) / 2e0) AS BIGINT) END AS parent_id, event_type AS name FROM {events}"
 
 
