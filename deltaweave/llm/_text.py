@@ -18,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Texts are hashed in pieces of about so many bytes, which bounds the memory of a task.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -126,7 +126,7 @@ def hash_text(word: bytes, lower: bool = False) -> int:
     return int(word_hashes(data, np.array([0]), np.array([len(data)]), lower=lower)[0])
 
 
-def small_batches(batches, column: int, limit: int = 8 << 20):
+def small_batches(batches, column: int, limit: int = 4 << 20):
     """The same rows in batches whose texts have about ``limit`` bytes (a longer text has one of its own)."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -59,12 +59,12 @@ def cycle_pattern(shared: DataFrame) -> DataFrame:
     ).selectExpr(
         "names",
         """aggregate(
-             sequence(0L, d - 1),
+             sequence(0L, greatest(d - 1, 0L)),
              named_struct('n', transform(a, x -> 0L), 'got', cast(array() AS array<int>)),
              (acc, t) -> transform(
                array(array_min(transform(
-                 filter(sequence(0, size(a) - 1), s -> acc.n[s] < a[s] AND (acc.n[s] * d) div a[s] <= t),
-                 s -> struct(((acc.n[s] + 1) * d + a[s] - 1) div a[s] AS deadline, s AS s)
+                 filter(sequence(0, size(a) - 1), s -> get(acc.n, s) < get(a, s) AND (get(acc.n, s) * d) div get(a, s) <= t),
+                 s -> struct(((get(acc.n, s) + 1) * d + get(a, s) - 1) div get(a, s) AS deadline, s AS s)
                )).s),
                pick -> named_struct('n', transform(acc.n, (x, j) -> if(j = pick, x + 1, x)), 'got', concat(acc.got, array(pick)))
              )[0]

@@ -34,6 +34,7 @@ SAMPLE = 3000
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN, SEGMENT = 8, 8, 2, 24, 16, 64
 SPAN = STRIDE * SEGMENT  # bytes from one chunk to the next
 EPOCHS, BATCH, RATE = 8, 32, 0.005
+LEAST_STEPS, MOST_EPOCHS = 600, 40  # small samples are gone over more often
 THRESHOLD = 0.3
 
 
@@ -42,12 +43,15 @@ def held_out(doc_id: Column, remainder: int = 0) -> Column:
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, each followed by zeros up to whole segments (one at least), and the first segment of each."""
+    """Texts one after another, each after WIDTH zeros and before zeros up to whole segments, and the first segment of each.
+
+    A window that begins in a text's last segment so reads zeros beyond it, whatever text comes next.
+    """
     lengths = np.diff(offsets)
     segments = np.maximum(1, -(-(lengths + WIDTH) // SPAN))
     first = np.concatenate([[0], np.cumsum(segments)])
     out = np.zeros(first[-1] * SPAN + WIDTH, np.uint8)
-    shift = np.repeat(first[:-1] * SPAN - offsets[:-1], lengths)
+    shift = np.repeat(first[:-1] * SPAN + WIDTH - offsets[:-1], lengths)
     out[np.arange(len(data)) + shift] = data
     return out, first
 
@@ -116,8 +120,8 @@ class Network:
         size = np.diff(first)
         width = FILTERS + HIDDEN
         d_both = np.repeat(dx[:, width:] / size[:, None], size, axis=0)
-        top = both == np.repeat(x[:, :width], size, axis=0)
-        top &= np.add.reduceat(top, first[:-1])[np.repeat(np.arange(len(size)), size)] == 1  # a shared largest value gets none
+        top = (both == np.repeat(x[:, :width], size, axis=0)).astype(np.float32)
+        top /= np.add.reduceat(top, first[:-1])[np.repeat(np.arange(len(size)), size)]  # chunks that share the largest value share its gradient
         d_both += top * np.repeat(dx[:, :width], size, axis=0)
         d_unit = d_both[:, FILTERS:] * (both[:, FILTERS:] > 0)
         g["deep"], g["deep_bias"] = both[:, :FILTERS].T @ d_unit, d_unit.sum(axis=0)
@@ -154,7 +158,9 @@ class Network:
         self.p["out"][:] = rng.normal(0, 0.1, 2 * (FILTERS + HIDDEN))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        turn, total = 0, epochs * -(-len(texts) // BATCH)
+        batches = -(-len(texts) // BATCH)
+        epochs = max(epochs, min(MOST_EPOCHS, -(-LEAST_STEPS // batches)))
+        turn, total = 0, epochs * batches
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(order), BATCH):
