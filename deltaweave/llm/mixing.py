@@ -148,7 +148,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, **settings) ->
     scratch = Scratch(docs.sparkSession, "mixed")
     placed = schedule(docs, weights, **settings).where("in_mix").groupBy("doc_id").agg(F.min(F.struct("slot", "offset")).alias("_at"))
     placed = scratch.keep(placed, "placed")
-    return docs.join(placed, "doc_id").repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
+    joined = scratch.keep(docs.join(placed, "doc_id").select(*docs.columns, "_at"), "joined")  # so texts are never in two shuffles at a time
+    return joined.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
 
 
 ORACLE = f"""
