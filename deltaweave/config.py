@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -44,3 +44,10 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+
+def from_mapping(values: dict[str, str], prefix: str = "") -> Settings:
+    """Settings from strings such as environment variables, read once on the driver; names are upper-cased fields."""
+    kinds = {f.name: type(f.default) for f in fields(Settings)}
+    found = {n: kinds[n](values[prefix + n.upper()]) for n in kinds if prefix + n.upper() in values}
+    return replace(DEFAULT, **found)

@@ -17,8 +17,8 @@ def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def named(text: str) -> str:
-    """The same text over the oracle's views, in parentheses."""
-    return "(" + re.sub(r"\{(\w+)\}", r"\1", text) + ")"
+    """The same text over the oracle's views, in parentheses; doubled braces stand for single ones."""
+    return "(" + re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}") + ")"
 
 
 PART_A = """

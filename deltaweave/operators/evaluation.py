@@ -151,3 +151,50 @@ def content_supported(pairs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         return pd.Series([partial_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(sentence, content, strict=True)])
 
     return pairs.withColumn("ratio", ratio("sentence", "content")).withColumn("supported", F.col("ratio") >= s.support_floor)
+
+
+def found_rows(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of truth(pair_id, sheet, zone, kind) that a primary change of their kind, or a visual change, in their zone finds."""
+    hit = found.where("NOT is_cascade OR kind = 'unclassified_visual_change'").select("pair_id", "sheet", "zone", F.col("kind").alias("_kind")).distinct()
+    joined = truth.join(hit, ["pair_id", "sheet", "zone"])
+    keep = joined.where((F.col("_kind") == F.col("kind")) | (F.col("_kind") == "unclassified_visual_change"))
+    return keep.drop("_kind").distinct()
+
+
+def raster_recall(truth: DataFrame, off: DataFrame, on: DataFrame) -> DataFrame:
+    """n, recall_off, recall_on, lift: what the raster layer adds."""
+    marked = lambda d, n: found_rows(truth, d).groupBy("row_id").agg(F.lit(1).alias(n))
+    both = truth.join(marked(off, "off"), "row_id", "left").join(marked(on, "on"), "row_id", "left")
+    share = lambda c: F.round(F.count(c) / F.nullif(F.count(F.lit(1)), F.lit(0)), 4)
+    return both.agg(F.count(F.lit(1)).alias("n"), share("off").alias("recall_off"), share("on").alias("recall_on"), F.round((F.count("on") - F.count("off")) / F.count(F.lit(1)), 4).alias("lift"))
+
+
+def null_controls(deltas: DataFrame, pairs: DataFrame) -> DataFrame:
+    """kind of pair, pairs, changes, hard false positives (changes not flagged null) and the share flagged."""
+    counts = deltas.groupBy("pair_id").agg(F.count(F.lit(1)).alias("d"), F.count_if(~F.col("semantic_null")).alias("h"))
+    zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
+    all_ = pairs.join(counts, "pair_id", "left").groupBy("pair_kind").agg(F.count(F.lit(1)).alias("n_pairs"), zero("d").alias("n_deltas"), zero("h").alias("hard"))
+    return all_.withColumn("null_rate", F.round((F.col("n_deltas") - F.col("hard")) / F.nullif(F.col("n_deltas"), F.lit(0)), 4))
+
+
+def direct_prompt(elements: DataFrame) -> DataFrame:
+    """pair_id, side, prompt: a side as zone-tagged lines for a direct-model baseline; geometry and blanks are left out."""
+    e = elements.where((F.col("type") != "geometry") & (F.trim("content") != ""))
+    line = F.concat(F.lit("["), F.col("zone"), F.lit("] "), F.col("content"))
+    return e.groupBy("pair_id", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
+
+
+def direct_changes(replies: DataFrame) -> DataFrame:
+    """pair_id, place, kind, sheet, zone, description of replies(pair_id, reply).
+
+    The outermost bracketed array counts; items that are no objects, or have no kind, are skipped.
+    """
+    body = F.regexp_extract("reply", r"(?s)(\[.*\])", 1)
+    items = replies.select("pair_id", F.posexplode(F.from_json(body, "array<string>")).alias("place", "item"))
+    parsed = items.withColumn("o", F.from_json("item", "kind string, sheet int, zone string, description string"))
+    return parsed.where("o.kind IS NOT NULL").select("pair_id", "place", "o.kind", "o.sheet", "o.zone", "o.description")
+
+
+def chat_runs(questions: DataFrame, precheck: DataFrame) -> DataFrame:
+    """question_id, pair_id, asked: questions to refused pairs count as refused and are not asked."""
+    return questions.join(precheck.select("pair_id", "is_pair"), "pair_id").select("question_id", "pair_id", F.col("is_pair").alias("asked"))

@@ -13,7 +13,7 @@ from .config import DEFAULT as S
 from .functions import geometry as G
 from .functions import tags as T
 from .functions import text as X
-from .operators import alignment, deltas, edits, evaluation, identity, raster, registration, rendering, retrieval, runs, trace
+from .operators import alignment, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -742,3 +742,89 @@ def adapter_dispatch(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     ext = F.when(col("o_orderkey") % 4 == 0, "dwg").when(col("o_orderkey") % 4 == 3, "txt").otherwise("pdf")
     return o.select((col("o_orderkey") % 4).alias("part"), runs.native_detect(col("o_custkey") % 50, ext).alias("adapter")).groupBy("part", "adapter").agg(F.count(lit(1)).alias("n"))
+
+
+# --- generation and controls -------------------------------------------------
+
+SHEETS_DUCK = "SELECT pair_id, type, n, round(((pair_id * 37 + i * 101 + n * 7919) % 1000) / 1e3, 6) AS x, round(((pair_id * 53 + i * 211 + n * 7919) % 1000) / 1e3, 6) AS y FROM (SELECT pair_id, type, i, unnest(range(1, low + (pair_id * 31 + i * 17) % more + 1)) AS n FROM (SELECT n_nationkey AS pair_id FROM nation) p, (VALUES {}) k(type, low, more, i)) q"
+
+
+@query("SELECT CAST(pair_id AS BIGINT) AS pair_id, type, CAST(n AS BIGINT) AS n, x, y FROM (" + SHEETS_DUCK.format(", ".join(f"('{k}', {low}, {more}, {i})" for i, (k, low, more) in enumerate(generation.COMPOSITION))) + ") s")
+def synthetic_sheets(spark, d):
+    pairs = spark.read.parquet(f"{d}/nation.parquet").select(col("n_nationkey").cast("bigint").alias("pair_id"))
+    return generation.sheet_elements(pairs).select("pair_id", "type", col("n").cast("bigint").alias("n"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT pair_id, place, CASE WHEN place > n THEN 'bump_revision' ELSE [" + ", ".join(f"'{e}'" for e in generation.EDITS) + "][(pair_id * 131 + place * 29) % 10 + 1] END AS edit FROM (SELECT pair_id, n, unnest(range(1, n + 2)) AS place FROM (SELECT p_partkey AS pair_id, least(8, CAST(floor(2 * power(((p_partkey * 7919 + 13) % 997 + 1) / 998e0, -1 / 1.2e0) + 1e-9) AS BIGINT)) AS n FROM part) a) b")
+def edit_scripts(spark, d):
+    return generation.edit_scripts(spark.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("pair_id"))).select("pair_id", col("place").cast("bigint").alias("place"), "edit")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 10 / 25.4 * dpi, 6) AS x, round((594 - l_tax * 1000) / 25.4 * dpi, 6) AS y FROM (SELECT *, [200, 150, 120][l_linenumber % 3 + 1] AS dpi FROM lineitem) l")
+def label_pixels(spark, d):
+    l = spark.read.parquet(f"{d}/lineitem.parquet")  # noqa: E741
+    dpi = F.element_at(F.array(lit(200), lit(150), lit(120)), (col("l_linenumber") % 3 + 1).cast("int"))
+    x, y = generation.to_pixels(col("l_quantity") * 10, col("l_tax") * 1000, lit(594), dpi)
+    return l.select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+ASKED = f"SELECT k AS did, kind, is_cascade, 'B-' || CAST(k % 12 + 1 AS VARCHAR) AS zone, 'tag' || CAST(k AS VARCHAR) AS content FROM ({ANNOTATED}) a"
+
+
+def _asked(spark, d) -> DataFrame:
+    return _annotated(spark, d).select(col("k").alias("did"), "kind", "is_cascade", F.concat(lit("B-"), (col("k") % 12 + 1).cast("string")).alias("zone"), F.concat(lit("tag"), col("k").cast("string")).alias("content"))
+
+
+@query(f"WITH q AS ({ASKED}) SELECT did, CASE kind WHEN 'add' THEN 'What was added in zone ' || zone || '?' WHEN 'remove' THEN 'What was removed from zone ' || zone || '?' WHEN 'move' THEN 'Where did ' || content || ' move?' ELSE 'How did ' || content || ' change?' END AS question, 'answer' AS expected FROM q WHERE NOT is_cascade UNION ALL SELECT did, 'Who approved ' || content || '?', 'refuse' FROM q WHERE NOT is_cascade AND did % 5 = 0")
+def templated_questions(spark, d):
+    return generation.questions(_asked(spark, d))
+
+
+@query("SELECT page_id, word AS content FROM (SELECT page_id, html, unnest(['<html', 'nowhere' || CAST(page_id % 3 AS VARCHAR), substr(html, 40, 8)]) AS word FROM pages) q WHERE NOT contains(html, regexp_extract(word, '^\\s*(\\S+)', 1)) AND regexp_extract(word, '^\\s*(\\S+)', 1) <> ''")
+def fidelity_guard(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    e = p.select("page_id", F.explode(F.array(lit("<html"), F.concat(lit("nowhere"), (col("page_id") % 3).cast("string")), F.substring("html", 40, 8))).alias("content"))
+    return generation.unfaithful(e, p.select("page_id", col("html").alias("page_text"))).select("page_id", "content")
+
+
+TRUTH = "SELECT p_partkey AS row_id, p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE p_partkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'move' ELSE 'modify' END AS kind FROM {part} WHERE p_partkey % 5 = 0"
+FOUND = "SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE WHEN p_partkey % 4 = 0 THEN 'unclassified_visual_change' WHEN p_partkey % 3 = 0 THEN 'add' WHEN p_partkey % 3 = 1 THEN 'move' ELSE 'remove' END AS kind, p_partkey % 7 = 0 AS is_cascade FROM {part} WHERE p_partkey % 11 = 0"
+
+
+def _hit(extra: str) -> str:
+    return f"EXISTS (SELECT 1 FROM f WHERE f.pair_id = t.pair_id AND f.sheet = t.sheet AND f.zone = t.zone AND {extra} AND (f.kind = 'unclassified_visual_change' OR (f.kind = t.kind AND NOT f.is_cascade)))"
+
+
+@query(f"WITH t AS {I.named(TRUTH)}, f AS {I.named(FOUND)}, m AS (SELECT {_hit('f.kind <> ' + repr('unclassified_visual_change'))} AS off_, {_hit('TRUE')} AS on_ FROM t) SELECT count(*) AS n, round(count(*) FILTER (off_) / count(*), 4) AS recall_off, round(count(*) FILTER (on_) / count(*), 4) AS recall_on, round((count(*) FILTER (on_) - count(*) FILTER (off_)) / count(*), 4) AS lift FROM m")
+def raster_recall(spark, d):
+    t, f = I.made(spark, d, TRUTH), I.made(spark, d, FOUND)
+    return evaluation.raster_recall(t, f.where("kind <> 'unclassified_visual_change'"), f)
+
+
+@query("WITH p AS (SELECT p_partkey AS pair_id, CASE WHEN p_partkey % 10 < 6 THEN 'edited' ELSE ['null_ident', 'null_prod', 'null_reword', 'not_a_pair'][p_partkey % 10 - 5] END AS pair_kind FROM part), d AS (SELECT l_partkey AS pair_id, l_linenumber % 2 = 0 AS sn FROM lineitem WHERE l_partkey % 3 <> 0) SELECT pair_kind, count(DISTINCT p.pair_id) AS n_pairs, count(d.pair_id) AS n_deltas, count(*) FILTER (NOT sn) AS hard, round((count(d.pair_id) - count(*) FILTER (NOT sn)) / nullif(count(d.pair_id), 0), 4) AS null_rate FROM p LEFT JOIN d USING (pair_id) GROUP BY pair_kind")
+def null_controls(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("pair_id"), generation.pair_kind(col("p_partkey")).alias("pair_kind"))
+    found = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey % 3 <> 0").select(col("l_partkey").alias("pair_id"), (col("l_linenumber") % 2 == 0).alias("semantic_null"))
+    return evaluation.null_controls(found, p)
+
+
+REPLIES = """SELECT c_custkey AS pair_id, 'Here: [{{"kind": "add", "sheet": ' || CAST(c_nationkey AS STRING) || ', "zone": "A-1", "description": "' || c_mktsegment || '"}}, 5, {{"zone": "B-2"}}, {{"kind": "move", "sheet": 2}}] done' AS reply FROM {customer}"""
+
+
+@query(f"SELECT pair_id, CAST(i AS INT) AS place, j ->> 'kind' AS kind, CAST(j ->> 'sheet' AS INT) AS sheet, j ->> 'zone' AS zone, j ->> 'description' AS description FROM (SELECT pair_id, i, CAST(a[i + 1] AS JSON) AS j FROM (SELECT pair_id, a, unnest(range(0, len(a))) AS i FROM (SELECT pair_id, json_extract(regexp_extract(reply, '\\[.*\\]'), '$[*]') AS a FROM {I.named(REPLIES)} r) x) y) z WHERE j ->> 'kind' IS NOT NULL")
+def direct_changes(spark, d):
+    return evaluation.direct_changes(I.made(spark, d, REPLIES))
+
+
+@query(f"SELECT pair_id, side, string_agg('[' || zone || '] ' || content, chr(10) ORDER BY ord) AS prompt FROM (SELECT k % 40 AS pair_id, 'A' AS side, k AS ord, t AS content, {ZONE.format(x='x', y='y')} AS zone FROM ({CLASSIFIED}) c WHERE trim(t) <> '') e GROUP BY ALL")
+def direct_prompts(spark, d):
+    e = _classified(spark, d).select((col("k") % 40).alias("pair_id"), lit("A").alias("side"), col("k").alias("ord"), "type", X.strip(col("text")).alias("content"), G.zone(col("x"), col("y")).alias("zone"))
+    return evaluation.direct_prompt(e)
+
+
+@query(f"SELECT item_id * 100 + pair_id AS question_id, pair_id, is_pair AS asked FROM benchmark JOIN ({SIGNALS}) s ON s.pair_id % 4 = item_id % 4")
+def chat_runs(spark, d):
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    found = identity.precheck(_sided(spark, d))
+    asked = items.select((col("item_id") % 4).alias("r"), "item_id").join(found.select((col("pair_id") % 4).alias("r"), "pair_id"), "r").select((col("item_id") * 100 + col("pair_id")).alias("question_id"), "pair_id")
+    return evaluation.chat_runs(asked, found)

@@ -149,3 +149,11 @@ def test_components_against_flood():
 def test_otsu():
     image = np.array([[10, 12, 11], [200, 210, 205]])
     assert (raster.binarise(image) == [[0, 0, 0], [255, 255, 255]]).all()
+
+
+def test_settings_from_mapping():
+    from deltaweave.config import DEFAULT, from_mapping
+
+    assert from_mapping({}) == DEFAULT
+    found = from_mapping({"DW_MAX_COST": "0.5", "DW_TOP_K": "3", "OTHER": "x"}, "DW_")
+    assert (found.max_cost, found.top_k, found.k1) == (0.5, 3, 1.5)
