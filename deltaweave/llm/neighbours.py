@@ -97,8 +97,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, mos
     if not count or not n_queries:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     n_pivots = max(1, min(most_pivots, int(math.sqrt(count) / 2)))
-    picked = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n_pivots).toArrow()
-    pivots = _matrix(picked.column(0), width)
+    # A vector has at most k + 1 rows here, so so many rows hold enough different ones; only the best are sent.
+    picked = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots * (k + 1)).toArrow()
+    pivots = np.unique(_matrix(picked.column(0), width), axis=0)
+    pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:n_pivots]]
     half = (pivots**2).sum(axis=1) / 2
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

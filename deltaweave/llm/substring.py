@@ -283,11 +283,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, b
     scratch = Scratch(spark, "substring")
     index = FingerprintIndex(spark, scratch, window, kgram)
     found = None
-    for i in range(batches):
-        part = docs.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == i) if batches > 1 else docs
-        new = index.add(part, f"candidates{i}")
-        found = new if found is None else found.unionByName(new)
-    index.close()
+    try:
+        for i in range(batches):
+            part = docs.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == i) if batches > 1 else docs
+            new = index.add(part, f"candidates{i}")
+            found = new if found is None else found.unionByName(new)
+    finally:
+        index.close()
     places = scratch.keep(found.groupBy("row").agg(F.collect_set("pos").alias("places")), "places")
     for i in range(batches):
         scratch.drop(f"candidates{i}")
