@@ -104,7 +104,18 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+SUBSTRING_ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) q),
+st AS (SELECT rid, i FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) r USING (s)),
+words AS (SELECT rid, w[j] AS word, j FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS j FROM d) q),
+cov AS (SELECT rid, j, word, coalesce(max(i) OVER (PARTITION BY rid ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 34, FALSE) AS gone FROM (SELECT words.rid, words.j, words.word, st.i FROM words LEFT JOIN st ON st.rid = words.rid AND st.i = words.j) q),
+kept AS (SELECT rid, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS t FROM cov GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_substring": SUBSTRING_ORACLE,
     "op5_archives": ARCHIVES_ORACLE,
     "op7_voronoi": VORONOI_ORACLE,
     "op8_decontamination": decontamination.ORACLE,
