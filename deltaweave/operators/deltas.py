@@ -109,14 +109,14 @@ def report_order(deltas: DataFrame) -> DataFrame:
     return deltas.withColumn("position", F.row_number().over(order).cast("int"))
 
 
-def keyed_diff(a: DataFrame, b: DataFrame, key: list[str], compared: dict[str, str], place: tuple[str, str], s: Settings = DEFAULT) -> DataFrame:
-    """key, kind, n_changes, fields of rows that changed between two keyed revisions.
+def keyed_diff(a: DataFrame, b: DataFrame, key: list[str], compared: dict[str, str], place: tuple[str, str], carried: tuple[str, ...] = (), s: Settings = DEFAULT) -> DataFrame:
+    """key, kind, n_changes, fields and the values on both sides of rows that changed between two keyed revisions.
 
     compared maps each column to 'number' or 'text'; place names the two coordinates
     that make a move. One full outer join on the key, which a bucketed table has for free.
     """
-    left = a.select(*key, *[F.col(c).alias(f"{c}_a") for c in (*compared, *place)], F.lit(True).alias("_a"))
-    right = b.select(*key, *[F.col(c).alias(f"{c}_b") for c in (*compared, *place)], F.lit(True).alias("_b"))
+    left = a.select(*key, *[F.col(c).alias(f"{c}_a") for c in (*compared, *place, *carried)], F.lit(True).alias("_a"))
+    right = b.select(*key, *[F.col(c).alias(f"{c}_b") for c in (*compared, *place, *carried)], F.lit(True).alias("_b"))
     both = left.join(right, key, "full_outer")
     changed = [F.when(differs(F.col(f"{c}_a"), F.col(f"{c}_b"), s) if t == "number" else ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), F.lit(c)) for c, t in compared.items()]
     x, y = place

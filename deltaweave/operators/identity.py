@@ -9,27 +9,31 @@ from ..config import DEFAULT, Settings
 from ..functions.tags import TAG_TYPES
 
 
-def signals(elements: DataFrame) -> DataFrame:
-    """pair_id, drawing_a, drawing_b, equipment_a, equipment_b.
+def counted(elements: DataFrame) -> DataFrame:
+    """pair_id, side, type, content, field, n, seen: what signals and overlap both need, in one aggregation of the elements."""
+    return elements.groupBy("pair_id", "side", "type", "content", "field").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
 
-    elements(pair_id, side, ord, type, content, field): the drawing number is the
-    first title field of that kind, the equipment the most frequent tag, of equal
-    ones the first seen.
+
+def signals(counts: DataFrame) -> DataFrame:
+    """pair_id, drawing_a, drawing_b, equipment_a, equipment_b from counted elements.
+
+    The drawing number is the first title field of that kind, the equipment the most
+    frequent tag, of equal ones the first seen.
     """
-    counts = elements.where("type = 'equipment_tag'").groupBy("pair_id", "side", "content").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
-    equipment = counts.groupBy("pair_id", "side").agg(F.max_by("content", F.struct("n", -F.col("seen"))).alias("equipment"))
-    drawing = elements.where("type = 'title_field' AND field = 'drawno'").groupBy("pair_id", "side").agg(F.min_by("content", "ord").alias("drawing"))
-    both = elements.select("pair_id", "side").distinct().join(drawing, ["pair_id", "side"], "left").join(equipment, ["pair_id", "side"], "left")
-    side = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s.lower()}")
-    return both.groupBy("pair_id").agg(*[side(c, s) for c in ("drawing", "equipment") for s in "AB"])
+    on = lambda side, test: (F.col("side") == side) & test
+    number = (F.col("type") == "title_field") & (F.col("field") == "drawno")
+    equipment = F.col("type") == "equipment_tag"
+    first = lambda side: F.min_by("content", F.when(on(side, number), F.col("seen"))).alias(f"drawing_{side.lower()}")
+    most = lambda side: F.max_by("content", F.when(on(side, equipment), F.struct("n", -F.col("seen")))).alias(f"equipment_{side.lower()}")
+    return counts.groupBy("pair_id").agg(*[make(side) for make in (first, most) for side in "AB"])
 
 
-def tag_overlap(elements: DataFrame) -> DataFrame:
+def tag_overlap(counts: DataFrame) -> DataFrame:
     """pair_id, overlap: Jaccard similarity of the distinct tags; null if a side has none.
 
     Counted by tag instead of comparing two sets, so no side is gathered.
     """
-    tags = elements.where(F.col("type").isin(*TAG_TYPES)).groupBy("pair_id", "content").agg(F.max((F.col("side") == "A").cast("int")).alias("a"), F.max((F.col("side") == "B").cast("int")).alias("b"))
+    tags = counts.where(F.col("type").isin(*TAG_TYPES)).groupBy("pair_id", "content").agg(F.max((F.col("side") == "A").cast("int")).alias("a"), F.max((F.col("side") == "B").cast("int")).alias("b"))
     return tags.groupBy("pair_id").agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.sum(F.col("a") * F.col("b")) / F.count(F.lit(1))).alias("overlap"))
 
 
@@ -50,4 +54,6 @@ def decide(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def precheck(elements: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    return decide(signals(elements).join(tag_overlap(elements), "pair_id", "left"), s)
+    """One row for each pair; elements(pair_id, side, ord, type, content, field)."""
+    counts = counted(elements)
+    return decide(signals(counts).join(tag_overlap(counts), "pair_id", "left"), s)

@@ -43,9 +43,8 @@ WHERE a.k IS NULL OR b.k IS NULL OR abs(a.size - b.size) > 1e-4 OR abs(a.price -
 
 
 def _diff(spark, d) -> DataFrame:
-    found = deltas.keyed_diff(I.made(spark, d, I.PART_A), I.made(spark, d, I.PART_B), ["k"], {"name": "text", "size": "number", "price": "number"}, ("x", "y"))
-    a, b = (I.made(spark, d, t).select("k", col("brand").alias(n)) for t, n in ((I.PART_A, "brand_a"), (I.PART_B, "brand_b")))
-    return found.join(a, "k", "left").join(b, "k", "left").withColumn("brand", F.coalesce("brand_b", "brand_a"))
+    found = deltas.keyed_diff(I.made(spark, d, I.PART_A), I.made(spark, d, I.PART_B), ["k"], {"name": "text", "size": "number", "price": "number"}, ("x", "y"), ("brand",))
+    return found.withColumn("brand", F.coalesce("brand_b", "brand_a"))
 
 
 @query(f"SELECT k, kind, fields FROM ({DIFF}) d")
