@@ -14,11 +14,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def tokenise(c: Column) -> Column:
-    """Lower-cased tokens, then the non-empty parts of those with hyphens."""
-    whole = F.transform(F.regexp_extract_all(c, F.lit(f"({TOKEN})"), 1), F.lower)
-    parts = F.filter(F.flatten(F.transform(F.filter(whole, lambda t: t.contains("-")), lambda t: F.split(t, "-"))), lambda p: p != "")
-    return F.concat(whole, parts)
+    """Lower-cased tokens, then the non-empty parts of those with hyphens.
+
+    Tokens are ASCII, so case is folded before they are cut. The array stands in a
+    lambda's variable, which is computed once however often it is read.
+    """
+    whole = F.regexp_extract_all(F.translate(c, UPPER, LOWER), F.lit(f"({TOKEN})"), 1)
+    parts = lambda w: F.filter(F.flatten(F.transform(F.filter(w, lambda t: t.contains("-")), lambda t: F.split(t, "-"))), lambda p: p != "")
+    return F.get(F.transform(F.array(whole), lambda w: F.concat(w, parts(w))), F.lit(0))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

@@ -35,11 +35,16 @@ def expand_query(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     return questions.join(F.broadcast(aliases), hit).select("question_id", F.col("target").alias("term"))
 
 
-def postings(docs: DataFrame, text: Column) -> DataFrame:
-    """doc_id, term, tf, dl."""
-    terms = docs.select("doc_id", F.explode(tokenise(text)).alias("term"))
-    counted = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, tf, dl (the document's length), of the terms in wanted(term) alone if it is given.
+
+    Lengths come along with the tokens, so no second pass over a document's terms is
+    needed. explode_outer, since explode would have the optimizer tokenise twice.
+    """
+    tokens = docs.select("doc_id", tokenise(text).alias("_t")).select("doc_id", F.size("_t").cast("long").alias("dl"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")
+    if wanted is not None:
+        tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
+    return tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(post: DataFrame, n_docs: DataFrame, query_terms: DataFrame, s: Settings = DEFAULT, boost: Column | None = None) -> DataFrame:

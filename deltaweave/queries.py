@@ -488,9 +488,9 @@ SELECT question_id, doc_id, CAST(rank AS INT) AS rank, round(score, 4) AS score
 @query(BM25)
 def bm25_topk(spark, d):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
-    post = retrieval.postings(docs, col("text"))
-    total = docs.agg(F.count(lit(1)).alias("n"), F.sum(F.size(X.tokenise(F.coalesce("text", lit(""))))).alias("total"))
     terms = items.select(col("item_id").alias("question_id"), F.explode(F.slice(X.tokenise(col("text")), 1, 8)).alias("term"))
+    post = retrieval.postings(docs, col("text"), terms)
+    total = docs.agg(F.count(lit(1)).alias("n"), F.sum(F.size(X.tokenise(F.coalesce("text", lit(""))))).alias("total"))
     return retrieval.top_k(retrieval.bm25(post, total, terms), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
