@@ -77,6 +77,8 @@ class Maker:
         item = lambda: f'<a href="/{self.r.randint(1, 999)}">{self.text(0, 1, 3, self.r.choice(leads) if self.r.random() < 0.5 else "")}</a>'
         if self.r.random() < 0.7:
             return "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(n)) + "</ul>"
+        if self.r.random() < 0.2:
+            return "<table><tr>" + "".join(f"<td>{item()}</td>" for _ in range(n)) + "</tr></table>"
         return "".join(f"<div>{item()}</div>" if self.r.random() < 0.5 else f"<p>{item()}</p>" for _ in range(n))
 
     def wrap(self, kind: str, tags: list[str], inner: str) -> str:
@@ -117,12 +119,16 @@ class Maker:
 
     def article(self) -> str:
         r = self.r
-        out = f"<h1>{self.text(1, 1, 12)}</h1>" if r.random() < 0.85 else ""
+        para = "p" if r.random() < 0.85 else "div"  # old pages have no paragraphs
+        out = f"<h{(top := r.choice([1, 1, 1, 2]))}>{self.text(1, 1, 12)}</h{top}>" if r.random() < 0.85 else ""
         for i in range(r.choice([1, 1, 2, 3, 5, 8, 12, 20])):
             k = r.random()
             if k < 0.74:
                 p = self.inline(1, 1, r.choice([4, 12, 40, 120]))
-                out += f"<p><b>{p}<br>" if r.random() < 0.08 else f"<p>{p}" + ("</p>" if r.random() < 0.93 else "")
+                if para == "p" and r.random() < 0.15:
+                    out += f"<p><b>{p}<br>" if r.random() < 0.5 else f"<p>{p}"
+                else:
+                    out += f"<{para}>{p}</{para}>"
             elif k < 0.82:
                 out += f"<h{(n := r.choice([2, 2, 3]))}>{self.text(1, 1, 7)}</h{n}>"
             elif k < 0.9:

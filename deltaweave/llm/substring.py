@@ -38,6 +38,8 @@ WINDOW, KGRAM = 35, 12
 BATCHES, MAX_RUNS = 3, 2
 #: Entries gathered before a block is counted.
 BLOCK_ENTRIES = 1 << 20
+#: A bucket of the index holds about so many entries of a run, where that asks for more buckets than shuffle partitions.
+BUCKET_ENTRIES = 1 << 22
 SECOND_BASE = 0x6A09E667F3BCC909
 
 ENTRY = "h bigint, n int, row bigint, pos int"
@@ -142,6 +144,8 @@ class FingerprintIndex:
     def add(self, rows: DataFrame, out: str) -> DataFrame:
         """Index rows(row, text) as a new run; row, pos of each candidate k-gram found by that."""
         found = self.scratch.keep(rows.select("row", "text").mapInArrow(_entries(self.window, self.kgram), ENTRY), f"{out}-entries")
+        if not self.runs:  # all runs have the buckets of the first, so that they merge without a shuffle
+            self.buckets = max(self.buckets, -(-found.count() // BUCKET_ENTRIES))
         known = found.where("n = 0").select("row", "pos")
         new = self._write(found.where("n > 0"))
         fresh = self.spark.table(new)
