@@ -42,11 +42,8 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None, cycle: int, expon
         weight: Column = F.pow(F.col("total").cast("double"), F.lit(exponent))
     else:
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")].cast("double"), F.lit(0.0))
-    whole = sizes.withColumn("_w", weight)
-    every = whole.agg(F.sum("_w").alias("_all"))
-    return whole.join(F.broadcast(every), how="cross").select(
-        "source", "total", F.greatest(F.lit(1), F.floor(F.col("_w") * cycle / F.col("_all") + 0.5)).cast("long").alias("share")
-    )
+    whole = sizes.agg(F.sum(weight)).first()[0] or 1.0  # one number
+    return sizes.select("source", "total", F.greatest(F.lit(1), F.floor(weight * cycle / F.lit(float(whole)) + 0.5)).cast("long").alias("share"))
 
 
 def cycle_pattern(shared: DataFrame) -> DataFrame:
@@ -101,7 +98,7 @@ def schedule(
     sizes = rows.groupBy("source").agg(F.sum("bytes").alias("total"))
     shared = scratch.keep(shares(sizes, weights, cycle, exponent), "shares")
     pattern = scratch.keep(cycle_pattern(shared), "pattern")
-    span = shared.agg(F.sum("share").alias("d"))
+    slots = shared.agg(F.sum("share")).first()[0] or 1  # of a cycle
     within = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("_in", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
@@ -110,32 +107,31 @@ def schedule(
         .withColumn("block", F.floor(F.col("offset") / block_bytes).cast("long"))
     )
     # Shares and pattern have a row for each source and for each slot of a cycle: no more than cycle + 1.5 for each source.
-    plan = F.broadcast(shared.join(F.broadcast(span), how="cross").drop("total"))
+    plan = F.broadcast(shared.drop("total"))
     ends = (
-        shared.join(F.broadcast(span), how="cross")
-        .withColumn("_n", F.floor(F.col("total") / block_bytes).cast("long"))
+        shared.withColumn("_n", F.floor(F.col("total") / block_bytes).cast("long"))
         .withColumn("turn", F.col("_n") % F.col("share"))
         .join(F.broadcast(pattern), ["source", "turn"])
-        .select("share", "source", (F.floor(F.col("_n") / F.col("share")) * F.col("d") + F.col("slot")).cast("long").alias("_end"))
+        .select("share", "source", (F.floor(F.col("_n") / F.col("share")) * slots + F.col("slot")).cast("long").alias("_end"))
     )
     before = Window.orderBy("_end", "source").rowsBetween(Window.unboundedPreceding, 0)  # a row for each source
-    gone = ends.withColumn("_gone", F.sum("share").over(before)).join(F.broadcast(span), how="cross")
-    horizon = gone.where(F.col("_gone") > F.lit(1 - coverage) * F.col("d")).agg(F.min("_end").alias("horizon"))
+    gone = ends.withColumn("_gone", F.sum("share").over(before))
+    horizon = gone.where(F.col("_gone") > (1 - coverage) * slots).agg(F.min("_end")).first()[0] or 0
+    slot = F.floor(F.col("block") / F.col("share")) * slots + F.col("slot")
     return (
         placed.join(plan, "source")
         .withColumn("turn", F.col("block") % F.col("share"))
         .join(F.broadcast(pattern), ["source", "turn"])
-        .join(F.broadcast(horizon), how="cross")
         .select(
             "doc_id",
             "source",
             "bytes",
             F.col("offset").cast("long").alias("offset"),
             "block",
-            F.floor(F.col("block") * F.col("d") / F.col("share")).cast("long").alias("release"),
-            F.ceil((F.col("block") + 1) * F.col("d") / F.col("share")).cast("long").alias("deadline"),
-            (F.floor(F.col("block") / F.col("share")) * F.col("d") + F.col("slot")).cast("long").alias("slot"),
-            (F.floor(F.col("block") / F.col("share")) * F.col("d") + F.col("slot") < F.col("horizon")).alias("in_mix"),
+            F.floor(F.col("block") * slots / F.col("share")).cast("long").alias("release"),
+            F.ceil((F.col("block") + 1) * slots / F.col("share")).cast("long").alias("deadline"),
+            slot.cast("long").alias("slot"),
+            (slot < horizon).alias("in_mix"),
         )
     )
 
