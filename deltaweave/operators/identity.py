@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -37,6 +37,28 @@ def tag_overlap(counts: DataFrame) -> DataFrame:
     return tags.groupBy("pair_id").agg(F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.sum(F.col("a") * F.col("b")) / F.count(F.lit(1))).alias("overlap"))
 
 
+def similar_sets(items: DataFrame, id_: str, item: str, least: float) -> DataFrame:
+    """a, b, shared, jaccard of sets (distinct rows id_, item) with a Jaccard similarity of at least ``least``; a < b.
+
+    Exact by prefixes: two such sets share one of the n - ceil(least * n) + 1 rarest
+    items of either, so only those meet in a join, and furniture that stands in many
+    sets pairs them only if they have little else. Pairs are then counted in full.
+    """
+    rare = items.groupBy(item).agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    sized = items.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(id_)))
+    # Items of one set alone are the rarest of all; they take up places of the prefix and pair nothing.
+    known = sized.join(rare, item, "left").withColumn("_df", F.coalesce("_df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(id_).orderBy("_df", item))
+    prefix = known.withColumn("_place", place).where((F.col("_place") <= F.col("_n") - F.ceil(F.round(F.col("_n") * least, 9)) + 1) & (F.col("_df") > 1))
+    left = prefix.select(item, F.col(id_).alias("a"), F.col("_n").alias("_na"))
+    right = prefix.select(item, F.col(id_).alias("b"), F.col("_n").alias("_nb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)
+    pairs = left.join(right, item).where(fits).select("a", "b", "_na", "_nb").distinct()
+    first = pairs.join(items.select(F.col(id_).alias("a"), F.col(item).alias("_item")), "a")
+    shared = first.join(items.select(F.col(id_).alias("b"), F.col(item).alias("_item")), ["b", "_item"]).groupBy("a", "b", "_na", "_nb").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.withColumn("jaccard", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+
+
 def decide(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds tier and is_pair to drawing_a/b, equipment_a/b, overlap.
 

@@ -275,21 +275,14 @@ def page_elements(spark, d):
 # --- identity and registration -----------------------------------------------
 
 @query("""WITH l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) q WHERE length(line) > 30),
-n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), r AS (SELECT line FROM l GROUP BY line HAVING count(*) BETWEEN 2 AND 50),
-s AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM l a JOIN r USING (line) JOIN l b USING (line) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+s AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM l a JOIN l b USING (line) WHERE a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, CAST(shared AS BIGINT) AS shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared / (x.n + y.n - shared) >= 0.3""")
 def revision_pairs(spark, d):
-    """Which documents are revisions of each other; a line in over 50 documents is furniture and pairs none."""
+    """Which documents are revisions of each other, by their distinct lines of over 30 characters."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 30).distinct()
-    sizes = lines.groupBy("doc_id").agg(F.count(lit(1)).alias("n"))
-    telling = lines.groupBy("line").agg(F.count(lit(1)).alias("c")).where("c BETWEEN 2 AND 50").select("line")
-    left = lines.join(telling, "line").select("line", col("doc_id").alias("doc_a"))
-    right = left.select("line", col("doc_a").alias("doc_b"))
-    shared = left.join(right, "line").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count(lit(1)).alias("shared"))
-    both = shared.join(sizes.select(col("doc_id").alias("doc_a"), col("n").alias("na")), "doc_a").join(sizes.select(col("doc_id").alias("doc_b"), col("n").alias("nb")), "doc_b")
-    jaccard = col("shared") / (col("na") + col("nb") - col("shared"))
-    return both.where(jaccard >= S.tag_overlap).select("doc_a", "doc_b", "shared", F.round(jaccard, 6).alias("jaccard"))
+    return identity.similar_sets(lines, "doc_id", "line", S.tag_overlap).select(col("a").alias("doc_a"), col("b").alias("doc_b"), "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
 SIDED = f"""SELECT pair_id, CASE WHEN k % 3 = 0 THEN 'B' ELSE 'A' END AS side, k AS ord, type, CASE WHEN type = 'equipment_tag' THEN '26-KA-' || CAST(k % 5 AS VARCHAR) ELSE t END AS content,
