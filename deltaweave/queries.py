@@ -722,7 +722,14 @@ def markdown_report(spark, d):
     return rendering.markdown_report(a)
 
 
-@query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    f"""SELECT k % 40 AS pair_id, {_quoted(rendering.HTML_HEAD)} || '[' || string_agg('{{"k":' || k || ',"kind":"' || kind || '","severity":"' || severity || '","is_cascade":' || is_cascade || '}}', ',' ORDER BY k) || ']' || {_quoted(rendering.HTML_TAIL)} AS report
+FROM ({ANNOTATED}) a GROUP BY ALL"""
+)
 def html_report(spark, d):
     """One page for each pair; tests read the records back from it."""
     a = _annotated(spark, d).select((col("k") % 40).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "k", "kind", "severity", "is_cascade")
