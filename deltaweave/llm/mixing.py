@@ -137,14 +137,15 @@ def schedule(
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, **settings) -> DataFrame:
-    """The documents that lie in the mix, laid out in the order of its slots.
+    """Every row of docs, laid out in the order of its slots; in_mix leaves none out.
 
-    A doc_id that occurs in several rows stays with all of them if any is in the mix.
+    The rows of a doc_id, null among them, stand together at the first of their places.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    placed = schedule(docs, weights, **settings).where("in_mix").groupBy("doc_id").agg(F.min(F.struct("slot", "offset")).alias("_at"))
+    placed = schedule(docs, weights, **settings).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "offset")).alias("_at"))
     placed = scratch.keep(placed, "placed")
-    joined = scratch.keep(docs.join(placed, "doc_id").select(*docs.columns, "_at"), "joined")  # so texts are never in two shuffles at a time
+    same = docs["doc_id"].eqNullSafe(placed["_id"])
+    joined = scratch.keep(docs.join(placed, same, "left").select(*[docs[c] for c in docs.columns], "_at"), "joined")  # so texts are never in two shuffles at a time
     return joined.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
 
 
