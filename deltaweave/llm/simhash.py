@@ -230,7 +230,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of rows that share it, any one)."""
-    found = near_duplicates(docs, width, threshold)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest doc_id, null after all others, and then the smallest text hash.
+
+    Rows equal in doc_id and text count as one. A doc_id that would stay for several components, with a text in each,
+    stays once, with the smallest text hash; null ids stay for every one.
+    """
+    hashed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    key = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
+    found = near_duplicates(hashed.select(key.alias("doc_id"), "text"), width, threshold)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text").alias("_hash")).distinct()
+    keep = keep.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_hash").alias("_hash")).unionByName(keep.where("_id IS NULL"))
+    same = hashed["doc_id"].eqNullSafe(keep["_id"]) & (hashed["_text"] == keep["_hash"])
+    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")

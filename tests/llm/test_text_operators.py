@@ -208,3 +208,11 @@ def test_minimizers_agree():
     first = {int(x) for p, x in zip(at, h, strict=True) if p < 160}
     inside = [int(x) for p, x in zip(at, h, strict=True) if p >= 160]
     assert inside and set(inside) <= first
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    alone, other, third, fourth = (" ".join(f"{w}{i}" for i in range(80)) for w in "abcd")
+    rows = [(None, alone, "s0"), (None, other, "s0"), (None, other, "s1")]  # two components of null ids only
+    rows += [(1, third, "s0"), (None, third, "s0"), (7, third, "s0"), (7, fourth, "s0")]  # id 7 has a copy and a text of its own
+    kept = Counter((r["doc_id"], r["text"]) for r in rows_of(simhash.drop_near_duplicates(documents(spark, rows))))
+    assert kept == Counter([(None, alone), (None, other), (1, third), (7, fourth)])
