@@ -109,6 +109,11 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
             continue
         if tag in BLOCK:
             flush()
+            if hidden == 1:  # an open head ends at the body or its first block, unless that stands in a hidden element of the head
+                for i, (x, _) in enumerate(stack):
+                    if x == "head":
+                        pop_to(i)
+                        break
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
                     pop_to(i)
@@ -143,7 +148,7 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     got = _paths.get(path)
     if got is None:
         got = np.zeros(PATH, np.float32)
-        for element in path[-24:]:
+        for element in path:
             tag, _, names = element.partition(" ")
             got[_slot(tag, PATH)] += 1
             for name in SPLIT.split(names):

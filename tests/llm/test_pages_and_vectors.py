@@ -34,6 +34,20 @@ def pages(spark, rows=None):
 # --- extraction
 
 
+def test_open_head_ends_at_body():
+    for start in ("<body>", ""):
+        page = f"<!DOCTYPE html><html><head><title>t</title><meta charset=utf-8>{start}<div class=a><p>one</div><header>two</header>"
+        assert [b[0] for b in extraction.blocks(page)] == ["one", "two"]
+    assert [b[1] for b in extraction.blocks("<html><head><title>t</title><body><p>x")] == [("html", "body", "p")]
+    assert [b[0] for b in extraction.blocks("<html><head><title>t</title></head><body><p>x")] == ["x"]
+    assert [b[0] for b in extraction.blocks("<html><head><noscript><p>no</p></noscript><body><p>x")] == ["x"]
+
+
+def test_whole_path_is_read():
+    deep = ("div",) * 30 + ("p",)
+    assert (extraction.path_vector(("nav menu", *deep)) != extraction.path_vector(deep)).any()
+
+
 def test_blocks():
     found = [b[0] for b in extraction.blocks(page_rows()[0][2])]
     assert found == ["Home", "News", "Title & more", "First part here.", "Second bold part.", "© all rights reserved"]
