@@ -62,6 +62,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def document_sketches(hashed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """doc_id, size_class, hash: for each class of bounds(size_class, bound), the rows of hashed(doc_id, hash) up to its bound."""
+    return hashed.join(F.broadcast(bounds), F.col("hash") <= F.col("bound")).select("doc_id", "size_class", "hash")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item, n_shared for every item contained in a document."""
     scratch = Scratch(docs.sparkSession, "decontamination")
@@ -82,9 +87,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
     hashed = with_shingle_hashes(docs.select("doc_id", "text"), width).select("doc_id", F.explode_outer("hashes").alias("hash"))
     if top is not None:
         hashed = hashed.where(F.col("hash") <= F.lit(top))
-    candidates = (
-        hashed.join(_small(sketches.join(F.broadcast(bounds), "size_class").where("hash <= bound").select("item_id", "hash")), "hash").select("doc_id", "item_id").distinct()
-    )
+    candidates = document_sketches(hashed, bounds).join(_small(sketches), ["size_class", "hash"]).select("doc_id", "item_id").distinct()
     candidates = scratch.keep(candidates, "candidates")
     exact_items = scratch.keep(with_shingles(items.select("item_id", "text").distinct(), "item_shingles", width), "items")
     exact_docs = with_shingles(docs.select("doc_id", "text").join(_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_shingles", width)

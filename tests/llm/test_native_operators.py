@@ -42,6 +42,13 @@ def test_containment(spark):
     assert got == want and {105, 106, 107} <= {g[0] for g in got}
 
 
+def test_document_sketches_by_size_class(spark):
+    hashed = spark.createDataFrame([(1, -5), (1, 3), (2, 9), (2, 20), (3, None)], "doc_id bigint, hash bigint")
+    bounds = spark.createDataFrame([(2, 10), (5, 3)], "size_class int, bound bigint")
+    got = Counter(tuple(r) for r in decontamination.document_sketches(hashed, bounds).collect())
+    assert got == Counter([(1, 2, -5), (1, 5, -5), (1, 2, 3), (1, 5, 3), (2, 2, 9)])
+
+
 @pytest.mark.parametrize(("docs", "items"), [([], item_rows()), (texts(), []), ([], [])])
 def test_containment_empty(spark, docs, items):
     assert decontamination.contained_items(documents(spark, docs), spark.createDataFrame(items, ITEMS)).collect() == []
