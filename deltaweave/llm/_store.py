@@ -1,11 +1,16 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir`` and reading it
-again; only where that is unset (tests on one machine) is a folder made.
+again. Where that is unset, a folder of this machine is made only for a local
+master, whose tasks all see it (tests); on a cluster ValueError is raised.
+
+Operators drop what nothing reads any more. What a returned DataFrame still reads
+goes by ``drop_all``, at the end of the program at the latest.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -34,16 +39,30 @@ def settings(spark: SparkSession, values: dict[str, str]):
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="deltaweave-"))
     return found.rstrip("/")
 
 
+_open: dict[str, "Scratch"] = {}
+
+
+@atexit.register
+def drop_all() -> None:
+    """Remove every table that operators have left for the DataFrames they returned."""
+    for scratch in list(_open.values()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            scratch.drop()
+
+
 class Scratch:
     """Tables of one run of an operator, each under a name of its own."""
 
     def __init__(self, spark: SparkSession, kind: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        _open[self.root] = self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -57,6 +76,8 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Remove one table, or all of them, once nothing reads it any more."""
+        if not name:
+            _open.pop(self.root, None)
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -17,8 +19,11 @@ _IS_WORD[list(SPACES)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Texts are hashed in pieces of about so many bytes, which bounds the memory of a task.
-PIECE_BYTES = 1 << 20
+#: Words are hashed so many at a time, which bounds the memory of a task.
+PIECE_WORDS = 1 << 17
+LONG_WORD = 512
+#: Keeps the first k bytes of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -77,31 +82,44 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _pieces(starts: np.ndarray, ends: np.ndarray):
-    """Runs of words that span about PIECE_BYTES."""
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE_BYTES, side="right")))
-        yield i, j
-        i = j
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes at a time are mixed into the state; words over LONG_WORD bytes by XXH64.
 
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x5851F42D4C957F2D, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial from prefix sums, then mixed."""
+    The state goes through a bijective non-linear finaliser after every eight bytes,
+    so no choice of word gives equal hashes under each seed, as it would under
+    polynomials modulo a power of two.
+    """
     out = np.empty(len(starts), np.uint64)
-    for i, j in _pieces(starts, ends):
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        piece = data[lo:hi]
-        if lower:
-            piece = _LOWER[piece]
-        up, down = powers(base, hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in range(0, len(starts), PIECE_WORDS):
+        s, e = starts[i : i + PIECE_WORDS], ends[i : i + PIECE_WORDS]
+        if not len(s):
+            break
+        lo, hi = int(s[0]), int(e[-1])
+        piece = np.zeros(hi - lo + 8, np.uint8)
+        piece[: hi - lo] = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+        lanes = np.ndarray(hi - lo + 1, np.uint64, piece, strides=(1,))  # eight bytes from every offset on
+        out[i : i + PIECE_WORDS] = _hash_lanes(lanes, piece, s - lo, e - s, seed)
     return out
 
 
+def _hash_lanes(lanes: np.ndarray, piece: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    first = np.uint64(int(mix(np.array([seed * 2 + 1], np.uint64))[0]))
+    h = mix(size.astype(np.uint64) + first)
+    left = np.flatnonzero(size > 0)
+    at, rest = start[left], size[left]
+    whole = rest > LONG_WORD
+    if whole.any():
+        for k in left[whole].tolist():
+            h[k] = xxhash.xxh64_intdigest(piece[start[k] : start[k] + size[k]].tobytes(), seed)
+        left, at, rest = left[~whole], at[~whole], rest[~whole]
+    while len(left):
+        lane = lanes[at] & _MASK[np.minimum(rest, 8)]
+        h[left] = mix((h[left] ^ lane) * np.uint64(0xD6E8FEB86659FD93))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return h
+
+
 def window_hashes(words: np.ndarray, width: int, base: int = 0x2545F4914F6CDD1D) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` consecutive entries (len - width + 1 of them)."""
     n = len(words) - width + 1
@@ -113,11 +131,11 @@ def window_hashes(words: np.ndarray, width: int, base: int = 0x2545F4914F6CDD1D)
     return mix((total[width:] - total[:-width]) * down[:n])
 
 
-def tokens(column, lower: bool = False, base: int = 0x5851F42D4C957F2D) -> tuple[np.ndarray, np.ndarray]:
+def tokens(column, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a whole string column, and each text's first word (n + 1 entries)."""
     data, offsets = string_buffers(column)
     starts, ends, first = word_bounds(data, offsets)
-    return word_hashes(data, starts, ends, base, lower), first
+    return word_hashes(data, starts, ends, seed, lower), first
 
 
 def hash_text(word: bytes, lower: bool = False) -> int:
@@ -139,6 +157,34 @@ def small_batches(batches, column: int, limit: int = 4 << 20):
             start = stop
 
 
+def cut_batch(batch: pa.RecordBatch, rows: int = 1 << 16):
+    """The same rows in batches of at most ``rows``, so that no large buffer is needed to take them over."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+class Bits:
+    """A fixed-size filter over uint64 keys: one bit for each value of the leading ``BITS`` bits; false positives only."""
+
+    BITS = 27
+
+    def __init__(self, chunks: dict[int, bytes]):
+        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8)
+        for bucket, raw in chunks.items():  # buckets are numbered from 1
+            self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(raw, np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def of(cls, keys) -> "Bits":
+        """Of the column ``key`` (bigint) of a DataFrame. What reaches the driver is 16 MB at most, whatever the number of keys."""
+        slot = F.shiftrightunsigned("key", 64 - cls.BITS) + 1
+        rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("raw"))
+        return cls({r["bucket"]: bytes(r["raw"]) for r in rows.collect()})
+
+
 class HashTable:
     """Positions of distinct non-zero uint64 keys, by open addressing; lookups are vectorised."""
 

@@ -3,50 +3,68 @@
 A text is its words, with A-Z lower-cased, and one end. The root holds the
 unigram distribution over all V training tokens and one symbol for any unknown
 word, whose mass is the share of tokens seen once (Good-Turing). A context of up
-to DEPTH words becomes a state if it is frequent enough and if its next-symbol
-distribution, weighed by what it saw, diverges from that of the longest suffix
-kept before it by more than DIVERGENCE nats a token. A state's distribution is
-
-    P(x | s) = max(c(s, x) - DISCOUNT, 0) / n(s)  +  rest(s) * P(x | suffix(s))
-
-over the nexts that are listed for it, where rest(s) makes the sum one. Each
-token is scored by the state of the longest suffix of what precedes it in its
-text (an end stands before the first word).
-
-What tasks hold is bounded by shares of the token count N, as in the classical
-construction: at most 1 / WORD_SHARE listed words, and in each depth at most
-1 / STATE_SHARE contexts and 1 / ENTRY_SHARE listed nexts. All counts cover all
-training documents. Words below WORD_SHARE are scored by an exact join with the
-full word counts, which grow with the corpus and are never gathered.
-
-Tokens are identified by 64-bit hashes. Defined cases: null and empty texts are
-one end; a null doc_id counts as the text ''; repeated rows are scored each and
-count each in training; with no training rows every word is unknown and has
-probability one; an empty table gives none; extra columns are ignored.
+to DEPTH words (an end stands before the first word) is considered once it was
+seen LEAST_STATE times; its listed nexts are those seen LEAST_ENTRY times after
+it. It becomes a state if its next-symbol distribution, weighed by what it saw,
+diverges from that of its longest kept proper suffix by more than DIVERGENCE
+nats a token. A state's distribution is
+
+    P(x | s) = (c(s, x) - DISCOUNT) / n(s)  [if x is listed]  +  rest(s) * P(x | parent(s))
+
+where parent(s) is the longest kept proper suffix and rest(s) makes the sum one.
+Each token is scored by the longest kept suffix of what precedes it in its text.
+
+All thresholds are counts, so what is kept of a text does not shrink as the
+corpus grows, and the tree is a table that grows with the corpus. It is learned
+with joins and never gathered. What tasks get of it:
+
+* filters of a fixed 16 MB that let through every context or next of the tables
+  (and a few more, which the joins that follow leave out);
+* the HEAD_WORDS words and HEAD_TERMS terms seen most, which are looked up in
+  place. All others are looked up by a join; where the cut lies does not change
+  a result.
+
+Scores need no token-level join, because log P(x | s) is a sum: log P(x | root),
+and for every kept suffix t of the context log rest(t) and, if x is listed there,
+
+    gain(t, x) = log P(x | t) - log(rest(t) * P(x | parent(t))).
+
+So a tree is a table of terms, each a key (a state's or a next's) with a number to
+add, and a text's score adds up what its keys find.
+
+Tokens and word sequences are identified by 64-bit hashes: among n distinct ones
+n * n / 2**65 collisions are expected, which is one at six billion.
+
+Defined cases: null and empty texts are one end; a null doc_id counts as the text
+''; repeated rows are scored each and count each in training; with no training
+rows every word is unknown and has probability one; an empty table gives none;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import HashTable, hash_text, small_batches, tokens
+from ._text import Bits, HashTable, cut_batch, hash_text, mix, small_batches, tokens
 
 DEPTH = 3
-WORD_SHARE, STATE_SHARE, ENTRY_SHARE = 1e-6, 1e-5, 5e-7
-LEAST_STATE, LEAST_ENTRY, LEAST_WORD = 20, 2, 2
+LEAST_STATE, LEAST_ENTRY = 50, 4
 DISCOUNT, DIVERGENCE = 0.5, 0.02
+#: What is looked up in place: memory only, never a result.
+HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 19
 #: The end holds a space, which no word does.
 END = hash_text(b" end")
-SHIFT = 21  # bits of a word's number
-BLOCK_TOKENS = 2 << 20
+#: Sets the keys of states apart from those of sequences.
+STATE_KEY = 0x3C6EF372FE94F82B
+BLOCK_TOKENS = 1 << 20
 
 
 def held_out(doc_id: Column, remainder: int = 1) -> Column:
@@ -54,289 +72,321 @@ def held_out(doc_id: Column, remainder: int = 1) -> Column:
 
 
 def sequences(column) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes with an end after each text's words, and each text's first token (n + 1 entries)."""
+    """Token hashes with an end before and after each text's words, and where each text starts (n + 1 entries)."""
     words, first = tokens(column, lower=True)
     n = len(first) - 1
-    starts = first + np.arange(n + 1)
-    out = np.full(len(words) + n, END, np.uint64)
+    starts = first + 2 * np.arange(n + 1)
+    out = np.full(len(words) + 2 * n, END, np.uint64)
     is_word = np.ones(len(out), bool)
+    is_word[starts[:-1]] = False
     is_word[starts[1:] - 1] = False
     out[is_word] = words
     return out, starts
 
 
-@dataclass
-class Model:
-    total: int  # N
-    kinds: int  # V
-    unknown: float
-    words: np.ndarray  # hashes of listed words
-    counts: np.ndarray
-    contexts: list[np.ndarray] = field(default_factory=list)  # for each depth, prefix context << SHIFT | word
-    state: list[np.ndarray] = field(default_factory=list)  # for each depth, the state of each context, or -1
-    rest: np.ndarray = field(default_factory=lambda: np.ones(1))  # by state; the root is 0
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # state << SHIFT | word
-    masses: np.ndarray = field(default_factory=lambda: np.zeros(0))
+def grams(hashes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For k = 1..most, a key of the k tokens that end at each place (of no use where the text has fewer)."""
+    out = [hashes]
+    for _ in range(1, most):
+        longer = hashes.copy()
+        longer[1:] = mix(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] + np.uint64(0x632BE59BD9B4E019))
+        out.append(longer)
+    return out
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
-    def index(self) -> None:
-        self._words = HashTable(self.words)
-        self._contexts = [HashTable(c.astype(np.uint64) + np.uint64(1)) for c in self.contexts]
-        self._entries = HashTable(self.entries)
-
-    def root(self, count):
-        return (1 - self.unknown) * count / max(1, self.total)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        return self._words.find(hashes)
-
-    def contexts_of(self, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """For each depth, the context before each token, or -1."""
-        n = len(ids)
-        before = np.empty(n, np.int64)
-        if n:
-            before[1:] = ids[:-1]
-            before[starts[:-1]] = self._words.find(np.array([END], np.uint64))[0]
-        out: list[np.ndarray] = []
-        for depth, table in enumerate(self._contexts):
-            if depth == 0:
-                prefix = np.zeros(n, np.int64)
-                use = np.flatnonzero(before >= 0)
-            else:
-                prefix = np.full(n, -1, np.int64)
-                prefix[1:] = out[-1][:-1]
-                prefix[starts[:-1]] = -1
-                use = np.flatnonzero((prefix >= 0) & (out[-1] >= 0))
-            found = np.full(n, -1, np.int64)
-            found[use] = table.find(((prefix[use] << SHIFT | before[use]) + 1).astype(np.uint64))
-            out.append(found)
-        return out
-
-    def states_of(self, contexts: list[np.ndarray], n: int) -> np.ndarray:
-        """The state of the longest suffix kept; 0 is the root."""
-        out = np.zeros(n, np.int64)
-        for found, state in zip(contexts, self.state, strict=False):
-            use = np.flatnonzero(found >= 0)
-            kept = state[found[use]]
-            out[use[kept >= 0]] = kept[kept >= 0]
-        return out
-
-    def explicit(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        at = self._entries.find((states << SHIFT | ids).astype(np.uint64))
-        return np.where(at >= 0, self.masses[at] if len(self.masses) else 0.0, 0.0)
-
-    def mass(self, states: np.ndarray, ids: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """P(word ids | state); for words not listed (-1) give root = 1 to get the factor on it."""
-        total, factor, states = np.zeros(len(states)), np.ones(len(states)), states.copy()
-        left = np.flatnonzero(states > 0)
-        while len(left):
-            s = states[left]
-            listed = ids[left] >= 0
-            got = np.zeros(len(left))
-            got[listed] = self.explicit(s[listed], ids[left][listed])
-            total[left] += factor[left] * got
-            factor[left] *= self.rest[s]
-            states[left] = self.parent[s]
-            left = left[states[left] > 0]
-        return total + factor * root
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def places(n: int, starts: np.ndarray) -> np.ndarray:
+    """How many tokens of its text, the leading end among them, come before each place."""
+    return np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, make, close) -> Iterator[pa.RecordBatch]:
+    """Gather make(texts), a tuple of arrays, up to BLOCK_TOKENS entries and hand them to close as one."""
     held, size = [], 0
-    for batch in small_batches(batches, 0):
-        h, _ = sequences(batch.column(0))
-        held.append(h)
-        size += len(h)
+    for batch in small_batches(batches, column):
+        held.append(make(batch.column(column)))
+        size += len(held[-1][0])
         if size > BLOCK_TOKENS:
-            yield _counted(held, ["h", "c"])
+            yield from cut_batch(close(*(np.concatenate(x) for x in zip(*held, strict=True))))
             held, size = [], 0
     if held:
-        yield _counted(held, ["h", "c"])
+        yield from cut_batch(close(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
 
+def _counts(order: int, known):
+    """key, c of the sequences of ``order`` tokens, for each block; known: a filter that all but their last token must pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(texts):
+            hashes, starts = sequences(texts)
+            keys = grams(hashes, order)
+            use = np.flatnonzero(places(len(hashes), starts) >= max(1, order - 1))
+            if known is not None:
+                use = use[known.value.has(keys[order - 2][use - 1])]
+            return (keys[order - 1][use],)
+
+        def close(keys):
+            found, c = np.unique(keys, return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(found), pa.array(c)], ["key", "c"])
+
+        yield from _blocks(batches, 0, make, close)
+
+    return run
 
-def _counted(held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
+def _related(most: int, listed):
+    """key, prefix, suffix of the sequences of 2..most tokens that pass the filter, once for each block."""
 
-def _next_counts(model_of, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = model_of.value
-        model.index()
-        held, size = [], 0
-        for batch in small_batches(batches, 0):
-            hashes, starts = sequences(batch.column(0))
-            ids = model.numbers(hashes)
-            context = model.contexts_of(ids, starts)[depth]
-            use = context >= 0
-            held.append(context[use] << SHIFT | (ids[use] + 1))  # 0: a word that is not listed
-            size += len(held[-1])
-            if size > BLOCK_TOKENS:
-                yield _counted(held, ["k", "c"])
-                held, size = [], 0
-        if held:
-            yield _counted(held, ["k", "c"])
+        def make(texts):
+            hashes, starts = sequences(texts)
+            keys, before = grams(hashes, most), places(len(hashes), starts)
+            out = []
+            for k in range(2, most + 1):
+                use = np.flatnonzero(before >= k - 1)
+                use = use[listed.value.has(keys[k - 1][use])]
+                out.append((keys[k - 1][use], keys[k - 2][use - 1], keys[k - 2][use]))
+            key, prefix, suffix = (np.concatenate(x) for x in zip(*out, strict=True))
+            return _once(key, prefix, suffix)
+
+        def close(key, prefix, suffix):
+            return pa.RecordBatch.from_arrays([_signed(x) for x in _once(key, prefix, suffix)], ["key", "prefix", "suffix"])
+
+        yield from _blocks(batches, 0, make, close)
 
     return run
 
 
-def _arrays(df: DataFrame) -> list[np.ndarray]:
-    got = df.toArrow()
-    return [c.to_numpy() for c in got.columns]
+def _once(key, *rest):
+    key, at = np.unique(key, return_index=True)
+    return key, *(x[at] for x in rest)
 
 
-def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> tuple[Model, DataFrame]:
-    """The model of texts(text), and the full counts (h, c) of its tokens."""
-    spark = texts.sparkSession
-    words = scratch.keep(texts.select("text").mapInArrow(_word_counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "words")
+@dataclass
+class Tree:
+    """total N, kinds V, unknown mass; words(key, c); terms(key, c, value): what to add, in log10, where a key is found."""
+
+    total: int
+    kinds: int
+    unknown: float
+    words: DataFrame
+    terms: DataFrame
+
+
+def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
+    """The tree of texts(text)."""
+    context = texts.sparkSession.sparkContext
+    texts = texts.select("text")
+
+    def counted(order: int, known, least: int, name: str) -> DataFrame:
+        found = texts.mapInArrow(_counts(order, known), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+        return scratch.keep(found.where(F.col("c") >= least), name)
+
+    words = counted(1, None, 1, "words")
     total, kinds, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     unknown = 1.0 if total == 0 else min(0.5, (once + 0.5) / (total + 1))
-    least = max(LEAST_WORD, math.ceil(WORD_SHARE * total))
-    h, c = _arrays(words.where(F.col("c") >= least))  # at most 1 / WORD_SHARE rows
-    model = Model(total, kinds, unknown, h.astype(np.int64).view(np.uint64), c.astype(np.int64))
-    model.index()
-    for d in range(depth):
-        _grow(model, texts, d, spark, scratch)
-    return model, words
-
-
-def _grow(model: Model, texts: DataFrame, d: int, spark, scratch: Scratch) -> None:
-    """Add the contexts of d + 1 words, and the states among them."""
-    least = max(LEAST_STATE, math.ceil(STATE_SHARE * model.total))
-    if d == 0:
-        keys = np.flatnonzero(model.counts >= least)
-    else:
-        k, c = model._last
-        word = (k & ((1 << SHIFT) - 1)) - 1
-        end = model.numbers(np.array([END], np.uint64))[0]
-        good = (c >= least) & (word >= 0) & (word != end)
-        keys = np.sort((k[good] >> SHIFT) << SHIFT | word[good])
-    model.contexts.append(keys.astype(np.int64))
-    model.state.append(np.full(len(keys), -1, np.int64))
-    model.index()
-    if not len(keys):
-        model._last = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return
-    shared = spark.sparkContext.broadcast(model)
-    pairs = texts.select("text").mapInArrow(_next_counts(shared, d), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-    pairs = scratch.keep(pairs, f"pairs{d}")
-    n_of, n = _arrays(pairs.groupBy(F.shiftright("k", SHIFT).alias("s")).agg(F.sum("c")))  # a row for each context
-    seen = np.zeros(len(keys))
-    seen[n_of] = n
-    k, c = _arrays(pairs.where(F.col("c") >= max(LEAST_ENTRY, math.ceil(ENTRY_SHARE * model.total))))  # at most 1 / ENTRY_SHARE rows
-    scratch.drop(f"pairs{d}")
-    k, c = k.astype(np.int64), c.astype(np.int64)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    model._last = (k, c)
-    context, word = k >> SHIFT, (k & ((1 << SHIFT) - 1)) - 1
-    listed = word >= 0
-    context, word, count = context[listed], word[listed], c[listed].astype(float)
-    share = np.maximum(count - DISCOUNT, 0) / seen[context]
-    rest = 1 - np.bincount(context, share, len(keys))
-    # The longest suffix kept before: drop the first word, for each context.
-    suffix = _suffix_states(model, d, keys)
-    below = model.mass(suffix[context], word, model.root(model.counts[word]))
-    gain = np.bincount(context, count * np.log((share + rest[context] * below) / np.maximum(below, 1e-300)), len(keys))
-    unlisted = seen - np.bincount(context, count, len(keys))
-    gain += unlisted * np.log(np.maximum(rest, 1e-12))
-    keep = (seen > 0) & (gain > DIVERGENCE * seen)
-    number = np.cumsum(keep) - 1 + len(model.rest)
-    model.state[d] = np.where(keep, number, -1)
-    model.rest = np.concatenate([model.rest, np.clip(rest[keep], 1e-12, 1)])
-    model.parent = np.concatenate([model.parent, suffix[keep]])
-    use = keep[context]
-    model.entries = np.concatenate([model.entries, (model.state[d][context[use]] << SHIFT | word[use]).astype(np.uint64)])
-    model.masses = np.concatenate([model.masses, share[use]])
-    last = model._last
-    model.index()
-    model._last = last
-    shared.unpersist()
-
-
-def _suffix_states(model: Model, d: int, keys: np.ndarray) -> np.ndarray:
-    """The state of the longest kept proper suffix of each context of d + 1 words."""
-    if d == 0:
-        return np.zeros(len(keys), np.int64)
-    columns = []
-    at, level = keys, d
-    while True:
-        columns.append(at & ((1 << SHIFT) - 1))
-        if level == 0:
+    listed = [words]
+    for d in range(1, depth + 1):
+        with Shared(context, Bits.of(listed[-1].where(F.col("c") >= LEAST_STATE))) as known:
+            listed.append(counted(d + 1, known, LEAST_ENTRY, f"listed{d}"))
+    every = listed[1].withColumn("d", F.lit(1)) if depth else None
+    for d in range(2, depth + 1):
+        every = every.unionByName(listed[d].withColumn("d", F.lit(d)))
+    terms = []
+    if every is not None:
+        with Shared(context, Bits.of(every)) as bits:
+            related = texts.mapInArrow(_related(depth + 1, bits), "key bigint, prefix bigint, suffix bigint").groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
+            entries = scratch.keep(every.join(related, "key"), "entries")
+    root = F.log((1 - unknown) / max(1, total) * F.col("c"))
+    shorter = words.select(F.col("key").alias("suffix"), root.alias("below"))
+    for d in range(1, depth + 1):
+        level = scratch.keep(_level(entries.where(F.col("d") == d), listed[d - 1], shorter), f"level{d}")
+        weighed = scratch.keep(_states(level), f"states{d}")
+        grown = level.join(weighed, "prefix", "left")
+        inside = F.log(F.col("share") + F.col("rest") * F.exp("below"))
+        grown = grown.withColumn("own", F.when(F.col("rest").isNotNull(), inside))
+        ten = float(np.log(10))
+        terms.append(grown.where("own IS NOT NULL").select("key", "c", ((F.col("own") - F.log("rest") - F.col("below")) / ten).alias("value")))
+        terms.append(weighed.select(F.col("prefix").bitwiseXOR(F.lit(STATE_KEY)).alias("key"), F.col("n").alias("c"), F.log10("rest").alias("value")))
+        shorter = grown.select(F.col("key").alias("suffix"), F.coalesce("own", "below").alias("below"))
+    made = terms[0] if terms else words.select("key", "c", F.lit(0.0).alias("value")).limit(0)
+    for t in terms[1:]:
+        made = made.unionByName(t)
+    made = scratch.keep(made, "terms")
+    for d in range(1, depth + 1):
+        for name in ("listed", "level", "states"):
+            scratch.drop(f"{name}{d}")
+    if depth:
+        scratch.drop("entries")
+    return Tree(total, kinds, unknown, words, made)
+
+
+def _level(entries: DataFrame, contexts: DataFrame, shorter: DataFrame) -> DataFrame:
+    """key, prefix, c, n, share, below of the nexts listed for contexts of one length.
+
+    below is log P(x | longest kept proper suffix). The same next of the context
+    without its first word was seen at least as often, so its row in ``shorter`` exists.
+    """
+    frequent = contexts.where(F.col("c") >= LEAST_STATE).select(F.col("key").alias("prefix"), F.col("c").alias("n"))
+    return entries.join(frequent, "prefix").join(shorter, "suffix").select("key", "prefix", "c", "n", ((F.col("c") - DISCOUNT) / F.col("n")).alias("share"), "below")
+
+
+def _states(level: DataFrame) -> DataFrame:
+    """prefix, n, rest of the contexts that diverge enough."""
+    sums = level.groupBy("prefix").agg(F.first("n").alias("n"), F.sum("c").alias("seen"), F.count(F.lit(1)).alias("k"))
+    sums = sums.select("prefix", "n", "seen", ((F.col("n") - F.col("seen") + DISCOUNT * F.col("k")) / F.col("n")).alias("rest"))
+    gain = F.col("c") * (F.log(F.col("share") + F.col("rest") * F.exp("below")) - F.col("below"))
+    gains = level.select("prefix", "c", "share", "below").join(sums.select("prefix", "rest"), "prefix").groupBy("prefix").agg(F.sum(gain).alias("gain"))
+    keep = F.col("gain") + (F.col("n") - F.col("seen")) * F.log("rest") > DIVERGENCE * F.col("n")
+    return sums.join(gains, "prefix").where(keep).select("prefix", "n", "rest")
+
+
+class Shared:
+    """A broadcast value that is gone from driver, executors and workers at the end of the block."""
+
+    def __init__(self, context: SparkContext, value):
+        self.shared = context.broadcast(value)
+
+    def __enter__(self):
+        return self.shared
+
+    def __exit__(self, *_):
+        self.shared.destroy()
+
+
+def head(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows seen most, by steps of a quarter of a power of two and at most ``most`` of them; and the others."""
+    step = F.floor(F.log2("c") * 4)
+    left, least = most, 1 << 20
+    for r in sorted(table.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most 256 rows
+        left -= r["count"]
+        if left < 0:
             break
-        at, level = model.contexts[level - 1][at >> SHIFT], level - 1
-    words = columns[::-1]  # first to last
-    out = np.zeros(len(keys), np.int64)
-    for length in range(1, d + 1):
-        found = np.zeros(len(keys), np.int64)
-        for i, word in enumerate(words[-length:]):
-            good = found >= 0
-            found = np.where(good, model._contexts[i].find((np.where(good, found, 0) << SHIFT | word).astype(np.uint64) + np.uint64(1)), -1)
-        kept = np.where(found >= 0, model.state[length - 1][np.maximum(found, 0)], -1)
-        out = np.where(kept >= 0, kept, out)
-    return out
+        least = r["s"]
+    return table.where(step >= least), table.where(step < least)
+
+
+@dataclass
+class Head:
+    """What is looked up in place, and the filter of the terms that are not."""
 
+    total: int
+    kinds: int
+    unknown: float
+    words: np.ndarray
+    counts: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+    others: Bits
+    depth: int
+    _tables: list = field(default_factory=list)
 
-def _score(model_of):
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": []}
+
+    def tables(self) -> list[HashTable]:
+        if not self._tables:
+            self._tables = [HashTable(self.words), HashTable(self.keys)]
+        return self._tables
+
+
+def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> Head:
+    arrays = lambda df: [c.to_numpy() for c in df.toArrow().columns]
+    w, c = arrays(head(tree.words, words)[0])
+    top, others = head(tree.terms, terms)
+    k, v = arrays(top.select("key", "value"))
+    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(others), depth)
+
+
+SCORED = "held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, far array<bigint>"
+
+
+def _sums(of: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    return np.bincount(of, values, count).astype(float)  # of no values it would be whole numbers
+
+
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = model_of.value
-        model.index()
-        space = model.total + 0.5 * (model.kinds + 1)
+        h: Head = shared.value
+        words, terms = h.tables()
+        space = h.total + 0.5 * (h.kinds + 1)
         for batch in small_batches(batches, 1):
             hashes, starts = sequences(batch.column(1))
-            ids = model.numbers(hashes)
-            states = model.states_of(model.contexts_of(ids, starts), len(ids))
-            listed = ids >= 0
-            count = np.where(listed, model.counts[ids] if len(model.counts) else 0, 0)
-            mass = model.mass(states, ids, np.where(listed, model.root(count), 1.0))
-            score = np.add.reduceat(np.log10(mass), starts[:-1])
-            base = np.add.reduceat(np.where(listed, np.log10((count + 0.5) / space), 0.0), starts[:-1])
-            known = np.add.reduceat(listed.astype(np.int64), starts[:-1])
-            rare = np.flatnonzero(~listed)
-            bounds = np.searchsorted(rare, starts).astype(np.int32)
+            n, count = len(hashes), batch.num_rows
+            before = places(n, starts)
+            text = np.repeat(np.arange(count), np.diff(starts))
+            token = np.flatnonzero(before > 0)
+            at = words.find(hashes[token])
+            listed, rare = token[at >= 0], token[at < 0]
+            c = h.counts[at[at >= 0]]
+            known = np.bincount(text[listed], minlength=count)
+            base = _sums(text[listed], np.log10((c + 0.5) / space), count)
+            score = _sums(text[listed], np.log10((1 - h.unknown) / max(1, h.total) * c), count)
+            keys, far = grams(hashes, h.depth + 1), []
+
+            def look(of: np.ndarray, sought: np.ndarray) -> np.ndarray:
+                """Adds the values found for the texts ``of``; which keys were found or may be terms elsewhere."""
+                nonlocal score
+                at = terms.find(sought)
+                hit, miss = at >= 0, np.flatnonzero(at < 0)
+                score += _sums(of[hit], h.values[at[hit]], count)
+                miss = miss[h.others.has(sought[miss])]
+                far.append((of[miss], sought[miss]))
+                hit[miss] = True
+                return hit
+
+            for d in range(1, h.depth + 1):
+                use = np.flatnonzero(before >= d)
+                use = use[look(text[use], keys[d - 1][use - 1] ^ np.uint64(STATE_KEY))]
+                look(text[use], keys[d][use])
+            of, sought = (np.concatenate(x) for x in zip(*far, strict=True)) if far else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            order = np.argsort(of, kind="stable")
+            bounds = lambda owner: pa.array(np.searchsorted(owner, np.arange(count + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(2), pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[rare].view(np.int64))),
+                    batch.column(0), batch.column(2), pa.array(np.diff(starts) - 1), pa.array(known), pa.array(base), pa.array(score),
+                    pa.ListArray.from_arrays(bounds(text[rare]), _signed(hashes[rare])),
+                    pa.ListArray.from_arrays(bounds(of[order]), _signed(sought[order])),
                 ],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "far"],
             )
 
     return run
 
 
-def score_documents(docs: DataFrame, remainder: int = 1, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+def score_documents(docs: DataFrame, remainder: int = 1, depth: int = DEPTH, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+
+    It learns from the rows whose remainder is another. The result reads tables in
+    the shared folder, which are left there for it.
+    """
     scratch = Scratch(docs.sparkSession, "suffix-tree")
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), remainder).alias("held_out"))
-    model, words = learn(rows.where("NOT held_out").select("text"), scratch, depth)
+    tree = learn(rows.where("NOT held_out"), scratch, depth)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(
-        _score(docs.sparkSession.sparkContext.broadcast(model)),
-        f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>",
-    )
-    scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
-    space = model.total + 0.5 * (model.kinds + 1)
+    with Shared(docs.sparkSession.sparkContext, _head(tree, depth, words, terms)) as shared:
+        scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, {SCORED}")
+        scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
+    space, mass = tree.total + 0.5 * (tree.kinds + 1), (1 - tree.unknown) / max(1, tree.total)
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = (
-        scored.select("row", F.explode("rare").alias("h"))
-        .join(words, "h", "left")
-        .groupBy("row")
-        .agg(
-            F.count("c").alias("_known"),
-            F.sum(F.log10((c + 0.5) / F.lit(space))).alias("_base"),
-            F.sum(F.log10(F.when(c > 0, F.lit((1 - model.unknown) / max(1, model.total)) * c).otherwise(F.lit(model.unknown)))).alias("_score"),
-        )
+        scored.select("row", F.explode("rare").alias("key"))
+        .join(tree.words, "key", "left")
+        .select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((c + 0.5) / F.lit(space)).alias("base"), F.log10(F.when(c > 0, F.lit(mass) * c).otherwise(F.lit(tree.unknown))).alias("score"))
     )
-    return scored.join(rare, "row", "left").select(
+    far = scored.select("row", F.explode("far").alias("key")).join(tree.terms, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
+    more = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")])
+    more = more.unionByName(far.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")]))
+    more = scored.select("row", "known", "base", "score").unionByName(more).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")])
+    return scored.select("row", "doc_id", "held_out", "n_tokens").join(more, "row").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(tree.total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -37,22 +37,85 @@ def test_suffix_tree_counts_and_base(spark):
     assert got == want
 
 
-def test_suffix_tree_is_a_distribution_and_learns(spark):
+class BruteTree:
+    """The same tree with dictionaries of word tuples."""
+
+    def __init__(self, texts, depth, least_state, least_entry):
+        self.depth, self.unigrams, self.nexts = depth, Counter(), {}
+        for ws in texts:
+            padded = [b" end", *ws]
+            for i in range(1, len(padded)):
+                self.unigrams[padded[i]] += 1
+                for d in range(1, min(i, depth) + 1):
+                    self.nexts.setdefault(tuple(padded[i - d : i]), Counter())[padded[i]] += 1
+        self.total = sum(self.unigrams.values())
+        once = sum(c == 1 for c in self.unigrams.values())
+        self.unknown = min(0.5, (once + 0.5) / (self.total + 1)) if self.total else 1.0
+        self.states: dict[tuple, tuple[dict, float]] = {}
+        for d in range(1, depth + 1):
+            kept = {}
+            for s, seen in self.nexts.items():
+                n = sum(seen.values())
+                if len(s) != d or n < least_state:
+                    continue
+                share = {x: (c - suffix_tree.DISCOUNT) / n for x, c in seen.items() if c >= least_entry}
+                rest = 1 - sum(share.values())
+                below = {x: self.p(x, s[1:]) for x in share}
+                gain = sum(seen[x] * math.log((share[x] + rest * below[x]) / below[x]) for x in share)
+                gain += (n - sum(seen[x] for x in share)) * math.log(rest)
+                if gain > suffix_tree.DIVERGENCE * n:
+                    kept[s] = (share, rest)
+            self.states |= kept
+
+    def p(self, x, context):
+        while context and context not in self.states:
+            context = context[1:]
+        if not context:
+            return (1 - self.unknown) * self.unigrams[x] / self.total if self.unigrams[x] else self.unknown
+        share, rest = self.states[context]
+        return share.get(x, 0.0) + rest * self.p(x, context[1:])
+
+    def score(self, ws):
+        padded = [b" end", *ws]
+        return sum(math.log10(self.p(padded[i], tuple(padded[max(0, i - self.depth) : i]))) for i in range(1, len(padded)))
+
+
+@pytest.mark.parametrize(("words_in_place", "terms_in_place"), [(1 << 18, 1 << 19), (6, 9), (0, 0)])
+def test_suffix_tree_against_a_tree_of_dictionaries(spark, monkeypatch, words_in_place, terms_in_place):
+    monkeypatch.setattr(suffix_tree, "LEAST_STATE", 5)
+    monkeypatch.setattr(suffix_tree, "LEAST_ENTRY", 2)
+    rows = texts()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    tree = BruteTree([[*words(t, True), b" end"] for i, t, _ in rows if not held(i)], 3, 5, 2)
+    assert {len(s) for s in tree.states} == {1, 2, 3}
+    want = sorted((str(i), round(tree.score([*words(t, True), b" end"]), 6)) for i, t, _ in rows)
+    got = suffix_tree.score_documents(documents(spark), words=words_in_place, terms=terms_in_place)
+    got = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in rows_of(got))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(x - y) for (_, x), (_, y) in zip(got, want, strict=True)) < 1e-5
+    for s in list(tree.states)[:50]:  # a distribution
+        assert abs(sum(tree.p(x, s) for x in tree.unigrams) + tree.p(None, s) - 1) < 1e-9
+
+
+def test_suffix_tree_learns(spark):
     text = " ".join(["a b c d"] * 60)
-    rows = [(i, text if i % 2 else text.replace("c", "e"), "s") for i in range(60)]
-    docs = documents(spark, rows)
-    scratch = Scratch(spark, "test")
-    model, _ = suffix_tree.learn(docs.select("text"), scratch)
-    assert len(model.rest) > 1
-    ids = np.arange(len(model.words))
-    for state in range(len(model.rest)):
-        total = model.mass(np.full(len(ids), state), ids, model.root(model.counts)).sum()
-        total += model.mass(np.array([state]), np.array([-1]), np.array([model.unknown]))[0]
-        assert abs(total - 1) < 1e-9
+    docs = documents(spark, [(i, text if i % 2 else text.replace("c", "e"), "s") for i in range(60)])
     for r in rows_of(suffix_tree.score_documents(docs)):
         assert r["score"] > r["base_score"]
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """What one part of a corpus has taught stays when other texts join it."""
+    phrase = "alpha beta gamma delta"
+    few = [(i, phrase, "s") for i in range(200)]
+    more = [(1000 + i, " ".join(f"x{i}y{j}" for j in range(60)), "s") for i in range(1000)]
+    sizes = []
+    for rows in (few, few + more):
+        tree = suffix_tree.learn(documents(spark, rows), Scratch(spark, "test"))
+        sizes.append(tree.terms.where("c = 200").count())
+    assert sizes[0] == sizes[1] > 0
+
+
 @pytest.mark.parametrize("rows", [[], [(3, None, None)], [(2, "all held", "s")]])
 def test_suffix_tree_small(spark, rows):
     got = rows_of(suffix_tree.score_documents(documents(spark, rows)))
