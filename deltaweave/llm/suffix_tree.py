@@ -18,8 +18,10 @@ All thresholds are counts, so what is kept of a text does not shrink as the
 corpus grows, and the tree is a table that grows with the corpus. It is learned
 with joins and never gathered. What tasks get of it:
 
-* filters of a fixed 16 MB that let through every context or next of the tables
-  (and a few more, which the joins that follow leave out);
+* filters of a fixed 16 MB that let through every key of a table (and a few more,
+  which the joins that follow leave out): a sequence is counted only if that
+  without its last token may be a context and that without its first was listed,
+  since it cannot be seen more often than either;
 * the HEAD_WORDS words and HEAD_TERMS terms seen most, which are looked up in
   place. All others are looked up by a join; where the cut lies does not change
   a result.
@@ -56,10 +58,10 @@ from ._store import Scratch
 from ._text import Bits, HashTable, cut_batch, hash_text, mix, small_batches, tokens
 
 DEPTH = 3
-LEAST_STATE, LEAST_ENTRY = 50, 4
+LEAST_STATE, LEAST_ENTRY = 50, 8
 DISCOUNT, DIVERGENCE = 0.5, 0.02
 #: What is looked up in place: memory only, never a result.
-HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 19
+HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
 #: The end holds a space, which no word does.
 END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
@@ -89,11 +91,16 @@ def grams(hashes: np.ndarray, most: int) -> list[np.ndarray]:
     out = [hashes]
     for _ in range(1, most):
         longer = hashes.copy()
-        longer[1:] = mix(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] + np.uint64(0x632BE59BD9B4E019))
+        longer[1:] = joined(out[-1][:-1], hashes[1:])
         out.append(longer)
     return out
 
 
+def joined(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a sequence and one token more."""
+    return mix(prefix * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(0x632BE59BD9B4E019))
+
+
 def places(n: int, starts: np.ndarray) -> np.ndarray:
     """How many tokens of its text, the leading end among them, come before each place."""
     return np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
@@ -116,53 +123,47 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _counts(order: int, known):
-    """key, c of the sequences of ``order`` tokens, for each block; known: a filter that all but their last token must pass."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, c of the tokens, for each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(texts):
-            hashes, starts = sequences(texts)
-            keys = grams(hashes, order)
-            use = np.flatnonzero(places(len(hashes), starts) >= max(1, order - 1))
-            if known is not None:
-                use = use[known.value.has(keys[order - 2][use - 1])]
-            return (keys[order - 1][use],)
+    def make(texts):
+        hashes, starts = sequences(texts)
+        return (hashes[places(len(hashes), starts) > 0],)
 
-        def close(keys):
-            found, c = np.unique(keys, return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(found), pa.array(c)], ["key", "c"])
+    def close(keys):
+        found, c = np.unique(keys, return_counts=True)
+        return pa.RecordBatch.from_arrays([_signed(found), pa.array(c)], ["key", "c"])
 
-        yield from _blocks(batches, 0, make, close)
-
-    return run
+    yield from _blocks(batches, 0, make, close)
 
 
-def _related(most: int, listed):
-    """key, prefix, suffix of the sequences of 2..most tokens that pass the filter, once for each block."""
+def _next_counts(d: int, contexts, listed):
+    """prefix, word, c of contexts of d tokens and what follows them, for each block; both filters must be passed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(texts):
             hashes, starts = sequences(texts)
-            keys, before = grams(hashes, most), places(len(hashes), starts)
-            out = []
-            for k in range(2, most + 1):
-                use = np.flatnonzero(before >= k - 1)
-                use = use[listed.value.has(keys[k - 1][use])]
-                out.append((keys[k - 1][use], keys[k - 2][use - 1], keys[k - 2][use]))
-            key, prefix, suffix = (np.concatenate(x) for x in zip(*out, strict=True))
-            return _once(key, prefix, suffix)
-
-        def close(key, prefix, suffix):
-            return pa.RecordBatch.from_arrays([_signed(x) for x in _once(key, prefix, suffix)], ["key", "prefix", "suffix"])
+            keys = grams(hashes, d)[-1]
+            use = np.flatnonzero(places(len(hashes), starts) >= d)
+            use = use[listed.value.has(keys[use])]
+            use = use[contexts.value.has(keys[use - 1])]
+            return keys[use - 1], hashes[use]
+
+        def close(prefix, word):
+            _, at, c = np.unique(joined(prefix, word), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(prefix[at]), _signed(word[at]), pa.array(c)], ["prefix", "word", "c"])
 
         yield from _blocks(batches, 0, make, close)
 
     return run
 
 
-def _once(key, *rest):
-    key, at = np.unique(key, return_index=True)
-    return key, *(x[at] for x in rest)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Makes the keys of prefix + word and, for the sequence without its first token, of suffix + word (null: word alone)."""
+    for batch in batches:
+        prefix, word, suffix = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+        shorter = np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), word, joined(suffix, word))
+        yield pa.RecordBatch.from_arrays([_signed(joined(prefix, word)), batch.column(0), _signed(shorter), batch.column(3), batch.column(4)], ["key", "prefix", "suffix", "c", "n"])
 
 
 @dataclass
@@ -181,29 +182,20 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
     context = texts.sparkSession.sparkContext
     texts = texts.select("text")
 
-    def counted(order: int, known, least: int, name: str) -> DataFrame:
-        found = texts.mapInArrow(_counts(order, known), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-        return scratch.keep(found.where(F.col("c") >= least), name)
-
-    words = counted(1, None, 1, "words")
+    words = scratch.keep(texts.mapInArrow(_word_counts, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "words")
     total, kinds, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     unknown = 1.0 if total == 0 else min(0.5, (once + 0.5) / (total + 1))
-    listed = [words]
-    for d in range(1, depth + 1):
-        with Shared(context, Bits.of(listed[-1].where(F.col("c") >= LEAST_STATE))) as known:
-            listed.append(counted(d + 1, known, LEAST_ENTRY, f"listed{d}"))
-    every = listed[1].withColumn("d", F.lit(1)) if depth else None
-    for d in range(2, depth + 1):
-        every = every.unionByName(listed[d].withColumn("d", F.lit(d)))
-    terms = []
-    if every is not None:
-        with Shared(context, Bits.of(every)) as bits:
-            related = texts.mapInArrow(_related(depth + 1, bits), "key bigint, prefix bigint, suffix bigint").groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"))
-            entries = scratch.keep(every.join(related, "key"), "entries")
     root = F.log((1 - unknown) / max(1, total) * F.col("c"))
-    shorter = words.select(F.col("key").alias("suffix"), root.alias("below"))
+    shorter = words.where(F.col("c") >= LEAST_ENTRY).select(F.col("key").alias("suffix"), root.alias("below"))
+    listed, terms = words.withColumn("suffix", F.lit(None).cast("long")), []
     for d in range(1, depth + 1):
-        level = scratch.keep(_level(entries.where(F.col("d") == d), listed[d - 1], shorter), f"level{d}")
+        frequent = listed.where(F.col("c") >= LEAST_STATE).select(F.col("key").alias("prefix"), "suffix", F.col("c").alias("n"))
+        with Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_STATE))) as contexts, Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_ENTRY))) as some:
+            counted = texts.mapInArrow(_next_counts(d, contexts, some), "prefix bigint, word bigint, c bigint").groupBy("prefix", "word").agg(F.sum("c").alias("c"))
+            counted = scratch.keep(counted.where(F.col("c") >= LEAST_ENTRY), f"counted{d}")
+        made = counted.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")
+        listed = scratch.keep(made, f"listed{d}")
+        level = scratch.keep(_level(listed, shorter), f"level{d}")
         weighed = scratch.keep(_states(level), f"states{d}")
         grown = level.join(weighed, "prefix", "left")
         inside = F.log(F.col("share") + F.col("rest") * F.exp("below"))
@@ -217,21 +209,18 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
         made = made.unionByName(t)
     made = scratch.keep(made, "terms")
     for d in range(1, depth + 1):
-        for name in ("listed", "level", "states"):
+        for name in ("counted", "listed", "level", "states"):
             scratch.drop(f"{name}{d}")
-    if depth:
-        scratch.drop("entries")
     return Tree(total, kinds, unknown, words, made)
 
 
-def _level(entries: DataFrame, contexts: DataFrame, shorter: DataFrame) -> DataFrame:
+def _level(listed: DataFrame, shorter: DataFrame) -> DataFrame:
     """key, prefix, c, n, share, below of the nexts listed for contexts of one length.
 
     below is log P(x | longest kept proper suffix). The same next of the context
     without its first word was seen at least as often, so its row in ``shorter`` exists.
     """
-    frequent = contexts.where(F.col("c") >= LEAST_STATE).select(F.col("key").alias("prefix"), F.col("c").alias("n"))
-    return entries.join(frequent, "prefix").join(shorter, "suffix").select("key", "prefix", "c", "n", ((F.col("c") - DISCOUNT) / F.col("n")).alias("share"), "below")
+    return listed.join(shorter, "suffix").select("key", "prefix", "c", "n", ((F.col("c") - DISCOUNT) / F.col("n")).alias("share"), "below")
 
 
 def _states(level: DataFrame) -> DataFrame:
