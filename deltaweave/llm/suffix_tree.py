@@ -67,6 +67,8 @@ END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
 STATE_KEY = 0x3C6EF372FE94F82B
 BLOCK_TOKENS = 1 << 20
+#: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
+PARTS = 2
 
 
 def held_out(doc_id: Column, remainder: int = 1) -> Column:
@@ -137,20 +139,24 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _blocks(batches, 0, make, close)
 
 
-def _next_counts(d: int, contexts, listed):
-    """prefix, word, c of contexts of d tokens and what follows them, for each block; both filters must be passed."""
+def _next_counts(d: int, contexts, listed, part: int, parts: int):
+    """prefix, word, c of contexts of d tokens and what follows them, for each block and one part of the next words; both filters must be passed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(texts):
             hashes, starts = sequences(texts)
             keys = grams(hashes, d)[-1]
             use = np.flatnonzero(places(len(hashes), starts) >= d)
+            use = use[hashes[use] % np.uint64(parts) == part]
             use = use[listed.value.has(keys[use])]
             use = use[contexts.value.has(keys[use - 1])]
             return keys[use - 1], hashes[use]
 
         def close(prefix, word):
-            _, at, c = np.unique(joined(prefix, word), return_index=True, return_counts=True)
+            key = joined(prefix, word)
+            order = np.argsort(key)
+            new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else order
+            at, c = order[new], np.diff(np.append(new, len(key)))
             return pa.RecordBatch.from_arrays([_signed(prefix[at]), _signed(word[at]), pa.array(c)], ["prefix", "word", "c"])
 
         yield from _blocks(batches, 0, make, close)
@@ -191,8 +197,11 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
     for d in range(1, depth + 1):
         frequent = listed.where(F.col("c") >= LEAST_STATE).select(F.col("key").alias("prefix"), "suffix", F.col("c").alias("n"))
         with Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_STATE))) as contexts, Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_ENTRY))) as some:
-            counted = texts.mapInArrow(_next_counts(d, contexts, some), "prefix bigint, word bigint, c bigint").groupBy("prefix", "word").agg(F.sum("c").alias("c"))
-            counted = scratch.keep(counted.where(F.col("c") >= LEAST_ENTRY), f"counted{d}")
+            counted = None
+            for part in range(parts := PARTS if d == 1 else 1):
+                nexts = texts.mapInArrow(_next_counts(d, contexts, some, part, parts), "prefix bigint, word bigint, c bigint").groupBy("prefix", "word").agg(F.sum("c").alias("c"))
+                nexts = scratch.keep(nexts.where(F.col("c") >= LEAST_ENTRY), f"counted{d}/part={part}")
+                counted = nexts if counted is None else counted.unionByName(nexts)
         made = counted.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")
         listed = scratch.keep(made, f"listed{d}")
         level = scratch.keep(_level(listed, shorter), f"level{d}")
@@ -246,8 +255,8 @@ class Shared:
         self.shared.destroy()
 
 
-def head(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows seen most, by steps of a quarter of a power of two and at most ``most`` of them; and the others."""
+def head(table: DataFrame, most: int) -> DataFrame:
+    """The rows seen most, by steps of a quarter of a power of two and at most ``most`` of them."""
     step = F.floor(F.log2("c") * 4)
     left, least = most, 1 << 20
     for r in sorted(table.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most 256 rows
@@ -255,12 +264,12 @@ def head(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         if left < 0:
             break
         least = r["s"]
-    return table.where(step >= least), table.where(step < least)
+    return table.where(step >= least)
 
 
 @dataclass
 class Head:
-    """What is looked up in place, and the filter of the terms that are not."""
+    """What is looked up in place, and the filter of all terms."""
 
     total: int
     kinds: int
@@ -269,7 +278,7 @@ class Head:
     counts: np.ndarray
     keys: np.ndarray
     values: np.ndarray
-    others: Bits
+    any: Bits
     depth: int
     _tables: list = field(default_factory=list)
 
@@ -284,10 +293,10 @@ class Head:
 
 def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> Head:
     arrays = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    w, c = arrays(head(tree.words, words)[0])
-    top, others = head(tree.terms, terms)
+    w, c = arrays(head(tree.words, words))
+    top = head(tree.terms, terms)
     k, v = arrays(top.select("key", "value"))
-    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(others), depth)
+    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), depth)
 
 
 SCORED = "held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, far array<bigint>"
@@ -319,13 +328,13 @@ def _score(shared):
             def look(of: np.ndarray, sought: np.ndarray) -> np.ndarray:
                 """Adds the values found for the texts ``of``; which keys were found or may be terms elsewhere."""
                 nonlocal score
+                some = np.flatnonzero(h.any.has(sought))
+                of, sought = of[some], sought[some]
                 at = terms.find(sought)
-                hit, miss = at >= 0, np.flatnonzero(at < 0)
+                hit = at >= 0
                 score += _sums(of[hit], h.values[at[hit]], count)
-                miss = miss[h.others.has(sought[miss])]
-                far.append((of[miss], sought[miss]))
-                hit[miss] = True
-                return hit
+                far.append((of[~hit], sought[~hit]))
+                return some
 
             for d in range(1, h.depth + 1):
                 use = np.flatnonzero(before >= d)
