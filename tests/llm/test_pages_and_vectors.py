@@ -208,20 +208,39 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2, 0.5) for i, v in rows], "vec_id bigint, embedding array<float>, label int, cell int, score double")
 
 
-def ask(spark, rows):
+def ask(spark, rows, **settings):
     v = vectors(spark, rows)
-    return {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.top_k(v, v.where("vec_id % 50 = 0")).collect()}
+    return {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.top_k(v, v.where("vec_id % 50 = 0"), **settings).collect()}
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK", 64)
-    monkeypatch.setattr(neighbours, "QUERIES", 8)
+@pytest.mark.parametrize("settings", [{}, {"chunk": 64, "most_queries": 3}, {"chunk": 10, "most_queries": 1, "most_pivots": 5}])
+def test_neighbours(spark, settings):
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 1, (12, 16))
     rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(0, 0.2, 16)]) for i in range(700)]
     rows += [(1000 + i, rows[0][1]) for i in range(300)]  # one vector fills a third
     rows += [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] * 16), (2050, [0.0] * 16), (2100, [1.0, 2.0])]
-    assert ask(spark, rows) == brute_top(rows)
+    assert ask(spark, rows, **settings) == brute_top(rows)
+
+
+def test_neighbours_replicates_only_what_a_bound_asks_for():
+    """Groups of queries far from one another: hardly a row is needed by both."""
+    cells = np.array([[100.0, 0.0], [101.0, 0.0], [-100.0, 0.0], [0.0, 100.0]])
+    groups = neighbours.merged(cells, np.array([3, 4, 5, 0]), 7)
+    assert groups == [[0, 1], [2]]
+    assert neighbours.merged(cells, np.array([9, 1, 1, 1]), 4) == [[0], [1, 3, 2]] or neighbours.merged(cells, np.array([9, 1, 1, 1]), 4) == [[0], [1, 2, 3]]
+
+
+def test_neighbours_repeated_rows(spark):
+    """A row stored many times is one row; it does not push others of its vector out."""
+    same = [1.0, 0.5]
+    rows = [(50, same)] * 8 + [(i, same) for i in range(60, 66)] + [(90, [0.25, 0.25])] * 3
+    assert ask(spark, rows) == brute_top(rows) and len(ask(spark, rows)) == 5
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    assert ask(spark, rows) == {(50, 1, 1, 65536), (50, 2, 2, 0), (50, 1, 2, 65536), (50, 2, 1, 0)}
 
 
 def test_neighbours_few(spark):
