@@ -7,9 +7,13 @@ place, so only minimizers (about one word in twelve) need to be indexed.
 The index is a set of immutable runs sorted by hash, kept as bucketed tables so
 that merging needs no shuffle. Each batch of documents is written as a new run
 and merge-joined with the runs before it; entries met on either side become
-candidates. Once more than MAX_RUNS runs stand they are compacted into one.
+candidates. Once more than MAX_RUNS runs stand they are compacted into one. A
+manifest beside the runs names them, so a later program can open the index and
+add its batch: ``FingerprintIndex.open(spark, root).add(batch)``, then
+``verified_ranges`` over history and batch.
 Candidates are verified: the windows around them are hashed whole, to 128 bits
-from two independent word hashes, and counted over all documents.
+from two independent word hashes, and counted over all documents. Documents are
+told apart by 128 bits of their id and text.
 
 Inside a task equal hashes are counted first. What occurs twice there is settled
 at once, and one row stands for it in the index; what is shuffled for one hash is
@@ -23,6 +27,7 @@ empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import CLEANUP, Scratch, settings
-from ._text import small_batches, string_buffers, window_hashes, word_bounds, word_hashes
+from ._text import cut_batch, small_batches, string_buffers, tokens, window_hashes, word_bounds, word_hashes
 
 WINDOW, KGRAM = 35, 12
 BATCHES, MAX_RUNS = 3, 2
@@ -40,10 +45,9 @@ BATCHES, MAX_RUNS = 3, 2
 BLOCK_ENTRIES = 1 << 20
 #: A bucket of the index holds about so many entries of a run, where that asks for more buckets than shuffle partitions.
 BUCKET_ENTRIES = 1 << 22
-SECOND_BASE = 0x6A09E667F3BCC909
 
 ENTRY = "h bigint, n int, row bigint, pos int"
-WINDOWS = "h1 bigint, h2 bigint, n int, row bigint, pos int, len int"
+WINDOWS = "h1 bigint, h2 bigint, n int, row bigint, twin bigint, pos int, len int"
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -88,21 +92,21 @@ def _entries(window: int, kgram: int):
         def flush():
             h, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             times, some, counts = _settle(h)
-            # One row for each hash: alone with its place, or repeated as a marker; places of the repeated follow with no hash.
+            # One row for each hash: alone with its place, or repeated as a marker; places of the repeated follow with n = 0.
             alone, known = times == 1, times > 1
             k = len(some)
-            yield pa.RecordBatch.from_arrays(
+            yield from cut_batch(pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([h[alone], h[some], np.zeros(known.sum(), np.uint64)]).view(np.int64)),
+                    pa.array(np.concatenate([h[alone], h[some], h[known]]).view(np.int64)),
                     pa.array(np.concatenate([times[alone], np.minimum(counts, 2), np.zeros(known.sum(), np.int64)]).astype(np.int32)),
                     pa.array(np.concatenate([row[alone], np.zeros(k, np.int64), row[known]])),
                     pa.array(np.concatenate([pos[alone], np.full(k, -1), pos[known]]).astype(np.int32)),
                 ],
                 ["h", "n", "row", "pos"],
-            )
+            ))
 
         for batch in small_batches(batches, 1):
-            words, first = _words(batch.column(1))
+            words, first = tokens(batch.column(1))
             at, h = minimizers(words, first, window, kgram)
             text = np.searchsorted(first, at, side="right") - 1
             held.append((h, batch.column(0).to_numpy(zero_copy_only=False)[text], at - first[text]))
@@ -116,34 +120,62 @@ def _entries(window: int, kgram: int):
     return run
 
 
-def _words(column, base: int = 0x5851F42D4C957F2D) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = string_buffers(column)
-    starts, ends, first = word_bounds(data, offsets)
-    return word_hashes(data, starts, ends, base), first
-
-
 class FingerprintIndex:
-    """Sorted runs of window hashes; ``add`` returns the places newly known to be repeated."""
+    """Sorted runs of window hashes below ``root``; ``add`` returns the places newly known to be repeated.
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, window: int = WINDOW, kgram: int = KGRAM, max_runs: int = MAX_RUNS):
-        self.spark, self.scratch, self.window, self.kgram, self.max_runs = spark, scratch, window, kgram, max_runs
+    Runs have one marker for what is repeated in a block. A lasting index also keeps
+    the places behind the markers, unsorted, which are read only for markers that a
+    later batch meets; one used for a single verification of all batches needs none.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, window: int = WINDOW, kgram: int = KGRAM, max_runs: int = MAX_RUNS, lasting: bool = True):
+        self.spark, self.root, self.window, self.kgram, self.max_runs, self.lasting = spark, root, window, kgram, max_runs, lasting
+        self.places: list[str] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, **settings) -> FingerprintIndex:
+        """The index that stands below ``root``, as its last whole manifest names it, or a new one."""
+        index = cls(spark, root, **settings)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return index
+        whole = [int(f.getPath().getName()) for f in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        if whole:
+            index.version = max(whole)
+            saved = json.loads(spark.read.text(f"{root}/manifest/{index.version}").first()[0])
+            index.runs, index.places, index.buckets, index.window, index.kgram = (saved[k] for k in ("runs", "places", "buckets", "window", "kgram"))
+            for name in index.runs:
+                if not spark.catalog.tableExists(name):
+                    spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{root}/{name}'")
+        return index
+
+    def _save(self) -> None:
+        """A new manifest; it counts once Spark has marked it as whole, and the runs it names stand by then."""
+        if not self.lasting:
+            return
+        self.version += 1
+        saved = json.dumps({"runs": self.runs, "places": self.places, "buckets": self.buckets, "window": self.window, "kgram": self.kgram})
+        self.spark.createDataFrame([(saved,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{self.version}")
 
     def _write(self, df: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         rows = df.repartition(self.buckets, "h").sortWithinPartitions("h")
         with settings(self.spark, {CLEANUP: "true"}):
-            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.scratch.path(name)).saveAsTable(name)
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.scratch.drop(name)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    def add(self, rows: DataFrame, out: str) -> DataFrame:
-        """Index rows(row, text) as a new run; row, pos of each candidate k-gram found by that."""
-        found = self.scratch.keep(rows.select("row", "text").mapInArrow(_entries(self.window, self.kgram), ENTRY), f"{out}-entries")
+    def add(self, rows: DataFrame, scratch: Scratch, out: str = "candidates") -> DataFrame:
+        """Index rows(row, text) as a new run; row, pos of each candidate k-gram found by that, stored in scratch."""
+        found = scratch.keep(rows.select("row", "text").mapInArrow(_entries(self.window, self.kgram), ENTRY), f"{out}-entries")
         if not self.runs:  # all runs have the buckets of the first, so that they merge without a shuffle
             self.buckets = max(self.buckets, -(-found.count() // BUCKET_ENTRIES))
         known = found.where("n = 0").select("row", "pos")
@@ -155,12 +187,19 @@ class FingerprintIndex:
             old = self.spark.table(old_name)
             parts.append(fresh.where("pos >= 0").join(old.select("h").hint("merge"), "h", "left_semi").select("row", "pos"))
             parts.append(old.where("pos >= 0").join(fresh.select("h").hint("merge"), "h", "left_semi").select("row", "pos"))
+            if self.places:
+                met = scratch.keep(old.where("pos < 0").select("h").join(fresh.select("h").hint("merge"), "h", "left_semi").distinct(), f"{out}-met-{old_name}")
+                parts += [self.spark.read.schema(ENTRY).parquet(f"{self.root}/{name}").join(met, "h", "left_semi").select("row", "pos") for name in self.places]
         union = parts[0]
         for part in parts[1:]:
             union = union.unionByName(part)
-        candidates = self.scratch.keep(union, out)
-        self.scratch.drop(f"{out}-entries")
+        candidates = scratch.keep(union, out)
+        if self.lasting:
+            self.places.append(f"places_{uuid.uuid4().hex}")
+            found.where("n = 0").write.parquet(f"{self.root}/{self.places[-1]}")
+        scratch.drop(f"{out}-entries")
         self.runs.append(new)
+        self._save()
         if len(self.runs) > self.max_runs:
             self.compact()
         return candidates
@@ -169,14 +208,16 @@ class FingerprintIndex:
         merged = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
             merged = merged.unionByName(self.spark.table(name))
-        new = self._write(merged)
-        for name in self.runs:
+        old, self.runs = self.runs, [self._write(merged)]
+        self._save()
+        for name in old:
             self._drop(name)
-        self.runs = [new]
 
-    def close(self) -> None:
-        for name in self.runs:
+    def remove(self) -> None:
+        """Drop the runs and places."""
+        for name in [*self.runs, *self.places]:
             self._drop(name)
+        self.runs, self.places = [], []
 
 
 def _candidate_windows(window: int, kgram: int):
@@ -188,9 +229,7 @@ def _candidate_windows(window: int, kgram: int):
         size = 0
 
         def flush():
-            h1, h2, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            pair = np.empty(len(h1), dtype=[("a", np.uint64), ("b", np.uint64)])
-            pair["a"], pair["b"] = h1, h2
+            h1, h2, row, twin, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((h2, h1))
             new = np.ones(len(order), bool)
             new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
@@ -202,27 +241,28 @@ def _candidate_windows(window: int, kgram: int):
             alone, known = times == 1, np.flatnonzero(times > 1)
             # Runs of settled windows become ranges.
             begin = np.ones(len(known), bool)
-            begin[1:] = (row[known][1:] != row[known][:-1]) | (pos[known][1:] != pos[known][:-1] + 1)
+            begin[1:] = (row[known][1:] != row[known][:-1]) | (twin[known][1:] != twin[known][:-1]) | (pos[known][1:] != pos[known][:-1] + 1)
             s = np.flatnonzero(begin)
             lens = np.diff(np.append(s, len(known)))
             k, r = len(some), len(s)
             zero = np.zeros(r, np.uint64)
-            yield pa.RecordBatch.from_arrays(
+            yield from cut_batch(pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([h1[alone], h1[some], zero]).view(np.int64)),
                     pa.array(np.concatenate([h2[alone], h2[some], zero]).view(np.int64)),
                     pa.array(np.concatenate([np.ones(alone.sum()), np.full(k, 2), np.zeros(r)]).astype(np.int32)),
                     pa.array(np.concatenate([row[alone], np.zeros(k, np.int64), row[known][s]])),
+                    pa.array(np.concatenate([twin[alone], np.zeros(k, np.int64), twin[known][s]])),
                     pa.array(np.concatenate([pos[alone], np.full(k, -1), pos[known][s]]).astype(np.int32)),
                     pa.array(np.concatenate([np.ones(alone.sum() + k, np.int64), lens]).astype(np.int32)),
                 ],
-                ["h1", "h2", "n", "row", "pos", "len"],
-            )
+                ["h1", "h2", "n", "row", "twin", "pos", "len"],
+            ))
 
         for batch in small_batches(batches, 1):
             data, offsets = string_buffers(batch.column(1))
             starts, ends, first = word_bounds(data, offsets)
-            w1, w2 = (word_hashes(data, starts, ends, base) for base in (0x5851F42D4C957F2D, SECOND_BASE))
+            w1, w2 = (word_hashes(data, starts, ends, seed) for seed in (0, 1))
             places = batch.column(2)
             places = places.combine_chunks() if isinstance(places, pa.ChunkedArray) else places
             spans = np.diff(places.offsets.to_numpy())
@@ -239,7 +279,7 @@ def _candidate_windows(window: int, kgram: int):
             if len(chosen):
                 h1, h2 = window_hashes(w1, window)[chosen], window_hashes(w2, window, 0x9FB21C651E98DF25)[chosen]
                 text = np.searchsorted(first, chosen, side="right") - 1
-                held.append((h1, h2, batch.column(0).to_numpy(zero_copy_only=False)[text], chosen - first[text]))
+                held.append((h1, h2, *(batch.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 3)), chosen - first[text]))
                 size += len(chosen)
             if size > BLOCK_ENTRIES:
                 yield from flush()
@@ -281,42 +321,56 @@ def _cut(window: int):
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and row, twin: 128 bits that tell rows apart unless equal in both."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", F.lit("twin"), "doc_id").alias("twin"))
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, batches: int = BATCHES) -> DataFrame:
-    """row, ranges: for each row with any, runs of ``len`` consecutive repeated windows from word ``pos`` on; docs has row, text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substring")
-    index = FingerprintIndex(spark, scratch, window, kgram)
+    """row, twin, ranges of numbered docs: for each row with any, runs of ``len`` consecutive repeated windows from word ``pos`` on."""
+    scratch = Scratch(docs.sparkSession, "substring")
+    index = FingerprintIndex(docs.sparkSession, scratch.path("index"), window, kgram, lasting=False)
     found = None
     try:
         for i in range(batches):
             part = docs.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == i) if batches > 1 else docs
-            new = index.add(part, f"candidates{i}")
+            new = index.add(part, scratch, f"candidates{i}")
             found = new if found is None else found.unionByName(new)
     finally:
-        index.close()
-    places = scratch.keep(found.groupBy("row").agg(F.collect_set("pos").alias("places")), "places")
-    for i in range(batches):
-        scratch.drop(f"candidates{i}")
+        index.remove()
+    return verified_ranges(docs, found, scratch, window, kgram, [f"candidates{i}" for i in range(batches)])
+
+
+def verified_ranges(docs: DataFrame, candidates: DataFrame, scratch: Scratch, window: int = WINDOW, kgram: int = KGRAM, drop: list[str] | None = None) -> DataFrame:
+    """row, twin, ranges: windows of docs (numbered; all that candidates name) around candidates(row, pos) that occur twice; drop: tables then needed no more."""
+    places = scratch.keep(candidates.groupBy("row").agg(F.collect_set("pos").alias("places")), "places")
+    for name in drop or ():
+        scratch.drop(name)
     # Repeated rows share their row number and so their places; each still counts as an occurrence.
-    windows = docs.join(places, "row").select("row", "text", "places").mapInArrow(_candidate_windows(window, kgram), WINDOWS)
+    windows = docs.join(places, "row").select("row", "text", "places", "twin").mapInArrow(_candidate_windows(window, kgram), WINDOWS)
     windows = scratch.keep(windows, "windows")
     scratch.drop("places")
     # A hash has at most one row for each block here, so no group is large.
     times = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    unsettled = windows.where("n > 0").select("h1", "h2", "n", "row", "pos").withColumn("times", times).where("times > 1 AND pos >= 0").select("row", "pos", F.lit(1).alias("len"))
-    every = unsettled.unionByName(windows.where("n = 0").select("row", "pos", "len"))
-    ranges = scratch.keep(every.groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("ranges")), "ranges")
+    place = ["row", "twin", "pos"]
+    unsettled = windows.where("n > 0").select("h1", "h2", "n", *place).withColumn("times", times).where("times > 1 AND pos >= 0").select(*place, F.lit(1).alias("len"))
+    every = unsettled.unionByName(windows.where("n = 0").select(*place, "len"))
+    ranges = scratch.keep(every.groupBy("row", "twin").agg(F.collect_list(F.struct("pos", "len")).alias("ranges")), "ranges")
     scratch.drop("windows")
     return ranges
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, text (kept words joined by spaces), n_words, n_removed, spans (word ranges cut) for every row."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    ranges = repeated_ranges(rows, window, kgram, batches)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = numbered(docs)
+    return cut_ranges(rows, repeated_ranges(rows, window, kgram, batches), window)
+
+
+def cut_ranges(rows: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text, n_words, n_removed, spans of numbered rows without the words in ranges."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
     return (
-        rows.join(ranges, "row", "left")
+        rows.join(ranges, ["row", "twin"], "left")
         .select("doc_id", "text", "ranges")
         .mapInArrow(_cut(window), f"doc_id {kind}, text string, n_words bigint, n_removed bigint, spans array<array<int>>")
     )

@@ -259,6 +259,39 @@ def test_substring(spark, width, kgram, batches):
         assert sum(e - s for s, e in r["spans"]) == r["n_removed"]
 
 
+def test_substring_tells_alike_hashing_words_apart(spark):
+    """Words that collide under polynomials modulo a power of two, whatever their base."""
+    a, b = "a", "b"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{common} {a}", "s"), (2, f"{common} {b}", "s")]
+    assert [r["n_removed"] for r in rows_of(substring.remove_repeats(documents(spark, rows)))] == [0, 0]
+
+
+def test_substring_index_outlives_a_call(spark):
+    """Three batches, each added by an index opened anew; together they find what one run over all finds."""
+    rows = texts()
+    docs = substring.numbered(documents(spark, rows))
+    scratch = Scratch(spark, "test")
+    docs = scratch.keep(docs, "docs")
+    gone: dict[tuple, set] = {}
+    for i in range(3):
+        index = substring.FingerprintIndex.open(spark, scratch.path("index"), max_runs=1)
+        assert len(index.runs) == min(i, 1) and index.version == [0, 1, 3][i]
+        new = index.add(docs.where(f"pmod(row, 3) = {i}"), scratch, f"candidates{i}")
+        found = substring.verified_ranges(docs.where(f"pmod(row, 3) <= {i}"), new, Scratch(spark, "test"))
+        for r in rows_of(found):
+            for pos, size in r["ranges"]:
+                gone.setdefault((r["row"], r["twin"]), set()).update(range(pos, pos + size - 1 + substring.WINDOW))
+    got = Counter((r["doc_id"], len(gone.get((r["row"], r["twin"]), ()))) for r in rows_of(docs))
+    want = Counter()
+    for (i, _, n, _), c in brute_removed(rows, 35).items():
+        want[i, n] += c
+    assert got == want
+    index.remove()
+
+
 def test_substring_empty(spark):
     assert rows_of(substring.remove_repeats(documents(spark, []))) == []
 
