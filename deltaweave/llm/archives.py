@@ -4,19 +4,25 @@
 version and writes the equivalent WARC files, and ``read_warc`` reads those.
 Files are written by Spark's text writer, so that they reach any store: with the
 blank lines that end a WARC record as line separator, its output is a WARC file
-byte for byte. An archive holds RECORDS records, which bounds what a task reads.
+byte for byte. Blocks are bytes throughout; where they pass through string
+columns it is without decoding, so any charset comes out as it went in. An
+archive holds RECORDS records of up to SMALL_BYTES; larger ones stand in archives
+of their own of about ARCHIVE_BYTES, which bounds what a task reads.
 
 ARC: a version block, then records of one header line and as many bytes as its
 last field declares. Version 1 lines have five fields (URL, IP, date, type,
 length), version 2 lines ten (with result code, checksum, location, offset and
 file name before the length). The converter derives a record id (a UUID from
 SHA-1 of the URL, date, place and payload), the ISO date, the record type and
-SHA-1 digests of payload and block. Of records with equal payloads of at least
+SHA-1 digests of payload and block. A record with an HTTP header becomes a
+response; one without (DNS, FTP and the like) a resource with the ARC's own
+content type. Of records with equal payloads of at least
 REVISIT_BYTES that with the largest page id is the response; the others become
 revisits, which keep the HTTP header and refer to it.
 
 Defined cases: null html is an empty payload; a null url is written as '-' and
 white space in one as %20; a null page id stays null and is never referred to;
+bytes of an ARC URL that are no UTF-8 become %XX;
 rows with the same page id and payload are responses alike; an empty table gives
 no archives and no rows; extra columns are ignored; a length that overruns the
 file or a digest that does not match raises ValueError.
@@ -29,6 +35,7 @@ import hashlib
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote_from_bytes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +44,7 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 RECORDS = 5000
+SMALL_BYTES, ARCHIVE_BYTES = 100_000, 500_000_000
 REVISIT_BYTES = 1000
 #: Groups of equal payloads (about 250 bytes each) up to so many are broadcast to the rows they mark.
 BROADCAST_GROUPS = 100_000
@@ -64,7 +72,11 @@ def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
         start, offset = offset, offset + len(line)
         if not line.strip():
             continue
-        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+        try:
+            text = line.decode()
+        except UnicodeDecodeError:
+            text = quote_from_bytes(line, safe=bytes(range(128)))
+        parts = text.rstrip("\r\n").split(" ")
         length = int(parts[-1])
         content = stream.read(length)
         offset += len(content)
@@ -91,7 +103,7 @@ def http_field(header: bytes, name: str) -> str | None:
     for line in header.split(b"\r\n")[1:]:
         key, _, value = line.partition(b":")
         if key.strip().lower() == name.lower().encode():
-            return value.strip().decode("utf-8", "replace")
+            return value.strip().decode("latin-1")
     return None
 
 
@@ -104,7 +116,7 @@ def read_warc_stream(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str]
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
-            key, _, value = line.decode("utf-8").partition(":")
+            key, _, value = line.decode("utf-8", "replace").partition(":")
             head[key.strip().lower()] = value.strip()
         length = int(head["content-length"])
         block = stream.read(length)
@@ -127,6 +139,13 @@ def _bytes(c: Column | str) -> Column:
     return F.octet_length(c)
 
 
+def _by_size(rows: DataFrame, size: Column, most: int, records: int, write) -> None:
+    """Call write(rows, records an archive, name) for small records, and for large ones where there are any; most: the largest size."""
+    write(rows.where(size <= SMALL_BYTES) if most > SMALL_BYTES else rows, records, "small")
+    if most > SMALL_BYTES:
+        write(rows.where(size > SMALL_BYTES), max(1, min(records, ARCHIVE_BYTES // most)), "large")
+
+
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", records: int = RECORDS) -> None:
     """Store pages(page_id, url, html) as gzipped ARC files, of version 1 and 2 by turns of partitions."""
     version = F.pmod(F.spark_partition_id(), F.lit(2)) + 1
@@ -136,7 +155,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", records
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), _bytes(html).cast("string"),
         F.coalesce(F.concat(F.lit("\r\nX-Page-Id: "), F.col("page_id").cast("string")), F.lit("")), F.lit("\r\n\r\n"),
     )
-    rows = pages.select(html.alias("html"), F.when(url == "", "-").otherwise(url).alias("url"), http.alias("http"), version.alias("version"), (_place() % records).alias("place"))
+    made = [html.alias("html"), F.when(url == "", "-").otherwise(url).alias("url"), http.alias("http"), version.alias("version")]
     length = (_bytes("http") + _bytes("html")).cast("string")
     line = F.when(
         F.col("version") == 1, F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(date), F.lit("text/html"), length)
@@ -148,10 +167,15 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", records
         heads[v] = f"filedesc://pages.arc 0.0.0.0 {date} text/plain{more} {len(body)}\n{body}\n"
     first = F.when(F.col("place") == 0, F.when(F.col("version") == 1, heads[1]).otherwise(heads[2])).otherwise("")
     value = F.concat(first, line, F.lit("\n"), F.col("http"), F.col("html"))
-    rows.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
+    def write(rows: DataFrame, each: int, name: str) -> None:
+        placed = rows.select(*made, (_place() % each).alias("place"))
+        placed.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/{name}")
+
+    _by_size(pages, _bytes(html), pages.agg(F.max(_bytes(html))).first()[0] or 0, records, write)
 
-CONVERTED = "page_id bigint, url string, ip string, date string, record_id string, http string, payload string, payload_bytes bigint, digest string, block_digest string"
+
+CONVERTED = "page_id bigint, url string, ip string, date string, mime string, record_id string, http binary, payload binary, payload_bytes bigint, digest string, block_digest string"
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +192,7 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page = http_field(http, "X-Page-Id")
                 rows.append((
                     int(page) if page else None, r.url, r.ip, f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-                    uid, http.decode(), payload.decode("utf-8", "replace"), len(payload), digest, hashlib.sha1(r.content).hexdigest(),
+                    r.mime, uid, http, payload, len(payload), digest, hashlib.sha1(r.content).hexdigest(),
                 ))
                 size += len(payload)
                 if size > 8 << 20:
@@ -178,7 +202,7 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(rows)
 
 
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+_TYPES = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,7 +211,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
 
 
 def convert(spark: SparkSession, arc: str, warc: str, records: int = RECORDS) -> None:
@@ -205,34 +229,44 @@ def convert(spark: SparkSession, arc: str, warc: str, records: int = RECORDS) ->
     if groups.count() <= BROADCAST_GROUPS:  # else payloads are shuffled by digest
         groups = F.broadcast(groups)
     marked = rows.join(groups, ["digest", "payload_bytes"], "left").withColumn("revisit", F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id")))
-    block = F.when(F.col("revisit"), F.col("http")).otherwise(F.concat("http", "payload"))
+    http, payload = (F.col(c).cast("string") for c in ("http", "payload"))  # the same bytes
+    block = F.when(F.col("revisit"), http).otherwise(F.concat(http, payload))
+    bare = F.octet_length("http") == 0
+    kind = F.when(F.col("revisit"), "revisit").when(bare, "resource").otherwise("response")
+    mime = F.when(bare, F.when(F.col("mime").rlike("/"), F.col("mime")).otherwise("application/octet-stream")).otherwise("application/http; msgtype=response")
     refers = F.when(
         F.col("revisit"),
         F.concat(
             F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), F.col("kept.record_id"), F.lit("\r\nWARC-Refers-To-Target-URI: "), F.col("kept.url"),
-            F.lit("\r\nWARC-Refers-To-Date: "), F.col("kept.date"), F.lit("\r\nX-Refers-To-Page-Id: "), F.col("kept.page_id").cast("string"), F.lit("\r\n"),
+            F.lit("\r\nWARC-Refers-To-Date: "), F.col("kept.date"), F.lit("\r\nX-Refers-To-Page-Id: "), F.col("kept.page_id").cast("string"),
+            F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"),
         ),
     ).otherwise(F.concat(F.lit("WARC-Block-Digest: sha1:"), F.col("block_digest"), F.lit("\r\n")))
     record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
+        F.lit("WARC/1.1\r\nWARC-Type: "), kind,
         F.lit("\r\nWARC-Record-ID: "), F.col("record_id"), F.lit("\r\nWARC-Date: "), F.col("date"), F.lit("\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nWARC-IP-Address: "), F.col("ip"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), refers,
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), _bytes(block).cast("string"), F.lit("\r\n\r\n"), block,
+        F.lit("Content-Type: "), mime, F.lit("\r\nContent-Length: "), _bytes(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
     info = "software: deltaweave\r\nformat: WARC File Format 1.1\r\n"
     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:00000000-0000-5000-a000-000000000000>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}\r\n\r\n"
-    value = F.concat(F.when(_place() % records == 0, head).otherwise(""), record)
-    marked.select(value.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(warc)
+
+    def write(rows: DataFrame, each: int, name: str) -> None:
+        value = F.concat(F.when(_place() % each == 0, head).otherwise(""), record)
+        rows.select(value.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", each).text(f"{warc}/{name}")
+
+    most = rows.agg(F.max("payload_bytes")).first()[0] or 0
+    _by_size(marked, F.col("payload_bytes"), most, records, write)
     scratch.drop()
 
 
-READ = "page_id bigint, url string, record_id string, date string, record_type string, payload_bytes bigint, payload_digest string, refers_to_id string, refers_to bigint, payload string"
+READ = "page_id bigint, url string, record_id string, date string, record_type string, payload_bytes bigint, payload_digest string, refers_to_id string, refers_to bigint, payload binary"
 
 
 def _read(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
-        types = [pa.int64(), *[pa.string()] * 4, pa.int64(), *[pa.string()] * 2, pa.int64(), pa.string()]
+        types = [pa.int64(), *[pa.string()] * 4, pa.int64(), *[pa.string()] * 2, pa.int64(), pa.binary()]
 
         def made(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -242,17 +276,17 @@ def _read(payloads: bool):
                 rows, size = [], 0
                 for head, block in read_warc_stream(opened(content.as_py())):
                     kind = head["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "resource", "revisit"):
                         continue
-                    http, payload = split_http(block)
+                    http, payload = (b"", block) if kind == "resource" else split_http(block)
                     declared = head["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != declared:
+                    if kind != "revisit" and hashlib.sha1(payload).hexdigest() != declared:
                         raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
                     page, to = http_field(http, "X-Page-Id"), head.get("x-refers-to-page-id")
                     rows.append((
                         int(page) if page else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"], kind,
-                        len(payload) if kind == "response" else int(http_field(http, "Content-Length") or 0), declared,
-                        head.get("warc-refers-to"), int(to) if to else None, payload.decode("utf-8", "replace") if payloads and kind == "response" else None,
+                        len(payload) if kind != "revisit" else int(head.get("x-payload-length") or http_field(http, "Content-Length") or 0), declared,
+                        head.get("warc-refers-to"), int(to) if to else None, payload if payloads and kind != "revisit" else None,
                     ))
                     size += len(payload) * payloads
                     if size > 8 << 20:
@@ -265,5 +299,5 @@ def _read(payloads: bool):
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each response and revisit below ``path``; payloads are checked against their digests."""
+    """One row for each response, resource and revisit below ``path``; payloads (bytes) are checked against their digests."""
     return _files(spark, path).mapInArrow(_read(payloads), READ)

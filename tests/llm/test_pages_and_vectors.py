@@ -165,11 +165,31 @@ def test_archives(spark):
     assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got) == sorted((i or 0, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, h in rows)
     kind = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
     assert {(6, "revisit", 8), (7, "revisit", 8), (None, "revisit", 8), (8, "response", None), (1, "response", None), (3, "response", None)} <= kind
-    assert {r["payload"] for r in got if r["record_type"] == "response"} == {h for _, h in rows}
+    assert {bytes(r["payload"]).decode() for r in got if r["record_type"] == "response"} == {h for _, h in rows}
     ids = {r["page_id"]: r["record_id"] for r in got}
     assert all(r["refers_to_id"] == ids[8] for r in got if r["record_type"] == "revisit")
 
 
+def test_archives_of_other_charsets_and_schemes(spark, tmp_path, monkeypatch):
+    """Latin-1 headers and payloads, a DNS record and a URL of raw bytes come out byte for byte; large records have archives of their own."""
+    body = f"1 0 x\n{archives.ARC_FIELDS[1]}\n".encode()
+    page = "Überschrift café ".encode("latin-1") * 100
+    http = b"HTTP/1.0 200 OK\r\nX-Note: caf\xe9\r\nContent-Length: 999\r\n\r\n"
+    dns = b"20240102030405\nexample.org. 300 IN A 1.2.3.4\n"
+    raw = b"filedesc://f.arc 0.0.0.0 20240101000000 text/plain %d\n%s\n" % (len(body), body)
+    records = [(b"http://x/caf\xe9", b"text/html", http + page), (b"dns:example.org", b"text/dns", dns), (b"http://y/", b"no-type", page)]
+    for url, mime, content in records:
+        raw += b"%s 1.2.3.4 20240102030405 %s %d\n%s\n" % (url, mime, len(content), content)
+    (tmp_path / "a.arc").write_bytes(raw)
+    monkeypatch.setattr(archives, "SMALL_BYTES", 1000)
+    archives.convert(spark, str(tmp_path), str(tmp_path / "warc"))
+    got = {r["url"]: r for r in archives.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert {u: (r["record_type"], bytes(r["payload"])) for u, r in got.items()} == {"http://x/caf%E9": ("response", page), "dns:example.org": ("resource", dns), "http://y/": ("resource", page)}
+    assert all(r["payload_bytes"] == len(r["payload"]) and r["date"] == "2024-01-02T03:04:05Z" for r in got.values())
+    files = {p.parent.name: gzip.decompress(p.read_bytes()) for p in tmp_path.glob("warc/*/*.gz")}
+    assert b"Content-Type: text/dns" in files["small"] and http + page in files["large"] and b"Content-Type: application/octet-stream" in files["large"]
+
+
 def test_archives_empty(spark):
     scratch = Scratch(spark, "test")
     archives.write_arc(pages(spark, []), scratch.path("arc"))
