@@ -13,7 +13,7 @@ used for that.
 Defined cases: null, empty and textless html give an empty text; markup that is
 not closed ends where HTML ends it, or with the page; scripts, styles, templates,
 frames and form controls are never text; blocks that repeat are kept each; a page
-of one block or of thousands is labelled whole; an empty table gives none; extra
+of one block or of a million is labelled whole, in memory that grows with its bytes; an empty table gives none; extra
 columns are ignored.
 """
 
@@ -48,16 +48,72 @@ BOUND = frozenset("ul ol dl table tbody thead tfoot td th div article section ma
 
 PATH, WORDS, EXTRA = 256, 64, 12
 INPUT, HIDDEN = PATH + WORDS + EXTRA, 24
+#: Blocks of a page, or of pages of like length, that are labelled at a time.
+LONG_PAGE = 4096
 PAGES, EPOCHS, RATE, DECAY = 2400, 7, 0.01, 0.1
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
-    """(text, tag path, characters in links, characters) of each leaf block, in page order."""
-    out: list[tuple[str, tuple[str, ...], int, int]] = []
-    stack: list[tuple[str, str]] = []
+class Element:
+    """An open element; its path is the chain of parents, which the blocks of a page share."""
+
+    __slots__ = ("depth", "name", "parent", "vector")
+
+    def __init__(self, parent: Element | None, name: str):
+        self.parent, self.name = parent, name
+        self.depth = 1 + (parent.depth if parent else 0)
+        self.vector: np.ndarray | None = None
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at:
+            out.append(at.name)
+            at = at.parent
+        return tuple(reversed(out))
+
+
+class OpenElements:
+    """The stack of open elements, with the places of every tag, so that no tag is searched for through the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.elements: list[Element] = []
+        self.bounds: list[int] = []  # places of elements in BOUND
+        self.at: dict[str, list[int]] = {}
+        self.anchors = self.hidden = 0
+
+    def push(self, tag: str, name: str) -> None:
+        place = len(self.tags)
+        self.elements.append(Element(self.elements[-1] if self.elements else None, name))
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(place)
+        if tag in BOUND:
+            self.bounds.append(place)
+        self.anchors += tag == "a"
+        self.hidden += tag in SKIP
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it; nothing for -1."""
+        while 0 <= place < len(self.tags):
+            tag = self.tags.pop()
+            self.elements.pop()
+            self.at[tag].pop()
+            if tag in BOUND:
+                self.bounds.pop()
+            self.anchors -= tag == "a"
+            self.hidden -= tag in SKIP
+
+
+def blocks(page: str) -> list[tuple[str, Element | None, int, int]]:
+    """(text, inmost open element, characters in links, characters) of each leaf block, in page order."""
+    out: list[tuple[str, Element | None, int, int]] = []
+    open_ = OpenElements()
     parts: list[str] = []
-    linked, at, anchors, hidden = 0, 0, 0, 0
-    path: tuple[str, ...] = ()
+    linked, at = 0, 0
+    inside: Element | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -65,26 +121,19 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, path, linked, len(raw)))
+                out.append((text, inside, linked, len(raw)))
             parts.clear()
         linked = 0
 
-    def pop_to(i: int) -> None:
-        nonlocal anchors, hidden
-        for tag, _ in stack[i:]:
-            anchors -= tag == "a"
-            hidden -= tag in SKIP
-        del stack[i:]
-
     def add(text: str) -> None:
-        nonlocal linked, path
-        if not hidden and text:
+        nonlocal linked, inside
+        if not open_.hidden and text:
             if not parts:
                 if text.isspace():
                     return
-                path = tuple(x for _, x in stack)
+                inside = open_.elements[-1] if open_.elements else None
             parts.append(text)
-            if anchors > 0:
+            if open_.anchors > 0:
                 linked += len(text)
 
     n = len(page)
@@ -102,24 +151,15 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
         if m["end"]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            open_.cut(open_.last(tag))
             continue
         if tag in BLOCK:
             flush()
-            if hidden == 1:  # an open head ends at the body or its first block, unless that stands in a hidden element of the head
-                for i, (x, _) in enumerate(stack):
-                    if x == "head":
-                        pop_to(i)
-                        break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] in BOUND:
-                    break
+            if open_.hidden == 1:  # an open head ends at the body or its first block, unless that stands in a hidden element of the head
+                open_.cut(open_.last("head"))
+            closed = max(open_.last("p"), *(open_.last(x) for x in CLOSES.get(tag, ())), -1)
+            if closed >= (open_.bounds[-1] if open_.bounds else 0):
+                open_.cut(closed)
         elif tag == "br":
             add(" ")
         if tag in VOID:
@@ -129,9 +169,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, int]]:
             at = close.end() if close else n
             continue
         names = " ".join(next(filter(None, x), "") for x in NAME.findall(m["attrs"])).lower() if m["attrs"] else ""
-        stack.append((tag, f"{tag} {names}" if names else tag))
-        anchors += tag == "a"
-        hidden += tag in SKIP
+        open_.push(tag, f"{tag} {names}" if names else tag)
     flush()
     return out
 
@@ -140,31 +178,35 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed counts of the tags and names on a path, the inmost tag once more by itself."""
-    got = _paths.get(path)
-    if got is None:
-        got = np.zeros(PATH, np.float32)
-        for element in path:
-            tag, _, names = element.partition(" ")
-            got[_slot(tag, PATH)] += 1
-            for name in SPLIT.split(names):
-                if name:
-                    got[_slot("." + name, PATH)] += 1
-        if path:
-            got[_slot("last " + path[-1].split(" ")[0], PATH)] += 1
-        got = np.minimum(got, 2)
-        if len(_paths) > 50_000:
-            _paths.clear()
-        _paths[path] = got
+def _own(name: str) -> np.ndarray:
+    """Hashed counts of one element's tag and names."""
+    got = np.zeros(PATH, np.uint8)
+    tag, _, names = name.partition(" ")
+    for word in (tag, *("." + x for x in SPLIT.split(names) if x)):
+        slot = _slot(word, PATH)
+        got[slot] = min(2, got[slot] + 1)
     return got
 
 
-def features(pages: list[list[tuple[str, tuple[str, ...], int, int]]]) -> np.ndarray:
-    """A row for each block of all pages."""
+def path_vector(element: Element | None) -> np.ndarray:
+    """Hashed counts, up to two, of the tags and names on a path, the inmost tag once more by itself."""
+    if element is None:
+        return np.zeros(PATH, np.uint8)
+    new, at = [], element
+    while at is not None and at.vector is None:
+        new.append(at)
+        at = at.parent
+    got = at.vector if at is not None else np.zeros(PATH, np.uint8)
+    for e in reversed(new):  # from the outermost on, each once for all blocks in it
+        got = e.vector = np.minimum(got + _own(e.name), 2)
+    out = got.copy()
+    last = _slot("last " + element.name.split(" ")[0], PATH)
+    out[last] = min(2, out[last] + 1)
+    return out
+
+
+def features(pages: list[list[tuple[str, Element | None, int, int]]], before: int = 0, after: int = 0) -> np.ndarray:
+    """A row for each block of all pages; before, after: how many blocks of a single page go before and come after these."""
     every = [b for page in pages for b in page]
     n = len(every)
     x = np.zeros((n, INPUT), np.float32)
@@ -178,10 +220,10 @@ def features(pages: list[list[tuple[str, tuple[str, ...], int, int]]]) -> np.nda
     slot = (word_hashes(data, starts, ends, lower=True) % np.uint64(WORDS)).astype(np.int64)
     bag = np.bincount(np.repeat(np.arange(n), count) * WORDS + slot, minlength=n * WORDS).reshape(n, WORDS)
     x[:, PATH : PATH + WORDS] = bag / np.sqrt(np.maximum((bag * bag).sum(axis=1), 1))[:, None]
-    raw = np.array([(len(b[0]), b[2] / max(1, b[3]), len(b[1])) for b in every], np.float32)
+    raw = np.array([(len(b[0]), b[2] / max(1, b[3]), b[1].depth if b[1] else 0) for b in every], np.float32)
     sizes = np.array([len(p) for p in pages])
-    place = np.concatenate([np.arange(s) for s in sizes]) if n else np.zeros(0)
-    total = np.repeat(sizes, sizes)
+    place = np.concatenate([np.arange(s) for s in sizes]) + before
+    total = np.repeat(sizes, sizes) + before + after
     last = data[np.maximum(offsets[1:] - 1, 0)]
     e = PATH + WORDS
     x[:, e] = np.log1p(raw[:, 0]) / 5
@@ -219,10 +261,10 @@ class Labeller:
         self.p["out"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.p["bias"] = np.zeros(1, np.float32)
 
-    def _run(self, z: np.ndarray, d: str, keep: bool):
-        """Hidden states for pre-computed inputs z (time, pages, 4 * HIDDEN); later steps of short pages are padding at the end."""
+    def _run(self, z: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states for pre-computed inputs z (time, pages, 4 * HIDDEN), from a state on; later steps of short pages are padding at the end."""
         steps, n, _ = z.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, trace = np.empty((steps, n, HIDDEN), np.float32), []
         w = self.p[f"{d}h"]
         for t in range(steps):
@@ -237,7 +279,7 @@ class Labeller:
             out[t] = h
             if keep:
                 trace.append((i, f, o, g, before, tc, h_before))
-        return out, trace
+        return (out, trace, (h, c)) if state else (out, trace)
 
     def _pack(self, x: np.ndarray, sizes: np.ndarray):
         """Row of x at each (time, page), forward and backward, with -1 for padding."""
@@ -259,6 +301,23 @@ class Labeller:
         h = np.concatenate(both, axis=1)
         return h @ self.p["out"] + x @ self.p["direct"] + self.p["bias"], h, traces
 
+    def long_logits(self, page: list) -> np.ndarray:
+        """logits of one page's blocks, for LONG_PAGE of them at a time; only the states go from part to part."""
+        n = len(page)
+        z = np.zeros(n)
+        for k, d in enumerate("fb"):
+            state = (np.zeros((1, HIDDEN), np.float32),) * 2
+            cuts = range(0, n, LONG_PAGE)
+            for i in cuts if d == "f" else reversed(cuts):
+                part = page[i : i + LONG_PAGE]
+                x = features([part], i, n - i - len(part))
+                turn = 1 if d == "f" else -1
+                out, _, state = self._run((x @ self.p[f"{d}x"] + self.p[f"{d}b"])[::turn, None, :], d, False, state)
+                z[i : i + len(part)] += out[::turn, 0] @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN]
+                if d == "f":
+                    z[i : i + len(part)] += x @ self.p["direct"] + self.p["bias"]
+        return z
+
     def gradients(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         z, h, traces = self.logits(x, sizes, keep=True)
         dz = ((_sigmoid(z) - y) / len(y)).astype(np.float32)
@@ -304,24 +363,38 @@ class Labeller:
 
     def keep(self, pages: list[list]) -> list[np.ndarray]:
         """Which blocks of each page are main text."""
+        out = [self.long_logits(p) > 0 if len(p) > LONG_PAGE else np.zeros(len(p), bool) for p in pages]
+        # The others in groups, whose rows of features are held at a time.
+        group: list[int] = []
+        total = 0
+        for i, p in enumerate(pages):
+            if 0 < len(p) <= LONG_PAGE:
+                if total + len(p) > 4 * LONG_PAGE:
+                    self._keep_short(pages, group, out)
+                    group, total = [], 0
+                group.append(i)
+                total += len(p)
+        self._keep_short(pages, group, out)
+        return out
+
+    def _keep_short(self, every: list[list], chosen: list[int], result: list[np.ndarray]) -> None:
+        pages = [every[i] for i in chosen]
         x = features(pages)
         sizes = np.array([len(p) for p in pages], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes)])
-        out: list[np.ndarray] = [np.zeros(s, bool) for s in sizes]
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
         i = 0
         while i < len(order):  # pages of like length together, about 4096 blocks at a time
             j = i + 1
-            while j < len(order) and (j - i + 1) * sizes[order[j]] <= 4096:
+            while j < len(order) and (j - i + 1) * sizes[order[j]] <= LONG_PAGE:
                 j += 1
             some = order[i:j]
             rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in some])
             z = self.logits(x[rows], sizes[some])[0] > 0
             for k, part in zip(some, np.split(z, np.cumsum(sizes[some])[:-1]), strict=True):
-                out[k] = part
+                result[chosen[k]] = part
             i = j
-        return out
 
 
 def made_pages(count: int, seed: int = 0) -> list[tuple[list, np.ndarray]]:

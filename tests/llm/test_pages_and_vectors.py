@@ -38,14 +38,63 @@ def test_open_head_ends_at_body():
     for start in ("<body>", ""):
         page = f"<!DOCTYPE html><html><head><title>t</title><meta charset=utf-8>{start}<div class=a><p>one</div><header>two</header>"
         assert [b[0] for b in extraction.blocks(page)] == ["one", "two"]
-    assert [b[1] for b in extraction.blocks("<html><head><title>t</title><body><p>x")] == [("html", "body", "p")]
+    assert [b[1].path() for b in extraction.blocks("<html><head><title>t</title><body><p>x")] == [("html", "body", "p")]
     assert [b[0] for b in extraction.blocks("<html><head><title>t</title></head><body><p>x")] == ["x"]
     assert [b[0] for b in extraction.blocks("<html><head><noscript><p>no</p></noscript><body><p>x")] == ["x"]
 
 
 def test_whole_path_is_read():
-    deep = ("div",) * 30 + ("p",)
-    assert (extraction.path_vector(("nav menu", *deep)) != extraction.path_vector(deep)).any()
+    deep = "<div>" * 30 + "<p>x"
+    (a,), (b,) = extraction.blocks("<nav class=menu>" + deep), extraction.blocks(deep)
+    assert len(a[1].path()) == 32 and (extraction.path_vector(a[1]) != extraction.path_vector(b[1])).any()
+    slow = np.zeros(extraction.PATH, int)
+    for name in a[1].path():
+        tag, _, names = name.partition(" ")
+        for word in (tag, *(f".{x}" for x in names.split())):
+            slow[extraction._slot(word, extraction.PATH)] += 1
+    slow[extraction._slot("last p", extraction.PATH)] += 1
+    assert (extraction.path_vector(a[1]) == np.minimum(slow, 2)).all()
+
+
+@pytest.mark.parametrize("page", ["<div>word " * 40_000, "<b>x" * 30_000 + "<h1>y" * 30_000, "<p>" + "<div><b>" * 20_000 + "</i>" * 50_000 + "z<h2>" * 20_000])
+def test_malformed_pages_take_little(page):
+    """Memory and time grow with the page, however deep it nests."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    t = time.time()
+    found = extraction.blocks(page)
+    kept = extraction.Labeller().keep([found])
+    assert len(kept[0]) == len(found) and time.time() - t < 60
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def loop_logits(net, x):
+    """One page's logits, step by step."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n, size = len(x), extraction.HIDDEN
+    out = [float(net.p["bias"][0]) + float(x[t] @ net.p["direct"]) for t in range(n)]
+    for k, d in enumerate("fb"):
+        h, c = [0.0] * size, [0.0] * size
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
+            a = x[t] @ net.p[f"{d}x"] + net.p[f"{d}b"] + np.array(h) @ net.p[f"{d}h"]
+            c = [sig(a[size + j]) * c[j] + sig(a[j]) * math.tanh(a[3 * size + j]) for j in range(size)]
+            h = [sig(a[2 * size + j]) * math.tanh(c[j]) for j in range(size)]
+            out[t] += sum(h[j] * float(net.p["out"][k * size + j]) for j in range(size))
+    return out
+
+
+def test_labeller_against_a_loop(monkeypatch):
+    net = extraction.trained()
+    pages = [b for b, _ in extraction.made_pages(6, seed=700_000)]
+    want = [loop_logits(net, extraction.features([p])) for p in pages]
+    for most in (4096, 5):  # whole, and in parts
+        monkeypatch.setattr(extraction, "LONG_PAGE", most)
+        for p, z in zip(pages, want, strict=True):
+            assert np.allclose(net.long_logits(p), z, atol=1e-3)
+        assert all((k == (np.array(z) > 0)).all() for k, z in zip(net.keep(pages), want, strict=True))
 
 
 def test_blocks():
@@ -53,7 +102,7 @@ def test_blocks():
     assert found == ["Home", "News", "Title & more", "First part here.", "Second bold part.", "© all rights reserved"]
     assert extraction.blocks("") == [] and [b[0] for b in extraction.blocks("a < b <i>c</i><br>d<p>e")] == ["a < b c d", "e"]
     assert [b[0] for b in extraction.blocks("<p>unclosed <b>x<p>y <!-- no end")] == ["unclosed x", "y"]
-    assert [b[1] for b in extraction.blocks("<div class='A b'><p>x</p></div>")] == [("div a b", "p")]
+    assert [b[1].path() for b in extraction.blocks("<div class='A b'><p>x</p></div>")] == [("div a b", "p")]
     assert len(extraction.blocks("<p>" * 3000 + "x")) == 1
 
 
