@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -160,28 +161,36 @@ def test_simhash_whole_table(spark):
     assert got == Counter((i, f, least.get(root[f])) for i, f in fps)
 
 
-def test_simhash_anchor_links(spark):
+@pytest.mark.parametrize(("threshold", "hot"), [(2, 1 << 15), (4, 1 << 15), (2, 3), (4, 2), (3, 4)])
+def test_simhash_anchor_links(spark, threshold, hot):
+    """Links give the components of all pairs, also where every anchor with a few fingerprints counts as hot."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
     fps = [int(x) for x in base]
     for x in base[:20]:
         y = int(x)
-        for _ in range(6):  # chains of steps of one to three bits
-            for b in rng.choice(63, rng.integers(1, 4), replace=False):
+        for _ in range(6):  # chains of steps around the threshold
+            for b in rng.choice(63, rng.integers(1, threshold + 2), replace=False):
                 y ^= 1 << int(b)
             fps.append(y)
+    fps += [-1, -2, -(2**63), 2**63 - 1]
     fps = sorted(set(fps))
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint").repartition(3)
-    links = [(r["a"], r["b"]) for r in rows_of(simhash.near_links(df, 2))]
-    assert all(0 < (a ^ b).bit_count() <= 2 for a, b in links)
-    root = {f: f for f in fps}
+    links = [(r["a"], r["b"]) for r in rows_of(simhash.near_links(df, Scratch(spark, "test"), threshold, hot))]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(0 < apart(a, b) <= threshold for a, b in links)
+    assert components(fps, links) == components(fps, [(a, b) for a in fps for b in fps if apart(a, b) <= threshold])
+
+
+def components(nodes, links):
+    root = {x: x for x in nodes}
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
     for a, b in links:
         root[max(find(a), find(b))] = min(find(a), find(b))
-    assert {f: find(f) for f in fps} == brute_components(set(fps), 2)
+    return {x: find(x) for x in nodes}
 
 
 def test_golay_code_covers():
@@ -306,6 +315,37 @@ def test_minimizers_agree():
     assert inside and set(inside) <= first
 
 
+def test_near_copies_go_and_others_stay(spark):
+    """Edits of a few words are caught, whether exact copies or not; texts of equal words in another order stay."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    plain = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    rows, near = [], set()
+    for i in range(60):
+        w = plain(r.randint(150, 400))
+        rows.append((i, " ".join(w), "s"))
+        for k in range(i % 4):
+            edited = list(w)
+            for _ in range(len(w) // 80):
+                edited[r.randrange(len(w))] = r.choice(vocabulary)
+            rows.append((1000 + 10 * i + k, " ".join(edited), "s"))
+            near.add(1000 + 10 * i + k)
+    mixed = rows[0][1].split()
+    r.shuffle(mixed)
+    rows.append((5000, " ".join(mixed), "s"))
+    kept = {x["doc_id"] for x in rows_of(simhash.drop_near_duplicates(documents(spark, rows)))}
+    assert {*range(60), 5000} <= kept and len(kept & near) <= len(near) // 10
+
+
+def test_similar_against_sets(spark):
+    rows = [t for _, t, _ in texts()]
+    pairs = [(str(i), str(j), a, b) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t, True) for t in rows)]
+    want = {(str(i), str(j)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.8 * len(a | b)}
+    df = spark.createDataFrame(pairs, "a string, b string, text_a string, text_b string")
+    assert {(r["a"], r["b"]) for r in rows_of(simhash.similar(df))} == want
+
+
 def test_one_row_of_each_component_stays_whatever_its_id(spark):
     alone, other, third, fourth = (" ".join(f"{w}{i}" for i in range(80)) for w in "abcd")
     rows = [(None, alone, "s0"), (None, other, "s0"), (None, other, "s1")]  # two components of null ids only
