@@ -8,6 +8,11 @@ earliest deadline goes first, which keeps every source within less than one bloc
 of its target at every slot. All windows start anew after D slots, so one cycle
 is scheduled, from the shares alone, and block i takes its place in cycle i div a.
 
+The m sources of one share a are scheduled as one with share m * a, whose slots go
+to them in turn: the window of its block i * m + j lies inside that of block i of
+the j-th of them, so nothing is lost. There are fewer than sqrt(2 D) different
+shares, so many sources (domains, say) cost little.
+
 Only DataFrame functions are used. A document's place in its source comes from
 sums over 4096 buckets and a prefix sum over these, so a source that holds most
 rows is never gathered in one task.
@@ -34,6 +39,8 @@ BLOCK_BYTES = 32 * 1024
 CYCLE = 1000
 EXPONENT = 0.7
 COVERAGE = 0.9
+#: Slots of a cycle up to which shares and pattern are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None, cycle: int, exponent: float) -> DataFrame:
@@ -47,14 +54,15 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None, cycle: int, expon
 
 
 def cycle_pattern(shared: DataFrame) -> DataFrame:
-    """source, turn, slot: one cycle by earliest deadline first among released blocks."""
-    one = shared.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s")).where("size(s) > 0").select(
-        F.col("s.source").alias("names"), F.col("s.share").alias("a")
+    """source, turn, slot: one cycle by earliest deadline first among released blocks of the pools of equal share."""
+    pools = shared.groupBy("share").agg(F.array_sort(F.collect_list("source")).alias("names")).withColumn("m", F.size("names").cast("long"))
+    one = pools.agg(F.array_sort(F.collect_list(F.struct("share", (F.col("share") * F.col("m")).alias("a")))).alias("s")).where("size(s) > 0").select(
+        F.col("s.share").alias("shares"), F.col("s.a").alias("a")
     )
     simulated = one.selectExpr(
-        "names", "a", "aggregate(a, 0L, (x, y) -> x + y) AS d"
+        "shares", "a", "aggregate(a, 0L, (x, y) -> x + y) AS d"
     ).selectExpr(
-        "names",
+        "shares",
         """aggregate(
              sequence(0L, greatest(d - 1, 0L)),
              named_struct('n', transform(a, x -> 0L), 'got', cast(array() AS array<int>)),
@@ -67,8 +75,11 @@ def cycle_pattern(shared: DataFrame) -> DataFrame:
              )[0]
            ).got AS got""",
     )
-    slots = simulated.select("names", F.posexplode("got").alias("slot", "pick")).select(F.get("names", F.col("pick")).alias("source"), F.col("slot").cast("long"))
-    return slots.withColumn("turn", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long"))
+    slots = simulated.select("shares", F.posexplode("got").alias("slot", "pick")).select(F.get("shares", F.col("pick")).alias("share"), F.col("slot").cast("long"))
+    slots = slots.withColumn("k", (F.row_number().over(Window.partitionBy("share").orderBy("slot")) - 1).cast("long"))
+    members = pools.select("share", "m", F.posexplode("names").alias("j", "source"))
+    turned = slots.join(pools.select("share", "m"), "share").withColumn("j", (F.col("k") % F.col("m")).cast("int")).withColumn("turn", F.floor(F.col("k") / F.col("m")).cast("long"))
+    return turned.drop("m").join(members.drop("m"), ["share", "j"]).select("source", "turn", "slot")
 
 
 def schedule(
@@ -106,12 +117,13 @@ def schedule(
         .withColumn("offset", F.col("_first") + F.col("_in"))
         .withColumn("block", F.floor(F.col("offset") / block_bytes).cast("long"))
     )
-    # Shares and pattern have a row for each source and for each slot of a cycle: no more than cycle + 1.5 for each source.
-    plan = F.broadcast(shared.drop("total"))
+    # The pattern has a row for each slot of a cycle, no fewer than there are shares.
+    sent = F.broadcast if slots <= BROADCAST_ROWS else lambda df: df
+    plan = sent(shared.drop("total"))
     ends = (
         shared.withColumn("_n", F.floor(F.col("total") / block_bytes).cast("long"))
         .withColumn("turn", F.col("_n") % F.col("share"))
-        .join(F.broadcast(pattern), ["source", "turn"])
+        .join(sent(pattern), ["source", "turn"])
         .select("share", "source", (F.floor(F.col("_n") / F.col("share")) * slots + F.col("slot")).cast("long").alias("_end"))
     )
     before = Window.orderBy("_end", "source").rowsBetween(Window.unboundedPreceding, 0)  # a row for each source
@@ -121,7 +133,7 @@ def schedule(
     return (
         placed.join(plan, "source")
         .withColumn("turn", F.col("block") % F.col("share"))
-        .join(F.broadcast(pattern), ["source", "turn"])
+        .join(sent(pattern), ["source", "turn"])
         .select(
             "doc_id",
             "source",
@@ -157,7 +169,8 @@ WITH RECURSIVE r AS (
 ), z AS (SELECT source, CAST(sum(bytes) AS BIGINT) AS total FROM r GROUP BY source),
 s AS (
   SELECT source, total, greatest(1, CAST(floor(power(total::DOUBLE, {EXPONENT}) * {CYCLE} / sum(power(total::DOUBLE, {EXPONENT})) OVER () + 0.5) AS BIGINT)) AS share FROM z
-), l AS (SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS a, CAST(sum(share) AS BIGINT) AS d FROM s),
+), g AS (SELECT share, count(*) AS m, list(source ORDER BY source) AS names FROM s GROUP BY share
+), l AS (SELECT list(share ORDER BY share) AS shares, list(share * m ORDER BY share) AS a, CAST(sum(share * m) AS BIGINT) AS d FROM g),
 sim AS (
   SELECT CAST(0 AS BIGINT) AS t, list_transform(a, lambda x: 0::BIGINT) AS n, CAST(NULL AS BIGINT) AS pick FROM l
   UNION ALL
@@ -166,8 +179,10 @@ sim AS (
         list_filter(range(1, len(a) + 1), lambda q: n[q] < a[q] AND (n[q] * d) // a[q] <= t),
         lambda q: (((n[q] + 1) * d + a[q] - 1) // a[q]) * 1000000 + q)) % 1000000)::BIGINT AS p
     FROM sim, l WHERE sim.t < l.d) x
+), turns AS (
+  SELECT shares[pick] AS share, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim, l WHERE pick IS NOT NULL
 ), pattern AS (
-  SELECT names[pick] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM sim, l WHERE pick IS NOT NULL
+  SELECT g.names[turns.k % g.m + 1] AS source, turns.slot, turns.k // g.m AS turn FROM turns JOIN g ON turns.share = g.share
 ), e AS (
   SELECT s.source, s.share, ((s.total // {BLOCK_BYTES}) // s.share) * l.d + p.slot AS fin
   FROM s, l, pattern p WHERE p.source = s.source AND p.turn = (s.total // {BLOCK_BYTES}) % s.share
