@@ -103,10 +103,12 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, thres
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item; rows without doc_id stay."""
+    """The documents whose text contains no item, whatever their doc_id; equal texts are searched once."""
     scratch = Scratch(docs.sparkSession, "contaminated")
-    found = scratch.keep(contained_items(docs, items, width, threshold).select("doc_id").distinct(), "found")
-    return docs.join(_small(found), "doc_id", "left_anti")
+    hashed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    found = contained_items(hashed.select(F.col("_text").alias("doc_id"), "text"), items, width, threshold)
+    found = scratch.keep(found.select(F.col("doc_id").alias("_text")).distinct(), "found")
+    return hashed.join(_small(found), "_text", "left_anti").drop("_text")
 
 
 ORACLE = """

@@ -60,6 +60,9 @@ def test_contaminated_documents_go(spark):
     for i in (105, 106, 107, 117):  # 117 holds the item of six words
         del want[i]
     assert kept == want
+    rows = [(None, PASSAGE, "s"), (None, "clean", "s"), (1, PASSAGE, "s"), (1, "another text", "s"), (1, "another text", "s")]
+    kept = Counter(r["text"] for r in decontamination.drop_contaminated(documents(spark, rows), spark.createDataFrame(item_rows(), ITEMS)).collect())
+    assert kept == {"clean": 1, "another text": 2}
 
 
 def plans(df) -> str:
@@ -96,6 +99,18 @@ def test_cycle_deviates_less_than_one_block(spark):
             assert abs(served - a * t / d) < 1
 
 
+@pytest.mark.parametrize("shares", [{f"s{i:04}": 1 + i % 3 for i in range(700)}, {f"s{i:04}": 2 for i in range(500)}, {f"s{i}": 1 + 7 * i for i in range(20)}])
+def test_cycle_of_many_sources(spark, shares):
+    """Every block runs inside its own source's window, with sources of one share scheduled as one."""
+    shared = spark.createDataFrame(list(shares.items()), "source string, share bigint")
+    got = mixing.cycle_pattern(shared).collect()
+    d = sum(shares.values())
+    assert sorted(r["slot"] for r in got) == list(range(d)) and Counter(r["source"] for r in got) == Counter(shares)
+    for r in got:
+        a = shares[r["source"]]
+        assert r["turn"] * d // a <= r["slot"] < -(-(r["turn"] + 1) * d // a)
+
+
 def test_offsets_do_not_overlap(spark):
     rows = sorted((r["source"], r["offset"], r["bytes"]) for r in mixing.schedule(documents(spark)).collect())
     seen = Counter()
