@@ -50,7 +50,7 @@ HOT = 1 << 15
 #: What the pipeline takes for near: bits between word-set fingerprints, and similarity of the sets of SIMILAR_WIDTH-word shingles.
 NEAR_BITS, SIMILAR_WIDTH, SIMILAR = 4, 5, 0.8
 #: Independent word-set fingerprints; links of any count.
-FAMILIES = 2
+FAMILIES = 3
 
 
 def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
@@ -353,7 +353,7 @@ def similar(pairs: DataFrame, width: int = SIMILAR_WIDTH, least: float = SIMILAR
 def drop_near_duplicates(docs: DataFrame, threshold: int = NEAR_BITS, width: int = SIMILAR_WIDTH, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id, null after all others, and then the smallest text hash.
 
-    Texts are near if fingerprints of their word sets, of either family, are linked at
+    Texts are near if fingerprints of their word sets, of any family, are linked at
     ``threshold`` bits and their sets of ``width``-word shingles have a Jaccard similarity of at
     least ``least``. Links are checked exactly: those of a spanning forest of least
     distance for every anchor, and from every text to one of its fingerprint. Groups
