@@ -21,6 +21,8 @@ _local: dict[str, str] = {}
 
 #: Shuffle files go as soon as the table that needed them is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows, most of them with texts, that go to a Python worker at a time.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextlib.contextmanager
@@ -70,7 +72,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read again."""
         schema = df.schema
-        with settings(self.spark, {CLEANUP: "true"}):
+        with settings(self.spark, {CLEANUP: "true"} | BATCH_ROWS):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 

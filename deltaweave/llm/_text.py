@@ -189,7 +189,7 @@ class HashTable:
     """Positions of distinct non-zero uint64 keys, by open addressing; lookups are vectorised."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.bits = max(4, int(np.ceil(np.log2(2 * max(1, len(keys))))))
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         left, step = np.arange(len(keys)), 0
         while len(left):

@@ -58,7 +58,7 @@ from ._store import Scratch
 from ._text import Bits, HashTable, cut_batch, hash_text, mix, small_batches, tokens
 
 DEPTH = 3
-LEAST_STATE, LEAST_ENTRY = 50, 8
+LEAST_STATE, LEAST_ENTRY = 64, 16
 DISCOUNT, DIVERGENCE = 0.5, 0.02
 #: What is looked up in place: memory only, never a result.
 HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
@@ -66,7 +66,7 @@ HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
 END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
 STATE_KEY = 0x3C6EF372FE94F82B
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
 PARTS = 2
 
