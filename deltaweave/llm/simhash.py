@@ -214,7 +214,8 @@ def near_links(distinct: DataFrame, scratch: Scratch, threshold: int = THRESHOLD
                 kept_anchor, kept_fp, over = kept_anchor[:0], kept_fp[:0], last
         yield from _links(kept_anchor, kept_fp, threshold, hot)
 
-    spread = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many
+    spread = distinct.select("fp").repartition(tasks, "fp").mapInArrow(replicate, "anchor bigint, fp bigint")
     found = spread.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "a bigint, b bigint").distinct()
     found = scratch.keep(found, name)
     return found.where("b IS NOT NULL").unionByName(ball_links(found.where("b IS NULL").select(F.col("a").alias("fp")), threshold))
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, width), "fps")
     distinct = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct.repartition("fp"), scratch, threshold), scratch)
+    roots = connected_components(near_links(distinct, scratch, threshold), scratch)
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = scratch.keep(of, "roots")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -370,7 +371,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = NEAR_BITS, width: int
     for i in range(FAMILIES):
         own = fps.select("row", F.col(f"fp{i}").alias("fp"))
         classes = scratch.keep(own.groupBy("fp").agg(F.min("row").alias("first")), f"classes{i}")
-        links = near_links(classes.select("fp").repartition("fp"), scratch, threshold, name=f"found{i}")
+        links = near_links(classes, scratch, threshold, name=f"found{i}")
         first = lambda c, classes=classes: classes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
         pairs = links.join(first("a"), "a").join(first("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
         pairs = pairs.unionByName(own.join(classes, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")))
