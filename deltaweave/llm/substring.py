@@ -42,7 +42,7 @@ from ._text import cut_batch, small_batches, string_buffers, tokens, window_hash
 WINDOW, KGRAM = 35, 12
 BATCHES, MAX_RUNS = 3, 2
 #: Entries gathered before a block is counted.
-BLOCK_ENTRIES = 1 << 20
+BLOCK_ENTRIES = 1 << 19
 #: A bucket of the index holds about so many entries of a run, where that asks for more buckets than shuffle partitions.
 BUCKET_ENTRIES = 1 << 22
 
