@@ -197,13 +197,15 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
     for d in range(1, depth + 1):
         frequent = listed.where(F.col("c") >= LEAST_STATE).select(F.col("key").alias("prefix"), "suffix", F.col("c").alias("n"))
         with Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_STATE))) as contexts, Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_ENTRY))) as some:
-            counted = None
-            for part in range(parts := PARTS if d == 1 else 1):
-                nexts = texts.mapInArrow(_next_counts(d, contexts, some, part, parts), "prefix bigint, word bigint, c bigint").groupBy("prefix", "word").agg(F.sum("c").alias("c"))
-                nexts = scratch.keep(nexts.where(F.col("c") >= LEAST_ENTRY), f"counted{d}/part={part}")
-                counted = nexts if counted is None else counted.unionByName(nexts)
-        made = counted.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")
-        listed = scratch.keep(made, f"listed{d}")
+            def counted(part: int, parts: int) -> DataFrame:
+                nexts = texts.mapInArrow(_next_counts(d, contexts, some, part, parts), "prefix bigint, word bigint, c bigint")  # noqa: B023
+                nexts = nexts.groupBy("prefix", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_ENTRY)
+                return nexts.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")  # noqa: B023
+
+            parts = [scratch.keep(counted(i, n), f"listed{d}/part={i}") for n in [PARTS if d == 1 else 1] for i in range(n)]
+        listed = parts[0]
+        for more in parts[1:]:
+            listed = listed.unionByName(more)
         level = scratch.keep(_level(listed, shorter), f"level{d}")
         weighed = scratch.keep(_states(level), f"states{d}")
         grown = level.join(weighed, "prefix", "left")
@@ -218,7 +220,7 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
         made = made.unionByName(t)
     made = scratch.keep(made, "terms")
     for d in range(1, depth + 1):
-        for name in ("counted", "listed", "level", "states"):
+        for name in ("listed", "level", "states"):
             scratch.drop(f"{name}{d}")
     return Tree(total, kinds, unknown, words, made)
 
