@@ -174,7 +174,7 @@ class FingerprintIndex:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def add(self, rows: DataFrame, scratch: Scratch, out: str = "candidates") -> DataFrame:
-        """Index rows(row, text) as a new run; row, pos of each candidate k-gram found by that, stored in scratch."""
+        """Index rows(row, text) as a new run; row, places of the candidate k-grams found by that, stored in scratch."""
         found = scratch.keep(rows.select("row", "text").mapInArrow(_entries(self.window, self.kgram), ENTRY), f"{out}-entries")
         if not self.runs:  # all runs have the buckets of the first, so that they merge without a shuffle
             self.buckets = max(self.buckets, -(-found.count() // BUCKET_ENTRIES))
@@ -193,7 +193,7 @@ class FingerprintIndex:
         union = parts[0]
         for part in parts[1:]:
             union = union.unionByName(part)
-        candidates = scratch.keep(union, out)
+        candidates = scratch.keep(union.groupBy("row").agg(F.collect_set("pos").alias("places")), out)
         if self.lasting:
             self.places.append(f"places_{uuid.uuid4().hex}")
             found.where("n = 0").write.parquet(f"{self.root}/{self.places[-1]}")
@@ -342,8 +342,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, b
 
 
 def verified_ranges(docs: DataFrame, candidates: DataFrame, scratch: Scratch, window: int = WINDOW, kgram: int = KGRAM, drop: list[str] | None = None) -> DataFrame:
-    """row, twin, ranges: windows of docs (numbered; all that candidates name) around candidates(row, pos) that occur twice; drop: tables then needed no more."""
-    places = scratch.keep(candidates.groupBy("row").agg(F.collect_set("pos").alias("places")), "places")
+    """row, twin, ranges: windows of docs (numbered; all that candidates name) around candidates(row, places) that occur twice; drop: tables then needed no more."""
+    places = scratch.keep(candidates.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "places")
     for name in drop or ():
         scratch.drop(name)
     # Repeated rows share their row number and so their places; each still counts as an occurrence.
