@@ -78,38 +78,59 @@ def _in_rects(x: Column, y: Column, rects) -> Column:
     return inside
 
 
+#: Type, confidence and name of each rule, in the order in which they are tried.
+RULES = (
+    ("zone_label", 1.0, "regex:zone_label"),
+    ("line_tag", 1.0, "regex:line_tag"),
+    ("instrument", 1.0, "regex:instrument"),
+    ("valve_tag", 1.0, "regex:valve_tag"),
+    ("nozzle", 1.0, "regex:nozzle"),
+    ("equipment_tag", 1.0, "regex:equipment_tag"),
+    ("title_field", 1.0, "regex:title_field"),
+    ("note_deleted", 1.0, "regex:note_deleted"),
+    ("dcn_note", 1.0, "regex:dcn_note"),
+    ("rev_row", 1.0, "regex:rev_row"),
+    ("note", 1.0, "regex:note"),
+    ("datasheet_row", 0.5, "region:datasheet"),
+    ("title_field", 0.5, "region:title_block"),
+    ("unknown", 0.1, "fallback:empty"),
+    ("unknown", 0.3, "fallback:tag_like"),
+    ("text", 0.3, "fallback:text"),
+)
+
+
+def _once(c: Column, make) -> Column:
+    """make(value) of a column that is computed once, however often make reads it."""
+    return F.get(F.transform(F.array(c), make), F.lit(0))
+
+
 def classify(text: Column, x: Column, y: Column) -> Column:
-    """struct(type, confidence, rule): the first rule that fits, from shapes to places to leftovers."""
-    t = strip(text)
-    made = lambda type_, confidence, rule: F.struct(F.lit(type_).alias("type"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
-    shapes = [
-        (zone_label_shaped(t, x, y), "zone_label", "regex:zone_label"),
-        (t.rlike(LINE_TAG), "line_tag", "regex:line_tag"),
-        (t.rlike(INSTRUMENT), "instrument", "regex:instrument"),
-        (t.rlike(VALVE_TAG), "valve_tag", "regex:valve_tag"),
-        (t.rlike(NOZZLE), "nozzle", "regex:nozzle"),
-        (t.rlike(EQUIPMENT_TAG), "equipment_tag", "regex:equipment_tag"),
-        (title_field(text).isNotNull(), "title_field", "regex:title_field"),
-        (t.rlike(DELETED_NOTE), "note_deleted", "regex:note_deleted"),
-        (t.rlike(DCN) & t.rlike(NUMBERED_NOTE), "dcn_note", "regex:dcn_note"),
-        (t.rlike(REVISION_ROW), "rev_row", "regex:rev_row"),
-        (t.rlike(NUMBERED_NOTE), "note", "regex:note"),
-    ]
-    out = F.when(shapes[0][0], made(shapes[0][1], 1.0, shapes[0][2]))
-    for test, type_, rule in shapes[1:]:
-        out = out.when(test, made(type_, 1.0, rule))
-    return (
-        out.when(_in_rects(x, y, DATASHEET_RECTS), made("datasheet_row", 0.5, "region:datasheet"))
-        .when(_in_rects(x, y, TITLE_RECTS), made("title_field", 0.5, "region:title_block"))
-        .when(t == "", made("unknown", 0.1, "fallback:empty"))
-        .when(~t.contains(" ") & (F.length(t) <= 20), made("unknown", 0.3, "fallback:tag_like"))
-        .otherwise(made("text", 0.3, "fallback:text"))
-    )
+    """struct(type, confidence, rule): the first rule that fits, from shapes to places to leftovers.
+
+    Only the rule's number is decided by cases; the rest is looked up, so the code that Spark makes stays small.
+    """
+
+    def rule(t: Column) -> Column:
+        tests = [
+            zone_label_shaped(t, x, y), t.rlike(LINE_TAG), t.rlike(INSTRUMENT), t.rlike(VALVE_TAG), t.rlike(NOZZLE), t.rlike(EQUIPMENT_TAG),
+            t.rlike("|".join((DRAWING_NUMBER, REVISION, SHEET, DATE))), t.rlike(DELETED_NOTE), t.rlike(DCN) & t.rlike(NUMBERED_NOTE), t.rlike(REVISION_ROW), t.rlike(NUMBERED_NOTE),
+            _in_rects(x, y, DATASHEET_RECTS), _in_rects(x, y, TITLE_RECTS), t == "", ~t.contains(" ") & (F.length(t) <= 20),
+        ]
+        out = F.when(tests[0], 0)
+        for i, test in enumerate(tests[1:], 1):
+            out = out.when(test, i)
+        return out.otherwise(len(tests))
+
+    looked = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("confidence"), F.lit(c).alias("rule")) for a, b, c in RULES])
+    return _once(strip(text), lambda t: F.get(looked, rule(t)))
 
 
 def attributes(text: Column, type_: Column) -> Column:
     """Array of struct(key, num, str): what a run of the given type carries; lists and pairs are canonical strings."""
-    t = strip(text)
+    return _once(strip(text), lambda t: _attributes(t, type_))
+
+
+def _attributes(t: Column, type_: Column) -> Column:
     none = lambda kind: F.lit(None).cast(kind)
     num = lambda k, c: F.struct(F.lit(k).alias("key"), c.cast("double").alias("num"), none("string").alias("str"))
     word = lambda k, c: F.struct(F.lit(k).alias("key"), none("double").alias("num"), c.cast("string").alias("str"))

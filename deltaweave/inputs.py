@@ -1,7 +1,8 @@
 """Inputs of the registered queries, made from the driver's tables.
 
 Each is one SQL text with {table} holes that both Spark and the oracle's engine
-read, so the two sides compute on the same rows.
+read, so the two sides compute on the same rows. All rows of a table are read, and
+the pairs (20 parts each) grow in number with it.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SELECT p_partkey + 1000000, p_name, p_brand, CAST(p_size AS DOUBLE), p_retailpri
 
 #: Twelve kinds of text, one in eleven malformed, some with white space around; places on a grid of 1/10,000.
 ELEMENTS = """
-SELECT p_partkey AS k, p_partkey % 40 AS pair_id, CAST(1 + p_partkey % 2 AS INT) AS sheet,
+SELECT p_partkey AS k, CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 + p_partkey % 2 AS INT) AS sheet,
   CASE WHEN p_partkey % 7 = 0 THEN '  ' ELSE '' END ||
   CASE p_partkey % 14
     WHEN 0 THEN CAST(p_partkey % 9 + 2 AS STRING) || '"-PV-26-' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || '-GC11S-38'
@@ -73,27 +74,27 @@ WORDS_DUCK = "SELECT doc_id, i - 1 AS i, a[i] AS w FROM (SELECT doc_id, a, unnes
 ANSWERS = """
 SELECT conv_id * 1000 + turn AS answer_id, conv_id,
   CASE WHEN conv_id % 9 = 0 THEN 'REFUSED: nothing found'
-    WHEN conv_id % 7 = 0 THEN substr(text, 1, 80)
-    ELSE substr(text, 1, 80) || ' [A:1:B-3:el_' || CAST(conv_id % 50 AS STRING) || '] and [delta:2:-:delta' || CAST(turn AS STRING) || '].' || CASE WHEN conv_id % 5 = 0 THEN ' [B:1:C-4:el_unknown]' ELSE '' END END AS answer
+    WHEN conv_id % 7 = 0 THEN text
+    ELSE text || ' [A:1:B-3:el_' || CAST(conv_id % 50 AS STRING) || '] and [delta:2:-:delta' || CAST(turn AS STRING) || '].' || CASE WHEN conv_id % 5 = 0 THEN ' [B:1:C-4:el_unknown]' ELSE '' END END AS answer
 FROM {conversations} WHERE role = 'assistant'"""
 
 #: Regions, text boxes and change boxes on a unit sheet, on a grid.
 REGIONS = """
-SELECT p_partkey AS region_id, p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, (p_partkey * 37 % 90) / 1e2 AS x0, (p_partkey * 53 % 90) / 1e2 AS y0,
+SELECT p_partkey AS region_id, CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, (p_partkey * 37 % 90) / 1e2 AS x0, (p_partkey * 53 % 90) / 1e2 AS y0,
   (p_partkey * 37 % 90) / 1e2 + (p_partkey % 5 + 3) / 1e2 AS x1, (p_partkey * 53 % 90) / 1e2 + (p_partkey % 3 + 3) / 1e2 AS y1,
   CAST(150 + p_partkey * 17 % 6000 AS INT) AS area_px, (p_partkey * 7919 % 1009) / 1009e0 AS magnitude
-FROM {part} WHERE p_partkey % 4 = 0"""
+FROM {part}"""
 
 CHANGE_BOXES = """
-SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, (p_partkey * 41 % 90) / 1e2 AS x0, (p_partkey * 59 % 90) / 1e2 AS y0,
+SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, (p_partkey * 41 % 90) / 1e2 AS x0, (p_partkey * 59 % 90) / 1e2 AS y0,
   (p_partkey * 41 % 90) / 1e2 + 4e-2 AS x1, (p_partkey * 59 % 90) / 1e2 + 4e-2 AS y1
-FROM {part} WHERE p_partkey % 9 = 1"""
+FROM {part}"""
 
 TEXT_BOXES = """
-SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'B' END AS side, CASE WHEN p_partkey % 13 = 0 THEN 'geometry' ELSE 'text' END AS type,
+SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'B' END AS side, CASE WHEN p_partkey % 13 = 0 THEN 'geometry' ELSE 'text' END AS type,
   CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_brand END AS content, (p_partkey * 43 % 90) / 1e2 AS x0, (p_partkey * 61 % 90) / 1e2 AS y0,
   (p_partkey * 43 % 90) / 1e2 + 7e-2 AS x1, (p_partkey * 61 % 90) / 1e2 + 6e-2 AS y1
-FROM {part} WHERE p_partkey % 5 < 3"""
+FROM {part}"""
 
 #: Labelled and predicted changes of documents.
 SCORED = """

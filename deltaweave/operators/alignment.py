@@ -86,6 +86,22 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
 
 
+def similarity_column():
+    """similarity as a function of two columns; every distinct pair of a batch is compared once."""
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen: dict[tuple[str, str], float] = {}
+        out = []
+        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
+            if pair not in seen:
+                seen[pair] = similarity(*pair)
+            out.append(seen[pair])
+        return pd.Series(out, dtype=float)
+
+    return of
+
+
 MATCH = "pair_id long, sheet int, bucket string, ord_a int, ord_b int, cost double, margin double, near_miss double"
 
 

@@ -13,12 +13,16 @@ def insert_note(notes: DataFrame, by: list[str], at: int, text: str) -> DataFram
     return moved.unionByName(new)
 
 
-def update_references(text: Column, at: int, last: int = 99) -> Column:
-    """NOTE n in running text, for n from ``at`` on, becomes NOTE n + 1; the highest goes first, so none moves twice."""
-    out = text
-    for n in range(last, at - 1, -1):
-        out = F.regexp_replace(out, rf"\bNOTE {n}\b", f"NOTE {n + 1}")
-    return out
+def update_references(text: Column, at: int) -> Column:
+    """NOTE n in running text, for every n from ``at`` on, becomes NOTE n + 1."""
+    rest = F.split(text, r"\bNOTE \d+\b")
+    numbers = F.regexp_extract_all(text, F.lit(r"\bNOTE (\d+)\b"), 1)
+
+    def renumbered(digits: Column) -> Column:
+        n = digits.try_cast("decimal(38,0)")
+        return F.concat(F.lit("NOTE "), F.when(n >= at, (n + 1).cast("string")).otherwise(digits))
+
+    return F.array_join(F.zip_with(rest, numbers, lambda piece, digits: F.concat(piece, F.coalesce(renumbered(digits), F.lit("")))), "")
 
 
 def delete_note(notes: DataFrame, doomed: Column) -> DataFrame:
@@ -45,8 +49,8 @@ def set_value(elements: DataFrame, where: Column, column: str, value: Column) ->
 
 
 def reword(elements: DataFrame, column: str, phrases: DataFrame) -> DataFrame:
-    """Replace texts that have an equivalent in phrases(old, new)."""
-    return elements.join(F.broadcast(phrases), F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
+    """Replace texts that have an equivalent in phrases(old, new); Spark broadcasts them if it finds them small."""
+    return elements.join(phrases, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
 
 
 def move(elements: DataFrame, where: Column, dx: float, dy: float) -> DataFrame:
@@ -54,6 +58,33 @@ def move(elements: DataFrame, where: Column, dx: float, dy: float) -> DataFrame:
     return elements.withColumn("x", hold("x", dx)).withColumn("y", hold("y", dy))
 
 
+def swap_symbol(shapes: DataFrame, where: Column) -> DataFrame:
+    """The other symbol at the same place: circles become squares of their radius and rectangles circles; shapes(kind, x0, y0, x1, y1)."""
+    half = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    kind = F.when(F.col("kind") == "circle", "rect").when(F.col("kind") == "rect", "circle").otherwise(F.col("kind"))
+    boxed = {"x0": cx - half, "y0": cy - half, "x1": cx + half, "y1": cy + half}
+    return shapes.withColumns({"kind": F.when(where, kind).otherwise(F.col("kind"))} | {c: F.when(where, v).otherwise(F.col(c)) for c, v in boxed.items()})
+
+
+def reroute(lines: DataFrame, where: Column, by: float) -> DataFrame:
+    """A straight line becomes three, round a corner pair at a distance: lines(line_id, seg, x0, y0, x1, y1) inside the sheet.
+
+    Lines that are more level go up or down, others sideways; towards the side with
+    more room. Lines elsewhere stay as they are.
+    """
+    level = F.abs(F.col("x1") - F.col("x0")) >= F.abs(F.col("y1") - F.col("y0"))
+    mid = F.when(level, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2)
+    off = F.when(mid < 0.5, by).otherwise(-by)
+    dx, dy = F.when(level, 0.0).otherwise(off), F.when(level, off).otherwise(0.0)
+    a, b = (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))
+    a2, b2 = (a[0] + dx, a[1] + dy), (b[0] + dx, b[1] + dy)
+    part = lambda p, q: F.struct(p[0].alias("x0"), p[1].alias("y0"), q[0].alias("x1"), q[1].alias("y1"))
+    parts = F.when(where, F.array(part(a, a2), part(a2, b2), part(b2, b))).otherwise(F.array(part(a, b)))
+    rest = [c for c in lines.columns if c not in ("seg", "x0", "y0", "x1", "y1")]
+    return lines.select(*rest, "seg", F.posexplode(parts).alias("part", "p")).select(*rest, (F.col("seg") * 3 + F.col("part")).alias("seg"), "p.*")
+
+
 def bump_revision(label: Column) -> Column:
     """The next letter; Z stays."""
     return F.when(label >= "Z", label).otherwise(F.chr(F.ascii(label) + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,16 +132,30 @@ def last_emission(emitted: DataFrame, key: list[str], order: str, values: list[s
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best similarity (0 to 100) of the shorter text with any window of its length in the longer one."""
+    """Best similarity (0 to 100) of the shorter text with any window of its length in the longer one.
+
+    Windows are tried by the most that their characters, in any order, could reach, until none can be better.
+    """
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long_ else 0.0
+    size, need = len(short), Counter(short)
+    have: Counter[str] = Counter()
+    common, tried = 0, []
+    for i in range(1 - size, len(long_)):
+        if i + size <= len(long_):
+            have[x := long_[i + size - 1]] += 1
+            common += have[x] <= need[x]
+        if i > 0:
+            common -= have[x := long_[i - 1]] <= need[x]
+            have[x] -= 1
+        start = max(0, i)
+        tried.append((-2 * common / (size + min(len(long_), i + size) - start), start, i + size))
     best = 0.0
-    for i in range(1 - len(short), len(long_)):
-        part = long_[max(0, i) : i + len(short)]
-        best = max(best, similarity(short, part))
-        if best == 1:
+    for bound, start, end in sorted(tried):
+        if -bound <= best:
             break
+        best = max(best, similarity(short, long_[start:end]))
     return 100 * best
 
 

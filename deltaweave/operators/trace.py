@@ -49,11 +49,15 @@ def rollup(spans: DataFrame, by: list[str]) -> DataFrame:
     return spans.groupBy(*by).agg(F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("status") == "error").alias("n_errors"), F.sum(took).alias("total_s"), F.max(took).alias("longest_s"))
 
 
-def tree(spans: DataFrame, depth: int = 16) -> DataFrame:
-    """correlation_id, span_id, name, level, path: levels are joined one by one, as deep as traces go."""
+def tree(spans: DataFrame) -> DataFrame:
+    """correlation_id, span_id, name, level, path: levels are joined one by one until one is empty.
+
+    A span whose parent is not there, or that is its own ancestor, is in no tree and left out.
+    """
     level = spans.where("parent_id IS NULL").select("correlation_id", "span_id", "name", F.lit(0).alias("level"), F.col("name").alias("path"))
-    out = level
-    for i in range(1, depth):
+    out, i = level, 0
+    while not level.isEmpty():
+        i += 1
         parent = level.select("correlation_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_path"))
         level = spans.join(parent, ["correlation_id", "parent_id"]).select("correlation_id", "span_id", "name", F.lit(i).alias("level"), F.concat_ws("/", "_path", "name").alias("path"))
         out = out.unionByName(level)

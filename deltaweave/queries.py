@@ -92,14 +92,14 @@ def delta_summary(spark, d):
     return deltas.summary(_annotated(spark, d), ["brand"])
 
 
-@query(f"""SELECT k, CAST(row_number() OVER (PARTITION BY k % 40 ORDER BY list_position(['add', 'remove', 'modify', 'move'], kind), -(list_position(['low', 'medium', 'high', 'critical'], severity)), k) AS INT) AS position FROM ({ANNOTATED}) a""")
+@query(f"""SELECT k, CAST(row_number() OVER (PARTITION BY CAST(FLOOR(k / 2e1) AS BIGINT) ORDER BY list_position(['add', 'remove', 'modify', 'move'], kind), -(list_position(['low', 'medium', 'high', 'critical'], severity)), k) AS INT) AS position FROM ({ANNOTATED}) a""")
 def report_positions(spark, d):
-    return deltas.report_order(_annotated(spark, d).withColumn("pair_id", col("k") % 40).withColumn("sheet", lit(1))).select("k", "position")
+    return deltas.report_order(_annotated(spark, d).withColumn("pair_id", F.floor(col("k") / 20)).withColumn("sheet", lit(1))).select("k", "position")
 
 
-@query(f"SELECT k % 40 AS pair_id, 1 AS sheet, kind, CAST(count(*) AS BIGINT) AS n FROM ({ANNOTATED}) a GROUP BY ALL")
+@query(f"SELECT CAST(FLOOR(k / 2e1) AS BIGINT) AS pair_id, 1 AS sheet, kind, CAST(count(*) AS BIGINT) AS n FROM ({ANNOTATED}) a GROUP BY ALL")
 def kind_counts(spark, d):
-    return _annotated(spark, d).groupBy((col("k") % 40).alias("pair_id"), lit(1).alias("sheet"), "kind").agg(F.count(lit(1)).alias("n"))
+    return _annotated(spark, d).groupBy(F.floor(col("k") / 20).alias("pair_id"), lit(1).alias("sheet"), "kind").agg(F.count(lit(1)).alias("n"))
 
 
 DESCRIBED = f"""SELECT k, CASE kind WHEN 'add' THEN 'instrument added: ' || substr(nb, 1, 60) WHEN 'remove' THEN 'instrument removed: ' || substr(na, 1, 60)
@@ -321,7 +321,7 @@ def refusal_control(spark, d):
 
 
 #: B is A turned by 0.05 and scaled by 1.1 with a shift, so the way back is known; a seventh of the anchors are doubled.
-FRAMES = """SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, 'equipment_tag' AS type, CASE WHEN p_partkey % 7 = 0 THEN 'dup' ELSE 'T' || CAST(p_partkey AS STRING) END AS content,
+FRAMES = """SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, 'equipment_tag' AS type, CASE WHEN p_partkey % 7 = 0 THEN 'dup' ELSE 'T' || CAST(p_partkey AS STRING) END AS content,
   (p_partkey * 37 % 1000) / 1e3 AS ax, (p_partkey * 91 % 1000) / 1e3 AS ay FROM {part}"""
 SIMILARITY = f"""
 WITH f AS (SELECT *, 1.1 * (cos(0.05) * ax - sin(0.05) * ay) + 0.02 AS bx, 1.1 * (sin(0.05) * ax + cos(0.05) * ay) - 0.01 AS by_ FROM {I.named(FRAMES)} q QUALIFY count(*) OVER (PARTITION BY pair_id, sheet, content) = 1),
@@ -349,8 +349,8 @@ def sheet_match(spark, d):
 
 # --- alignment ---------------------------------------------------------------
 
-SIDES = """SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, CASE WHEN p_partkey % 9 < 3 THEN 'note' WHEN p_partkey % 9 < 6 THEN 'instrument' ELSE 'geometry' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 'line' ELSE 'circle' END AS geom_kind,
-  CAST(p_partkey AS INT) AS ord, substr(p_name, 1, 12) AS content, (p_partkey * 37 % 1000) / 1e3 AS x, (p_partkey * 91 % 1000) / 1e3 AS y, p_partkey % 11 AS m FROM {part} WHERE p_partkey <= 800"""
+SIDES = """SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, CASE WHEN p_partkey % 9 < 3 THEN 'note' WHEN p_partkey % 9 < 6 THEN 'instrument' ELSE 'geometry' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 'line' ELSE 'circle' END AS geom_kind,
+  CAST(p_partkey AS INT) AS ord, p_name AS content, (p_partkey * 37 % 1000) / 1e3 AS x, (p_partkey * 91 % 1000) / 1e3 AS y, p_partkey % 11 AS m FROM {part}"""
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -361,14 +361,15 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
 
 BUCKETED = f"(SELECT *, CASE WHEN type = 'geometry' THEN 'geometry:' || geom_kind WHEN type = 'note' THEN 'dcn_note|note|note_deleted' ELSE type END AS bucket FROM {I.named(SIDES)} q)"
 LCS_DUCK = "list_last(list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0), list_transform(string_split({a}, ''), lambda ch: [unicode(ch)])), lambda row, one: list_reduce(list_prepend([0], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda new, jj: list_append(new, CASE WHEN unicode({b}[jj[1]:jj[1]]) = one[1] THEN row[jj[1]] + 1 ELSE greatest(row[jj[1] + 1], new[len(new)]) END))))"
+LIKENESS = "CASE WHEN a.content = b.content THEN 1 ELSE 2.0 * " + LCS_DUCK.format(a="a.content", b="b.content") + " / (length(a.content) + length(b.content)) END"
 COSTS = f"""
-SELECT a.pair_id, a.sheet, a.bucket, a.ord AS ord_a, b.ord AS ord_b, 0.6 * (CASE WHEN a.content = b.content THEN 0 ELSE 1 END) + 0.4 * sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost
+SELECT a.pair_id, a.sheet, a.bucket, a.ord AS ord_a, b.ord AS ord_b, 0.6 * (1 - {LIKENESS}) + 0.4 * sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS cost
 FROM (SELECT * FROM {BUCKETED} q WHERE m <> 9) a JOIN (SELECT pair_id, sheet, bucket, ord, CASE WHEN m = 5 THEN 'x' || content ELSE content END AS content, x + CASE WHEN m = 7 THEN 5e-2 ELSE 1e-3 END AS x, y FROM {BUCKETED} q WHERE m <> 3) b USING (pair_id, sheet, bucket)"""
 
 
 def _costs(spark, d) -> DataFrame:
     a, b = _sides(spark, d)
-    return alignment.candidate_costs(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(0.0))
+    return alignment.candidate_costs(a, b, alignment.similarity_column())
 
 
 @query(f"SELECT pair_id, bucket, ord_a, ord_b, round(cost, 6) AS cost FROM ({COSTS}) c")
@@ -399,9 +400,9 @@ def element_assignment(spark, d):
     return alignment.match_elements(a, b, none)
 
 
-@query("SELECT a.p_partkey AS k, round(2.0 * " + LCS_DUCK.format(a="a.s", b="b.s") + " / (length(a.s) + length(b.s)), 6) AS similarity FROM (SELECT p_partkey, substr(p_name, 1, 14) AS s FROM part) a JOIN (SELECT p_partkey, substr(p_name, 1, 14) AS s FROM part) b ON b.p_partkey = a.p_partkey + 1")
+@query("SELECT a.p_partkey AS k, round(2.0 * " + LCS_DUCK.format(a="a.s", b="b.s") + " / (length(a.s) + length(b.s)), 6) AS similarity FROM (SELECT p_partkey, p_name AS s FROM part) a JOIN (SELECT p_partkey, p_name AS s FROM part) b ON b.p_partkey = a.p_partkey + 1")
 def indel_pairs(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.substring("p_name", 1, 14).alias("s"))
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", col("p_name").alias("s"))
     both = p.select(col("p_partkey").alias("k"), col("s").alias("a")).join(p.select((col("p_partkey") - 1).alias("k"), col("s").alias("b")), "k")
     return both.select("k", F.round(X.indel_similarity(col("a"), col("b")), 6).alias("similarity"))
 
@@ -473,24 +474,24 @@ TOK_DUCK = "list_concat(list_transform(regexp_extract_all({t}, '[A-Za-z0-9\"''/.
 BM25 = f"""
 WITH t AS (SELECT doc_id, unnest({TOK_DUCK.format(t="text")}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),
 n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM l) AS total), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT item_id AS question_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK_DUCK.format(t="text")}[1:8]) AS term FROM benchmark) b GROUP BY ALL),
+q AS (SELECT item_id AS question_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK_DUCK.format(t="text")}) AS term FROM benchmark) b GROUP BY ALL),
 s AS (SELECT question_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY ALL HAVING sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))) > 0)
-SELECT question_id, doc_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s) r WHERE rank <= 8"""
+SELECT question_id, doc_id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s) r WHERE rank <= 8"""
 
 
 @query(BM25)
 def bm25_topk(spark, d):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
-    terms = items.select(col("item_id").alias("question_id"), F.explode(F.slice(X.tokenise(col("text")), 1, 8)).alias("term"))
+    terms = items.select(col("item_id").alias("question_id"), F.explode(X.tokenise(col("text"))).alias("term"))
     post = retrieval.postings(docs, col("text"), terms)
     total = docs.agg(F.count(lit(1)).alias("n"), F.sum(F.size(X.tokenise(F.coalesce("text", lit(""))))).alias("total"))
-    return retrieval.top_k(retrieval.bm25(post, total, terms), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return retrieval.top_k(retrieval.bm25(post, total, terms), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT doc_id, array_to_string({TOK_DUCK.format(t='text')}, ' ') AS tokens FROM (SELECT doc_id, replace(substr(text, 1, 300), 'a', '-') AS text FROM documents) x")
+@query(f"SELECT doc_id, array_to_string({TOK_DUCK.format(t='text')}, ' ') AS tokens FROM (SELECT doc_id, replace(text, 'a', '-') AS text FROM documents) x")
 def tokeniser(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.array_join(X.tokenise(F.replace(F.substring("text", 1, 300), lit("a"), lit("-"))), " ").alias("tokens"))
+    return docs.select("doc_id", F.array_join(X.tokenise(F.replace("text", lit("a"), lit("-"))), " ").alias("tokens"))
 
 
 @query("SELECT c.conv_id * 1000 + c.turn AS question_id, a.target AS term FROM conversations c JOIN (VALUES " + ", ".join(f"('{p}', '{t}')" for p, t in (("the", "x1"), ("or", "x2"), ("thing", "x3"))) + ") a(phrase, target) ON contains(lower(c.text), a.phrase)")
@@ -526,10 +527,10 @@ def answer_gate(spark, d):
     return retrieval.gate(answers, checked, answers.where("conv_id % 11 <> 0").select("answer_id"))
 
 
-@query(f"SELECT answer_id, CAST(c.place AS INT) AS place, regexp_replace(answer[greatest(1, strpos(answer, raw) - 60):strpos(answer, raw) + length(raw) - 1], '^\\s+|\\s+$', '', 'g') AS sentence FROM ({CITED}) c JOIN {I.named(I.ANSWERS)} s USING (answer_id)")
+@query(f"SELECT answer_id, CAST(c.place AS INT) AS place, regexp_replace(answer[greatest(1, strpos(answer, raw) - 200):strpos(answer, raw) + length(raw) - 1], '^\\s+|\\s+$', '', 'g') AS sentence FROM ({CITED}) c JOIN {I.named(I.ANSWERS)} s USING (answer_id)")
 def sentence_windows(spark, d):
     answers = I.made(spark, d, I.ANSWERS)
-    return retrieval.cited(answers).join(answers, "answer_id").select("answer_id", "place", X.sentence_before(col("answer"), col("raw"), 60).alias("sentence"))
+    return retrieval.cited(answers).join(answers, "answer_id").select("answer_id", "place", X.sentence_before(col("answer"), col("raw"), 200).alias("sentence"))
 
 
 @query()
@@ -537,7 +538,7 @@ def citation_support(spark, d):
     """Best windowed similarity; tests hold it against known cases."""
     answers = I.made(spark, d, I.ANSWERS)
     found = retrieval.cited(answers).join(answers, "answer_id")
-    pairs = found.select("answer_id", "place", X.sentence_before(col("answer"), col("raw"), 60).alias("sentence"), F.substring("answer", 1, 40).alias("content"))
+    pairs = found.select("answer_id", "place", X.sentence_before(col("answer"), col("raw"), 200).alias("sentence"), col("answer").alias("content"))
     return evaluation.content_supported(pairs).select("answer_id", "place", F.round("ratio", 4).alias("ratio"), "supported")
 
 
@@ -642,7 +643,7 @@ def backend_costs(spark, d):
 
 # --- edits -------------------------------------------------------------------
 
-NOTES = """SELECT p_partkey % 40 AS pair_id, CAST(FLOOR(p_partkey / 4e1) AS INT) + 1 AS note_no, CASE WHEN p_partkey % 3 = 0 THEN 'DELETED.' ELSE p_name || ' SEE NOTE ' || CAST(p_partkey % 20 AS STRING) END AS body FROM {part} WHERE p_partkey < 1200"""
+NOTES = """SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(p_partkey % 20 AS INT) + 1 AS note_no, CASE WHEN p_partkey % 3 = 0 THEN 'DELETED.' ELSE p_name || ' SEE NOTE ' || CAST(p_partkey % 230 AS STRING) END AS body FROM {part}"""
 
 
 
@@ -653,7 +654,7 @@ def insert_notes(spark, d):
 
 @query(f"SELECT pair_id, note_no, CASE WHEN TRY_CAST(regexp_extract(body, ' SEE NOTE (\\d+)$', 1) AS INT) >= 5 THEN regexp_replace(body, '\\d+$', CAST(TRY_CAST(regexp_extract(body, ' SEE NOTE (\\d+)$', 1) AS INT) + 1 AS VARCHAR)) ELSE body END AS body FROM {I.named(NOTES)} n")
 def note_references(spark, d):
-    return I.made(spark, d, NOTES).withColumn("body", edits.update_references(col("body"), 5, 20))
+    return I.made(spark, d, NOTES).withColumn("body", edits.update_references(col("body"), 5))
 
 
 @query(f"""WITH n AS {I.named(NOTES)}, f AS (SELECT *, CASE WHEN body = 'DELETED.' AND lag(body) OVER w = 'DELETED.' AND lag(note_no) OVER w = note_no - 1 THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY pair_id ORDER BY note_no)), g AS (SELECT *, sum(new) OVER (PARTITION BY pair_id ORDER BY note_no) AS run FROM f)
@@ -698,7 +699,7 @@ TREE = "SELECT CAST(FLOOR(event_id / 8e0) AS BIGINT) AS correlation_id, event_id
 
 @query(f"WITH RECURSIVE s AS {I.named(TREE)}, t AS (SELECT correlation_id, span_id, name, 0 AS level, name AS path FROM s WHERE parent_id IS NULL UNION ALL SELECT s.correlation_id, s.span_id, s.name, t.level + 1, t.path || '/' || s.name FROM s JOIN t ON s.correlation_id = t.correlation_id AND s.parent_id = t.span_id) SELECT * FROM t")
 def trace_tree(spark, d):
-    return trace.tree(I.made(spark, d, TREE), 5)
+    return trace.tree(I.made(spark, d, TREE))
 
 
 @query(f"""SELECT did, drawn_on, colour, filled, round(CASE WHEN drawn_on = 'A' THEN xa ELSE xb END, 6) AS x0 FROM (
@@ -716,9 +717,9 @@ def annotation_boxes(spark, d):
     return r.select("region_id", F.round("box.x0", 6).alias("x0"), F.round("box.y1", 6).alias("y1"))
 
 
-@query(f"SELECT k % 40 AS pair_id, '# Changes' || chr(10) || chr(10) || string_agg(CASE WHEN is_cascade THEN '  - ' ELSE '- ' END || '**' || kind || '** [' || severity || '] k' || CAST(k AS VARCHAR), chr(10) ORDER BY k) || chr(10) AS report FROM ({ANNOTATED}) a GROUP BY ALL")
+@query(f"SELECT CAST(FLOOR(k / 2e1) AS BIGINT) AS pair_id, '# Changes' || chr(10) || chr(10) || string_agg(CASE WHEN is_cascade THEN '  - ' ELSE '- ' END || '**' || kind || '** [' || severity || '] k' || CAST(k AS VARCHAR), chr(10) ORDER BY k) || chr(10) AS report FROM ({ANNOTATED}) a GROUP BY ALL")
 def markdown_report(spark, d):
-    a = _annotated(spark, d).select((col("k") % 40).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "kind", "severity", "is_cascade", F.concat(lit("k"), col("k").cast("string")).alias("description"))
+    a = _annotated(spark, d).select(F.floor(col("k") / 20).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "kind", "severity", "is_cascade", F.concat(lit("k"), col("k").cast("string")).alias("description"))
     return rendering.markdown_report(a)
 
 
@@ -727,12 +728,12 @@ def _quoted(text: str) -> str:
 
 
 @query(
-    f"""SELECT k % 40 AS pair_id, {_quoted(rendering.HTML_HEAD)} || '[' || string_agg('{{"k":' || k || ',"kind":"' || kind || '","severity":"' || severity || '","is_cascade":' || is_cascade || '}}', ',' ORDER BY k) || ']' || {_quoted(rendering.HTML_TAIL)} AS report
+    f"""SELECT CAST(FLOOR(k / 2e1) AS BIGINT) AS pair_id, {_quoted(rendering.HTML_HEAD)} || '[' || string_agg('{{"k":' || k || ',"kind":"' || kind || '","severity":"' || severity || '","is_cascade":' || is_cascade || '}}', ',' ORDER BY k) || ']' || {_quoted(rendering.HTML_TAIL)} AS report
 FROM ({ANNOTATED}) a GROUP BY ALL"""
 )
 def html_report(spark, d):
     """One page for each pair; tests read the records back from it."""
-    a = _annotated(spark, d).select((col("k") % 40).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "k", "kind", "severity", "is_cascade")
+    a = _annotated(spark, d).select(F.floor(col("k") / 20).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "k", "kind", "severity", "is_cascade")
     return rendering.html_report(a, ["k", "kind", "severity", "is_cascade"])
 
 
@@ -786,8 +787,8 @@ def fidelity_guard(spark, d):
     return generation.unfaithful(e, p.select("page_id", col("html").alias("page_text"))).select("page_id", "content")
 
 
-TRUTH = "SELECT p_partkey AS row_id, p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE p_partkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'move' ELSE 'modify' END AS kind FROM {part} WHERE p_partkey % 5 = 0"
-FOUND = "SELECT p_partkey % 40 AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE WHEN p_partkey % 4 = 0 THEN 'unclassified_visual_change' WHEN p_partkey % 3 = 0 THEN 'add' WHEN p_partkey % 3 = 1 THEN 'move' ELSE 'remove' END AS kind, p_partkey % 7 = 0 AS is_cascade FROM {part} WHERE p_partkey % 11 = 0"
+TRUTH = "SELECT p_partkey AS row_id, CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE p_partkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'move' ELSE 'modify' END AS kind FROM {part}"
+FOUND = "SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS sheet, 'B-' || CAST(p_partkey % 12 + 1 AS STRING) AS zone, CASE WHEN p_partkey % 4 = 0 THEN 'unclassified_visual_change' WHEN p_partkey % 3 = 0 THEN 'add' WHEN p_partkey % 3 = 1 THEN 'move' ELSE 'remove' END AS kind, p_partkey % 7 = 0 AS is_cascade FROM {part}"
 
 
 def _hit(extra: str) -> str:
@@ -815,9 +816,9 @@ def direct_changes(spark, d):
     return evaluation.direct_changes(I.made(spark, d, REPLIES))
 
 
-@query(f"SELECT pair_id, side, string_agg('[' || zone || '] ' || content, chr(10) ORDER BY ord) AS prompt FROM (SELECT k % 40 AS pair_id, 'A' AS side, k AS ord, t AS content, {ZONE.format(x='x', y='y')} AS zone FROM ({CLASSIFIED}) c WHERE trim(t) <> '') e GROUP BY ALL")
+@query(f"SELECT pair_id, side, string_agg('[' || zone || '] ' || content, chr(10) ORDER BY ord) AS prompt FROM (SELECT CAST(FLOOR(k / 2e1) AS BIGINT) AS pair_id, 'A' AS side, k AS ord, t AS content, {ZONE.format(x='x', y='y')} AS zone FROM ({CLASSIFIED}) c WHERE trim(t) <> '') e GROUP BY ALL")
 def direct_prompts(spark, d):
-    e = _classified(spark, d).select((col("k") % 40).alias("pair_id"), lit("A").alias("side"), col("k").alias("ord"), "type", X.strip(col("text")).alias("content"), G.zone(col("x"), col("y")).alias("zone"))
+    e = _classified(spark, d).select(F.floor(col("k") / 20).alias("pair_id"), lit("A").alias("side"), col("k").alias("ord"), "type", X.strip(col("text")).alias("content"), G.zone(col("x"), col("y")).alias("zone"))
     return evaluation.direct_prompt(e)
 
 
