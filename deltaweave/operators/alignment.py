@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,49 +115,61 @@ def match_elements(a: DataFrame, b: DataFrame, transforms: DataFrame, s: Setting
     element left over has its least cost in the bucket, null if there was no partner.
 
     Pools are sorted by (y, x, ord), so equal optima are broken the same way each
-    time. A bucket is one group of one sheet, which a drawing bounds; the work is
-    split over (pair, sheet, bucket).
+    time. A task holds one sheet, which a drawing bounds; the work is split over
+    (pair, sheet).
     """
     moved = b.join(transforms, "pair_id", "left").withColumn("_c", F.coalesce("scale", F.lit(1.0)) * F.cos(F.coalesce("rotation", F.lit(0.0)))).withColumn(
         "_s", F.coalesce("scale", F.lit(1.0)) * F.sin(F.coalesce("rotation", F.lit(0.0)))
     )
     moved = moved.select(*BUCKET, "ord", "content", (F.col("_c") * F.col("x") - F.col("_s") * F.col("y") + F.coalesce("tx", F.lit(0.0))).alias("x"), (F.col("_s") * F.col("x") + F.col("_c") * F.col("y") + F.coalesce("ty", F.lit(0.0))).alias("y"))
 
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (d.sort_values(["y", "x", "ord"]).reset_index(drop=True) for d in (left, right))
-        n, m = len(left), len(right)
+    def solve(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """All buckets of one sheet."""
+        sides = [{}, {}]
+        for side, table in zip(sides, (left, right), strict=True):
+            bucket, order = table["bucket"].to_pylist(), np.lexsort([table[c].to_numpy() for c in ("ord", "x", "y")])
+            columns = table["ord"].to_numpy(), table["content"].to_pylist(), table["x"].to_numpy(), table["y"].to_numpy()
+            for i in order.tolist():
+                side.setdefault(bucket[i], []).append((int(columns[0][i]), columns[1][i] or "", columns[2][i], columns[3][i]))
+        seen: dict[tuple[str, str], float] = {}
         out = []
-        if n and m:
-            seen: dict[tuple[str, str], float] = {}
-            text = np.empty((n, m))
-            for i, x in enumerate(left["content"]):
-                for j, y in enumerate(right["content"]):
-                    if (x, y) not in seen:
-                        seen[x, y] = similarity(x or "", y or "")
-                    text[i, j] = seen[x, y]
-            far = np.hypot(left["x"].to_numpy()[:, None] - right["x"].to_numpy(), left["y"].to_numpy()[:, None] - right["y"].to_numpy())
-            cost = s.text_weight * (1 - text) + s.space_weight * far
-            rows, cols = solve_assignment(cost)
-            good = cost[rows, cols] <= s.max_cost
-            rows, cols = rows[good], cols[good]
-            for i, j in zip(rows, cols, strict=True):
-                rest = np.concatenate([np.delete(cost[i], j), np.delete(cost[:, j], i)])
-                out.append((left["ord"][i], right["ord"][j], cost[i, j], rest.min() - cost[i, j] if len(rest) else None, None))
-            out += [(left["ord"][i], None, None, None, cost[i].min()) for i in set(range(n)) - set(rows)]
-            out += [(None, right["ord"][j], None, None, cost[:, j].min()) for j in set(range(m)) - set(cols)]
-        else:
-            out = [(o, None, None, None, None) for o in left["ord"]] + [(None, o, None, None, None) for o in right["ord"]]
-        frame = pd.DataFrame(out, columns=["ord_a", "ord_b", "cost", "margin", "near_miss"]).astype({"ord_a": "Int32", "ord_b": "Int32", "cost": float, "margin": float, "near_miss": float})
-        frame.insert(0, "bucket", key[2])
-        frame.insert(0, "sheet", key[1])
-        frame.insert(0, "pair_id", key[0])
-        return frame
+        for bucket in sorted({*sides[0], *sides[1]}):
+            a, b = (side.get(bucket, []) for side in sides)
+            out += [(key[0].as_py(), key[1].as_py(), bucket, *row) for row in _solve_bucket(a, b, seen, s)]
+        columns = zip(*out, strict=True) if out else [[]] * 8
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _MATCH_TYPES, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
 
     keep = [*BUCKET, "ord", "content", "x", "y"]
     # Both sides may come from one table; new names keep their columns apart.
     left = a.select(*[F.col(c).alias(c) for c in keep]).alias("a")
     right = moved.select(*[F.col(c).alias(c) for c in keep]).alias("b")
-    return left.groupBy(*[F.col(f"a.{c}") for c in BUCKET]).cogroup(right.groupBy(*[F.col(f"b.{c}") for c in BUCKET])).applyInPandas(solve, MATCH)
+    sheet = BUCKET[:2]
+    return left.groupBy(*[F.col(f"a.{c}") for c in sheet]).cogroup(right.groupBy(*[F.col(f"b.{c}") for c in sheet])).applyInArrow(solve, MATCH)
+
+
+_MATCH_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+
+
+def _solve_bucket(a: list, b: list, seen: dict[tuple[str, str], float], s: Settings) -> list[tuple]:
+    """ord_a, ord_b, cost, margin, near_miss for two lists of (ord, content, x, y)."""
+    if not a or not b:
+        return [(x[0], None, None, None, None) for x in a] + [(None, x[0], None, None, None) for x in b]
+    text = np.empty((len(a), len(b)))
+    for i, (_, x, *_) in enumerate(a):
+        for j, (_, y, *_) in enumerate(b):
+            if (x, y) not in seen:
+                seen[x, y] = similarity(x, y)
+            text[i, j] = seen[x, y]
+    (ax, ay), (bx, by) = (np.array([x[2:] for x in side]).T for side in (a, b))
+    cost = s.text_weight * (1 - text) + s.space_weight * np.hypot(ax[:, None] - bx, ay[:, None] - by)
+    rows, cols = solve_assignment(cost)
+    good = cost[rows, cols] <= s.max_cost
+    out = []
+    for i, j in zip(rows[good].tolist(), cols[good].tolist(), strict=True):
+        rest = np.concatenate([np.delete(cost[i], j), np.delete(cost[:, j], i)])
+        out.append((a[i][0], b[j][0], float(cost[i, j]), float(rest.min() - cost[i, j]) if len(rest) else None, None))
+    out += [(a[i][0], None, None, None, float(cost[i].min())) for i in sorted(set(range(len(a))) - set(rows[good].tolist()))]
+    return out + [(None, b[j][0], None, None, float(cost[:, j].min())) for j in sorted(set(range(len(b))) - set(cols[good].tolist()))]
 
 
 def candidate_costs(a: DataFrame, b: DataFrame, similarity_of, s: Settings = DEFAULT) -> DataFrame:
