@@ -61,7 +61,7 @@ DEPTH = 3
 LEAST_STATE, LEAST_ENTRY = 64, 16
 DISCOUNT, DIVERGENCE = 0.5, 0.02
 #: What is looked up in place: memory only, never a result.
-HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 21
 #: The end holds a space, which no word does.
 END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
@@ -69,6 +69,8 @@ STATE_KEY = 0x3C6EF372FE94F82B
 BLOCK_TOKENS = 1 << 19
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
 PARTS = 2
+#: Terms that are not looked up in place are joined in so many passes, for the same reason.
+FAR_PARTS = 4
 
 
 def held_out(doc_id: Column, remainder: int = 1) -> Column:
@@ -257,8 +259,8 @@ class Shared:
         self.shared.destroy()
 
 
-def head(table: DataFrame, most: int) -> DataFrame:
-    """The rows seen most, by steps of a quarter of a power of two and at most ``most`` of them."""
+def head(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows seen most, by steps of a quarter of a power of two and at most ``most`` of them; and the others."""
     step = F.floor(F.log2("c") * 4)
     left, least = most, 1 << 20
     for r in sorted(table.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most 256 rows
@@ -266,12 +268,12 @@ def head(table: DataFrame, most: int) -> DataFrame:
         if left < 0:
             break
         least = r["s"]
-    return table.where(step >= least)
+    return table.where(step >= least), table.where(step < least)
 
 
 @dataclass
 class Head:
-    """What is looked up in place, and the filter of all terms."""
+    """What is looked up in place, and the filters of all terms and of those that are not."""
 
     total: int
     kinds: int
@@ -281,6 +283,7 @@ class Head:
     keys: np.ndarray
     values: np.ndarray
     any: Bits
+    others: Bits
     depth: int
     _tables: list = field(default_factory=list)
 
@@ -295,10 +298,10 @@ class Head:
 
 def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> Head:
     arrays = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    w, c = arrays(head(tree.words, words))
-    top = head(tree.terms, terms)
+    w, c = arrays(head(tree.words, words)[0])
+    top, others = head(tree.terms, terms)
     k, v = arrays(top.select("key", "value"))
-    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), depth)
+    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), Bits.of(others), depth)
 
 
 SCORED = "held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, far array<bigint>"
@@ -335,7 +338,9 @@ def _score(shared):
                 at = terms.find(sought)
                 hit = at >= 0
                 score += _sums(of[hit], h.values[at[hit]], count)
-                far.append((of[~hit], sought[~hit]))
+                of, sought = of[~hit], sought[~hit]
+                rest = h.others.has(sought)
+                far.append((of[rest], sought[rest]))
                 return some
 
             for d in range(1, h.depth + 1):
@@ -377,10 +382,14 @@ def score_documents(docs: DataFrame, remainder: int = 1, depth: int = DEPTH, wor
         .join(tree.words, "key", "left")
         .select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((c + 0.5) / F.lit(space)).alias("base"), F.log10(F.when(c > 0, F.lit(mass) * c).otherwise(F.lit(tree.unknown))).alias("score"))
     )
-    far = scored.select("row", F.explode("far").alias("key")).join(tree.terms, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
-    more = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")])
-    more = more.unionByName(far.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")]))
-    more = scored.select("row", "known", "base", "score").unionByName(more).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")])
+    sums = [F.sum(x).alias(x) for x in ("known", "base", "score")]
+    more = rare.groupBy("row").agg(*sums)
+    for part in range(FAR_PARTS):
+        some = scored.select("row", F.explode(F.filter("far", lambda k: F.pmod(k, F.lit(FAR_PARTS)) == part)).alias("key"))  # noqa: B023
+        far = some.join(tree.terms, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
+        more = more.unionByName(scratch.keep(far.groupBy("row").agg(*sums), f"far{part}"))
+    scratch.drop("terms")
+    more = scored.select("row", "known", "base", "score").unionByName(more).groupBy("row").agg(*sums)
     return scored.select("row", "doc_id", "held_out", "n_tokens").join(more, "row").select(
         "doc_id",
         "held_out",
