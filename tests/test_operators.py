@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.functions import geometry as G
 from deltaweave.functions import tags as T
-from deltaweave.operators import alignment, bubbles, deltas, evaluation, identity, registration, rendering, retrieval, runs
+from deltaweave.operators import alignment, bubbles, deltas, edits, evaluation, identity, registration, rendering, retrieval, runs
 from deltaweave.operators.trace import Tracer, tree
 from deltaweave.plans import engine
 from deltaweave.sources import documents as sources
@@ -237,3 +237,27 @@ def test_element_ids_ignore_what_does_not_count(spark):
     b = G.box(*[F.lit(x) for x in (0.1, 0.2, 0.3, 0.4)])
     ids = spark.range(1).select(*[T.element_id(F.lit(s), F.lit(t), F.lit(c), b).alias(n) for n, s, t, c in (("a", 1, "note", "x"), ("b", 1, "note", "x"), ("c", 2, "note", "x"))]).first()
     assert ids["a"] == ids["b"] != ids["c"] and len(ids["a"]) == 15
+
+
+def test_references_of_any_number(spark):
+    df = spark.createDataFrame([("SEE NOTE 4, NOTE 5 AND NOTE 123456. NOTE 9x KEYNOTE 7",), ("",), (None,), ("NOTE 5",)], "t string")
+    got = [r[0] for r in df.select(edits.update_references(F.col("t"), 5)).collect()]
+    assert got == ["SEE NOTE 4, NOTE 6 AND NOTE 123457. NOTE 9x KEYNOTE 7", "", None, "NOTE 6"]
+
+
+def test_symbol_swap_and_reroute(spark):
+    shapes = spark.createDataFrame([(1, "circle", 0.2, 0.2, 0.4, 0.4), (2, "rect", 0.0, 0.0, 0.4, 0.2), (3, "line", 0.0, 0.0, 1.0, 0.0)], "k int, kind string, x0 double, y0 double, x1 double, y1 double")
+    got = {r["k"]: (r["kind"], *(round(r[c], 6) for c in ("x0", "y0", "x1", "y1"))) for r in edits.swap_symbol(shapes, F.col("k") < 3).collect()}
+    assert got == {1: ("rect", 0.2, 0.2, 0.4, 0.4), 2: ("circle", 0.1, 0.0, 0.3, 0.2), 3: ("line", 0.0, 0.0, 1.0, 0.0)}
+    lines = spark.createDataFrame([(1, 0, 0.1, 0.2, 0.6, 0.2), (2, 0, 0.9, 0.1, 0.9, 0.8), (3, 0, 0.0, 0.0, 1.0, 1.0)], "line_id int, seg int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r["line_id"], r["seg"], *(round(r[c], 6) for c in ("x0", "y0", "x1", "y1"))) for r in edits.reroute(lines, F.col("line_id") < 3, 0.1).orderBy("line_id", "seg").collect()]
+    assert got == [
+        (1, 0, 0.1, 0.2, 0.1, 0.3), (1, 1, 0.1, 0.3, 0.6, 0.3), (1, 2, 0.6, 0.3, 0.6, 0.2),
+        (2, 0, 0.9, 0.1, 0.8, 0.1), (2, 1, 0.8, 0.1, 0.8, 0.8), (2, 2, 0.8, 0.8, 0.9, 0.8), (3, 0, 0.0, 0.0, 1.0, 1.0),
+    ]
+
+
+def test_trace_trees_of_any_depth(spark):
+    rows = [("c", f"s{i}", f"s{i - 1}" if i else None, f"n{i}") for i in range(12)] + [("c", "x", "missing", "orphan")]
+    got = {r["span_id"]: r["level"] for r in tree(spark.createDataFrame(rows, "correlation_id string, span_id string, parent_id string, name string")).collect()}
+    assert got == {f"s{i}": i for i in range(12)}
