@@ -85,3 +85,11 @@ def path_kind(items: Column) -> Column:
     return (
         F.when(F.exists(items, lambda i: i == "re"), "rect").when((F.size(items) > 0) & only("c"), "circle").when((F.size(items) > 0) & only("l"), "line").otherwise("other")
     )
+
+
+def geometry_class(kind: Column, b: Column) -> Column:
+    """struct(geom_kind, r_norm, confidence, rule) of a drawn path; null for the border of a sheet, which is no element."""
+    made = lambda radius, confidence, rule: F.struct(kind.alias("geom_kind"), radius.cast("double").alias("r_norm"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
+    none = F.lit(None).cast("double")
+    radius = (b["x1"] - b["x0"] + b["y1"] - b["y0"]) / 4
+    return F.when((kind == "rect") & border_rect(b), None).when(kind == "circle", made(radius, 1.0, "geom:circle")).when(kind == "line", made(none, 1.0, "geom:line")).otherwise(made(none, 0.5, "geom:other"))

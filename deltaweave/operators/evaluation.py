@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,17 +33,16 @@ def calibration(scored: DataFrame) -> DataFrame:
     return F.broadcast(every).join(counts, "band", "left").select("band", zero("n").alias("n"), zero("n_correct").alias("n_correct"), F.round(F.col("n_correct") / F.col("n"), 4).alias("precision"))
 
 
-GREEDY = "pair_id long, pred int, truth int, same_zone boolean"
+def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """by, pred, truth, same_zone for predictions matched to labelled changes.
 
-
-def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """pair_id, pred, truth, same_zone for predictions matched to labelled changes.
-
-    Both have pair_id, ord, kind, sheet, zone, description. Predictions go in order;
-    each takes an unused label of its kind and sheet: the most similar of its zone
-    (first of equals), else the most similar of all (last of equals) if that reaches
-    the floor. What one takes the next cannot, so it is a fold over each pair.
+    Both have the columns ``by``, ord, kind, sheet, zone, description. Predictions go
+    in order; each takes an unused label of its kind and sheet: the most similar of
+    its zone (first of equals), else the most similar of all (last of equals) if that
+    reaches the floor. What one takes the next cannot, so it is a fold over each pair.
     """
+    types = dict(predictions.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in by], "pred int", "truth int", "same_zone boolean"])
 
     def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("ord").reset_index(drop=True)
@@ -59,11 +59,69 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT
             else:
                 continue
             used.add(best)
-            out.append((key[0], x.ord, t["ord"][best], bool(here)))
-        return pd.DataFrame(out, columns=["pair_id", "pred", "truth", "same_zone"])
+            out.append((*key, x.ord, t["ord"][best], bool(here)))
+        return pd.DataFrame(out, columns=[*by, "pred", "truth", "same_zone"])
+
+    keep = [*by, "ord", "kind", "sheet", "zone", "description"]
+    return predictions.select(keep).groupBy(*by).cogroup(truth.select(keep).groupBy(*by)).applyInPandas(run, schema)
+
+
+VISUAL = "unclassified_visual_change"
+
+
+@dataclass
+class PairScores:
+    """card: one row a pair; by_kind: its counts by kind; real: predictions that count, each with whether it was matched."""
 
-    keep = ["pair_id", "ord", "kind", "sheet", "zone", "description"]
-    return predictions.select(keep).groupBy("pair_id").cogroup(truth.select(keep).groupBy("pair_id")).applyInPandas(run, GREEDY)
+    card: DataFrame
+    by_kind: DataFrame
+    real: DataFrame
+
+
+def score_pairs(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT) -> PairScores:
+    """Scores of predictions(pair_id, ord, kind, sheet, zone, description, semantic_null, confidence) against truth(..., is_cascade).
+
+    Labels that are semantic nulls are matched first, and the predictions they take
+    are left out of the real changes, like those that flag themselves as null and
+    visual changes, which no label can match. Recall of primary and cascaded labels
+    and the flag's own precision are matchings of their own: scopes of one fold.
+    Kinds never compete for a label, so their counts come from the real matching.
+    """
+    flag = F.coalesce(F.col("semantic_null"), F.lit(False))
+    labels = truth.withColumn("_null", flag)
+    # Both are read several times over: scopes are rows, not runs.
+    nulls, real_labels = labels.where("_null"), labels.where("NOT _null")
+    claimed = greedy_match(predictions, nulls, s).select("pair_id", F.col("pred").alias("ord"))
+    counted = predictions.where(~flag & (F.col("kind") != VISUAL)).join(claimed, ["pair_id", "ord"], "left_anti")
+    scoped = lambda d, names: d.withColumn("scope", F.explode(F.array(*names)))
+    keep = ["pair_id", "scope", "ord", "kind", "sheet", "zone", "description"]
+    asked = scoped(predictions.where(flag), [F.lit("flagged")]).select(keep).unionByName(scoped(counted, [F.lit(n) for n in ("real", "primary", "cascade")]).select(keep))
+    part = F.when(F.coalesce(F.col("is_cascade"), F.lit(False)), "cascade").otherwise("primary")
+    wanted = scoped(nulls, [F.lit("flagged")]).select(keep).unionByName(scoped(real_labels, [F.lit("real"), part]).select(keep))
+    matched = greedy_match(asked, wanted, s, ("pair_id", "scope"))
+
+    count = lambda d, n: d.groupBy("pair_id").pivot("scope", ["flagged", "real", "primary", "cascade"]).agg(F.count(F.lit(1))).select("pair_id", *[F.col(c).alias(f"{n}_{c}") for c in ("flagged", "real", "primary", "cascade")])
+    flat = lambda d, **aggregates: d.groupBy("pair_id").agg(*[v.alias(k) for k, v in aggregates.items()])
+    pairs = predictions.select("pair_id").unionByName(truth.select("pair_id")).distinct()
+    for d in (
+        count(matched, "hit"), count(asked, "p"), count(wanted, "t"), flat(claimed, n_claimed=F.count(F.lit(1))),
+        flat(predictions, n_pred=F.count(F.lit(1)), n_visual=F.count_if(F.col("kind") == VISUAL)),
+    ):
+        pairs = pairs.join(d, "pair_id", "left")
+    pairs = pairs.na.fill(0)
+    c = F.col
+    rates = lambda scope, prefix: [
+        x.alias(prefix + n) for n, x in zip(("precision", "recall", "f1"), precision_recall(c(f"hit_{scope}"), c(f"p_{scope}") - c(f"hit_{scope}"), c(f"t_{scope}") - c(f"hit_{scope}")), strict=True)
+    ]
+    share = lambda scope: F.when(c(f"t_{scope}") == 0, 1.0).otherwise(F.round(c(f"hit_{scope}") / F.nullif(c(f"t_{scope}"), F.lit(0)), 4)).alias(f"{scope}_recall")
+    card = pairs.select(
+        "pair_id", c("hit_real").alias("tp"), (c("p_real") - c("hit_real")).alias("fp"), (c("t_real") - c("hit_real")).alias("fn"), *rates("real", ""), share("primary"), share("cascade"),
+        F.round(c("n_claimed") / F.nullif(c("t_flagged"), F.lit(0)), 4).alias("null_emission_rate"), *rates("flagged", "null_"),
+        c("t_real").alias("n_truth"), c("t_flagged").alias("n_null"), "n_pred", "n_visual",
+    )
+    hits = matched.where("scope = 'real'").select("pair_id", F.col("pred").alias("ord"), F.lit(True).alias("correct"))
+    real = counted.join(hits, ["pair_id", "ord"], "left").na.fill({"correct": False})
+    return PairScores(card, pair_scores(real.where("correct"), real, real_labels, ["pair_id", "kind"]), real)
 
 
 def exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -73,6 +131,44 @@ def exact_match(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["pair_id", "type", "content", "n"]).select("pair_id", "type", "ord_a", "ord_b")
 
 
+NAIVE = "pair_id long, type string, status string, ord_a int, ord_b int, score double"
+
+# The plain matcher's own floor of similarity and least move.
+NAIVE_FLOOR, NAIVE_MOVE = 55.0, 0.04
+
+
+def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: float = NAIVE_MOVE) -> DataFrame:
+    """NAIVE of two sides (pair_id, type, ord, content, x, y): unchanged, moved, modified, removed, added.
+
+    Equal contents meet as in exact_match; the rest of a type pair off from the most
+    similar down while they reach the floor (equals in the order of a, then of b's
+    contents). Only those leftovers are folded in Python. Null contents are empty.
+    """
+    fill = lambda d: d.withColumn("content", F.coalesce("content", F.lit("")))
+    a, b = fill(a), fill(b)
+    met = exact_match(a, b)
+    at = lambda d, n: d.select("pair_id", "type", F.col("ord").alias(f"ord_{n}"), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))
+    placed = met.join(at(a, "a"), ["pair_id", "type", "ord_a"]).join(at(b, "b"), ["pair_id", "type", "ord_b"])
+    far = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) > move
+    exact = placed.select("pair_id", "type", F.when(far, "moved").otherwise("unchanged").alias("status"), F.col("ord_a").cast("int"), F.col("ord_b").cast("int"), F.lit(100.0).alias("score"))
+    first = F.min("ord").over(Window.partitionBy("pair_id", "type", "content"))
+    left = lambda d, n: d.withColumn("first", first).join(met.select("pair_id", "type", F.col(f"ord_{n}").alias("ord")), ["pair_id", "type", "ord"], "left_anti").select("pair_id", "type", "ord", "content", "first")
+
+    def run(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        p, q = p.sort_values("ord"), q.sort_values(["first", "ord"])
+        scored = [(100 * similarity(x.content, y.content), x.ord, y.ord) for x in p.itertuples() for y in q.itertuples()]
+        open_a, open_b, out = dict.fromkeys(p["ord"]), dict.fromkeys(q["ord"]), []
+        for score, i, j in sorted((t for t in scored if t[0] >= floor), key=lambda t: -t[0]):
+            if i in open_a and j in open_b:
+                del open_a[i], open_b[j]
+                out.append((*key, "modified", i, j, score))
+        out += [(*key, "removed", i, None, None) for i in open_a] + [(*key, "added", None, j, None) for j in open_b]
+        return pd.DataFrame(out, columns=["pair_id", "type", "status", "ord_a", "ord_b", "score"]).astype({"ord_a": "Int32", "ord_b": "Int32", "score": "Float64"})
+
+    group = ["pair_id", "type"]
+    return exact.unionByName(left(a, "a").groupBy(*group).cogroup(left(b, "b").groupBy(*group)).applyInPandas(run, NAIVE))
+
+
 def pair_scores(matched: DataFrame, predictions: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """by, tp, fp, fn, precision, recall, f1; the three tables share the columns ``by``."""
     count = lambda d, n: d.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
@@ -131,6 +227,24 @@ def last_emission(emitted: DataFrame, key: list[str], order: str, values: list[s
     return emitted.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("v"), F.count(F.lit(1)).alias("n_emitted")).select(*key, "v.*", "n_emitted")
 
 
+def net_changes(emitted: DataFrame, reference: DataFrame) -> DataFrame:
+    """Labels of a pair from what its edits emitted(pair_id, kind, id_a, id_b, ord, tags) and the reference difference(..., zone_a, zone_b, field_changes).
+
+    Edits can undo each other, so only changes of the reference stay. Each takes the
+    tags of its last emission (null if none) and the reference's zones; a
+    modification also takes the reference's field changes, another kind those emitted.
+    """
+    key = ["pair_id", "kind", "id_a", "id_b"]
+    tags = [c for c in emitted.columns if c not in (*key, "ord", "zone_a", "zone_b", "field_changes")]
+    last = emitted.groupBy(*key).agg(F.max_by(F.struct(*tags, "field_changes"), "ord").alias("_last"))
+    e, r = last.alias("e"), reference.alias("r")
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+    fields = F.when((F.col("r.kind") == "modify") | F.col("e._last").isNull(), F.col("r.field_changes")).otherwise(F.col("e._last.field_changes"))
+    return r.join(e, same, "left").select(*[F.col(f"r.{k}") for k in key], "r.zone_a", "r.zone_b", fields.alias("field_changes"), *[F.col(f"e._last.{t}") for t in tags])
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best similarity (0 to 100) of the shorter text with any window of its length in the longer one.
 
@@ -185,6 +299,31 @@ def raster_recall(truth: DataFrame, off: DataFrame, on: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), share("off").alias("recall_off"), share("on").alias("recall_on"), F.round((F.count("on") - F.count("off")) / F.count(F.lit(1)), 4).alias("lift"))
 
 
+def residue_precision(visual: DataFrame, truth: DataFrame) -> DataFrame:
+    """n_visual, n_hits, precision: visual changes(pair_id, zone_a, zone_b) in a zone of a label that is no semantic null."""
+    zones = truth.where("NOT semantic_null").select("pair_id", F.coalesce("zone_b", "zone_a").alias("zone")).distinct().groupBy("pair_id").agg(F.collect_set("zone").alias("_zones"))
+    hit = F.coalesce(F.array_contains("_zones", F.col("zone_a")), F.lit(False)) | F.coalesce(F.array_contains("_zones", F.col("zone_b")), F.lit(False))
+    counts = visual.join(zones, "pair_id", "left").agg(F.count(F.lit(1)).alias("n_visual"), F.count_if(hit).alias("n_hits"))
+    return counts.withColumn("precision", F.round(F.col("n_hits") / F.nullif(F.col("n_visual"), F.lit(0)), 4))
+
+
+def canary_recall(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
+    """pair_id, n_real, n_hit, recall: how many labelled changes a plain difference of the sides' texts would show.
+
+    a and b are (pair_id, id, text), truth is (pair_id, did, id_a, id_b,
+    semantic_null); null labels do not count, and a pair without others has one.
+    """
+    text = lambda d: d.where("text <> ''").select("pair_id", "text").distinct()
+    # A text of one side alone: seen on one of the two.
+    only = text(a).withColumn("side", F.lit(1)).unionByName(text(b).withColumn("side", F.lit(2))).groupBy("pair_id", "text").agg(F.sum("side").alias("n")).where("n < 3")
+    shown = lambda d, n: d.join(only, ["pair_id", "text"], "left_semi").select("pair_id", F.col("id").alias(f"id_{n}"), F.lit(1).alias(f"in_{n}")).distinct()
+    real = truth.withColumn("_real", ~F.coalesce(F.col("semantic_null"), F.lit(False)))
+    marked = real.join(shown(a, "a"), ["pair_id", "id_a"], "left").join(shown(b, "b"), ["pair_id", "id_b"], "left")
+    hit = F.col("_real") & (F.col("in_a").isNotNull() | F.col("in_b").isNotNull())
+    counts = marked.groupBy("pair_id").agg(F.count_if("_real").alias("n_real"), F.count_if(hit).alias("n_hit"))
+    return counts.withColumn("recall", F.when(F.col("n_real") == 0, 1.0).otherwise(F.round(F.col("n_hit") / F.nullif(F.col("n_real"), F.lit(0)), 4)))
+
+
 def null_controls(deltas: DataFrame, pairs: DataFrame) -> DataFrame:
     """kind of pair, pairs, changes, hard false positives (changes not flagged null) and the share flagged."""
     counts = deltas.groupBy("pair_id").agg(F.count(F.lit(1)).alias("d"), F.count_if(~F.col("semantic_null")).alias("h"))

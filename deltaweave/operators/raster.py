@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import geometry as G
 from ..functions.text import strip
+from ..sources.images import read_png
 
 REGION = "pair_id long, sheet int, x0 double, y0 double, x1 double, y1 double, area_px int, magnitude double"
 
 
 def warp(image: np.ndarray, shape: tuple[int, int], scale: float, rotation: float, tx: float, ty: float) -> np.ndarray:
-    """Image of side B in the frame and pixels of side A: bilinear, white outside."""
+    """Image of side B in the frame and pixels of side A: bilinear, white outside.
+
+    The transform maps shares of B's sheet to shares of A's; a share is a pixel's number by the number of pixels.
+    """
     h, w = shape
     y, x = np.mgrid[0:h, 0:w]
-    u, v = (x + 0.5) / w - tx, (y + 0.5) / h - ty
+    u, v = x / w - tx, y / h - ty
     c, s = np.cos(rotation) / scale, np.sin(rotation) / scale
-    px, py = (c * u + s * v) * image.shape[1] - 0.5, (-s * u + c * v) * image.shape[0] - 0.5
+    px, py = (c * u + s * v) * image.shape[1], (-s * u + c * v) * image.shape[0]
     x0, y0 = np.floor(px).astype(int), np.floor(py).astype(int)
     fx, fy = px - x0, py - y0
     edge = np.pad(image.astype(float), 1, constant_values=255.0)
@@ -124,6 +128,28 @@ def raster_regions(rasters: DataFrame, s: Settings = DEFAULT, opened: int = 3, d
     return rasters.select("pair_id", "sheet", "width", "height", "a", "b").mapInPandas(run, REGION)
 
 
+def page_regions(images: DataFrame, transforms: DataFrame, s: Settings = DEFAULT, otsu: bool = False) -> DataFrame:
+    """Regions of images(pair_id, side, sheet, content: PNG bytes), side B warped by transforms(pair_id, scale, rotation, tx, ty).
+
+    A sheet that is on one side alone, or whose pair has no transform (it was
+    refused), has no regions. One task holds two sheets at a time.
+    """
+    side = lambda n: images.where(F.col("side") == n).select("pair_id", "sheet", F.col("content").alias(n.lower()))
+    both = side("A").join(side("B"), ["pair_id", "sheet"]).join(transforms.select("pair_id", "scale", "rotation", "tx", "ty"), "pair_id")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b = read_png(bytes(r.a)), read_png(bytes(r.b))
+                b = np.rint(warp(b, a.shape, r.scale, r.rotation, r.tx, r.ty)).astype(np.uint8)
+                if otsu:
+                    a, b = binarise(a), binarise(b)
+                rows = [(r.pair_id, r.sheet, *found) for found in change_regions(a, b, s)]
+                yield pd.DataFrame(rows, columns=["pair_id", "sheet", "x0", "y0", "x1", "y1", "area_px", "magnitude"]).astype({"pair_id": "int64", "sheet": "int32", "area_px": "int32"})
+
+    return both.mapInPandas(run, REGION)
+
+
 PAGE = ["pair_id", "sheet"]
 
 

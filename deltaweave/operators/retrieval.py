@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -35,6 +38,56 @@ def expand_query(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     return questions.join(F.broadcast(aliases), hit).select("question_id", F.col("target").alias("term"))
 
 
+def load_aliases(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """phrase, target: the own vocabulary, or that of a JSON file of phrases and lists of targets; a file that is not there gives none."""
+    pairs = list(ALIASES)
+    if path is not None:
+        try:
+            text = "\n".join(r.value for r in spark.read.text(path).collect())  # a vocabulary, read on the driver
+            pairs = [(phrase.lower(), target) for phrase, targets in json.loads(text).items() for target in targets]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            pairs = []
+    return spark.createDataFrame(pairs, "phrase string, target string")
+
+
+def indexed_tokens(content: Column, zone: Column) -> Column:
+    """What a chunk is found by: the tokens of its content, then the word zone and those of its zone, if it has one."""
+    none = F.array().cast("array<string>")
+    named = F.when(F.coalesce(zone, F.lit("")) != "", F.concat(F.array(F.lit("zone")), tokenise(zone))).otherwise(none)
+    return F.concat(F.coalesce(tokenise(content), none), named)
+
+
+def search(chunked: DataFrame, questions: DataFrame, aliases: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """question_id, rank, score and the chunk of the best chunks of a question's own pair.
+
+    chunked is of chunks(); questions are (question_id, pair_id, question). Every pair
+    is an index of its own, so its counts are aggregates by pair and all joins carry
+    it. Changes count one and a half times; equal scores go by source, sheet and id.
+    Only postings of terms that a pair is asked for are shuffled.
+    """
+    asked = questions.select("question_id", F.explode(tokenise(F.col("question"))).alias("term"))
+    if aliases is not None:
+        asked = asked.unionByName(expand_query(questions, aliases))
+    asked = asked.join(questions.select("question_id", "pair_id"), "question_id").groupBy("question_id", "pair_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    key = ["pair_id", "source", "sheet", "zone", "id", "content"]
+    terms = chunked.select(*key, indexed_tokens(F.col("content"), F.col("zone")).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
+    stats = terms.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    wanted = asked.groupBy("pair_id").agg(F.collect_set("term").alias("_w"))  # the words of a pair's questions
+    # A chunk's terms are counted within its row.
+    hit = F.transform(F.array_intersect("_t", "_w"), lambda w: F.struct(w.alias("term"), F.size(F.filter("_t", lambda x: x == w)).alias("tf")))
+    post = terms.join(wanted, "pair_id").select(*key, "dl", F.explode(hit).alias("_h")).select(*key, "dl", "_h.*")
+    df = post.groupBy("pair_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    found = post.join(df, ["pair_id", "term"]).join(asked, ["pair_id", "term"]).join(stats, "pair_id")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / (F.col("total") / F.col("n")))
+    boost = F.when(F.col("source") == "delta", s.delta_boost).otherwise(1.0)
+    scores = found.groupBy("question_id", *key).agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (s.k1 + 1) / norm * boost), 6).alias("score")).where("score > 0")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source", "sheet", "id")
+    return scores.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= s.top_k)
+
+
 def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id, term, tf, dl (the document's length), of the terms in wanted(term) alone if it is given.
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import geometry as G
 from ..functions import tags as T
 from ..functions import text as X
-from ..operators import alignment, deltas, identity, raster, registration, rendering, retrieval, runs
+from ..operators import alignment, bubbles, deltas, identity, raster, registration, rendering, retrieval, runs
 
 PAGE = ["pair_id", "side", "sheet"]
 
@@ -36,7 +36,20 @@ class Comparison:
         return rendering.markdown_report(deltas.report_order(self.deltas))
 
     def boxes(self) -> DataFrame:
-        return rendering.boxes(self.deltas.withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")), self.elements)
+        placed = self.deltas if "box" in self.deltas.columns else self.deltas.withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
+        return rendering.boxes(placed, self.elements)
+
+    def search(self, questions: DataFrame, aliases: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+        """Hits of questions(question_id, pair_id, question); those about refused pairs find none."""
+        accepted = self.precheck.where("is_pair").select("pair_id")
+        return retrieval.search(self.chunks().join(accepted, "pair_id", "left_semi"), questions, aliases, s)
+
+    def stored(self, folder: str) -> Comparison:
+        """The same tables written to a folder that all executors share, so that several outputs do not match anew."""
+        spark, tables = self.elements.sparkSession, {f.name: getattr(self, f.name) for f in fields(self)}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return Comparison(**{name: spark.read.schema(table.schema).parquet(f"{folder}/{name}") for name, table in tables.items()})
 
 
 def text_elements(text_runs: DataFrame, confidence: Column | None = None) -> DataFrame:
@@ -51,8 +64,72 @@ def text_elements(text_runs: DataFrame, confidence: Column | None = None) -> Dat
     )
 
 
-def from_spans(spans: DataFrame, width: Column, height: Column, s: Settings = DEFAULT) -> DataFrame:
-    return text_elements(runs.run_text(runs.span_runs(spans, s), width, height, s))
+def geometry_elements(paths: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Elements of paths(PAGE, ord, items, x0, y0, x1, y1, start_x, start_y): the border of a sheet is none, boxes without area are.
+
+    items are the path's codes. A line is placed by its start, anything else by its centre.
+    """
+    share = G.box(F.col("x0") / width, F.col("y0") / height, F.col("x1") / width, F.col("y1") / height)
+    kinds = paths.withColumn("box", share).withColumn("_kind", G.path_kind(F.col("items"))).withColumn("_g", G.geometry_class(F.col("_kind"), F.col("box"))).where("_g IS NOT NULL")
+    line = (F.col("_kind") == "line") & F.col("start_x").isNotNull()
+    x, y = G.centre(F.col("box"))
+    at = (F.when(line, F.col("start_x") / width).otherwise(x), F.when(line, F.col("start_y") / height).otherwise(y))
+    attr = lambda key, num, text: F.struct(F.lit(key).alias("key"), num.cast("double").alias("num"), text.cast("string").alias("str"))
+    none = F.lit(None)
+    attrs = F.filter(F.array(attr("geom_kind", none, F.col("_kind")), attr("r_norm", F.col("_g.r_norm"), none)), lambda a: a["num"].isNotNull() | a["str"].isNotNull())
+    return kinds.select(
+        *PAGE, F.col("ord").cast("int").alias("ord"), T.element_id(F.col("sheet"), F.lit("geometry"), F.lit(""), F.col("box")).alias("id"), F.lit("geometry").alias("type"), F.lit("").alias("content"), "box",
+        G.zone(*at).alias("zone"), F.lit(1.0).alias("confidence"), F.col("_kind").alias("geom_kind"), attrs.alias("attrs"), none.cast("string").alias("field"),
+    )
+
+
+def with_bubbles(texts: DataFrame, geometry: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Text elements with the unclassified tokens that are stacked in a circle put together as one instrument.
+
+    The instrument takes the union of its tokens' boxes, and the zone and number of its function token.
+    """
+    x, y = G.centre(F.col("box"))
+    tokens = texts.where("type = 'unknown'").select(*PAGE, "ord", F.col("content").alias("text"), x.alias("x"), y.alias("y"))
+    circles = geometry.where("geom_kind = 'circle'").select(*PAGE, "ord", *[F.col("box")[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
+    stacked = bubbles.stack_bubbles(tokens, circles, s)
+    used = stacked.select(*PAGE, "circle", "func", F.col("text").alias("_text"), F.explode("tokens").alias("ord"))
+    parts = texts.join(used, [*PAGE, "ord"])
+    edge = lambda f, k: f(F.col("box")[k])
+    made = parts.groupBy(*PAGE, "func", "circle", "_text").agg(
+        G.box(edge(F.min, "x0"), edge(F.min, "y0"), edge(F.max, "x1"), edge(F.max, "y1")).alias("box"), F.max(F.when(F.col("ord") == F.col("func"), F.col("zone"))).alias("zone")
+    )
+    tag = F.lit("instrument")
+    bubbled = made.select(
+        *PAGE, F.col("func").alias("ord"), T.element_id(F.col("sheet"), tag, F.col("_text"), F.col("box")).alias("id"), tag.alias("type"), F.col("_text").alias("content"), "box", "zone",
+        F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("geom_kind"), T.attributes(F.col("_text"), tag).alias("attrs"), F.lit(None).cast("string").alias("field"),
+    )
+    return texts.join(used.select(*PAGE, "ord"), [*PAGE, "ord"], "left_anti").unionByName(bubbled)
+
+
+def page_elements(texts: DataFrame, geometry: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Text and geometry of a page numbered together, text first, with bubbles put together."""
+    both = with_bubbles(texts, geometry, s).withColumn("_g", F.lit(0)).unionByName(geometry.withColumn("_g", F.lit(1)))
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("_g", "ord")).cast("int")).drop("_g")
+
+
+def held_out_elements(lines: DataFrame, width: Column, height: Column, prefix: str) -> DataFrame:
+    """pair_id, side, sheet, eid, text, box, zone of lines(PAGE, text, x0, y0, x1, y1, in points).
+
+    Names depend on text and corner (to a tenth of a point), not on a type, and zones on a line's centre.
+    """
+    text = X.strip(F.col("text"))
+    # A name is made of numbers written with one decimal, negative zero as zero.
+    tenth = lambda c: F.format_string("%.1f", F.bround(F.col(c), 1) + F.lit(0.0))
+    name = F.concat(F.lit(prefix + ":"), F.substring(F.sha1(F.concat(F.col("text"), F.lit("|"), tenth("x0"), F.lit(","), tenth("y0"))), 1, 10))
+    share = G.box(F.col("x0") / width, F.col("y0") / height, F.col("x1") / width, F.col("y1") / height)
+    found = lines.withColumn("text", text).where("text <> ''").withColumn("box", share)
+    return found.select(*PAGE, name.alias("eid"), "text", "box", G.zone(*G.centre(F.col("box"))).alias("zone"))
+
+
+def from_spans(spans: DataFrame, width: Column, height: Column, s: Settings = DEFAULT, paths: DataFrame | None = None) -> DataFrame:
+    """Elements of spans, and of drawn paths if there are any."""
+    texts = text_elements(runs.run_text(runs.span_runs(spans, s), width, height, s))
+    return texts if paths is None else page_elements(texts, geometry_elements(paths, width, height), s)
 
 
 def compare(elements: DataFrame, s: Settings = DEFAULT) -> Comparison:
@@ -111,6 +188,27 @@ def annotate(joined: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     )
 
 
+def with_images(found: Comparison, images: DataFrame, s: Settings = DEFAULT, otsu: bool = False) -> Comparison:
+    """The comparison with what its pages' images(pair_id, side, sheet, content) show beyond it, as visual changes.
+
+    They follow the other changes, have no elements and keep their own box.
+    """
+    regions = raster.page_regions(images, found.transforms, s, otsu)
+    order = Window.partitionBy("pair_id", "sheet").orderBy("y0", "x0", "y1", "x1")
+    numbered = regions.withColumn("region_id", F.row_number().over(order).cast("long")).withColumn("box", G.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    visual = with_residue(found, numbered.select("pair_id", "sheet", "region_id", "box", "area_px", "magnitude"), s)
+    kind = F.lit("unclassified_visual_change")
+    none = lambda t: F.lit(None).cast(t)
+    types = dict(found.deltas.dtypes)
+    extra = visual.select(
+        "pair_id", "sheet", F.concat(F.lit("visual:"), F.lpad(F.col("region_id").cast("string"), 6, "0")).alias("did"), kind.alias("kind"), F.col("visual_change_kind").alias("element_type"),
+        none("string").alias("id_a"), none("string").alias("id_b"), F.col("zone").alias("zone_a"), F.col("zone").alias("zone_b"), F.array().cast(types["field_changes"]).alias("field_changes"), "confidence",
+        F.concat(F.lit("visual change ("), F.col("visual_change_kind"), F.lit(") in zone "), F.col("zone")).alias("description"), F.lit(False).alias("is_cascade"), none(types["primary_did"]).alias("primary_did"),
+        deltas.severity(kind, F.col("visual_change_kind"), F.array().cast("array<string>"), F.lit(False)).alias("severity"), F.lit(False).alias("semantic_null"), "box",
+    )
+    return replace(found, deltas=found.deltas.withColumn("box", none("struct<x0:double,y0:double,x1:double,y1:double>")).unionByName(extra))
+
+
 def with_residue(found: Comparison, regions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Regions (pair_id, sheet, region_id, box, area_px, magnitude) that the comparison does not account for."""
     changed = found.deltas.join(found.elements.select("pair_id", F.col("id"), "side", "box"), (F.col("id") == F.coalesce("id_b", "id_a")) & (found.deltas["pair_id"] == found.elements["pair_id"]))
