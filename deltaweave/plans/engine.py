@@ -46,10 +46,13 @@ class Comparison:
 
     def stored(self, folder: str) -> Comparison:
         """The same tables written to a folder that all executors share, so that several outputs do not match anew."""
-        spark, tables = self.elements.sparkSession, {f.name: getattr(self, f.name) for f in fields(self)}
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return Comparison(**{name: spark.read.schema(table.schema).parquet(f"{folder}/{name}") for name, table in tables.items()})
+        return Comparison(**{f.name: written(getattr(self, f.name), f"{folder}/{f.name}") for f in fields(self)})
+
+
+def written(table: DataFrame, path: str) -> DataFrame:
+    """The table as Parquet: later plans start from the file, and lost executors cost no more than reading it again."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def text_elements(text_runs: DataFrame, confidence: Column | None = None) -> DataFrame:
@@ -153,6 +156,17 @@ def compare(elements: DataFrame, s: Settings = DEFAULT) -> Comparison:
     return Comparison(elements, checked, transforms, matches, annotate(joined, s))
 
 
+def run(spans: DataFrame, width: Column, height: Column, folder: str, paths: DataFrame | None = None, images: DataFrame | None = None, s: Settings = DEFAULT, otsu: bool = False) -> Comparison:
+    """From extracted spans (and drawn paths, and page images) to every change of all pairs, each step written below a shared folder.
+
+    Elements are read many times by a comparison, and changes by the join with
+    images, so each is written once instead of being made anew for every use.
+    """
+    elements = written(from_spans(spans, width, height, s, paths), f"{folder}/input")
+    found = compare(elements, s).stored(f"{folder}/symbolic")
+    return found if images is None else with_images(found, images, s, otsu).stored(f"{folder}/visual")
+
+
 def annotate(joined: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Changes of joined matches: kind, fields, confidence, cascades, severity, semantic nulls."""
     in_a, in_b = F.col("ord_a").isNotNull(), F.col("ord_b").isNotNull()
@@ -193,7 +207,8 @@ def with_images(found: Comparison, images: DataFrame, s: Settings = DEFAULT, ots
 
     They follow the other changes, have no elements and keep their own box.
     """
-    regions = raster.page_regions(images, found.transforms, s, otsu)
+    accepted = found.transforms.join(found.precheck.where("is_pair").select("pair_id"), "pair_id", "left_semi")
+    regions = raster.page_regions(images, accepted, s, otsu)
     order = Window.partitionBy("pair_id", "sheet").orderBy("y0", "x0", "y1", "x1")
     numbered = regions.withColumn("region_id", F.row_number().over(order).cast("long")).withColumn("box", G.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
     visual = with_residue(found, numbered.select("pair_id", "sheet", "region_id", "box", "area_px", "magnitude"), s)

@@ -118,8 +118,9 @@ def test_whole_pipeline(spark, tmp_path):
         (tmp_path / "1" / name / "1.png").write_bytes(content)
     pictures = images.page_images(spark, str(tmp_path), pair_id=r"/(\d+)/[ab]/", side=r"/([ab])/")
     side_b = [*TEXTS[:2], ("26BL9124", 100.0, 500.0), *TEXTS[3:5], ("9056", 300.0, 340.0), TEXTS[6]]
-    a, b = (engine.from_spans(spans_of(spark, 1, s, t), *size(), paths=paths_of(spark, 1, s, p)) for s, t, p in (("A", TEXTS, PATHS_A), ("B", side_b, PATHS_A[:3])))
-    found = engine.with_images(engine.compare(a.unionByName(b)), pictures).stored(str(tmp_path / "run"))
+    spans = spans_of(spark, 1, "A", TEXTS).unionByName(spans_of(spark, 1, "B", side_b))
+    paths = paths_of(spark, 1, "A", PATHS_A).unionByName(paths_of(spark, 1, "B", PATHS_A[:3]))
+    found = engine.run(spans, *size(), str(tmp_path / "run"), paths, pictures)
     got = [r.asDict() for r in found.deltas.collect()]
     assert sorted((r["kind"], r["element_type"]) for r in got) == [("modify", "instrument"), ("move", "valve_tag"), ("remove", "geometry"), ("unclassified_visual_change", "geometry")]
     (visual,) = (r for r in got if r["did"].startswith("visual:"))
