@@ -33,6 +33,11 @@ def calibration(scored: DataFrame) -> DataFrame:
     return F.broadcast(every).join(counts, "band", "left").select("band", zero("n").alias("n"), zero("n_correct").alias("n_correct"), F.round(F.col("n_correct") / F.col("n"), 4).alias("precision"))
 
 
+def _fresh(d: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns as new ones, so that two tables made from one can be grouped together."""
+    return d.select(*[F.col(c).alias(c) for c in columns])
+
+
 def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """by, pred, truth, same_zone for predictions matched to labelled changes.
 
@@ -63,7 +68,7 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT
         return pd.DataFrame(out, columns=[*by, "pred", "truth", "same_zone"])
 
     keep = [*by, "ord", "kind", "sheet", "zone", "description"]
-    return predictions.select(keep).groupBy(*by).cogroup(truth.select(keep).groupBy(*by)).applyInPandas(run, schema)
+    return _fresh(predictions, keep).groupBy(*by).cogroup(_fresh(truth, keep).groupBy(*by)).applyInPandas(run, schema)
 
 
 VISUAL = "unclassified_visual_change"
@@ -152,7 +157,7 @@ def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: fl
     far = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) > move
     exact = placed.select("pair_id", "type", F.when(far, "moved").otherwise("unchanged").alias("status"), F.col("ord_a").cast("int"), F.col("ord_b").cast("int"), F.lit(100.0).alias("score"))
     first = F.min("ord").over(Window.partitionBy("pair_id", "type", "content"))
-    left = lambda d, n: d.withColumn("first", first).join(met.select("pair_id", "type", F.col(f"ord_{n}").alias("ord")), ["pair_id", "type", "ord"], "left_anti").select("pair_id", "type", "ord", "content", "first")
+    left = lambda d, n: d.withColumn("first", first).join(met.select("pair_id", "type", F.col(f"ord_{n}").alias("ord")), ["pair_id", "type", "ord"], "left_anti")
 
     def run(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         p, q = p.sort_values("ord"), q.sort_values(["first", "ord"])
@@ -165,8 +170,8 @@ def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: fl
         out += [(*key, "removed", i, None, None) for i in open_a] + [(*key, "added", None, j, None) for j in open_b]
         return pd.DataFrame(out, columns=["pair_id", "type", "status", "ord_a", "ord_b", "score"]).astype({"ord_a": "Int32", "ord_b": "Int32", "score": "Float64"})
 
-    group = ["pair_id", "type"]
-    return exact.unionByName(left(a, "a").groupBy(*group).cogroup(left(b, "b").groupBy(*group)).applyInPandas(run, NAIVE))
+    group, keep = ["pair_id", "type"], ["pair_id", "type", "ord", "content", "first"]
+    return exact.unionByName(_fresh(left(a, "a"), keep).groupBy(*group).cogroup(_fresh(left(b, "b"), keep).groupBy(*group)).applyInPandas(run, NAIVE))
 
 
 def pair_scores(matched: DataFrame, predictions: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from .config import DEFAULT as S
 from .functions import geometry as G
 from .functions import tags as T
 from .functions import text as X
-from .operators import alignment, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
+from .operators import alignment, bubbles, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,13 +219,29 @@ def stable_ids(spark, d):
     return _classified(spark, d).select("k", T.element_id(col("sheet"), col("type"), X.strip(col("text")), b).alias("id"))
 
 
-@query(f"""SELECT region_id, (x0 <= 0.03 AND y0 <= 0.03 AND x1 >= 0.97 AND y1 >= 0.97) AS border, CASE WHEN region_id % 3 = 0 THEN 'rect' WHEN region_id % 5 = 0 THEN 'circle' WHEN region_id % 7 = 0 THEN 'other' ELSE 'line' END AS kind,
-  CASE WHEN region_id % 3 <> 0 AND region_id % 5 = 0 THEN round((x1 - x0 + y1 - y0) / 4, 6) END AS radius FROM {I.named(I.REGIONS)} r""")
+@query(f"""SELECT region_id, border, kind, CASE WHEN kind = 'circle' THEN round((x1 - x0 + y1 - y0) / 4, 6) END AS radius, CASE WHEN kind = 'rect' AND border THEN NULL WHEN kind IN ('circle', 'line') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+FROM (SELECT *, (x0 <= 0.03 AND y0 <= 0.03 AND x1 >= 0.97 AND y1 >= 0.97) AS border, CASE WHEN region_id % 3 = 0 THEN 'rect' WHEN region_id % 5 = 0 THEN 'circle' WHEN region_id % 7 = 0 THEN 'other' ELSE 'line' END AS kind
+  FROM (SELECT region_id, x0, y0, CASE WHEN region_id % 9 = 0 THEN 1.0 ELSE x1 END AS x1, CASE WHEN region_id % 9 = 0 THEN 1.0 ELSE y1 END AS y1 FROM {I.named(I.REGIONS)} r) q) p""")
 def path_kinds(spark, d):
     items = F.when(col("region_id") % 3 == 0, F.array(lit("l"), lit("re"))).when(col("region_id") % 5 == 0, F.array(lit("c"), lit("c"))).when(col("region_id") % 7 == 0, F.array(lit("c"), lit("l"))).otherwise(F.array(lit("l")))
-    b = G.box(*[col(c) for c in ("x0", "y0", "x1", "y1")])
-    found = I.made(spark, d, I.REGIONS).withColumn("kind", G.path_kind(items))
-    return found.select("region_id", G.border_rect(b).alias("border"), "kind", F.when(col("kind") == "circle", F.round((col("x1") - col("x0") + col("y1") - col("y0")) / 4, 6)).alias("radius"))
+    wide = lambda c: F.when(col("region_id") % 9 == 0, 1.0).otherwise(col(c))
+    b = G.box(col("x0"), col("y0"), wide("x1"), wide("y1"))
+    found = I.made(spark, d, I.REGIONS).withColumn("kind", G.path_kind(items)).withColumn("g", G.geometry_class(col("kind"), b))
+    return found.select("region_id", G.border_rect(b).alias("border"), "kind", F.round("g.r_norm", 6).alias("radius"), "g.confidence")
+
+
+#: A circle a part with its three tokens, of which one in five is classified already; circles stand apart, so none contests another's token.
+BUBBLED = """SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(p_partkey % 20 AS INT) AS circle, CASE WHEN p_partkey % 2 = 0 THEN 'PIT' ELSE 'FT' END AS func, CAST(1000 + p_partkey % 9000 AS STRING) AS loop,
+  CAST(10 + p_partkey % 90 AS STRING) AS sys, (p_partkey % 20) * 40e0 AS x, p_partkey % 5 = 4 AS short FROM {part}"""
+
+
+@query(f"SELECT pair_id, circle, func || ' ' || loop || ' ' || sys AS text FROM {I.named(BUBBLED)} b WHERE NOT short")
+def stacked_bubbles(spark, d):
+    parts = I.made(spark, d, BUBBLED).withColumn("side", lit("A")).withColumn("sheet", lit(1))
+    words = F.filter(F.array(F.struct(lit(0).alias("i"), col("sys").alias("text")), F.struct(lit(1).alias("i"), F.when(~col("short"), col("func")).alias("text")), F.struct(lit(2).alias("i"), col("loop").alias("text"))), lambda w: w["text"].isNotNull())
+    tokens = parts.withColumn("w", F.explode(words)).select("pair_id", "side", "sheet", (col("circle") * 3 + col("w.i")).alias("ord"), "w.text", (col("x") - 2 + col("w.i") * 7).alias("x"), lit(5.0).alias("y"))
+    circles = parts.select("pair_id", "side", "sheet", col("circle").alias("ord"), "x", lit(0.0).alias("y0"), (col("x") + 10).alias("x1"), lit(10.0).alias("y1")).withColumnRenamed("x", "x0")
+    return bubbles.stack_bubbles(tokens, circles).select("pair_id", "circle", "text")
 
 
 # --- runs --------------------------------------------------------------------
@@ -488,6 +504,23 @@ def bm25_topk(spark, d):
     return retrieval.top_k(retrieval.bm25(post, total, terms), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+#: Chunks of parts with zones, some of them changes; questions on zones and brands of their pair, with an alias phrase for some.
+CHUNKED = """SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CASE WHEN p_partkey % 4 = 0 THEN 'delta' WHEN p_partkey % 4 = 1 THEN 'B' ELSE 'A' END AS source, lpad(CAST(p_partkey AS STRING), 12, '0') AS id, CAST(1 AS INT) AS sheet,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'F-' || CAST(p_partkey % 12 + 1 AS STRING) END AS zone, CASE WHEN p_partkey % 3 = 0 THEN 'removed ' ELSE '' END || p_name AS content, 'text' AS kind FROM {part}"""
+ASKING = """SELECT CAST(p_partkey AS BIGINT) AS question_id, CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CASE WHEN p_partkey % 2 = 0 THEN 'What was deleted in zone F-' ELSE 'Where is zone F-' END || CAST(p_partkey % 12 + 1 AS STRING) || ' ' || p_name || ' ' || p_name AS question FROM {part}"""
+_ALIASES = ", ".join(f"('{p}', '{t}')" for p, t in retrieval.ALIASES)
+
+
+@query(f"""WITH c AS (SELECT *, list_concat({TOK_DUCK.format(t="content")}, CASE WHEN coalesce(zone, '') <> '' THEN list_concat(['zone'], {TOK_DUCK.format(t="coalesce(zone, '')")}) ELSE [] END) AS toks FROM {I.named(CHUNKED)} x),
+n AS (SELECT pair_id, count(*) AS n, sum(len(toks)) AS total FROM c GROUP BY pair_id), p AS (SELECT pair_id, id, source, len(toks) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(toks) AS term FROM c) u GROUP BY ALL), f AS (SELECT pair_id, term, count(*) AS df FROM p GROUP BY ALL),
+q AS (SELECT question_id, pair_id, term, count(*) AS times FROM (SELECT question_id, pair_id, unnest({TOK_DUCK.format(t="question")}) AS term FROM {I.named(ASKING)} y UNION ALL SELECT question_id, pair_id, target FROM {I.named(ASKING)} y JOIN (VALUES {_ALIASES}) a(phrase, target) ON contains(lower(question), phrase)) z GROUP BY ALL),
+s AS (SELECT question_id, source, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n))) * CASE WHEN source = 'delta' THEN 1.5 ELSE 1 END), 6) AS score FROM q JOIN p USING (pair_id, term) JOIN f USING (pair_id, term) JOIN n USING (pair_id) GROUP BY ALL)
+SELECT question_id, id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source, id) AS rank FROM s WHERE score > 0) r WHERE rank <= 8""")
+def chunk_search(spark, d):
+    """The best chunks of every question's own pair: zones are indexed, changes boosted, alias words added."""
+    return retrieval.search(I.made(spark, d, CHUNKED), I.made(spark, d, ASKING), retrieval.load_aliases(spark)).select("question_id", "id", "rank", "score")
+
+
 @query(f"SELECT doc_id, array_to_string({TOK_DUCK.format(t='text')}, ' ') AS tokens FROM (SELECT doc_id, replace(text, 'a', '-') AS text FROM documents) x")
 def tokeniser(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -602,6 +635,25 @@ def run_differences(spark, d):
     return evaluation.run_differences(o, ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", "o_custkey", "previous", "change")
 
 
+@query()
+def naive_matches(spark, d):
+    """Equal, moved, modified, removed and added elements by the plain matcher; tests hold it against a loop."""
+    e = I.made(spark, d, SIDES).where("type <> 'geometry'")
+    b = e.where("m <> 9").withColumn("content", F.when(col("m") == 5, F.concat(col("content"), lit(" v2"))).otherwise(col("content"))).withColumn("x", col("x") + F.when(col("m") == 7, 0.05).otherwise(0.0))
+    return evaluation.naive_match(e.where("m <> 3"), b).withColumn("score", F.round("score", 6))
+
+
+@query()
+def pair_scorecard(spark, d):
+    """Every pair's scores, null labels first; tests hold it against a loop."""
+    base = I.made(spark, d, SIDES).select(
+        "pair_id", "ord", F.element_at(F.array(*[lit(k) for k in ("add", "remove", "modify", "move")]), (col("ord") % 4 + 1).cast("int")).alias("kind"), "sheet", G.zone(col("x"), col("y")).alias("zone"),
+        F.concat_ws(" ", "type", "content").alias("description"), (col("m") == 4).alias("semantic_null"), (col("m") == 6).alias("is_cascade"), "m",
+    )
+    visual = base.withColumn("kind", F.when(col("m") == 8, evaluation.VISUAL).otherwise(col("kind"))).withColumn("semantic_null", col("m") % 5 == 4)
+    return evaluation.score_pairs(visual.where("m <> 3"), base.where("m <> 9").withColumn("zone", F.when(col("m") == 5, "A-1").otherwise(col("zone")))).card
+
+
 ITEMS = "SELECT o_custkey % 20 AS level, o_orderkey % 5 = 0 AS should_refuse, o_orderkey % 7 = 0 AS refused, o_orderkey % 3 AS n_citations, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END AS n_supported, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice > 1e5 END AS correct FROM {orders}"
 
 
@@ -611,11 +663,25 @@ def answer_scores(spark, d):
 
 
 @query("SELECT source, count(DISTINCT lang) AS n_wanted, count(DISTINCT lang) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS n_found, round(count(DISTINCT lang) FILTER (doc_id IN (SELECT doc_id FROM labels)) / count(DISTINCT lang), 4) AS recall FROM documents GROUP BY source")
-def canary_recall(spark, d):
+def set_recall(spark, d):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     return evaluation.set_recall(docs, docs.join(labels, "doc_id", "left_semi"), ["source"], "lang")
 
 
+CANARY = f"""WITH a AS (SELECT CAST(floor(k / 2e1) AS BIGINT) AS pair_id, k, brand || CAST(CAST(size AS INT) AS VARCHAR) AS text FROM {I.named(I.PART_A)} x), b AS (SELECT CAST(floor(k / 2e1) AS BIGINT) AS pair_id, k, brand || CAST(CAST(size AS INT) AS VARCHAR) AS text FROM {I.named(I.PART_B)} x),
+t AS (SELECT CAST(floor(k / 2e1) AS BIGINT) AS pair_id, k, k % 17 <> 0 AS real, EXISTS (SELECT 1 FROM a WHERE a.k = d.k AND (a.pair_id, a.text) NOT IN (SELECT (pair_id, text) FROM b)) OR EXISTS (SELECT 1 FROM b WHERE b.k = d.k AND (b.pair_id, b.text) NOT IN (SELECT (pair_id, text) FROM a)) AS hit FROM ({DIFF}) d)
+SELECT pair_id, count(*) FILTER (real) AS n_real, count(*) FILTER (real AND hit) AS n_hit, CASE WHEN count(*) FILTER (real) = 0 THEN 1.0::DOUBLE ELSE round(count(*) FILTER (real AND hit) / count(*) FILTER (real), 4) END AS recall FROM t GROUP BY pair_id"""
+
+
+@query(CANARY)
+def canary_recall(spark, d):
+    """How many changes a difference of the sides' texts alone would show, by pair."""
+    pair = F.floor(col("k") / 20)
+    side = lambda t: I.made(spark, d, t).select(pair.alias("pair_id"), col("k").cast("string").alias("id"), F.concat("brand", col("size").cast("int").cast("string")).alias("text"))
+    truth = _diff(spark, d).select(pair.alias("pair_id"), col("k").alias("did"), F.when(col("kind") != "add", col("k")).cast("string").alias("id_a"), F.when(col("kind") != "remove", col("k")).cast("string").alias("id_b"), (col("k") % 17 == 0).alias("semantic_null"))
+    return evaluation.canary_recall(side(I.PART_A), side(I.PART_B), truth)
+
+
 @query(f"SELECT (SELECT count(*) FROM (SELECT k, size FROM {I.named(I.PART_A)} a EXCEPT ALL SELECT k, size FROM {I.named(I.PART_B)} b) x) AS missing, (SELECT count(*) FROM (SELECT k, size FROM {I.named(I.PART_B)} a EXCEPT ALL SELECT k, size FROM {I.named(I.PART_A)} b) y) AS extra")
 def round_trip(spark, d):
     a, b = (I.made(spark, d, t).select("k", "size") for t in (I.PART_A, I.PART_B))
@@ -746,12 +812,12 @@ def adapter_dispatch(spark, d):
 
 # --- generation and controls -------------------------------------------------
 
-SHEETS_DUCK = "SELECT pair_id, type, n, round(((pair_id * 37 + i * 101 + n * 7919) % 1000) / 1e3, 6) AS x, round(((pair_id * 53 + i * 211 + n * 7919) % 1000) / 1e3, 6) AS y FROM (SELECT pair_id, type, i, unnest(range(1, low + (pair_id * 31 + i * 17) % more + 1)) AS n FROM (SELECT n_nationkey AS pair_id FROM nation) p, (VALUES {}) k(type, low, more, i)) q"
+SHEETS_DUCK = "SELECT pair_id, type, n, round(((pair_id * 37 + i * 101 + n * 7919) % 1000) / 1e3, 6) AS x, round(((pair_id * 53 + i * 211 + n * 7919) % 1000) / 1e3, 6) AS y FROM (SELECT pair_id, type, i, unnest(range(1, low + (pair_id * 31 + i * 17) % more + 1)) AS n FROM (SELECT s_suppkey AS pair_id FROM supplier) p, (VALUES {}) k(type, low, more, i)) q"
 
 
 @query("SELECT CAST(pair_id AS BIGINT) AS pair_id, type, CAST(n AS BIGINT) AS n, x, y FROM (" + SHEETS_DUCK.format(", ".join(f"('{k}', {low}, {more}, {i})" for i, (k, low, more) in enumerate(generation.COMPOSITION))) + ") s")
 def synthetic_sheets(spark, d):
-    pairs = spark.read.parquet(f"{d}/nation.parquet").select(col("n_nationkey").cast("bigint").alias("pair_id"))
+    pairs = spark.read.parquet(f"{d}/supplier.parquet").select(col("s_suppkey").cast("bigint").alias("pair_id"))
     return generation.sheet_elements(pairs).select("pair_id", "type", col("n").cast("bigint").alias("n"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -801,6 +867,15 @@ def raster_recall(spark, d):
     return evaluation.raster_recall(t, f.where("kind <> 'unclassified_visual_change'"), f)
 
 
+@query(f"""WITH v AS (SELECT pair_id, {ZONE.format(x="x0", y="y0")} AS za, {ZONE.format(x="x1", y="y1")} AS zb FROM {I.named(I.REGIONS)} r), t AS (SELECT pair_id, {ZONE.format(x="x1", y="y1")} AS z FROM {I.named(I.CHANGE_BOXES)} c WHERE x0 < 0.6)
+SELECT count(*) AS n_visual, count(*) FILTER (hit) AS n_hits, round(count(*) FILTER (hit) / count(*), 4) AS precision FROM (SELECT EXISTS (SELECT 1 FROM t WHERE t.pair_id = v.pair_id AND t.z IN (za, zb)) AS hit FROM v) q""")
+def residue_precision(spark, d):
+    """How many visual changes stand in a zone where a label that is no semantic null does."""
+    visual = I.made(spark, d, I.REGIONS).select("pair_id", G.zone(col("x0"), col("y0")).alias("zone_a"), G.zone(col("x1"), col("y1")).alias("zone_b"))
+    truth = I.made(spark, d, I.CHANGE_BOXES).select("pair_id", lit(None).cast("string").alias("zone_a"), G.zone(col("x1"), col("y1")).alias("zone_b"), (col("x0") >= 0.6).alias("semantic_null"))
+    return evaluation.residue_precision(visual, truth)
+
+
 @query("WITH p AS (SELECT p_partkey AS pair_id, CASE WHEN p_partkey % 10 < 6 THEN 'edited' ELSE ['null_ident', 'null_prod', 'null_reword', 'not_a_pair'][p_partkey % 10 - 5] END AS pair_kind FROM part), d AS (SELECT l_partkey AS pair_id, l_linenumber % 2 = 0 AS sn FROM lineitem WHERE l_partkey % 3 <> 0) SELECT pair_kind, count(DISTINCT p.pair_id) AS n_pairs, count(d.pair_id) AS n_deltas, count(*) FILTER (NOT sn) AS hard, round((count(d.pair_id) - count(*) FILTER (NOT sn)) / nullif(count(d.pair_id), 0), 4) AS null_rate FROM p LEFT JOIN d USING (pair_id) GROUP BY pair_kind")
 def null_controls(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("pair_id"), generation.pair_kind(col("p_partkey")).alias("pair_kind"))
