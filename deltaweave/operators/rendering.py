@@ -30,6 +30,23 @@ def annotations(drawn: DataFrame, width: Column, height: Column, pad: float = 1.
     return drawn.withColumn("box", G.to_units(F.col("box"), width, height, pad))
 
 
+# Opacity of filled boxes and of outlines, border width in points of primary changes and of cascades.
+OPACITY, WIDTH = (0.25, 0.9), (2.5, 1.0)
+
+
+def annotation_looks(deltas: DataFrame, title: str = "change") -> DataFrame:
+    """pair_id, did, opacity, width, title, info of the annotations of deltas: what a PDF writer sets on each box.
+
+    A description that is missing or empty becomes the kind and the element's type.
+    """
+    plain = F.when(F.col("kind") == "unclassified_visual_change", "unclassified visual change").otherwise(F.concat(F.col("kind"), F.lit(" ("), F.col("element_type"), F.lit(")")))
+    filled = ~F.col("is_cascade") & ~F.col("kind").isin("move", "unclassified_visual_change")
+    return deltas.select(
+        "pair_id", "did", F.when(filled, OPACITY[0]).otherwise(OPACITY[1]).alias("opacity"), F.when(F.col("is_cascade"), WIDTH[1]).otherwise(WIDTH[0]).alias("width"),
+        F.concat(F.lit(title + ": "), F.col("kind")).alias("title"), F.coalesce(F.nullif(F.col("description"), F.lit("")), plain).alias("info"),
+    )
+
+
 def json_report(deltas: DataFrame, fields: list[str]) -> DataFrame:
     """pair_id, report: a JSON object for each pair with its changes in report order (column position)."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("sheet", "position", F.struct(*fields).alias("d")))), lambda x: x["d"])

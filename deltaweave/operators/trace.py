@@ -62,3 +62,27 @@ def tree(spans: DataFrame) -> DataFrame:
         level = spans.join(parent, ["correlation_id", "parent_id"]).select("correlation_id", "span_id", "name", F.lit(i).alias("level"), F.concat_ws("/", "_path", "name").alias("path"))
         out = out.unionByName(level)
     return out
+
+
+# A span with any of these attributes is a call of a model.
+MODEL_MARKS = ("tokens_in", "tokens_out", "cost_usd")
+
+
+def lines(spans: DataFrame) -> DataFrame:
+    """span_id, is_model, text: what a printed trace says of spans(span_id, name, start_ts, end_ts, status, attrs, error_type, error_message).
+
+    The name with milliseconds (? while it is open) and OK or ERROR, then lines for
+    an error and for the attributes, of which a model's call shows model, tokens and
+    cost alone; a value it lacks is None.
+    """
+    attrs = F.coalesce(F.col("attrs"), F.create_map().cast("map<string,string>"))
+    is_model = F.arrays_overlap(F.map_keys(attrs), F.array(*[F.lit(m) for m in MODEL_MARKS]))
+    took = F.when(F.col("end_ts").isNull(), "?").otherwise(F.format_string("%.1fms", (F.col("end_ts") - F.col("start_ts")) * 1000))
+    ok = F.col("status") == "ok"
+    head = F.concat(F.col("name"), F.lit(" ["), took, F.lit("] "), F.when(ok, "OK").otherwise("ERROR"))
+    shown = lambda k: F.concat(F.lit(k + "="), F.coalesce(attrs[k], F.lit("None")))
+    model = F.concat(F.lit("  "), F.concat_ws(" ", *[shown(k) for k in ("model", *MODEL_MARKS)]))
+    plain = F.concat(F.lit("  "), F.array_join(F.transform(F.map_entries(attrs), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))), ", "))
+    error = F.concat(F.lit("  ! "), F.coalesce("error_type", F.lit("None")), F.lit(": "), F.coalesce("error_message", F.lit("None")))
+    text = F.concat_ws("\n", head, F.when(~ok, error), F.when(is_model, model).when(F.size(attrs) > 0, plain))
+    return spans.select("span_id", is_model.alias("is_model"), text.alias("text"))

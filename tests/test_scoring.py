@@ -137,3 +137,23 @@ def test_canary_and_residue_precision(spark):
     assert tuple(evaluation.residue_precision(visual, labels).first()) == (3, 1, 0.3333)
     none = evaluation.residue_precision(visual.where("false"), labels).select(F.struct("*")).first()[0]
     assert (none["n_visual"], none["precision"]) == (0, None)
+
+
+def test_trace_lines(spark):
+    from deltaweave.operators import trace
+
+    made = [("a", "ask", 1.0, 1.25, "ok", {"model": "m", "tokens_in": "5"}, None, None), ("b", "read", 1.0, None, "error", {"path": "x", "n": "2"}, "ValueError", "no"), ("c", "run", 2.0, 2.0, "ok", {}, None, None)]
+    df = spark.createDataFrame(made, "span_id string, name string, start_ts double, end_ts double, status string, attrs map<string,string>, error_type string, error_message string")
+    got = {r["span_id"]: (r["is_model"], r["text"]) for r in trace.lines(df).collect()}
+    assert got["a"] == (True, "ask [250.0ms] OK\n  model=m tokens_in=5 tokens_out=None cost_usd=None")
+    assert got["b"][1].splitlines()[:2] == ["read [?] ERROR", "  ! ValueError: no"] and set(got["b"][1].splitlines()[2].strip().split(", ")) == {"path=x", "n=2"}
+    assert got["c"] == (False, "run [0.0ms] OK")
+
+
+def test_annotation_looks(spark):
+    from deltaweave.operators import rendering
+
+    made = [(1, "a", "add", "note", False, "new note"), (1, "b", "move", "note", False, ""), (1, "c", "modify", "note", True, None), (1, "d", "unclassified_visual_change", "geometry", False, None)]
+    df = spark.createDataFrame(made, "pair_id long, did string, kind string, element_type string, is_cascade boolean, description string")
+    got = {r["did"]: (r["opacity"], r["width"], r["title"], r["info"]) for r in rendering.annotation_looks(df, "x").collect()}
+    assert got == {"a": (0.25, 2.5, "x: add", "new note"), "b": (0.9, 2.5, "x: move", "move (note)"), "c": (0.9, 1.0, "x: modify", "modify (note)"), "d": (0.9, 2.5, "x: unclassified_visual_change", "unclassified visual change")}
