@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontamination, extraction, mixing, neighbours, quality
+from . import archives, decontamination, extraction, mixing, neighbours, quality, variants
 from ._store import Scratch, table
+from .negatives import hard_negatives
+from .runindex import remove_repeated_bytes
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -68,6 +70,21 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.counted(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_simhash": op2_simhash,
@@ -79,6 +96,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
     "op10_substring": op10_substring,
+    "op11_negatives": op11_negatives,
+    "op12_runindex": op12_runindex,
+    "op13_variants": op13_variants,
 }
 
 ARCHIVES_ORACLE = """
@@ -114,7 +134,42 @@ kept AS (SELECT rid, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(wo
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
 """
 
+NEGATIVES_ORACLE = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+RUNINDEX_ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, rid, i, substr(x, 2 * i + 1, 200) AS w FROM (SELECT doc_id, rid, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200) q),
+st AS (SELECT rid, i FROM win QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+runs AS (SELECT rid, min(i) AS s, max(i) + 100 AS e FROM (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM (
+    SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM st) q) q GROUP BY rid, k),
+gaps AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM runs),
+cut AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_negatives": NEGATIVES_ORACLE,
+    "op12_runindex": RUNINDEX_ORACLE,
     "op10_substring": SUBSTRING_ORACLE,
     "op5_archives": ARCHIVES_ORACLE,
     "op7_voronoi": VORONOI_ORACLE,
