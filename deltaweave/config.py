@@ -34,6 +34,11 @@ class Settings:
     diff_threshold: float = 0.25
     least_area: int = 150
     most_area: float = 0.25
+    ssim: bool = True
+    ssim_window: int = 7
+    blur_sigma: float = 1.0
+    opened: int = 3
+    dilated: int = 9
     k1: float = 1.5
     b: float = 0.75
     delta_boost: float = 1.5
@@ -41,6 +46,8 @@ class Settings:
     match_floor: float = 60.0
     support_floor: float = 45.0
     sentence_window: int = 200
+    # Memory only: pixels of a tile's side.
+    tile: int = 512
 
 
 DEFAULT = Settings()
@@ -49,5 +56,6 @@ DEFAULT = Settings()
 def from_mapping(values: dict[str, str], prefix: str = "") -> Settings:
     """Settings from strings such as environment variables, read once on the driver; names are upper-cased fields."""
     kinds = {f.name: type(f.default) for f in fields(Settings)}
+    kinds = {n: (lambda v: v.strip().lower() in ("1", "true", "yes", "on")) if k is bool else k for n, k in kinds.items()}
     found = {n: kinds[n](values[prefix + n.upper()]) for n in kinds if prefix + n.upper() in values}
     return replace(DEFAULT, **found)

@@ -96,6 +96,12 @@ SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CAST(1 AS INT) AS shee
   (p_partkey * 43 % 90) / 1e2 + 7e-2 AS x1, (p_partkey * 61 % 90) / 1e2 + 6e-2 AS y1
 FROM {part}"""
 
+#: Drawn boxes of sheets of 2,000 x 3,000 pixels, 250 a sheet: on side A but for m = 3, on side B but for m = 9 and moved a little for m = 7.
+DRAWN = """
+SELECT CAST(FLOOR(p_partkey / 25e1) AS BIGINT) AS pair_id, p_partkey % 11 AS m, CAST(p_partkey * 7919 % 2940 AS INT) AS x, CAST(p_partkey * 104729 % 1950 AS INT) AS y,
+  CAST(8 + p_partkey % 43 AS INT) AS w, CAST(6 + p_partkey % 37 AS INT) AS h, CAST(p_size * 4 AS INT) AS grey
+FROM {part}"""
+
 #: Labelled and predicted changes of documents.
 SCORED = """
 SELECT d.doc_id, l.quality, (length(d.text) * 7919 % 1000) / 1e3 AS confidence, d.source, ((length(d.text) * 7919 % 1000) >= 300) AS predicted

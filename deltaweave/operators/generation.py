@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.images import write_png
+
 #: kind of element, how many a sheet has at least, and how many more by key.
 COMPOSITION = (
     ("zone_label", 44, 1), ("title_field", 6, 1), ("rev_row", 1, 1), ("datasheet_row", 5, 1), ("note", 14, 7), ("dcn_note", 1, 1), ("instrument", 8, 7), ("line_tag", 10, 7), ("valve_tag", 8, 5),
@@ -47,6 +51,23 @@ def to_pixels(x_mm: Column, y_mm: Column, height_mm: Column, dpi: Column) -> tup
     return x_mm / 25.4 * dpi, (height_mm - y_mm) / 25.4 * dpi
 
 
+def draw_sheets(boxes: DataFrame, height: int, width: int) -> DataFrame:
+    """pair_id, side, sheet, content (PNG): a white sheet for each pair and side with its boxes(pair_id, side, x, y, w, h, grey) filled in pixels, darker ones last."""
+    things = F.sort_array(F.collect_list(F.struct((-F.col("grey")).alias("light"), "x", "y", "w", "h"))).alias("things")
+    grouped = boxes.groupBy("pair_id", "side").agg(things)
+
+    def draw(things: pd.Series) -> pd.Series:
+        out = []
+        for sheet in things:
+            image = np.full((height, width), 255, np.uint8)
+            for t in sheet:
+                image[max(t["y"], 0) : max(t["y"] + t["h"], 0), max(t["x"], 0) : max(t["x"] + t["w"], 0)] = -t["light"]
+            out.append(write_png(image))
+        return pd.Series(out, dtype=object)
+
+    return grouped.select("pair_id", "side", F.lit(1).alias("sheet"), F.pandas_udf(draw, "binary")("things").alias("content"))
+
+
 def questions(deltas: DataFrame) -> DataFrame:
     """did, question, expected: one question for each primary change, and one that must be refused for every fifth."""
     asked = F.when(F.col("kind") == "add", F.concat(F.lit("What was added in zone "), F.col("zone"), F.lit("?"))).when(F.col("kind") == "remove", F.concat(F.lit("What was removed from zone "), F.col("zone"), F.lit("?")))

@@ -481,7 +481,18 @@ def raster_regions(spark, d):
     grids = e.select(col("vec_id").alias("pair_id"), lit(1).alias("sheet"), lit(8).alias("width"), lit(8).alias("height"), "a", b.alias("b"))
     from dataclasses import replace
 
-    return raster.raster_regions(grids, replace(S, least_area=2, most_area=0.9), opened=1, dilated=1)
+    return raster.raster_regions(grids, replace(S, least_area=2, most_area=0.9, opened=1, dilated=1))
+
+
+@query()
+def raster_sheets(spark, d):
+    """Whole drawings through PNG, warp, tiles and seams at the settings' own kernels; tests hold tiles against whole sheets and those against loops."""
+    drawn = I.made(spark, d, I.DRAWN)
+    move = F.when(col("m") == 7, 9).otherwise(0)
+    parts = [drawn.where("m <> 3").withColumn("side", lit("A")), drawn.where("m <> 9").withColumn("x", col("x") + move).withColumn("side", lit("B"))]
+    images = generation.draw_sheets(parts[0].unionByName(parts[1]), 2000, 3000)
+    frames = drawn.select("pair_id").distinct().select("pair_id", lit(1.0).alias("scale"), *[lit(0.0).alias(c) for c in ("rotation", "tx", "ty")])
+    return raster.page_regions(images, frames, S).select("pair_id", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")], "area_px", F.round("magnitude", 6).alias("magnitude"))
 
 
 # --- retrieval ---------------------------------------------------------------

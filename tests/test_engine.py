@@ -55,6 +55,28 @@ def test_png():
             images.read_png(broken)
 
 
+def test_filters_along_diagonals(monkeypatch):
+    rng = np.random.default_rng(2)
+    for rows in (1, 3, 1024):
+        monkeypatch.setattr(images, "DIAGONAL_ROWS", rows)
+        for step, shape in ((1, (11, 7)), (1, (1, 1)), (1, (4, 30)), (3, (10, 6, 3)), (4, (3, 1, 4))):
+            image = rng.integers(0, 256, shape, np.uint8)
+            rows_of = image.reshape(shape[0], -1)
+            raw = filtered(image, [4, 3, 4, 2, 3, 1, 0, 4], step)
+            body = zlib.decompress(b"".join(c for k, c in chunks_of(raw) if k == b"IDAT"))
+            assert (images._unfilter(body, shape[0], rows_of.shape[1], step) == rows_of).all()
+    with pytest.raises(ValueError, match="PNG filter 7"):
+        images._unfilter(bytes([7, 0]), 1, 1, 1)
+
+
+def chunks_of(png):
+    at = 8
+    while at < len(png):
+        n, kind = struct.unpack_from(">I4s", png, at)
+        yield kind, png[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
 @pytest.mark.parametrize(("scale", "rotation", "tx", "ty"), [(1.0, 0.0, 0.1, 0.0), (0.9, 0.1, 0.02, -0.03)])
 def test_warp_against_points(scale, rotation, tx, ty):
     """A blob of B must stand in A where the transform puts its centre."""

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,71 @@ def test_ssim_against_loop():
             assert abs(got[y, x] - np.clip(1 - s, 0, 1)) < 1e-9
 
 
+def test_blurred_difference():
+    """Without SSIM, and on images too small for it, blurred images are compared, also where b is the lighter."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(5)
+    plain = replace(raster.DEFAULT, ssim=False)
+    for shape in ((9, 11), (2, 5), (1, 1), (1, 6)):
+        a, b = rng.integers(0, 256, (2, *shape), np.uint8)
+        w = np.exp(-0.5 * np.array([-1, 0, 1]) ** 2)
+        w /= w.sum()
+        mirror = lambda i, n: min(max(abs(i) if abs(i) < n else 2 * (n - 1) - abs(i), 0), n - 1)
+        slow = lambda im: np.rint([[sum(w[p] * w[q] * im[mirror(y + p - 1, shape[0]), mirror(x + q - 1, shape[1])] for p in range(3) for q in range(3)) for x in range(shape[1])] for y in range(shape[0])])
+        got = raster.structural_difference(a, b, plain)
+        assert np.abs(got - np.abs(slow(a) - slow(b)) / 255).max() < 1e-9
+        if min(shape) < 3:
+            assert (raster.structural_difference(a, b) == got).all()
+
+
+def test_morphology_against_loop():
+    rng = np.random.default_rng(6)
+    for k in (1, 2, 3, 4, 9):
+        mask = rng.random((13, 17)) < 0.7
+        for pick, fill in ((np.minimum, True), (np.maximum, False)):
+            wide = np.pad(mask, k, constant_values=fill)
+            want = [[pick.reduce(wide[y + k - k // 2 : y + 2 * k - k // 2, x + k - k // 2 : x + 2 * k - k // 2].ravel()) for x in range(17)] for y in range(13)]
+            assert (raster._shifted(mask, k, pick) == np.array(want)).all()
+
+
+@pytest.mark.parametrize("size", [16, 37])
+def test_tiles_give_the_whole_sheets_regions(spark, size):
+    """Regions over seams, corners and borders, thin lines that cross many tiles, and rings."""
+    from dataclasses import replace
+
+    s = replace(raster.DEFAULT, tile=size, least_area=10, most_area=0.9)
+    rng = np.random.default_rng(size)
+    frames, want = [], []
+    for sheet in range(4):
+        shape = (int(rng.integers(150, 260)), int(rng.integers(150, 260)))
+        a = np.full(shape, 255, np.uint8)
+        b = a.copy()
+        for image in (a, b, b):
+            for _ in range(5):
+                y, x = (int(rng.integers(0, n)) for n in shape)
+                image[y : y + int(rng.integers(3, 40)), x : x + int(rng.integers(3, 40))] = rng.integers(0, 200)
+        b[shape[0] // 2 - 2 : shape[0] // 2 + 2, 20:] = 0
+        if sheet == 3:
+            b = a.copy()
+        frames += [(1, sheet, *shape, *place, *p.shape, p.tobytes(), q.tobytes()) for *place, p, q in raster.tiles(a, b, s)]
+        want += [(1, sheet, *f) for f in raster.change_regions(a, b, s)]
+    assert len(want) > 8 and not any(w[1] == 3 for w in want)
+    got = [tuple(r) for r in raster.tiled_regions(spark.createDataFrame(frames, raster.TILE), s).collect()]
+    plain = lambda rows: sorted((*r[:7], round(r[7], 9)) for r in rows)
+    assert plain(got) == plain(want)
+
+
+def test_tile_work_on_a_large_sheet():
+    """A sheet of 24 megapixels with thousands of regions, labelled in seconds."""
+    mask = np.zeros((4000, 6000), bool)
+    mask[::20, ::2] = True
+    mask[10::20, :] = True
+    began = time.time()
+    *_, part = raster.strokes(mask)
+    assert part.max() + 1 == 200 * 3000 + 200 and time.time() - began < 30
+
+
 def test_components_against_flood():
     rng = np.random.default_rng(4)
     for _ in range(20):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -261,3 +262,35 @@ def test_trace_trees_of_any_depth(spark):
     rows = [("c", f"s{i}", f"s{i - 1}" if i else None, f"n{i}") for i in range(12)] + [("c", "x", "missing", "orphan")]
     got = {r["span_id"]: r["level"] for r in tree(spark.createDataFrame(rows, "correlation_id string, span_id string, parent_id string, name string")).collect()}
     assert got == {f"s{i}": i for i in range(12)}
+
+
+def test_touching_boxes_against_loop(spark):
+    """Dots, lines, full sheets, boxes outside the sheet, on grid lines and with common borders; repeated and null ones."""
+    from deltaweave.operators.spatial import touching
+
+    rng = random.Random(7)
+    grid = lambda: rng.choice([rng.random(), rng.randrange(-2, 11) / 8, rng.randrange(0, 513) / 512])
+    sides = []
+    for _ in range(2):
+        rows = []
+        for i in range(150):
+            x, y, w, h = grid(), grid(), rng.choice([0, 1 / 512, 0.01, 0.125, 0.5, 3]), rng.choice([0, 1 / 512, 0.03, 0.25, 1])
+            rows.append((i % 3, (x, y, x + w, y + h)))
+        sides.append([*rows, rows[0], (0, None), (0, (None, 0.0, 1.0, 1.0))])
+    schema = "page int, box struct<x0: double, y0: double, x1: double, y1: double>"
+    found = touching(*[spark.createDataFrame(s, schema) for s in sides], ["page"])
+    got = [(r["page"], tuple(r["left_box"]), tuple(r["right_box"])) for r in found.collect()]
+    whole = [{(p, b) for p, b in s if b is not None and None not in b} for s in sides]
+    want = {(p, a, b) for p, a in whole[0] for q, b in whole[1] if p == q and a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_touching_on_a_crowded_page(spark):
+    """100,000 boxes a side on one page, by equality of cells alone."""
+    from deltaweave.operators.spatial import touching
+
+    made = lambda seed: spark.range(100_000).select(F.lit(1).alias("page"), F.rand(seed).alias("x"), F.rand(seed + 1).alias("y")).select("page", G.box(F.col("x"), F.col("y"), F.col("x") + 0.002, F.col("y") + 0.002).alias("box"))
+    found = touching(made(1), made(3), ["page"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert 100_000 < found.count() < 250_000  # about 100,000 ** 2 * 0.004 ** 2
