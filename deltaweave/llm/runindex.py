@@ -400,7 +400,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, core: int = COR
 
     entries = scratch.keep(rows.where(F.octet_length("text") >= window).select("text", "t1").mapInArrow(_entries(window, core), "h bigint, t1 bigint, start int, windows smallint, off smallint"), "entries")
     place = F.xxhash64("t1", "start")
-    repeated = entries.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h")
+    # Stored, so that a hot core's rows can be split in the join.
+    repeated = scratch.keep(entries.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h"), "repeated")
     places = entries.join(repeated, "h", "left_semi").groupBy("t1").agg(F.collect_set(F.struct("h", "start", "windows", "off")).alias("places"))
     places = scratch.keep(places.join(firsts, "t1").select("t1", "t2", F.col("first").alias("doc_id"), "places"), "places")
     scratch.drop("entries")
