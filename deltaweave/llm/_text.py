@@ -164,25 +164,37 @@ def cut_batch(batch: pa.RecordBatch, rows: int = 1 << 16):
 
 
 class Bits:
-    """A fixed-size filter over uint64 keys: one bit for each value of the leading ``BITS`` bits; false positives only."""
+    """A filter over uint64 keys, one bit for each value of their leading bits: false positives only.
 
-    BITS = 27
+    It has about 16 slots a key and at most 2**MOST; keys that would fill half of
+    those are not filtered at all, since most other keys would pass as well.
+    """
+
+    LEAST, MOST = 20, 28
 
-    def __init__(self, chunks: dict[int, bytes]):
-        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8)
-        for bucket, raw in chunks.items():  # buckets are numbered from 1
-            self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(raw, np.uint8)
+    def __init__(self, size: int, chunks: dict[int, bytes]):
+        self.size, self.bits = size, None
+        if size:
+            self.bits = np.zeros(1 << (size - 3), np.uint8)
+            for bucket, raw in chunks.items():  # buckets are numbered from 1
+                self.bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(raw, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        if self.bits is None:
+            return np.ones(len(keys), bool)
+        slot = (keys >> np.uint64(64 - self.size)).astype(np.int64)
         return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
     @classmethod
     def of(cls, keys) -> "Bits":
-        """Of the column ``key`` (bigint) of a DataFrame. What reaches the driver is 16 MB at most, whatever the number of keys."""
-        slot = F.shiftrightunsigned("key", 64 - cls.BITS) + 1
+        """Of the column ``key`` (bigint) of a DataFrame. What reaches the driver is 32 MB at most, whatever the number of keys."""
+        count = keys.count()
+        if count > 1 << (cls.MOST - 1):
+            return cls(0, {})
+        size = min(cls.MOST, max(cls.LEAST, (16 * count).bit_length()))
+        slot = F.shiftrightunsigned("key", 64 - size) + 1
         rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("raw"))
-        return cls({r["bucket"]: bytes(r["raw"]) for r in rows.collect()})
+        return cls(size, {r["bucket"]: bytes(r["raw"]) for r in rows.collect()})
 
 
 class HashTable:

@@ -14,6 +14,7 @@ import xxhash
 
 from deltaweave.llm import sharding, simhash, substring, suffix_tree
 from deltaweave.llm._store import Scratch
+from deltaweave.llm._text import Bits
 
 from .cases import documents, texts, words
 
@@ -98,6 +99,28 @@ def test_suffix_tree_against_a_tree_of_dictionaries(spark, monkeypatch, words_in
         assert abs(sum(tree.p(x, s) for x in tree.unigrams) + tree.p(None, s) - 1) < 1e-9
 
 
+def test_suffix_tree_at_the_registered_thresholds(spark):
+    """All documents of the smallest size, with terms in place and with nearly all of them joined."""
+    assert (suffix_tree.LEAST_STATE, suffix_tree.LEAST_ENTRY) == (20, 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], [*words(r["text"], True), b" end"]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    tree = BruteTree([ws for i, ws in rows if not held(i)], 3, 20, 2)
+    assert {len(s) for s in tree.states} == {1, 2, 3}
+    want = {i: tree.score(ws) for i, ws in rows}
+    for terms in (1 << 21, 1 << 6):
+        got = {r["doc_id"]: r["score"] for r in rows_of(suffix_tree.score_documents(docs, terms=terms))}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-5
+
+
+def test_filters_follow_the_number_of_keys(spark):
+    keys = [int(k) for k in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)]
+    bits = Bits.of(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    others = np.random.default_rng(2).integers(0, 2**64 - 1, 20_000, np.uint64)
+    assert bits.size == Bits.LEAST and bits.has(np.array(keys).view(np.uint64)).all() and bits.has(others).mean() < 0.1
+    assert Bits(0, {}).has(others).all()  # beyond what a filter can tell apart
+
+
 def test_suffix_tree_learns(spark):
     text = " ".join(["a b c d"] * 60)
     docs = documents(spark, [(i, text if i % 2 else text.replace("c", "e"), "s") for i in range(60)])
