@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.tags import match_group
+from . import sparse
 
+#: Pairs of a bucket from which on it is solved without the matrix of all costs.
+SPARSE_FROM = 1 << 16
 BUCKET = ["pair_id", "sheet", "bucket"]
 
 
@@ -115,8 +118,8 @@ def match_elements(a: DataFrame, b: DataFrame, transforms: DataFrame, s: Setting
     element left over has its least cost in the bucket, null if there was no partner.
 
     Pools are sorted by (y, x, ord), so equal optima are broken the same way each
-    time. A task holds one sheet, which a drawing bounds; the work is split over
-    (pair, sheet).
+    time. A task holds one sheet; its memory grows with the elements of a bucket, not
+    with their pairs (see ``sparse``). The work is split over (pair, sheet).
     """
     moved = b.join(transforms, "pair_id", "left").withColumn("_c", F.coalesce("scale", F.lit(1.0)) * F.cos(F.coalesce("rotation", F.lit(0.0)))).withColumn(
         "_s", F.coalesce("scale", F.lit(1.0)) * F.sin(F.coalesce("rotation", F.lit(0.0)))
@@ -131,11 +134,10 @@ def match_elements(a: DataFrame, b: DataFrame, transforms: DataFrame, s: Setting
             columns = table["ord"].to_numpy(), table["content"].to_pylist(), table["x"].to_numpy(), table["y"].to_numpy()
             for i in order.tolist():
                 side.setdefault(bucket[i], []).append((int(columns[0][i]), columns[1][i] or "", columns[2][i], columns[3][i]))
-        seen: dict[tuple[str, str], float] = {}
         out = []
         for bucket in sorted({*sides[0], *sides[1]}):
             a, b = (side.get(bucket, []) for side in sides)
-            out += [(key[0].as_py(), key[1].as_py(), bucket, *row) for row in _solve_bucket(a, b, seen, s)]
+            out += [(key[0].as_py(), key[1].as_py(), bucket, *row) for row in _solve_bucket(a, b, s)]
         columns = zip(*out, strict=True) if out else [[]] * 8
         return pa.table([pa.array(c, t) for c, t in zip(columns, _MATCH_TYPES, strict=True)], [x.split()[0] for x in MATCH.split(", ")])
 
@@ -150,26 +152,29 @@ def match_elements(a: DataFrame, b: DataFrame, transforms: DataFrame, s: Setting
 _MATCH_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
 
 
-def _solve_bucket(a: list, b: list, seen: dict[tuple[str, str], float], s: Settings) -> list[tuple]:
-    """ord_a, ord_b, cost, margin, near_miss for two lists of (ord, content, x, y)."""
+def _solve_bucket(a: list, b: list, s: Settings) -> list[tuple]:
+    """ord_a, ord_b, cost, margin, near_miss for two lists of (ord, content, x, y); from SPARSE_FROM pairs on without a matrix of all costs."""
     if not a or not b:
         return [(x[0], None, None, None, None) for x in a] + [(None, x[0], None, None, None) for x in b]
-    text = np.empty((len(a), len(b)))
-    for i, (_, x, *_) in enumerate(a):
-        for j, (_, y, *_) in enumerate(b):
-            if (x, y) not in seen:
-                seen[x, y] = similarity(x, y)
-            text[i, j] = seen[x, y]
-    (ax, ay), (bx, by) = (np.array([x[2:] for x in side]).T for side in (a, b))
-    cost = s.text_weight * (1 - text) + s.space_weight * np.hypot(ax[:, None] - bx, ay[:, None] - by)
-    rows, cols = solve_assignment(cost)
-    good = cost[rows, cols] <= s.max_cost
+    costs = sparse.Costs(a, b, similarity, (s.text_weight, s.space_weight))
+    if len(a) * len(b) < SPARSE_FROM:
+        every = np.arange(len(b))
+        cost = np.array([costs.of(i, every) for i in range(len(a))])
+        order = [np.argsort(c, axis=1, kind="stable")[:, :2] for c in (cost, cost.T)]
+        best = [(at, np.take_along_axis(c, at, axis=1)) for at, c in zip(order, (cost, cost.T), strict=True)]
+        rows, cols = solve_assignment(cost)
+    else:
+        best = [sparse.cheapest(costs, 2), sparse.cheapest(costs.flipped(), 2)]
+        rows, cols = sparse.assignment(costs, *best)
+    chosen = np.array([costs.of(i, np.array([j]))[0] for i, j in zip(rows.tolist(), cols.tolist(), strict=True)])
+    good = chosen <= s.max_cost
     out = []
-    for i, j in zip(rows[good].tolist(), cols[good].tolist(), strict=True):
-        rest = np.concatenate([np.delete(cost[i], j), np.delete(cost[:, j], i)])
-        out.append((a[i][0], b[j][0], float(cost[i, j]), float(rest.min() - cost[i, j]) if len(rest) else None, None))
-    out += [(a[i][0], None, None, None, float(cost[i].min())) for i in sorted(set(range(len(a))) - set(rows[good].tolist()))]
-    return out + [(None, b[j][0], None, None, float(cost[:, j].min())) for j in sorted(set(range(len(b))) - set(cols[good].tolist()))]
+    for i, j, c in zip(rows[good].tolist(), cols[good].tolist(), chosen[good].tolist(), strict=True):
+        # The cheapest pair of either but this one.
+        other = [float(least[at][k]) for (columns, least), at, mate in ((best[0], i, j), (best[1], j, i)) for k in range(columns.shape[1]) if columns[at][k] != mate]
+        out.append((a[i][0], b[j][0], c, min(other) - c if other else None, None))
+    out += [(a[i][0], None, None, None, float(best[0][1][i, 0])) for i in sorted(set(range(len(a))) - set(rows[good].tolist()))]
+    return out + [(None, b[j][0], None, None, float(best[1][1][j, 0])) for j in sorted(set(range(len(b))) - set(cols[good].tolist()))]
 
 
 def candidate_costs(a: DataFrame, b: DataFrame, similarity_of, s: Settings = DEFAULT) -> DataFrame:

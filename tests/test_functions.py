@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from deltaweave.functions import geometry as G
 from deltaweave.functions import tags as T
 from deltaweave.functions import text as X
-from deltaweave.operators import evaluation, raster
+from deltaweave.operators import alignment, evaluation, raster, sparse
 from deltaweave.operators.alignment import lcs, similarity, solve_assignment
 
 
@@ -224,3 +226,53 @@ def test_settings_from_mapping():
     assert from_mapping({}) == DEFAULT
     found = from_mapping({"DW_MAX_COST": "0.5", "DW_TOP_K": "3", "OTHER": "x"}, "DW_")
     assert (found.max_cost, found.top_k, found.k1) == (0.5, 3, 1.5)
+
+
+# --- assignment without a matrix
+
+
+def _elements(r, n, length):
+    return [(i, "".join(r.choice("abcd é") for _ in range(r.randrange(length))), r.random(), r.random()) for i in range(n)]
+
+
+def test_sparse_assignment_equals_the_dense_one(monkeypatch):
+    monkeypatch.setattr(sparse, "TRIED", 4)
+    r = random.Random(1)
+    for case in range(150):
+        a, b = (_elements(r, r.randrange(1, 25), r.choice([3, 8, 90])) for _ in range(2))
+        if case % 3 == 0:  # nearly the same, many equal costs
+            b = [(i, x[1], x[2] + r.choice([0, 0.01]), x[3]) for i, x in enumerate(a) if r.random() < 0.9] or b
+        costs = sparse.Costs(a, b, similarity, (0.6, 0.4))
+        full = np.array([[0.6 * (1 - similarity(x[1], y[1])) + 0.4 * np.hypot(x[2] - y[2], x[3] - y[3]) for y in b] for x in a])
+        assert np.abs(np.array([costs.of(i, np.arange(len(b))) for i in range(len(a))]) - full).max() < 1e-12
+        best = sparse.cheapest(costs, 2), sparse.cheapest(costs.flipped(), 2)
+        for (_, least), matrix in zip(best, (full, full.T), strict=True):
+            assert np.allclose(least, np.sort(matrix, axis=1)[:, :2])
+        rows, cols = sparse.assignment(costs, *best)
+        p, q = solve_assignment(full)
+        assert len(rows) == min(full.shape) == len(set(cols.tolist())) == len(set(rows.tolist()))
+        assert abs(full[rows, cols].sum() - full[p, q].sum()) < 1e-9
+
+
+def test_sparse_and_dense_buckets_agree(monkeypatch):
+    r = random.Random(2)
+    a = _elements(r, 60, 12)
+    b = [(i, x[1] + r.choice(["", "x"]), x[2] + r.gauss(0, 0.01), x[3]) for i, x in enumerate(a) if i % 9] + _elements(r, 5, 12)
+    found = []
+    for limit in (0, 1 << 30):
+        monkeypatch.setattr(alignment, "SPARSE_FROM", limit)
+        found.append(sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in alignment._solve_bucket(a, b, alignment.DEFAULT)], key=repr))
+    assert found[0] == found[1] and sum(row[3] is not None for row in found[0]) > 40
+
+
+def test_large_bucket():
+    """3,000 a side: the pairs never stand in memory together."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    a = [(i, " ".join(r.choice(words) for _ in range(3)), r.random(), r.random()) for i in range(3000)]
+    b = [(i, x[1] + ("x" if i % 10 == 0 else ""), x[2] + r.gauss(0, 0.003), x[3]) for i, x in enumerate(a) if i % 20]
+    tracemalloc.start()
+    found = alignment._solve_bucket(a, b, alignment.DEFAULT)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(f[0] == f[1] for f in found) > 2800 and peak < 3000 * 2850 * 8  # less than one matrix of costs
