@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from .alignment import similarity
+from .similar import scored, similar_texts
 
 # The bands of confidence.
 BANDS = ((0.0, 0.5), (0.5, 0.75), (0.75, 0.9), (0.9, 1.0))
@@ -44,31 +45,35 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT
     Both have the columns ``by``, ord, kind, sheet, zone, description. Predictions go
     in order; each takes an unused label of its kind and sheet: the most similar of
     its zone (first of equals), else the most similar of all (last of equals) if that
-    reaches the floor. What one takes the next cannot, so it is a fold over each pair.
+    reaches the floor. What one takes the next cannot, so it is a fold, over the pairs
+    of one kind and sheet that share a zone or reach the floor.
     """
+    group = [*by, "kind", "sheet"]
+    side = lambda d, n: d.select(*group, F.col("ord").alias(n), F.col("zone").alias(f"zone_{n}"), F.coalesce("description", F.lit("")).alias(f"text_{n}"))
+    p, t = side(predictions, "a"), side(truth, "b")
+    same = F.col("zone_a").eqNullSafe(F.col("zone_b"))
+    here = p.alias("p").join(t.alias("t"), [F.col(f"p.{c}") == F.col(f"t.{c}") for c in group] + [same]).select(*[f"p.{c}" for c in group], "a", "b", "text_a", "text_b")
+    texts = lambda d, n: d.select(*group, F.col(f"text_{n}").alias("text"))
+    # Both sides may come from one table; new names keep their columns apart.
+    near = similar_texts(_fresh(texts(p, "a"), [*group, "text"]), _fresh(texts(t, "b"), [*group, "text"]), group, s.match_floor)
+    far = near.join(p, [*group, "text_a"]).join(t, [*group, "text_b"]).where(~same)
+    edges = scored(here).select(*group, "a", "b", "score", F.lit(True).alias("same_zone")).unionByName(far.select(*group, "a", "b", "score", F.lit(False).alias("same_zone")))
     types = dict(predictions.dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in by], "pred int", "truth int", "same_zone boolean"])
 
-    def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("ord").reset_index(drop=True)
-        used: set[int] = set()
+    def run(key, found):
+        found = found.assign(better=-found["score"], last=found["b"].where(found["same_zone"], -found["b"]), other=~found["same_zone"])
+        used_a: set[int] = set()
+        used_b: set[int] = set()
         out = []
-        for x in p.sort_values("ord").itertuples():
-            open_ = [i for i in range(len(t)) if i not in used and t["kind"][i] == x.kind and t["sheet"][i] == x.sheet]
-            like = {i: 100 * similarity(x.description or "", t["description"][i] or "") for i in open_}
-            here = [i for i in open_ if t["zone"][i] == x.zone or (pd.isna(t["zone"][i]) and pd.isna(x.zone))]
-            if here:
-                best = max(here, key=lambda i: (like[i], -i))
-            elif open_ and max(like.values()) >= s.match_floor:
-                best = max(open_, key=lambda i: (like[i], i))
-            else:
-                continue
-            used.add(best)
-            out.append((*key, x.ord, t["ord"][best], bool(here)))
+        for x in found.sort_values(["a", "other", "better", "last"]).itertuples():
+            if x.a not in used_a and x.b not in used_b:
+                used_a.add(x.a)
+                used_b.add(x.b)
+                out.append((*key[: len(by)], x.a, x.b, x.same_zone))
         return pd.DataFrame(out, columns=[*by, "pred", "truth", "same_zone"])
 
-    keep = [*by, "ord", "kind", "sheet", "zone", "description"]
-    return _fresh(predictions, keep).groupBy(*by).cogroup(_fresh(truth, keep).groupBy(*by)).applyInPandas(run, schema)
+    return edges.groupBy(*group).applyInPandas(run, schema)
 
 
 VISUAL = "unclassified_visual_change"
@@ -147,7 +152,8 @@ def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: fl
 
     Equal contents meet as in exact_match; the rest of a type pair off from the most
     similar down while they reach the floor (equals in the order of a, then of b's
-    contents). Only those leftovers are folded in Python. Null contents are empty.
+    contents). Only the pairs of those leftovers that reach the floor are folded in
+    Python. Null contents are empty.
     """
     fill = lambda d: d.withColumn("content", F.coalesce("content", F.lit("")))
     a, b = fill(a), fill(b)
@@ -159,19 +165,27 @@ def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: fl
     first = F.min("ord").over(Window.partitionBy("pair_id", "type", "content"))
     left = lambda d, n: d.withColumn("first", first).join(met.select("pair_id", "type", F.col(f"ord_{n}").alias("ord")), ["pair_id", "type", "ord"], "left_anti")
 
-    def run(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p, q = p.sort_values("ord"), q.sort_values(["first", "ord"])
-        scored = [(100 * similarity(x.content, y.content), x.ord, y.ord) for x in p.itertuples() for y in q.itertuples()]
-        open_a, open_b, out = dict.fromkeys(p["ord"]), dict.fromkeys(q["ord"]), []
-        for score, i, j in sorted((t for t in scored if t[0] >= floor), key=lambda t: -t[0]):
-            if i in open_a and j in open_b:
-                del open_a[i], open_b[j]
-                out.append((*key, "modified", i, j, score))
-        out += [(*key, "removed", i, None, None) for i in open_a] + [(*key, "added", None, j, None) for j in open_b]
-        return pd.DataFrame(out, columns=["pair_id", "type", "status", "ord_a", "ord_b", "score"]).astype({"ord_a": "Int32", "ord_b": "Int32", "score": "Float64"})
-
-    group, keep = ["pair_id", "type"], ["pair_id", "type", "ord", "content", "first"]
-    return exact.unionByName(_fresh(left(a, "a"), keep).groupBy(*group).cogroup(_fresh(left(b, "b"), keep).groupBy(*group)).applyInPandas(run, NAIVE))
+    group = ["pair_id", "type"]
+    # Both sides may come from one table; new names keep their columns apart.
+    p = _fresh(left(a, "a"), [*group, "ord", "content"]).select(*group, F.col("ord").alias("ord_a"), F.col("content").alias("text_a"))
+    q = _fresh(left(b, "b"), [*group, "ord", "content", "first"]).select(*group, F.col("ord").alias("ord_b"), F.col("content").alias("text_b"), "first")
+    near = similar_texts(p.select(*group, F.col("text_a").alias("text")), q.select(*group, F.col("text_b").alias("text")), group, floor)
+    edges = near.join(p, [*group, "text_a"]).join(q, [*group, "text_b"]).select(*group, "ord_a", "ord_b", "first", "score")
+
+    def run(key, found):
+        open_a, open_b, out = set(found["ord_a"]), set(found["ord_b"]), []
+        for x in found.assign(better=-found["score"]).sort_values(["better", "ord_a", "first", "ord_b"]).itertuples():
+            if x.ord_a in open_a and x.ord_b in open_b:
+                open_a.remove(x.ord_a)
+                open_b.remove(x.ord_b)
+                out.append((*key, "modified", x.ord_a, x.ord_b, x.score))
+        return pd.DataFrame(out, columns=["pair_id", "type", "status", "ord_a", "ord_b", "score"])
+
+    modified = edges.groupBy(*group).applyInPandas(run, NAIVE)
+    rest = lambda d, n, status: d.join(modified, [*group, f"ord_{n}"], "left_anti").select(
+        *group, F.lit(status).alias("status"), *[(F.col(c) if c == f"ord_{n}" else F.lit(None)).cast("int").alias(c) for c in ("ord_a", "ord_b")], F.lit(None).cast("double").alias("score")
+    )
+    return exact.unionByName(modified).unionByName(rest(p, "a", "removed")).unionByName(rest(q, "b", "added"))
 
 
 def pair_scores(matched: DataFrame, predictions: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +60,29 @@ def word_bands(words: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     A word opens a band unless it lies within half the height of the band's first
     word, so each depends on a seed further back: a fold over a page's words in
-    the order of y. The fold keeps the seeds only and runs in SQL.
+    the order of (top, left, ord). Rows stream through it sorted by page; all that is
+    kept is the seed, so a page may have any number of words.
     """
-    # A page's words are few; this is the one place where a page is one row.
-    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "left", "ord", "text", "conf", "width", "height"))).alias("w"))
-    folded = page.withColumn(
-        "bands",
-        F.expr(f"""aggregate(
-          w, named_struct('seed', cast(null as double), 'h', cast(null as double), 'n', 0, 'out', cast(array() as array<int>)),
-          (acc, x) -> if(acc.seed is not null and abs(x.top - acc.seed) <= {s.run_baseline} * acc.h,
-            named_struct('seed', acc.seed, 'h', acc.h, 'n', acc.n, 'out', concat(acc.out, array(acc.n))),
-            named_struct('seed', cast(x.top as double), 'h', cast(x.height as double), 'n', acc.n + 1, 'out', concat(acc.out, array(acc.n + 1))))
-        ).out"""),
-    )
-    return folded.select(*PAGE, F.explode(F.arrays_zip("w", "bands")).alias("z")).select(*PAGE, F.col("z.bands").alias("band"), "z.w.*")
+    columns = [*PAGE, "top", "left", "ord", "text", "conf", "width", "height"]
+    sorted_ = words.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "left", "ord", "text", "conf", "width", "height")
+    kinds = dict(sorted_.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, seed, reach, band = None, 0.0, 0.0, 0
+        for batch in batches:
+            pages = zip(*(batch[c].to_pylist() for c in PAGE), strict=True)
+            out = []
+            for key, top, height in zip(pages, batch["top"].to_pylist(), batch["height"].to_pylist(), strict=True):
+                if key != page:
+                    page, band, seed = key, 0, None
+                near = None if top is None or seed is None or reach is None else abs(top - seed) <= reach
+                if not near:
+                    seed, band, reach = top, band + 1, None if height is None else s.run_baseline * height
+                out.append(band)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "band"])
+
+    found = sorted_.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in columns], "band int"]))
+    return found.select(*PAGE, "band", *columns[len(PAGE) :])
 
 
 def band_runs(banded: DataFrame, s: Settings = DEFAULT) -> DataFrame:

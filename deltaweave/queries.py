@@ -267,9 +267,27 @@ def run_clusters(spark, d):
     return found.select("pair_id", "run", "text", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"), F.round("anchor_x", 6).alias("anchor_x"), "n_spans")
 
 
-@query()
+#: The oracle goes from each band's first top to the next one that is out of its reach, instead of from word to word.
+BANDS = f"""
+WITH RECURSIVE words AS ({I.WORDS_DUCK}), s AS ({I.SPANS}),
+w AS (SELECT pair_id, ord, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, ord % 101 AS conf, x0 AS l, y0 + ord % 4 AS top, x1 - x0 AS width FROM s),
+ws AS (SELECT * FROM w WHERE text <> ''),
+tops AS (SELECT DISTINCT pair_id, top FROM ws),
+nxt AS MATERIALIZED (SELECT a.pair_id, a.top, b.top AS further FROM (SELECT *, top + 5 AS reach FROM tops) a ASOF JOIN tops b ON a.pair_id = b.pair_id AND a.reach < b.top),
+seeds AS (SELECT pair_id, CAST(1 AS INT) AS band, min(top) AS top FROM tops GROUP BY pair_id
+  UNION ALL SELECT r.pair_id, r.band + 1, n.further FROM seeds r JOIN nxt n ON n.pair_id = r.pair_id AND n.top = r.top),
+b AS (SELECT ws.*, x.band FROM ws ASOF JOIN seeds x ON ws.pair_id = x.pair_id AND ws.top >= x.top),
+g AS (SELECT *, l - lag(l + width) OVER o AS gap, row_number() OVER o AS place FROM b WINDOW o AS (PARTITION BY pair_id, band ORDER BY l, ord)),
+n AS (SELECT *, CASE WHEN gap >= 0 AND gap <= 30 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY pair_id, band ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT pair_id, band, CAST(run AS BIGINT) AS run, regexp_replace(regexp_replace(string_agg(CASE WHEN new = 0 THEN ' ' ELSE '' END || text, '' ORDER BY place), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text,
+  min(l) AS "left", min(top) AS top, max(l + width) AS "right", max(top + 10) AS bottom, round(avg(conf) / 100, 4) AS confidence
+FROM r GROUP BY pair_id, band, run"""
+
+
+@query(BANDS)
 def ocr_bands(spark, d):
-    """A fold against each band's first word; SQL engines differ in folds, so tests hold it against a plain loop."""
+    """A fold against each band's first word."""
     words = _spans(spark, d).select(
         "pair_id", "side", "sheet", "ord", "text", F.concat((col("ord") % 101).cast("string"), lit(".0")).alias("conf"), col("x0").alias("left"),
         (col("y0") + (col("ord") % 4)).alias("top"), (col("x1") - col("x0")).alias("width"), lit(10.0).alias("height"),
@@ -619,9 +637,32 @@ def calibration_bands(spark, d):
     return evaluation.calibration(I.made(spark, d, I.SCORED).withColumn("correct", col("quality") == 1))
 
 
-@query()
+LIKE_TEXTS = "CASE WHEN {x} = {y} THEN 100e0 ELSE 100 * (2 * " + LCS_DUCK.format(a="{x}", b="{y}") + "::DOUBLE / (length({x}) + length({y}))) END"
+
+
+def greedy_ctes(name: str, predictions: str, truth: str, by: tuple[str, ...] = ("pair_id",)) -> str:
+    """Recursive tables that leave {name}(by, kind, pred, truth, same_zone): one step for each prediction of a group, over its labels in the order it prefers them."""
+    g = ", ".join([*by, "kind", "sheet"])
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in (*by, "kind", "sheet"))
+    return f"""{name}_p AS (SELECT {g}, ord, zone, description, row_number() OVER (PARTITION BY {g} ORDER BY ord) AS n FROM ({predictions}) q),
+{name}_e AS (SELECT {", ".join(f"p.{c}" for c in (*by, "kind", "sheet"))}, p.n, t.ord AS truth, p.zone IS NOT DISTINCT FROM t.zone AS same_zone, {LIKE_TEXTS.format(x="p.description", y="t.description")} AS score FROM {name}_p p JOIN ({truth}) t ON {on("p", "t")}),
+{name}_c AS (SELECT {g}, n, list({{'t': truth, 'z': same_zone}} ORDER BY same_zone DESC, score DESC, CASE WHEN same_zone THEN truth ELSE -truth END) AS prefs FROM {name}_e WHERE same_zone OR score >= 60 GROUP BY ALL),
+{name}_r AS (
+  SELECT DISTINCT {g}, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS pred, CAST(NULL AS STRUCT(t INT, z BOOLEAN)) AS pick FROM {name}_p
+  UNION ALL
+  SELECT {g}, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.t) END, pred, pick FROM (
+    SELECT {", ".join(f"r.{c}" for c in (*by, "kind", "sheet"))}, p.n, r.used, p.ord AS pred, list_filter(c.prefs, lambda x: NOT list_contains(r.used, x.t))[1] AS pick
+    FROM {name}_r r JOIN {name}_p p ON {on("r", "p")} AND p.n = r.n + 1 LEFT JOIN {name}_c c ON {on("p", "c")} AND c.n = p.n) q),
+{name} AS (SELECT {", ".join(by)}, kind, pred, pick.t AS truth, pick.z AS same_zone FROM {name}_r WHERE pick IS NOT NULL)"""
+
+
+LABELLED = f"(SELECT pair_id, ord, type AS kind, sheet, {ZONE.format(x='x', y='y')} AS zone, type || ' ' || content AS description, m FROM {I.named(SIDES)} q)"
+LABELLED_B = f"SELECT * REPLACE (CASE WHEN m = 5 THEN 'A-1' ELSE zone END AS zone) FROM {LABELLED} l WHERE m <> 9"
+
+
+@query(f"WITH RECURSIVE {greedy_ctes('g', f'SELECT * FROM {LABELLED} l WHERE m <> 3', LABELLED_B)} SELECT pair_id, pred, truth, same_zone FROM g")
 def greedy_scores(spark, d):
-    """Ordered greedy matching; tests hold it against known cases."""
+    """Ordered greedy matching of predictions to labels."""
     base = I.made(spark, d, SIDES).select(
         "pair_id", "ord", col("type").alias("kind"), "sheet", G.zone(col("x"), col("y")).alias("zone"), F.concat_ws(" ", "type", "content").alias("description"), "m"
     )
@@ -646,17 +687,56 @@ def run_differences(spark, d):
     return evaluation.run_differences(o, ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", "o_custkey", "previous", "change")
 
 
-@query()
+NAIVE = f"""WITH RECURSIVE s AS (SELECT * FROM {I.named(SIDES)} q WHERE type <> 'geometry'),
+a AS (SELECT *, row_number() OVER (PARTITION BY pair_id, type, content ORDER BY ord) AS k FROM s WHERE m <> 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY pair_id, type, content ORDER BY ord) AS k, min(ord) OVER (PARTITION BY pair_id, type, content) AS first FROM (
+  SELECT * REPLACE (CASE WHEN m = 5 THEN content || ' v2' ELSE content END AS content, x + CASE WHEN m = 7 THEN 5e-2 ELSE 0e0 END AS x) FROM s WHERE m <> 9) q),
+met AS (SELECT a.pair_id, a.type, a.ord AS ord_a, b.ord AS ord_b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > 4e-2 AS far FROM a JOIN b USING (pair_id, type, content, k)),
+la AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.pair_id = a.pair_id AND met.type = a.type AND met.ord_a = a.ord)),
+lb AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.pair_id = b.pair_id AND met.type = b.type AND met.ord_b = b.ord)),
+e AS (SELECT x.pair_id, x.type, x.ord AS i, y.ord AS j, y.first, {LIKE_TEXTS.format(x="x.content", y="y.content")} AS score FROM la x JOIN lb y USING (pair_id, type)),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, type ORDER BY score DESC, i, first, j) AS n FROM e WHERE score >= 55),
+r AS (
+  SELECT DISTINCT pair_id, type, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS used_a, CAST([] AS INT[]) AS used_b, CAST(NULL AS INT) AS i, CAST(NULL AS INT) AS j, CAST(NULL AS DOUBLE) AS score, FALSE AS taken FROM o
+  UNION ALL
+  SELECT pair_id, type, n, CASE WHEN taken THEN list_append(used_a, i) ELSE used_a END, CASE WHEN taken THEN list_append(used_b, j) ELSE used_b END, i, j, score, taken FROM (
+    SELECT r.pair_id, r.type, o.n, r.used_a, r.used_b, o.i, o.j, o.score, NOT list_contains(r.used_a, o.i) AND NOT list_contains(r.used_b, o.j) AS taken FROM r JOIN o ON o.pair_id = r.pair_id AND o.type = r.type AND o.n = r.n + 1) q),
+f AS (SELECT pair_id, type, i, j, score FROM r WHERE taken)
+SELECT pair_id, type, CASE WHEN far THEN 'moved' ELSE 'unchanged' END AS status, ord_a, ord_b, 100e0 AS score FROM met
+UNION ALL SELECT pair_id, type, 'modified', i, j, round(score, 6) FROM f
+UNION ALL SELECT pair_id, type, 'removed', ord, NULL, NULL FROM la WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pair_id = la.pair_id AND f.type = la.type AND f.i = la.ord)
+UNION ALL SELECT pair_id, type, 'added', NULL, ord, NULL FROM lb WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pair_id = lb.pair_id AND f.type = lb.type AND f.j = lb.ord)"""
+
+
+@query(NAIVE)
 def naive_matches(spark, d):
-    """Equal, moved, modified, removed and added elements by the plain matcher; tests hold it against a loop."""
+    """Equal, moved, modified, removed and added elements by the plain matcher."""
     e = I.made(spark, d, SIDES).where("type <> 'geometry'")
     b = e.where("m <> 9").withColumn("content", F.when(col("m") == 5, F.concat(col("content"), lit(" v2"))).otherwise(col("content"))).withColumn("x", col("x") + F.when(col("m") == 7, 0.05).otherwise(0.0))
     return evaluation.naive_match(e.where("m <> 3"), b).withColumn("score", F.round("score", 6))
 
 
-@query()
+CARD_BASE = f"(SELECT pair_id, ord, ['add', 'remove', 'modify', 'move'][ord % 4 + 1] AS kind, sheet, {ZONE.format(x='x', y='y')} AS zone, type || ' ' || content AS description, m = 4 AS semantic_null, m = 6 AS is_cascade, m FROM {I.named(SIDES)} q)"
+CARD_RATES = """round(CASE WHEN p_{s} = 0 THEN 1 ELSE hit_{s} / p_{s} END, 4) AS {o}precision, round(CASE WHEN t_{s} = 0 THEN 1 ELSE hit_{s} / t_{s} END, 4) AS {o}recall,
+  round(CASE WHEN p_{s} + t_{s} = 0 THEN 1 WHEN hit_{s} = 0 THEN CASE WHEN (p_{s} = 0) <> (t_{s} = 0) THEN 0 ELSE 0 END ELSE 2 * hit_{s} / (p_{s} + t_{s}) END, 4) AS {o}f1"""
+CARD = f"""WITH RECURSIVE pred AS (SELECT * REPLACE (CASE WHEN m = 8 THEN 'unclassified_visual_change' ELSE kind END AS kind, m % 5 = 4 AS semantic_null) FROM {CARD_BASE} c WHERE m <> 3),
+lab AS (SELECT * REPLACE (CASE WHEN m = 5 THEN 'A-1' ELSE zone END AS zone) FROM {CARD_BASE} c WHERE m <> 9),
+{greedy_ctes("claimed", "SELECT * FROM pred", "SELECT * FROM lab WHERE semantic_null")},
+counted AS (SELECT * FROM pred WHERE NOT semantic_null AND kind <> 'unclassified_visual_change' AND (pair_id, ord) NOT IN (SELECT (pair_id, pred) FROM claimed)),
+asked AS (SELECT 'flagged' AS scope, * FROM pred WHERE semantic_null UNION ALL SELECT s.scope, c.* FROM counted c, (SELECT unnest(['real', 'primary', 'cascade']) AS scope) s),
+wanted AS (SELECT 'flagged' AS scope, * FROM lab WHERE semantic_null UNION ALL SELECT 'real', * FROM lab WHERE NOT semantic_null UNION ALL SELECT CASE WHEN is_cascade THEN 'cascade' ELSE 'primary' END, * FROM lab WHERE NOT semantic_null),
+{greedy_ctes("matched", "SELECT * FROM asked", "SELECT * FROM wanted", ("pair_id", "scope"))},
+n AS (SELECT pair_id, {", ".join(f"(SELECT count(*) FROM {t} x WHERE x.pair_id = p.pair_id AND x.scope = '{s}') AS {o}_{s}" for t, o in (("matched", "hit"), ("asked", "p"), ("wanted", "t")) for s in ("flagged", "real", "primary", "cascade"))},
+  (SELECT count(*) FROM claimed x WHERE x.pair_id = p.pair_id) AS n_claimed, (SELECT count(*) FROM pred x WHERE x.pair_id = p.pair_id) AS n_pred, (SELECT count(*) FROM pred x WHERE x.pair_id = p.pair_id AND kind = 'unclassified_visual_change') AS n_visual
+  FROM (SELECT pair_id FROM pred UNION SELECT pair_id FROM lab) p)
+SELECT pair_id, hit_real AS tp, p_real - hit_real AS fp, t_real - hit_real AS fn, {CARD_RATES.format(s="real", o="")},
+  round(CASE WHEN t_primary = 0 THEN 1 ELSE hit_primary / t_primary END, 4) AS primary_recall, round(CASE WHEN t_cascade = 0 THEN 1 ELSE hit_cascade / t_cascade END, 4) AS cascade_recall,
+  round(n_claimed / nullif(t_flagged, 0), 4) AS null_emission_rate, {CARD_RATES.format(s="flagged", o="null_")}, t_real AS n_truth, t_flagged AS n_null, n_pred, n_visual FROM n"""
+
+
+@query(CARD)
 def pair_scorecard(spark, d):
-    """Every pair's scores, null labels first; tests hold it against a loop."""
+    """Every pair's scores, null labels first."""
     base = I.made(spark, d, SIDES).select(
         "pair_id", "ord", F.element_at(F.array(*[lit(k) for k in ("add", "remove", "modify", "move")]), (col("ord") % 4 + 1).cast("int")).alias("kind"), "sheet", G.zone(col("x"), col("y")).alias("zone"),
         F.concat_ws(" ", "type", "content").alias("description"), (col("m") == 4).alias("semantic_null"), (col("m") == 6).alias("is_cascade"), "m",

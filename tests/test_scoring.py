@@ -157,3 +157,31 @@ def test_annotation_looks(spark):
     df = spark.createDataFrame(made, "pair_id long, did string, kind string, element_type string, is_cascade boolean, description string")
     got = {r["did"]: (r["opacity"], r["width"], r["title"], r["info"]) for r in rendering.annotation_looks(df, "x").collect()}
     assert got == {"a": (0.25, 2.5, "x: add", "new note"), "b": (0.9, 2.5, "x: move", "move (note)"), "c": (0.9, 1.0, "x: modify", "modify (note)"), "d": (0.9, 2.5, "x: unclassified_visual_change", "unclassified visual change")}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Every floor, lengths that differ, empty and null texts, repeated characters, and groups that never mix."""
+    from deltaweave.operators.similar import similar_texts
+
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choices("aab c1é", k=rng.choice([0, 1, 2, 5, 9, 14])))
+    sides = [[(i % 2, text()) for i in range(70)] + [(0, None), (1, "Pump 26"), (1, "Pump  26 A")] for _ in range(2)]
+    a, b = (spark.createDataFrame(s, "g int, text string") for s in sides)
+    for floor in (1.0, 40.0, 60.0, 80.0, 100.0):
+        found = similar_texts(a, b, ["g"], floor).collect()
+        got = {(r["g"], r["text_a"], r["text_b"]): r["score"] for r in found}
+        want = {(g, x or "", y or ""): 100 * similarity(x or "", y or "") for g, x in sides[0] for h, y in sides[1] if g == h}
+        assert len(got) == len(found) and got == {k: v for k, v in want.items() if v >= floor}
+
+
+def test_bands_of_a_page_with_many_words(spark):
+    """A page streams through its task."""
+    from deltaweave.operators import runs
+
+    n = 300_000
+    words = spark.range(n).select(
+        F.lit(1).cast("long").alias("pair_id"), F.lit("A").alias("side"), F.lit(1).alias("sheet"), F.col("id").cast("int").alias("ord"), F.lit("w").alias("text"), F.lit(90.0).alias("conf"),
+        (F.col("id") % 10 * 20.0).alias("left"), (F.floor(F.col("id") / 10) * 10.0 + F.col("id") % 3).alias("top"), F.lit(15.0).alias("width"), F.lit(8.0).alias("height"),
+    )
+    sizes = runs.word_bands(words).groupBy("band").count().agg(F.count("*"), F.min("count"), F.max("count")).first()
+    assert tuple(sizes) == (n // 10, 10, 10)
