@@ -54,7 +54,7 @@ WINDOW, CORE = 100, 32
 #: Pieces of a core that may go to one task.
 PIECES = 1 << 13
 #: Bytes of pieces that are indexed together, and in which equal pieces are reduced before the shuffle.
-INDEX_BYTES, BLOCK_BYTES = 1 << 20, 1 << 23
+INDEX_BYTES, BLOCK_BYTES = 1 << 20, 1 << 22
 #: Places of one text that are read at a time.
 BATCH_PLACES = 1 << 14
 #: Windows whose cores are sought at a time, also in one long text.
@@ -333,25 +333,31 @@ def _first(columns: list[str]) -> Column:
 def marked_windows(pieces: DataFrame, scratch: Scratch, window: int = WINDOW, most: int = PIECES) -> DataFrame:
     """t1, t2, start, windows: the marked windows of stored pieces, in runs."""
     marks = [pieces.where("seg IS NULL").select("t1", "t2", "start", F.col("windows").cast("int"))]
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def hot_of(rows: DataFrame, round_: int) -> DataFrame:
+        """Cores with too many pieces, at most one for so many of them: a few files."""
+        found = rows.groupBy("h").count().where(F.col("count") > most).select("h")
+        return scratch.keep(found.repartition(-(-parts // 64)), f"hot{round_}")
+
     rows = pieces.where("seg IS NOT NULL")
-    hot = scratch.keep(rows.groupBy("h").count().where(F.col("count") > most).select("h"), "hot0")
+    hot = hot_of(rows, 0)
     indexed = [rows.join(hot, "h", "left_anti").select(*rows.columns)]
     rows, round_ = rows.join(hot, "h", "left_semi").select(*rows.columns), 0
     while not hot.isEmpty():
         round_ += 1
-        rows = scratch.keep(rows, f"hot-pieces{round_}")
         firsts = rows.groupBy("h", "seg").agg(_first(ORDER).alias("first"))
         same = ["t1", "t2", "start"]
-        told = scratch.keep(rows.join(firsts, ["h", "seg"]).withColumn("one", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.expr(" AND ".join(f"first.{c} = {c}" for c in same))), f"told{round_}")
+        told = rows.join(firsts, ["h", "seg"]).withColumn("one", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.expr(" AND ".join(f"first.{c} = {c}" for c in same)))
+        told = scratch.keep(told.drop("first"), f"told{round_}")
         marks.append(told.where("NOT one").select("t1", "t2", "start", F.col("windows").cast("int")))
         rows = told.where("one").select(*rows.columns).dropDuplicates(["h", "seg"])
-        hot = scratch.keep(rows.groupBy("h").count().where(F.col("count") > most).select("h"), f"hot{round_}")
+        hot = hot_of(rows, round_)
         indexed.append(rows.join(hot, "h", "left_anti").select(*rows.columns))
         rows = halves(rows.join(hot, "h", "left_semi"), window)
     every = indexed[0]
     for more in indexed[1:]:
         every = every.unionByName(more)
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = every.select("h", *ORDER, "windows", "seg").repartition(parts, "h").sortWithinPartitions("h", "seg", *ORDER)
     out = dealt.mapInArrow(_marks(window), "t1 bigint, t2 bigint, start int, windows int")
     for m in marks:

@@ -195,7 +195,7 @@ def test_common_passage_with_other_ends(spark, monkeypatch):
 
 
 def test_texts_of_one_id(spark):
-    line = "".join(random.Random(4).choice("abcdefghijkl") for _ in range(160))
+    line = "".join(random.Random(4).choices("abcdefghijkl", k=160))
     found = sorted(cut(spark, [(1, line + "a"), (1, line + "b"), (1, line + "b")]).elements())
     assert len(found) == 3 and sorted(f[3] for f in found) in ([0, 160, 160], [0, 0, 160])  # equal rows alike, one of the two texts first
     assert found[0][1:] == found[1][1:] or found[1][1:] == found[2][1:]
