@@ -170,7 +170,7 @@ class Bits:
     those are not filtered at all, since most other keys would pass as well.
     """
 
-    LEAST, MOST = 20, 28
+    LEAST, MOST = 20, 27
 
     def __init__(self, size: int, chunks: dict[int, bytes]):
         self.size, self.bits = size, None
@@ -187,7 +187,7 @@ class Bits:
 
     @classmethod
     def of(cls, keys) -> "Bits":
-        """Of the column ``key`` (bigint) of a DataFrame. What reaches the driver is 32 MB at most, whatever the number of keys."""
+        """Of the column ``key`` (bigint) of a DataFrame. What reaches the driver is 16 MB at most, whatever the number of keys."""
         count = keys.count()
         if count > 1 << (cls.MOST - 1):
             return cls(0, {})

@@ -18,8 +18,8 @@ All thresholds are counts, so what is kept of a text does not shrink as the
 corpus grows, and the tree is a table that grows with the corpus. It is learned
 with joins and never gathered. What tasks get of it:
 
-* filters of at most 32 MB that let through every key of a table (and a few more,
-  which the joins that follow leave out; all keys, where a table has over 2**27): a sequence is counted only if that
+* filters of at most 16 MB that let through every key of a table (and a few more,
+  which the joins that follow leave out; all keys, where a table has over 2**26): a sequence is counted only if that
   without its last token may be a context and that without its first was listed,
   since it cannot be seen more often than either;
 * the HEAD_WORDS words and HEAD_TERMS terms seen most, which are looked up in
@@ -61,14 +61,14 @@ DEPTH = 3
 LEAST_STATE, LEAST_ENTRY = 20, 2
 DISCOUNT, DIVERGENCE = 0.5, 0.02
 #: What is looked up in place: memory only, never a result.
-HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 21
+HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
 #: The end holds a space, which no word does.
 END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
 STATE_KEY = 0x3C6EF372FE94F82B
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 21
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
-PARTS = 2
+PARTS = 1
 #: Terms that are not looked up in place are joined in so many passes, for the same reason.
 FAR_PARTS = 4
 
