@@ -49,19 +49,28 @@ def rollup(spans: DataFrame, by: list[str]) -> DataFrame:
     return spans.groupBy(*by).agg(F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("status") == "error").alias("n_errors"), F.sum(took).alias("total_s"), F.max(took).alias("longest_s"))
 
 
+_TREE = """
+WITH RECURSIVE found(correlation_id, span_id, name, level, path) AS (
+  SELECT correlation_id, span_id, name, 0, name FROM {spans} WHERE parent_id IS NULL
+  UNION ALL
+  SELECT s.correlation_id, s.span_id, s.name, f.level + 1, concat_ws('/', f.path, s.name)
+  FROM {spans} s JOIN found f ON s.correlation_id = f.correlation_id AND s.parent_id = f.span_id
+) SELECT correlation_id, span_id, name, level, path FROM found"""
+#: Trees may be as deep and as large as they are; a span is met once at most, since it has one parent.
+UNBOUNDED = {"spark.sql.cteRecursionLevelLimit": "-1", "spark.sql.cteRecursionRowLimit": "-1"}
+
+
 def tree(spans: DataFrame) -> DataFrame:
-    """correlation_id, span_id, name, level, path: levels are joined one by one until one is empty.
+    """correlation_id, span_id, name, level, path, by a recursive query: each level is joined from the one before it alone.
 
-    A span whose parent is not there, or that is its own ancestor, is in no tree and left out.
+    Nothing runs while the plan is built. The session's limits of recursion are
+    lifted, since they hold when the result is read. A span whose parent is not
+    there, or that is its own ancestor, is in no tree and left out.
     """
-    level = spans.where("parent_id IS NULL").select("correlation_id", "span_id", "name", F.lit(0).alias("level"), F.col("name").alias("path"))
-    out, i = level, 0
-    while not level.isEmpty():
-        i += 1
-        parent = level.select("correlation_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_path"))
-        level = spans.join(parent, ["correlation_id", "parent_id"]).select("correlation_id", "span_id", "name", F.lit(i).alias("level"), F.concat_ws("/", "_path", "name").alias("path"))
-        out = out.unionByName(level)
-    return out
+    spark = spans.sparkSession
+    for name, value in UNBOUNDED.items():
+        spark.conf.set(name, value)
+    return spark.sql(_TREE, spans=spans.select("correlation_id", "span_id", "parent_id", "name"))
 
 
 # A span with any of these attributes is a call of a model.

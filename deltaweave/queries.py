@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ from .functions import tags as T
 from .functions import text as X
 from .operators import alignment, bubbles, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
 
+from .sources import adapters, documents
+from .sources.folders import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -894,6 +898,21 @@ def html_report(spark, d):
     return rendering.html_report(a, ["k", "kind", "severity", "is_cascade"])
 
 
+LINES = """
+SELECT CAST(FLOOR(p_partkey / 2e1) AS BIGINT) AS pair_id, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS side, CAST(1 AS INT) AS sheet, CAST(p_partkey AS INT) AS ord, p_name AS text,
+  p_partkey * 1e0 AS x0, p_size * 1e0 AS y0, p_partkey + 5e-1 AS x1, p_size + 10e0 AS y1, p_partkey * 1e0 AS origin_x, p_size + 8e0 AS origin_y, 9e0 AS size
+FROM {part}"""
+
+
+@query(f"SELECT 'json_lines' AS adapter, pair_id, side, CAST(row_number() OVER (PARTITION BY pair_id, side ORDER BY ord) - 1 AS INT) AS ord, text, x0, y1, origin_y FROM {I.named(LINES)} l")
+def adapter_spans(spark, d):
+    """Spans written to files, one a pair and side, and read by whichever adapter claims each."""
+    path = f"{shared_folder(spark)}/adapter-spans-{uuid.uuid4().hex}"
+    adapters.write_spans(I.made(spark, d, LINES), path)
+    found = adapters.read_spans(documents.files(spark, path), pair=r"pair_id=(\d+)", side=r"/side=([ab])/")
+    return found.select("adapter", "pair_id", "side", "ord", "text", "x0", "y1", "origin_y")
+
+
 @query("SELECT part, adapter, count(*) AS n FROM (SELECT o_orderkey % 4 AS part, CASE WHEN o_orderkey % 4 = 0 THEN 'dwg' WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_custkey % 50 >= 20 THEN 'pdf_native' ELSE 'pdf_scanned' END AS adapter FROM orders) q GROUP BY ALL")
 def adapter_dispatch(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -988,9 +1007,8 @@ def direct_prompts(spark, d):
     return evaluation.direct_prompt(e)
 
 
-@query(f"SELECT item_id * 100 + pair_id AS question_id, pair_id, is_pair AS asked FROM benchmark JOIN ({SIGNALS}) s ON s.pair_id % 4 = item_id % 4")
+@query(f"SELECT item_id AS question_id, pair_id, is_pair AS asked FROM benchmark JOIN ({SIGNALS}) s ON s.pair_id = item_id % 10")
 def chat_runs(spark, d):
-    items = spark.read.parquet(f"{d}/benchmark.parquet")
-    found = identity.precheck(_sided(spark, d))
-    asked = items.select((col("item_id") % 4).alias("r"), "item_id").join(found.select((col("pair_id") % 4).alias("r"), "pair_id"), "r").select((col("item_id") * 100 + col("pair_id")).alias("question_id"), "pair_id")
-    return evaluation.chat_runs(asked, found)
+    """Every question is put to one pair, its own; with that pair it is the key."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(col("item_id").alias("question_id"), (col("item_id") % 10).alias("pair_id"))
+    return evaluation.chat_runs(items, identity.precheck(_sided(spark, d)))
