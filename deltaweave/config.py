@@ -46,6 +46,8 @@ class Settings:
     match_floor: float = 60.0
     support_floor: float = 45.0
     sentence_window: int = 200
+    ladder_dpi: tuple = (200, 150, 120)
+    jpeg_quality: int = 70
     # Memory only: pixels of a tile's side.
     tile: int = 512
 
@@ -56,6 +58,7 @@ DEFAULT = Settings()
 def from_mapping(values: dict[str, str], prefix: str = "") -> Settings:
     """Settings from strings such as environment variables, read once on the driver; names are upper-cased fields."""
     kinds = {f.name: type(f.default) for f in fields(Settings)}
-    kinds = {n: (lambda v: v.strip().lower() in ("1", "true", "yes", "on")) if k is bool else k for n, k in kinds.items()}
+    read = {bool: lambda v: v.strip().lower() in ("1", "true", "yes", "on"), tuple: lambda v: tuple(int(x) for x in v.split(","))}
+    kinds = {n: read.get(k, k) for n, k in kinds.items()}
     found = {n: kinds[n](values[prefix + n.upper()]) for n in kinds if prefix + n.upper() in values}
     return replace(DEFAULT, **found)

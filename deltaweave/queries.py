@@ -14,8 +14,7 @@ from .config import DEFAULT as S
 from .functions import geometry as G
 from .functions import tags as T
 from .functions import text as X
-from .operators import alignment, bubbles, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
-
+from .operators import alignment, bubbles, degrade, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
 from .sources import adapters, documents
 from .sources.folders import shared_folder
 
@@ -517,6 +516,29 @@ def raster_sheets(spark, d):
     return raster.page_regions(images, frames, S).select("pair_id", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")], "area_px", F.round("magnitude", 6).alias("magnitude"))
 
 
+#: One grey box on each sheet of 300 x 200 pixels, the levels in turn.
+SCANS = """
+SELECT s_suppkey AS pair_id, 'A' AS side, CAST(10 + s_suppkey * 7919 % 200 AS INT) AS x, CAST(10 + s_suppkey * 104729 % 120 AS INT) AS y, CAST(20 + s_suppkey % 60 AS INT) AS w, CAST(15 + s_suppkey % 40 AS INT) AS h,
+  CAST(s_suppkey % 200 AS INT) AS grey, CAST(1 + s_suppkey % 3 AS INT) AS level
+FROM {supplier}"""
+
+
+@query(f"""SELECT pair_id, level, [200, 150, 120][level] AS dpi, CASE WHEN level > 1 THEN 70 END AS jpeg_q, [300, 225, 180][level] AS width, [200, 150, 120][level] AS height, TRUE AS near,
+  CASE WHEN level = 1 THEN CAST(255 * (60000 - w * h) + grey * w * h AS BIGINT) END AS grey,
+  CASE WHEN level < 3 THEN round(x * [200, 150, 120][level] / 200, 6) END AS x_px, CASE WHEN level < 3 THEN round(y * [200, 150, 120][level] / 200, 6) END AS y_px FROM {I.named(SCANS)} s""")
+def degraded_sheets(spark, d):
+    """Sheets of every level: their records, the place of a label, and their grey values, which are known for level 1 and stay near that for the others."""
+    made = I.made(spark, d, SCANS)
+    images = generation.draw_sheets(made, 200, 300).join(made.select("pair_id", "level", col("pair_id").alias("seed")), "pair_id")
+    found = degrade.pixel_sums(degrade.degraded_sheets(images)).join(made.select("pair_id", "x", "y", "w", "h", col("grey").alias("box_grey")), "pair_id")
+    to_mm = 25.4 / 200
+    x, y = degrade.label_pixels(col("x") * to_mm, (200 - col("y")) * to_mm, lit(300 * to_mm), lit(200 * to_mm), col("dpi"), col("skew_deg"))
+    known = (255 * (60000 - col("w") * col("h")) + col("box_grey") * col("w") * col("h")) / 60000
+    near = F.abs(col("grey") / (col("width") * col("height")) - known) < 6  # white cannot get whiter by noise
+    plain = lambda c, name: F.when(col("level") < 3, F.round(c, 6)).alias(name)
+    return found.select("pair_id", "level", "dpi", "jpeg_q", "width", "height", near.alias("near"), F.when(col("level") == 1, col("grey")).alias("grey"), plain(x, "x_px"), plain(y, "y_px"))
+
+
 # --- retrieval ---------------------------------------------------------------
 
 TOK_DUCK = "list_concat(list_transform(regexp_extract_all({t}, '[A-Za-z0-9\"''/.\\-]+'), lambda x: lower(x)), list_filter(flatten(list_transform(list_filter(list_transform(regexp_extract_all({t}, '[A-Za-z0-9\"''/.\\-]+'), lambda x: lower(x)), lambda x: contains(x, '-')), lambda x: string_split(x, '-'))), lambda x: x <> ''))"
