@@ -14,7 +14,7 @@ from .config import DEFAULT as S
 from .functions import geometry as G
 from .functions import tags as T
 from .functions import text as X
-from .operators import alignment, bubbles, degrade, deltas, edits, evaluation, generation, identity, raster, registration, rendering, retrieval, runs, trace
+from .operators import alignment, bubbles, degrade, deltas, edits, evaluation, generation, identity, overlay, raster, registration, rendering, retrieval, runs, trace
 from .sources import adapters, documents
 from .sources.folders import shared_folder
 
@@ -894,6 +894,31 @@ def overlay_boxes(spark, d):
     return rendering.boxes(a, at("A", 0.0).unionByName(at("B", 0.01))).select("did", "drawn_on", "colour", "filled", F.round("box.x0", 6).alias("x0"))
 
 
+#: One change on each sheet of 240 x 160 pixels, away from the legend and from borders, of every kind in turn.
+MARKED = """
+SELECT s_suppkey AS pair_id, CAST(1 AS INT) AS sheet, CAST(s_suppkey AS STRING) AS did, CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS drawn_on, CAST(180 + s_suppkey % 20 AS INT) AS x, CAST(20 + s_suppkey % 60 AS INT) AS y,
+  CAST(20 + s_suppkey % 16 AS INT) AS w, CAST(20 + s_suppkey % 50 AS INT) AS h, s_suppkey % 4 AS k
+FROM {supplier}"""
+
+
+@query(f"""SELECT pair_id, side, sheet, CASE WHEN side = drawn_on THEN 1 ELSE 0 END AS n_boxes,
+  CAST(CASE WHEN side <> drawn_on THEN 0 ELSE (w + 9) * (h + 9) - (w + 9 - 2 * t) * (h + 9 - 2 * t) END AS BIGINT) AS border
+FROM (SELECT *, CAST(1 AS INT) AS s, CASE WHEN k = 3 THEN 2 ELSE 4 END AS t FROM {I.named(MARKED)} q) m, (SELECT unnest(['A', 'B']) AS side) x""")
+def overlay_pixels(spark, d):
+    """Both sides of every sheet drawn: how many pixels have the colour of the box, apart from the legend."""
+    made = I.made(spark, d, MARKED)
+    sides = made.select("pair_id", F.explode(F.array(lit("A"), lit("B"))).alias("side"), lit(0).alias("x"), lit(0).alias("y"), lit(0).alias("w"), lit(0).alias("h"), lit(0).alias("grey"))
+    images = generation.draw_sheets(sides, 160, 240)
+    kinds = F.array(*[lit(overlay.STYLE[k]) for k in ("add", "remove", "modify", "move")])
+    drawn = made.select(
+        "pair_id", "sheet", "did", "drawn_on", G.box(col("x") / 240 + 1e-9, col("y") / 160 + 1e-9, (col("x") + col("w")) / 240 + 1e-9, (col("y") + col("h")) / 160 + 1e-9).alias("box"),
+        F.element_at(kinds, (col("k") + 1).cast("int")).alias("colour"), (col("k") < 3).alias("filled"), lit(False).alias("dashed"), F.when(col("k") == 3, overlay.THIN).otherwise(overlay.WIDE).alias("width"),
+    )
+    found = overlay.overlays(images, drawn, legend=False)
+    counts = overlay.colour_counts(found).groupBy("pair_id", "side", "sheet").agg(F.sum("n").alias("border"))
+    return found.drop("content").join(counts, ["pair_id", "side", "sheet"], "left").select("pair_id", "side", "sheet", "n_boxes", F.coalesce("border", lit(0)).cast("long").alias("border"))
+
+
 @query(f"SELECT region_id, round(greatest(0, least(841, x0 * 841 - 1.5)), 6) AS x0, round(greatest(0, least(594, y1 * 594 + 1.5)), 6) AS y1 FROM {I.named(I.REGIONS)} r")
 def annotation_boxes(spark, d):
     r = rendering.annotations(_boxed(I.made(spark, d, I.REGIONS)), lit(841.0), lit(594.0))

@@ -92,6 +92,18 @@ def _by_row(rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
 
 def read_png(content: bytes) -> np.ndarray:
     """Grey values 0 to 255 of a PNG without interlacing; colours by their luma, alpha is ignored. Anything else raises ValueError."""
+    pixels = _pixels(content)
+    return pixels[:, :, 0].copy() if pixels.shape[2] < 3 else np.rint(pixels[:, :, :3] @ GREY).astype(np.uint8)
+
+
+def read_colours(content: bytes) -> np.ndarray:
+    """Red, green and blue of a PNG, as ``read_png`` reads it."""
+    pixels = _pixels(content)
+    return np.repeat(pixels[:, :, :1], 3, axis=2) if pixels.shape[2] < 3 else pixels[:, :, :3]
+
+
+def _pixels(content: bytes) -> np.ndarray:
+    """height x width x channels of a PNG."""
     if content[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, data, palette, head = 8, [], None, None
@@ -125,8 +137,7 @@ def read_png(content: bytes) -> np.ndarray:
             rows = rows * np.uint8(255 // (2**depth - 1))
     if colour == 3:
         rows, n = palette[rows].reshape(height, -1), 3
-    pixels = rows.reshape(height, width, n)
-    return pixels[:, :, 0].copy() if n < 3 else np.rint(pixels[:, :, :3] @ GREY).astype(np.uint8)
+    return rows.reshape(height, width, n)
 
 
 def write_png(image: np.ndarray) -> bytes:
