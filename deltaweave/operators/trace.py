@@ -8,6 +8,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +96,87 @@ def lines(spans: DataFrame) -> DataFrame:
     error = F.concat(F.lit("  ! "), F.coalesce("error_type", F.lit("None")), F.lit(": "), F.coalesce("error_message", F.lit("None")))
     text = F.concat_ws("\n", head, F.when(~ok, error), F.when(is_model, model).when(F.size(attrs) > 0, plain))
     return spans.select("span_id", is_model.alias("is_model"), text.alias("text"))
+
+
+def tree_json(spans: DataFrame) -> DataFrame:
+    """correlation_id, tree: a JSON object for each run, its spans nested in their parents and in the order of their starts.
+
+    The spans of one run come together in a task. A span whose parent is not there, or
+    that is its own ancestor, is left out, as in ``tree``.
+    """
+    kind = dict(spans.dtypes)["correlation_id"]
+
+    def run(key, found):
+        rows = found.astype(object).where(found.notna(), None).sort_values(["start_ts", "span_id"]).to_dict("records")
+        children: dict = {}
+        for r in rows:
+            children.setdefault(r["parent_id"], []).append(r)
+
+        def node(r: dict) -> dict:
+            took = None if r["end_ts"] is None or r["start_ts"] is None else round((r["end_ts"] - r["start_ts"]) * 1000, 3)
+            own = {k: r[k] for k in ("name", "start_ts", "end_ts", "status", "error_type", "error_message")}
+            return own | {"duration_ms": took, "attrs": dict(r["attrs"] or {}), "children": []}
+
+        roots, open_ = [], []
+        for r in children.get(None, []):
+            roots.append(node(r))
+            open_.append((r["span_id"], roots[-1]))
+        while open_:  # no recursion: a tree may be deep
+            span, made = open_.pop()
+            for r in children.get(span, []):
+                made["children"].append(node(r))
+                open_.append((r["span_id"], made["children"][-1]))
+        return pd.DataFrame({"correlation_id": [key[0]], "tree": [json.dumps({"correlation_id": key[0], "spans": roots}, default=str)]})
+
+    return spans.groupBy("correlation_id").applyInPandas(run, f"correlation_id {kind}, tree string")
+
+
+def append_events(spans: DataFrame, path: str) -> None:
+    """One JSON line for each span, added to those below a folder that all executors share."""
+    took = F.round((F.col("end_ts") - F.col("start_ts")) * 1000, 3)
+    spans.withColumn("duration_ms", took).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+class QuerySpans:
+    """Feeds a tracer: every query that Spark ends meanwhile becomes a span, below the one open then.
+
+    ``with QuerySpans(spark, tracer): ...``; the plan's root and the number of its
+    nodes are attributes. Spark reports queries after they end, so leaving the block
+    waits until all reports are in.
+    """
+
+    class Java:
+        implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    def __init__(self, spark: SparkSession, tracer: Tracer, wait_ms: int = 30_000):
+        self.spark, self.tracer, self.wait_ms = spark, tracer, wait_ms
+
+    def __enter__(self) -> QuerySpans:
+        from pyspark.java_gateway import ensure_callback_server_started
+
+        ensure_callback_server_started(self.spark.sparkContext._gateway)
+        self._wait()  # what ended before is not reported here
+        self.parent = self.tracer._open[-1] if self.tracer._open else None
+        self.spark._jsparkSession.listenerManager().register(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._wait()
+        self.spark._jsparkSession.listenerManager().unregister(self)
+
+    def _wait(self) -> None:
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(self.wait_ms)
+
+    def _note(self, action: str, query, seconds: float, error: str | None) -> None:
+        plan = query.executedPlan()
+        end = time.time()
+        self.tracer.rows.append({
+            "correlation_id": self.tracer.correlation_id, "span_id": uuid.uuid4().hex, "parent_id": self.parent, "name": f"query:{action}", "start_ts": end - seconds, "end_ts": end,
+            "status": "ok" if error is None else "error", "attrs": {"plan": str(plan.nodeName()), "nodes": str(len(plan.toString().splitlines()))}, "error_type": None if error is None else "QueryError", "error_message": error,
+        })
+
+    def onSuccess(self, action, query, nanoseconds):  # noqa: N802
+        self._note(action, query, nanoseconds / 1e9, None)
+
+    def onFailure(self, action, query, exception):  # noqa: N802
+        self._note(action, query, 0.0, str(exception.getMessage() or exception.toString()).splitlines()[0])

@@ -14,7 +14,7 @@ from .config import DEFAULT as S
 from .functions import geometry as G
 from .functions import tags as T
 from .functions import text as X
-from .operators import alignment, bubbles, degrade, deltas, edits, evaluation, generation, identity, overlay, raster, registration, rendering, retrieval, runs, trace
+from .operators import alignment, bubbles, degrade, deltas, edits, evaluation, generation, identity, models, overlay, raster, registration, rendering, retrieval, runs, trace
 from .sources import adapters, documents
 from .sources.folders import shared_folder
 
@@ -821,7 +821,16 @@ def judge_verdicts(spark, d):
 def backend_costs(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     rate = F.when(col("event_id") % 4 != 0, 0.5)
-    return e.groupBy("user_id").agg(F.count(lit(1)).alias("n_calls"), F.round(F.avg("value"), 6).alias("mean_latency"), F.round(F.sum(X.cost_estimate(col("event_id") % 1000, col("event_id") % 77, rate, lit(1.5))), 4).alias("cost"))
+    return models.backend_comparison(e.select("user_id", col("value").alias("latency"), X.cost_estimate(col("event_id") % 1000, col("event_id") % 77, rate, lit(1.5)).alias("cost")), ["user_id"])
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (hand IS NOT DISTINCT FROM judged) AS n_agree, round(count(*) FILTER (hand IS NOT DISTINCT FROM judged) / count(*), 4) AS agreement_rate FROM (SELECT role, CASE WHEN turn % 3 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS hand, CASE conv_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS judged FROM conversations) q GROUP BY role")
+def judge_agreement(spark, d):
+    """How often verdicts, read from replies, are those given by hand."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    reply = F.when(col("conv_id") % 3 == 0, F.concat(lit("Correct. "), col("text"))).when(col("conv_id") % 3 == 1, F.concat(lit("  INCORRECT: "), col("text"))).otherwise(F.concat(lit("perhaps correct: "), col("text")))
+    cases = c.select("role", F.when(col("turn") % 3 != 0, F.length("text") % 2 == 0).alias("hand"), X.verdict(F.coalesce(reply, lit("")))["correct"].alias("judged"))
+    return models.agreement(cases, ["role"])
 
 
 # --- edits -------------------------------------------------------------------
