@@ -137,6 +137,36 @@ def append_events(spans: DataFrame, path: str) -> None:
     spans.withColumn("duration_ms", took).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+class _Reports:
+    """Spark's reports of ended queries, for whoever listens. Java knows Python objects by proxies that it cannot find again, so there is one for a session and it stays."""
+
+    _of: dict[int, _Reports] = {}
+
+    class Java:
+        implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    def __init__(self):
+        self.listening: list[QuerySpans] = []
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> _Reports:
+        from pyspark.java_gateway import ensure_callback_server_started
+
+        if id(spark._jsparkSession) not in cls._of:
+            ensure_callback_server_started(spark.sparkContext._gateway)
+            cls._of[id(spark._jsparkSession)] = found = cls()
+            spark._jsparkSession.listenerManager().register(found)
+        return cls._of[id(spark._jsparkSession)]
+
+    def onSuccess(self, action, query, nanoseconds):  # noqa: N802
+        for spans in self.listening:
+            spans.note(action, query, nanoseconds / 1e9, None)
+
+    def onFailure(self, action, query, exception):  # noqa: N802
+        for spans in self.listening:
+            spans.note(action, query, 0.0, str(exception.getMessage() or exception.toString()).splitlines()[0])
+
+
 class QuerySpans:
     """Feeds a tracer: every query that Spark ends meanwhile becomes a span, below the one open then.
 
@@ -145,38 +175,25 @@ class QuerySpans:
     waits until all reports are in.
     """
 
-    class Java:
-        implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
-
     def __init__(self, spark: SparkSession, tracer: Tracer, wait_ms: int = 30_000):
         self.spark, self.tracer, self.wait_ms = spark, tracer, wait_ms
 
     def __enter__(self) -> QuerySpans:
-        from pyspark.java_gateway import ensure_callback_server_started
-
-        ensure_callback_server_started(self.spark.sparkContext._gateway)
         self._wait()  # what ended before is not reported here
         self.parent = self.tracer._open[-1] if self.tracer._open else None
-        self.spark._jsparkSession.listenerManager().register(self)
+        _Reports.of(self.spark).listening.append(self)
         return self
 
     def __exit__(self, *_) -> None:
         self._wait()
-        self.spark._jsparkSession.listenerManager().unregister(self)
+        _Reports.of(self.spark).listening.remove(self)
 
     def _wait(self) -> None:
         self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(self.wait_ms)
 
-    def _note(self, action: str, query, seconds: float, error: str | None) -> None:
-        plan = query.executedPlan()
-        end = time.time()
+    def note(self, action: str, query, seconds: float, error: str | None) -> None:
+        plan, end = query.executedPlan(), time.time()
         self.tracer.rows.append({
             "correlation_id": self.tracer.correlation_id, "span_id": uuid.uuid4().hex, "parent_id": self.parent, "name": f"query:{action}", "start_ts": end - seconds, "end_ts": end,
             "status": "ok" if error is None else "error", "attrs": {"plan": str(plan.nodeName()), "nodes": str(len(plan.toString().splitlines()))}, "error_type": None if error is None else "QueryError", "error_message": error,
         })
-
-    def onSuccess(self, action, query, nanoseconds):  # noqa: N802
-        self._note(action, query, nanoseconds / 1e9, None)
-
-    def onFailure(self, action, query, exception):  # noqa: N802
-        self._note(action, query, 0.0, str(exception.getMessage() or exception.toString()).splitlines()[0])
