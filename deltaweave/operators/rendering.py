@@ -72,7 +72,15 @@ HTML_TAIL = (
 )
 
 
-def html_report(deltas: DataFrame, fields: list[str]) -> DataFrame:
-    """pair_id, report: one page for each pair with its records and filters by kind, cascade and text."""
+def html_report(deltas: DataFrame, fields: list[str], pictures: DataFrame | None = None) -> DataFrame:
+    """pair_id, report: one page for each pair with its records and filters by kind, cascade and text; and with its sheets, if there are pictures(pair_id, side, sheet, content)."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("sheet", "position", F.struct(*fields).alias("d")))), lambda x: x["d"])
-    return deltas.groupBy("pair_id").agg(F.concat(F.lit(HTML_HEAD), F.regexp_replace(F.to_json(items), "</", "<\\\\\\\\/"), F.lit(HTML_TAIL)).alias("report"))
+    head = deltas.groupBy("pair_id").agg(F.concat(F.lit(HTML_HEAD), F.regexp_replace(F.to_json(items), "</", "<\\\\\\\\/"), F.lit(HTML_TAIL)).alias("report"))
+    if pictures is None:
+        return head
+    name = F.concat(F.col("side"), F.col("sheet").cast("string"))
+    image = F.concat(F.lit("<figure><img alt='"), name, F.lit("' src='data:image/png;base64,"), F.translate(F.base64("content"), "\r\n", ""), F.lit("'><figcaption>"), name, F.lit("</figcaption></figure>"))
+    # The sheets of a pair are one page, as a reader wants them.
+    sheets = pictures.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "side", image.alias("i")))), lambda x: x["i"]), "").alias("_sheets"))
+    whole = F.concat(F.coalesce("report", F.lit(HTML_HEAD + "[]" + HTML_TAIL)), F.coalesce("_sheets", F.lit("")))
+    return head.join(sheets, "pair_id", "full_outer").select("pair_id", whole.alias("report"))

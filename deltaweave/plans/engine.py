@@ -188,7 +188,8 @@ def annotate(joined: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     far = G.distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")) > s.move_threshold
     found = found.withColumn("kind", deltas.kind(in_a, in_b, F.col("n_changes"), far)).where("kind IS NOT NULL").withColumn("element_type", F.coalesce("type_b", "type_a"))
     first = F.get("field_changes", F.lit(0))
-    found = found.withColumn("did", F.concat_ws(":", F.col("bucket"), F.lpad(F.coalesce("ord_b", "ord_a").cast("string"), 6, "0"), F.when(in_b, "b").otherwise("a"))).withColumn("field", first["key"])
+    # A name without a colon, which parts a citation.
+    found = found.withColumn("did", F.translate(F.concat_ws(".", F.col("bucket"), F.lpad(F.coalesce("ord_b", "ord_a").cast("string"), 6, "0"), F.when(in_b, "b").otherwise("a")), ":", ".")).withColumn("field", first["key"])
     found = found.withColumn("old_num", F.when(F.col("n_changes") == 1, first["old_num"])).withColumn("new_num", F.when(F.col("n_changes") == 1, first["new_num"]))
     # A family is made of modifications alone; other rows have no field and so no offset.
     found = deltas.cascades(found, ["pair_id", "sheet", "kind"], s)
@@ -216,7 +217,7 @@ def with_images(found: Comparison, images: DataFrame, s: Settings = DEFAULT, ots
     none = lambda t: F.lit(None).cast(t)
     types = dict(found.deltas.dtypes)
     extra = visual.select(
-        "pair_id", "sheet", F.concat(F.lit("visual:"), F.lpad(F.col("region_id").cast("string"), 6, "0")).alias("did"), kind.alias("kind"), F.col("visual_change_kind").alias("element_type"),
+        "pair_id", "sheet", F.concat(F.lit("visual."), F.lpad(F.col("region_id").cast("string"), 6, "0")).alias("did"), kind.alias("kind"), F.col("visual_change_kind").alias("element_type"),
         none("string").alias("id_a"), none("string").alias("id_b"), F.col("zone").alias("zone_a"), F.col("zone").alias("zone_b"), F.array().cast(types["field_changes"]).alias("field_changes"), "confidence",
         F.concat(F.lit("visual change ("), F.col("visual_change_kind"), F.lit(") in zone "), F.col("zone")).alias("description"), F.lit(False).alias("is_cascade"), none(types["primary_did"]).alias("primary_did"),
         deltas.severity(kind, F.col("visual_change_kind"), F.array().cast("array<string>"), F.lit(False)).alias("severity"), F.lit(False).alias("semantic_null"), "box",

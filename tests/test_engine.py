@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from deltaweave.operators import bubbles, raster, retrieval
-from deltaweave.plans import engine
+from deltaweave.plans import engine, outputs
 from deltaweave.sources import images
 
 PAGE = "pair_id long, side string, sheet int"
@@ -145,13 +148,35 @@ def test_whole_pipeline(spark, tmp_path):
     found = engine.run(spans, *size(), str(tmp_path / "run"), paths, pictures)
     got = [r.asDict() for r in found.deltas.collect()]
     assert sorted((r["kind"], r["element_type"]) for r in got) == [("modify", "instrument"), ("move", "valve_tag"), ("remove", "geometry"), ("unclassified_visual_change", "geometry")]
-    (visual,) = (r for r in got if r["did"].startswith("visual:"))
+    (visual,) = (r for r in got if r["did"].startswith("visual."))
     assert visual["box"]["x0"] <= 300 / 500 and visual["box"]["x1"] >= 360 / 500 and visual["zone_b"] == "G-8" and visual["confidence"] <= 0.45
     assert found.boxes().where("dashed").count() == 2 and found.summary().first()["n_deltas"] == 4
     questions = spark.createDataFrame([(7, 1, "What changed in zone G-8?"), (8, 1, "nosuchword"), (9, 2, "zone")], "question_id long, pair_id long, question string")
     hits = found.search(questions).collect()
-    assert {r["question_id"] for r in hits} == {7} and min(hits, key=lambda r: r["rank"])["id"] == "visual:000001"
-    assert "[delta:1:G-8:visual:000001]" in retrieval.context_lines(found.search(questions)).first()["context"]
+    assert {r["question_id"] for r in hits} == {7} and min(hits, key=lambda r: r["rank"])["id"] == "visual.000001"
+    assert "[delta:1:G-8:visual.000001]" in retrieval.context_lines(found.search(questions)).first()["context"]
+
+    # To the end: reports, drawn sheets, events, and answers through the gate.
+    done = outputs.finish(found, str(tmp_path / "run"), pictures)
+    files = {str(p.relative_to(done.folder)): p.read_bytes() for p in Path(done.folder).rglob("*") if p.is_file()}
+    assert sorted(files) == ["1/markup_a_sheet1.png", "1/markup_b_sheet1.png", "1/report.html", "1/report.json", "1/report.md"] and (done.reports, done.sheets) == (3, 2)
+    told = json.loads(files["1/report.json"])
+    assert told["n_deltas"] == 4 and sorted(d["kind"] for d in told["deltas"]) == ["modify", "move", "remove", "unclassified_visual_change"]
+    assert files["1/report.md"].count(b"\n- ") + files["1/report.md"].count(b"\n  - ") == 4
+    assert files["1/report.html"].count(b"data:image/png;base64,") == 2 and base64.b64encode(files["1/markup_a_sheet1.png"]) in files["1/report.html"]
+    violet = (images.read_colours(files["1/markup_b_sheet1.png"]) == (128, 64, 176)).all(axis=2)
+    assert violet[240:300, 290:370].any()
+    events = spark.read.json(str(tmp_path / "run" / "events"))
+    assert {"request", "markup", "report"} <= {r["name"] for r in events.collect()} and events.where("name LIKE 'query:%'").count() > 1
+
+    def client(system, prompt, temperature):
+        assert system == outputs.SYSTEM
+        cited = re.findall(r"\[[^\]]*\]", prompt)[0]
+        return {"What changed in zone G-8?": f"It changed {cited}.", "valve": "no citation", "26BL": "see [A:1:B-3:el_unknown]"}.get(prompt.rsplit("Question: ", 1)[1], "REFUSED: no")
+
+    more = spark.createDataFrame([(7, 1, "What changed in zone G-8?"), (8, 1, "nosuchword"), (9, 2, "zone"), (10, 1, "zone")], "question_id long, pair_id long, question string")
+    got = {r["question_id"]: (r["refused"], r["reason"], r["n_valid"]) for r in outputs.answered(found, more, client, str(tmp_path / "chat")).collect()}
+    assert got == {7: (False, "", 1), 8: (True, "no_evidence", 0), 9: (True, "no_evidence", 0), 10: (True, "model_refused", 0)}
 
 
 def tokens(text):
