@@ -60,8 +60,8 @@ from ._text import Bits, HashTable, cut_batch, hash_text, mix, small_batches, to
 DEPTH = 3
 LEAST_STATE, LEAST_ENTRY = 20, 2
 DISCOUNT, DIVERGENCE = 0.5, 0.02
-#: What is looked up in place: memory only, never a result.
-HEAD_WORDS, HEAD_TERMS = 1 << 18, 1 << 20
+#: What is looked up in place: memory only, never a result. It is no more than a part of all, so that look-ups of the others are a like share of a small corpus.
+HEAD_WORDS, HEAD_TERMS, HEAD_SHARE = 1 << 18, 1 << 20, 8
 #: The end holds a space, which no word does.
 END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
@@ -201,7 +201,8 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
         with Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_STATE))) as contexts, Shared(context, Bits.of(listed.where(F.col("c") >= LEAST_ENTRY))) as some:
             def counted(part: int, parts: int) -> DataFrame:
                 nexts = texts.mapInArrow(_next_counts(d, contexts, some, part, parts), "prefix bigint, word bigint, c bigint")  # noqa: B023
-                nexts = nexts.groupBy("prefix", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_ENTRY)
+                # Blocks leave few equal rows, so they are summed where they meet alone.
+                nexts = nexts.repartition("prefix", "word").groupBy("prefix", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_ENTRY)
                 return nexts.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")  # noqa: B023
 
             parts = [scratch.keep(counted(i, n), f"listed{d}/part={i}") for n in [PARTS if d == 1 else 1] for i in range(n)]
@@ -298,8 +299,8 @@ class Head:
 
 def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> Head:
     arrays = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    w, c = arrays(head(tree.words, words)[0])
-    top, others = head(tree.terms, terms)
+    w, c = arrays(head(tree.words, min(words, tree.kinds // HEAD_SHARE))[0])
+    top, others = head(tree.terms, min(terms, tree.terms.count() // HEAD_SHARE))
     k, v = arrays(top.select("key", "value"))
     return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), Bits.of(others), depth)
 
