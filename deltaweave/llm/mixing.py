@@ -39,6 +39,8 @@ BLOCK_BYTES = 32 * 1024
 CYCLE = 1000
 EXPONENT = 0.7
 COVERAGE = 0.9
+#: Slots that are scheduled together.
+PART = 256
 #: Slots of a cycle up to which shares and pattern are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -59,21 +61,29 @@ def cycle_pattern(shared: DataFrame) -> DataFrame:
     one = pools.agg(F.array_sort(F.collect_list(F.struct("share", (F.col("share") * F.col("m")).alias("a")))).alias("s")).where("size(s) > 0").select(
         F.col("s.share").alias("shares"), F.col("s.a").alias("a")
     )
+    # Slots are folded in parts, so that no step copies more than the slots of its part.
     simulated = one.selectExpr(
         "shares", "a", "aggregate(a, 0L, (x, y) -> x + y) AS d"
     ).selectExpr(
         "shares",
-        """aggregate(
-             sequence(0L, greatest(d - 1, 0L)),
-             named_struct('n', transform(a, x -> 0L), 'got', cast(array() AS array<int>)),
-             (acc, t) -> transform(
-               array(array_min(transform(
-                 filter(sequence(0, size(a) - 1), s -> get(acc.n, s) < get(a, s) AND (get(acc.n, s) * d) div get(a, s) <= t),
-                 s -> struct(((get(acc.n, s) + 1) * d + get(a, s) - 1) div get(a, s) AS deadline, s AS s)
-               )).s),
-               pick -> named_struct('n', transform(acc.n, (x, j) -> if(j = pick, x + 1, x)), 'got', concat(acc.got, array(pick)))
+        f"""flatten(aggregate(
+             sequence(0L, (d - 1) div {PART}L),
+             named_struct('n', transform(a, x -> 0L), 'got', cast(array() AS array<array<int>>)),
+             (whole, part) -> transform(
+               array(aggregate(
+                 sequence(part * {PART}L, least((part + 1) * {PART}L, d) - 1),
+                 named_struct('n', whole.n, 'got', cast(array() AS array<int>)),
+                 (acc, t) -> transform(
+                   array(array_min(transform(
+                     filter(sequence(0, size(a) - 1), s -> get(acc.n, s) < get(a, s) AND (get(acc.n, s) * d) div get(a, s) <= t),
+                     s -> struct(((get(acc.n, s) + 1) * d + get(a, s) - 1) div get(a, s) AS deadline, s AS s)
+                   )).s),
+                   pick -> named_struct('n', transform(acc.n, (x, j) -> if(j = pick, x + 1, x)), 'got', concat(acc.got, array(pick)))
+                 )[0]
+               )),
+               done -> named_struct('n', done.n, 'got', concat(whole.got, array(done.got)))
              )[0]
-           ).got AS got""",
+           ).got) AS got""",
     )
     slots = simulated.select("shares", F.posexplode("got").alias("slot", "pick")).select(F.get("shares", F.col("pick")).alias("share"), F.col("slot").cast("long"))
     slots = slots.withColumn("k", (F.row_number().over(Window.partitionBy("share").orderBy("slot")) - 1).cast("long"))

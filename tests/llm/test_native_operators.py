@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltaweave.llm import decontamination, mixing
 
@@ -149,3 +151,30 @@ def test_mix_keeps_every_row_in_slot_order(spark):
         first[r["doc_id"]] = min(first.get(r["doc_id"], (1 << 62, 0)), (r["slot"], r["offset"]))
     order = [first[r["doc_id"]] for r in got]
     assert order == sorted(order)
+
+
+def test_many_sources(spark):
+    """100,000 domains: the cycle has a slot for each at least, and is scheduled in time that grows with its slots."""
+    n = 100_000
+    docs = spark.range(n + 400).select(
+        F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("en").alias("lang"),
+        F.concat(F.lit("s"), F.when(F.col("id") < n, F.col("id")).otherwise(F.col("id") % 4).cast("string")).alias("source"), F.lit(4).alias("n_chars"),
+    )
+    began = time.time()
+    found = mixing.schedule(docs, block_bytes=5).cache()
+    assert found.count() == n + 400 and found.select("slot").distinct().count() == n + 400 and time.time() - began < 120
+    late = found.where((F.col("slot") < F.col("release")) | (F.col("slot") >= F.col("deadline")))
+    assert late.count() == 0
+    found.unpersist()
+
+
+def test_many_shares(spark):
+    """5,000 sources with shares from 1 to 40 and a cycle of 102,500 slots."""
+    shared = spark.range(5000).select(F.col("id").cast("string").alias("source"), (F.col("id") % 40 + 1).alias("share"))
+    began = time.time()
+    pattern = mixing.cycle_pattern(shared).cache()
+    assert pattern.count() == 102_500 == pattern.select("slot").distinct().count() and time.time() - began < 120
+    at = pattern.join(shared, "source")
+    early, late = F.floor(F.col("turn") * 102_500 / F.col("share")), F.ceil((F.col("turn") + 1) * 102_500 / F.col("share"))
+    assert at.where((F.col("slot") < early) | (F.col("slot") >= late)).count() == 0
+    pattern.unpersist()
