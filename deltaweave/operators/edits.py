@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 
 def insert_note(notes: DataFrame, by: list[str], at: int, text: str) -> DataFrame:
     """Insert a note at a number; later notes move up by one. notes(by, note_no, body)."""
@@ -58,6 +60,29 @@ def move(elements: DataFrame, where: Column, dx: float, dy: float) -> DataFrame:
     return elements.withColumn("x", hold("x", dx)).withColumn("y", hold("y", dy))
 
 
+def add_instruments(pairs: DataFrame, func: str = "PIT", system: str = "26", first_loop: int = 9700) -> DataFrame:
+    """pair_id, type, content, x, y: one new instrument for each of pairs(pair_id), its loop, setpoint and place by the key."""
+    loop = (first_loop + (F.col("pair_id") * 37 + 11) % 100).cast("string")
+    high = F.element_at(F.array(F.lit("140"), F.lit("160"), F.lit("245")), (F.col("pair_id") % 3 + 1).cast("int"))
+    place = lambda step, low, share: low + share * ((F.col("pair_id") * step) % 1000) / 1000.0
+    content = F.concat_ws(" ", F.lit(func), loop, F.lit(system), F.concat(F.lit("SD HH:"), high), F.lit("LL:75"))
+    return pairs.select("pair_id", F.lit("instrument").alias("type"), content.alias("content"), place(7919, 0.15, 0.6).alias("x"), place(104729, 0.15, 0.7).alias("y"))
+
+
+def remove_one(elements: DataFrame, where: Column, key: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Elements without one of those of each pair that fit, and the removed ones: that whose key's hash is least; pairs without any keep all."""
+    drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    doomed = elements.where(where).groupBy("pair_id").agg(F.min_by(key, F.struct(drawn, key)).alias(key))
+    return elements.join(doomed, ["pair_id", key], "left_anti"), elements.join(doomed, ["pair_id", key], "left_semi")
+
+
+def labelled(kind: str, elements: DataFrame) -> DataFrame:
+    """pair_id, kind, element_type, zone, description of changes that add or remove elements(pair_id, type, content, x, y)."""
+    zone = G.zone(F.col("x"), F.col("y"))
+    verb = {"add": " added", "remove": " removed"}[kind]
+    return elements.select("pair_id", F.lit(kind).alias("kind"), F.col("type").alias("element_type"), zone.alias("zone"), F.concat("type", F.lit(" "), "content", F.lit(verb)).alias("description"))
+
+
 def swap_symbol(shapes: DataFrame, where: Column) -> DataFrame:
     """The other symbol at the same place: circles become squares of their radius and rectangles circles; shapes(kind, x0, y0, x1, y1)."""
     half = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2
@@ -100,5 +125,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def missing_targets(wanted: DataFrame, elements: DataFrame, column: str) -> DataFrame:
-    """Edits whose target text occurs nowhere; a builder must fail if there are any."""
+    """Edits whose target text occurs nowhere."""
     return wanted.join(elements.select(F.col(column).alias("target")).distinct(), "target", "left_anti")
+
+
+def with_targets(wanted: DataFrame, elements: DataFrame, column: str) -> DataFrame:
+    """Edits wanted(target, ...) as they are; the query that reads them fails at the first whose target text occurs nowhere, and names it."""
+    there = elements.select(F.col(column).alias("target"), F.lit(True).alias("_there")).distinct()
+    failed = F.raise_error(F.concat(F.lit("no element holds the text to edit: "), F.coalesce("target", F.lit("null")))).cast("boolean")
+    return wanted.join(there, "target", "left").where(F.coalesce("_there", failed)).select(*wanted.columns)

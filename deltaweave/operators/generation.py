@@ -31,10 +31,10 @@ def sheet_elements(pairs: DataFrame) -> DataFrame:
     return every.select("pair_id", "type", "n", at(37, 101).alias("x"), at(53, 211).alias("y"))
 
 
-def edit_scripts(pairs: DataFrame, low: int = 2, high: int = 8, shape: float = 1.2) -> DataFrame:
-    """pair_id, place, edit: two to eight edits for each pair, few far more often than many (Pareto); the revision bump is last."""
+def edit_scripts(pairs: DataFrame, low: int = 2, high: int = 8, shape: float = 1.1) -> DataFrame:
+    """pair_id, place, edit: one more edit than the whole part of a Pareto variate, two to eight of them, few far more often than many; the revision bump is last."""
     u = ((F.col("pair_id") * 7919 + 13) % 997 + 1) / 998.0
-    count = F.least(F.lit(high), F.floor(low * F.pow(u, F.lit(-1.0 / shape)) + 1e-9)).cast("int")
+    count = F.greatest(F.lit(low), F.least(F.lit(high), 1 + F.floor(F.pow(u, F.lit(-1.0 / shape)) + 1e-9))).cast("int")
     places = pairs.select("pair_id", F.explode(F.sequence(F.lit(1), count + 1)).alias("place"), count.alias("n"))
     chosen = F.element_at(F.array(*[F.lit(e) for e in EDITS]), ((F.col("pair_id") * 131 + F.col("place") * 29) % len(EDITS) + 1).cast("int"))
     return places.select("pair_id", "place", F.when(F.col("place") > F.col("n"), "bump_revision").otherwise(chosen).alias("edit"))

@@ -869,6 +869,39 @@ def move_and_bump(spark, d):
     return moved.select("k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), edits.bump_revision(F.chr(65 + col("k") % 26)).alias("rev"))
 
 
+ADDED = "SELECT DISTINCT pair_id, 'instrument' AS type, 'PIT ' || CAST(9700 + (pair_id * 37 + 11) % 100 AS VARCHAR) || ' 26 SD HH:' || ['140', '160', '245'][pair_id % 3 + 1] || ' LL:75' AS content, 0.15e0 + 0.6e0 * ((pair_id * 7919) % 1000) / 1e3 AS x, 0.15e0 + 0.7e0 * ((pair_id * 104729) % 1000) / 1e3 AS y FROM s"
+
+
+@query(f"""WITH s AS {I.named(SIDES)}, added AS ({ADDED}), gone AS (SELECT * FROM s WHERE type = 'instrument' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY md5(CAST(ord AS VARCHAR) || ':0'), ord) = 1)
+SELECT pair_id, type, content, round(x, 6) AS x, '' AS label FROM s WHERE (pair_id, ord) NOT IN (SELECT (pair_id, ord) FROM gone) UNION ALL SELECT pair_id, type, content, round(x, 6), '' FROM added
+UNION ALL SELECT pair_id, 'instrument', 'add', 0, {ZONE.format(x='x', y='y')} || ' instrument ' || content || ' added' FROM added UNION ALL SELECT pair_id, 'instrument', 'remove', 0, {ZONE.format(x='x', y='y')} || ' instrument ' || content || ' removed' FROM gone""")
+def add_and_remove(spark, d):
+    """A new instrument for each pair and one less of those it has, and the labels of both."""
+    e = I.made(spark, d, SIDES)
+    added = edits.add_instruments(e.select("pair_id").distinct())
+    kept, removed = edits.remove_one(e, col("type") == "instrument", "ord")
+    whole = kept.select("pair_id", "type", "content", "x").unionByName(added.select("pair_id", "type", "content", "x")).select("pair_id", "type", "content", F.round("x", 6).alias("x"), lit("").alias("label"))
+    labels = edits.labelled("add", added).unionByName(edits.labelled("remove", removed))
+    return whole.unionByName(labels.select("pair_id", col("element_type").alias("type"), col("kind").alias("content"), lit(0.0).alias("x"), F.concat_ws(" ", "zone", "description").alias("label")))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_brand LIKE '%3' THEN 'Make ' || substr(p_brand, 7) ELSE p_brand END AS p_brand FROM part")
+def reworded(spark, d):
+    """Texts with an equivalent replaced by it."""
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    phrases = p.where("p_brand LIKE '%3'").select(col("p_brand").alias("old"), F.concat(lit("Make "), F.substring("p_brand", 7, 99)).alias("new")).distinct()
+    return edits.reword(p, "p_brand", phrases)
+
+
+TITLES = "SELECT CAST(FLOOR(o_custkey / 4e0) AS BIGINT) AS pair_id, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS side, CAST(1 + o_orderkey % 3 AS INT) AS sheet, CASE WHEN o_orderkey % 5 < 2 THEN 'rev' ELSE 'date' END AS field, o_orderpriority AS value, o_orderkey AS ord FROM {orders}"
+
+
+@query(f"SELECT pair_id, side, arg_min(value, ord) AS label FROM {I.named(TITLES)} t WHERE sheet = 1 AND field = 'rev' GROUP BY pair_id, side")
+def revision_labels(spark, d):
+    """The first revision letter on the first sheet of each side."""
+    return runs.revision_label(I.made(spark, d, TITLES))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer WHERE c_custkey % 50 = 0")
 def manifest_upsert(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
@@ -944,6 +977,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+@query(f"SELECT CAST(floor(k / 2e1) AS BIGINT) AS pair_id, CAST(to_json({{'n_deltas': count(*), 'deltas': list({{'k': k, 'kind': kind, 'severity': severity, 'is_cascade': is_cascade}} ORDER BY k)}}) AS VARCHAR) AS report FROM ({ANNOTATED}) a GROUP BY 1")
+def json_report(spark, d):
+    """One object for each pair, its changes in report order."""
+    a = _annotated(spark, d).select(F.floor(col("k") / 20).alias("pair_id"), lit(1).alias("sheet"), col("k").alias("position"), "k", "kind", "severity", "is_cascade")
+    return rendering.json_report(a, ["k", "kind", "severity", "is_cascade"])
+
+
 @query(
     f"""SELECT CAST(FLOOR(k / 2e1) AS BIGINT) AS pair_id, {_quoted(rendering.HTML_HEAD)} || '[' || string_agg('{{"k":' || k || ',"kind":"' || kind || '","severity":"' || severity || '","is_cascade":' || is_cascade || '}}', ',' ORDER BY k) || ']' || {_quoted(rendering.HTML_TAIL)} AS report
 FROM ({ANNOTATED}) a GROUP BY ALL"""
@@ -987,7 +1027,7 @@ def synthetic_sheets(spark, d):
     return generation.sheet_elements(pairs).select("pair_id", "type", col("n").cast("bigint").alias("n"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("SELECT pair_id, place, CASE WHEN place > n THEN 'bump_revision' ELSE [" + ", ".join(f"'{e}'" for e in generation.EDITS) + "][(pair_id * 131 + place * 29) % 10 + 1] END AS edit FROM (SELECT pair_id, n, unnest(range(1, n + 2)) AS place FROM (SELECT p_partkey AS pair_id, least(8, CAST(floor(2 * power(((p_partkey * 7919 + 13) % 997 + 1) / 998e0, -1 / 1.2e0) + 1e-9) AS BIGINT)) AS n FROM part) a) b")
+@query("SELECT pair_id, place, CASE WHEN place > n THEN 'bump_revision' ELSE [" + ", ".join(f"'{e}'" for e in generation.EDITS) + "][(pair_id * 131 + place * 29) % 10 + 1] END AS edit FROM (SELECT pair_id, n, unnest(range(1, n + 2)) AS place FROM (SELECT p_partkey AS pair_id, greatest(2, least(8, 1 + CAST(floor(power(((p_partkey * 7919 + 13) % 997 + 1) / 998e0, -1 / 1.1e0) + 1e-9) AS BIGINT))) AS n FROM part) a) b")
 def edit_scripts(spark, d):
     return generation.edit_scripts(spark.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("pair_id"))).select("pair_id", col("place").cast("bigint").alias("place"), "edit")
 

@@ -294,3 +294,28 @@ def test_touching_on_a_crowded_page(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert 100_000 < found.count() < 250_000  # about 100,000 ** 2 * 0.004 ** 2
+
+
+def test_edits_without_a_target_fail(spark):
+    wanted = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "target string, n int")
+    elements = spark.createDataFrame([("a",), ("b",), ("b",)], "content string")
+    assert sorted(r["n"] for r in edits.with_targets(wanted, elements, "content").collect()) == [1, 2, 3]
+    for rows, name in (([("a", 1), ("zz top", 4)], "zz top"), ([(None, 5)], "null")):
+        with pytest.raises(Exception, match=f"no element holds the text to edit: {name}"):
+            edits.with_targets(spark.createDataFrame(rows, "target string, n int"), elements, "content").collect()
+
+
+def test_added_and_removed_elements(spark):
+    pairs = spark.createDataFrame([(1,), (2,)], "pair_id long")
+    added = {r["pair_id"]: r.asDict() for r in edits.add_instruments(pairs).collect()}
+    assert added[1]["content"] == "PIT 9748 26 SD HH:160 LL:75" and all(0.15 <= r["x"] <= 0.75 and 0.15 <= r["y"] <= 0.85 for r in added.values())
+    e = spark.createDataFrame([(1, i, "valve_tag" if i % 2 else "note", f"26BL{i}", 0.5, 0.5) for i in range(6)] + [(2, 9, "note", "x", 0.1, 0.1)], "pair_id long, k long, type string, content string, x double, y double")
+    chosen = set()
+    for seed in range(8):
+        kept, gone = edits.remove_one(e, F.col("type") == "valve_tag", "k", seed)
+        (r,) = gone.collect()
+        assert r["type"] == "valve_tag" and kept.count() == 6 and kept.where(f"k = {r['k']}").count() == 0
+        chosen.add(r["k"])
+    assert len(chosen) > 1
+    (label,) = edits.labelled("remove", gone).collect()
+    assert tuple(label) == (1, "remove", "valve_tag", "F-7", f"valve_tag {r['content']} removed")
