@@ -67,6 +67,8 @@ END = hash_text(b" end")
 #: Sets the keys of states apart from those of sequences.
 STATE_KEY = 0x3C6EF372FE94F82B
 BLOCK_TOKENS = 1 << 21
+#: Texts are scored so many bytes at a time, since every token may leave several keys to look up.
+SCORED_BYTES = 1 << 20
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
 PARTS = 1
 #: Terms that are not looked up in place are joined in so many passes, for the same reason.
@@ -317,7 +319,7 @@ def _score(shared):
         h: Head = shared.value
         words, terms = h.tables()
         space = h.total + 0.5 * (h.kinds + 1)
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, SCORED_BYTES):
             hashes, starts = sequences(batch.column(1))
             n, count = len(hashes), batch.num_rows
             before = places(n, starts)
