@@ -457,6 +457,24 @@ def delta_confidence(spark, d):
 # --- semantic nulls ----------------------------------------------------------
 
 
+#: Kinds, changed fields and cascades by several steps of the key, so that every rule meets every type.
+JUDGED = """['add', 'remove', 'modify', 'modify', 'move'][k // 14 % 5 + 1]"""
+
+
+@query(f"""WITH c AS (SELECT k, type, {JUDGED} AS kind, CASE k // 3 % 6 WHEN 0 THEN ['setpoints'] WHEN 1 THEN ['pipe_class', 'size'] WHEN 2 THEN ['range'] WHEN 3 THEN ['range', 'type'] WHEN 4 THEN ['content'] ELSE CAST([] AS VARCHAR[]) END AS fields, k % 11 = 5 AS cascade FROM ({CLASSIFIED}) c)
+SELECT k, type, kind, kind = 'modify' AND type = 'note_deleted' AND NOT cascade AND list_contains(fields, 'range') AND NOT list_contains(fields, 'type') AS semantic_null,
+  CASE WHEN cascade OR kind = 'move' THEN 'low'
+    WHEN kind = 'modify' THEN CASE WHEN type = 'instrument' AND list_contains(fields, 'setpoints') THEN 'critical' WHEN type = 'line_tag' AND list_contains(fields, 'pipe_class') THEN 'high' WHEN type = 'equipment_tag' THEN 'high' WHEN type IN ({", ".join(f"'{t}'" for t in (*deltas.PROCESS_TYPES, "datasheet_row"))}) THEN 'medium' ELSE 'low' END
+    WHEN type IN ({", ".join(f"'{t}'" for t in deltas.PROCESS_TYPES)}) THEN 'high' WHEN type = 'datasheet_row' THEN 'medium' ELSE 'low' END AS severity FROM c""")
+def judged_changes(spark, d):
+    """Severity and the rule of semantic nulls for all types of elements, kinds of changes and fields."""
+    fields = F.element_at(F.array(*[F.array(*[lit(x) for x in f]) if f else F.array().cast("array<string>") for f in (["setpoints"], ["pipe_class", "size"], ["range"], ["range", "type"], ["content"], [])]), (F.floor(col("k") / 3) % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*[lit(x) for x in ("add", "remove", "modify", "modify", "move")]), (F.floor(col("k") / 14) % 5 + 1).cast("int"))
+    e = _classified(spark, d).select("k", "type", kind.alias("kind"), fields.alias("fields"), (col("k") % 11 == 5).alias("cascade"))
+    null = deltas.semantic_null(col("kind"), col("type"), col("fields"), col("cascade"))
+    return e.select("k", "type", "kind", null.alias("semantic_null"), deltas.severity(col("kind"), col("type"), col("fields"), col("cascade")).alias("severity"))
+
+
 @query(f"SELECT k, (type = 'note_deleted' AND k % 3 = 0 AND k % 4 <> 0) AS semantic_null FROM ({CLASSIFIED}) c WHERE type IN ('note', 'note_deleted', 'dcn_note')")
 def semantic_nulls(spark, d):
     notes = _classified(spark, d).where(col("type").isin("note", "note_deleted", "dcn_note"))
