@@ -100,15 +100,33 @@ def postings(docs: DataFrame, text: Column, wanted: DataFrame | None = None) ->
     return tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(post: DataFrame, n_docs: DataFrame, query_terms: DataFrame, s: Settings = DEFAULT, boost: Column | None = None) -> DataFrame:
-    """question_id, doc_id, score. query_terms(question_id, term) counts a repeated term each time.
+#: No token is empty, so an empty term can stand for a document as such.
+WHOLE = ""
+
+
+def counted(docs: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf as of postings, and a row of the term WHOLE for each document; stored, it serves both ``postings`` and ``totals`` with texts read once."""
+    terms = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    tokens = docs.select("doc_id", tokenise(F.coalesce(text, F.lit(""))).alias("_t"))
+    every = tokens.select("doc_id", F.size("_t").cast("long").alias("dl"), F.explode(F.concat("_t", F.array(F.lit(WHOLE)))).alias("term"))
+    return every.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def split_counted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings, and one row (n, total) of all documents, of what ``counted`` has stored. Rows of one id and length count as often as there are."""
+    totals = found.where(F.col("term") == WHOLE).agg(F.sum("tf").alias("n"), F.sum(F.col("dl") * F.col("tf")).alias("total"))
+    return found.where(F.col("term") != WHOLE), totals
+
+
+def bm25(post: DataFrame, n_docs: DataFrame, query_terms: DataFrame, s: Settings = DEFAULT, boost: Column | None = None, only_wanted: bool = False) -> DataFrame:
+    """question_id, doc_id, score. query_terms(question_id, term) counts a repeated term each time; only_wanted: postings hold no other terms.
 
     n_docs has one row (n, the number of documents with or without terms, and their
     total length), so only the query's postings are shuffled: idf comes from counts
     of the queried terms alone.
     """
     asked = query_terms.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = post if only_wanted else post.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = wanted.join(df, "term").join(asked, "term").join(F.broadcast(n_docs), how="cross")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -572,9 +572,10 @@ SELECT question_id, doc_id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row
 def bm25_topk(spark, d):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
     terms = items.select(col("item_id").alias("question_id"), F.explode(X.tokenise(col("text"))).alias("term"))
-    post = retrieval.postings(docs, col("text"), terms)
-    total = docs.agg(F.count(lit(1)).alias("n"), F.sum(F.size(X.tokenise(F.coalesce("text", lit(""))))).alias("total"))
-    return retrieval.top_k(retrieval.bm25(post, total, terms), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    stored = f"{shared_folder(spark)}/counted-{uuid.uuid4().hex}"
+    retrieval.counted(docs, col("text"), terms).write.parquet(stored)
+    post, total = retrieval.split_counted(spark.read.schema("doc_id bigint, dl bigint, term string, tf bigint").parquet(stored))
+    return retrieval.top_k(retrieval.bm25(post, total, terms, only_wanted=True), S.top_k).select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 #: Chunks of parts with zones, some of them changes; questions on zones and brands of their pair, with an alias phrase for some.
