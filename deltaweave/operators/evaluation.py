@@ -214,6 +214,16 @@ def run_differences(runs: DataFrame, by: list[str], order: str, value: str) -> D
     return runs.withColumn("previous", before).withColumn("change", F.round(F.col(value) - F.col("previous"), 6))
 
 
+def scorecard(runs: DataFrame, by: list[str], order: str, metrics: list[str]) -> DataFrame:
+    """by, run, metric, value, previous, change: the last run of each dataset beside the one before it, a row for each metric; null metrics stay."""
+    within = Window.partitionBy(*by).orderBy(order)
+    value = lambda c, last: F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), last.cast("double").alias("previous"))
+    before = [value(c, F.lag(c).over(within)) for c in metrics]
+    marked = runs.select(*by, F.col(order).alias("run"), F.array(*before).alias("m"), F.lead(order).over(within).isNull().alias("last"))
+    told = marked.where("last").select(*by, "run", F.explode("m").alias("x")).select(*by, "run", "x.*")
+    return told.withColumn("change", F.round(F.col("value") - F.col("previous"), 6))
+
+
 def answer_scores(items: DataFrame, by: list[str]) -> DataFrame:
     """items(by, should_refuse, refused, n_citations, n_supported, correct): correct is null where no verdict was read."""
     answered = ~F.col("refused")
@@ -343,12 +353,16 @@ def canary_recall(a: DataFrame, b: DataFrame, truth: DataFrame) -> DataFrame:
     return counts.withColumn("recall", F.when(F.col("n_real") == 0, 1.0).otherwise(F.round(F.col("n_hit") / F.nullif(F.col("n_real"), F.lit(0)), 4)))
 
 
-def null_controls(deltas: DataFrame, pairs: DataFrame) -> DataFrame:
-    """kind of pair, pairs, changes, hard false positives (changes not flagged null) and the share flagged."""
+def null_controls(deltas: DataFrame, pairs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """kind of pair, pairs, changes, hard false positives (changes not flagged null) and the share flagged; and n_regions, if regions(pair_id) of rasters are given."""
     counts = deltas.groupBy("pair_id").agg(F.count(F.lit(1)).alias("d"), F.count_if(~F.col("semantic_null")).alias("h"))
     zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
     all_ = pairs.join(counts, "pair_id", "left").groupBy("pair_kind").agg(F.count(F.lit(1)).alias("n_pairs"), zero("d").alias("n_deltas"), zero("h").alias("hard"))
-    return all_.withColumn("null_rate", F.round((F.col("n_deltas") - F.col("hard")) / F.nullif(F.col("n_deltas"), F.lit(0)), 4))
+    rated = all_.withColumn("null_rate", F.round((F.col("n_deltas") - F.col("hard")) / F.nullif(F.col("n_deltas"), F.lit(0)), 4))
+    if regions is None:
+        return rated
+    seen = pairs.join(regions.groupBy("pair_id").agg(F.count(F.lit(1)).alias("r")), "pair_id").groupBy("pair_kind").agg(F.sum("r").alias("n_regions"))
+    return rated.join(seen, "pair_kind", "left").na.fill(0, ["n_regions"])
 
 
 def direct_prompt(elements: DataFrame) -> DataFrame:

@@ -732,6 +732,25 @@ def run_differences(spark, d):
     return evaluation.run_differences(o, ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", "o_custkey", "previous", "change")
 
 
+SCORES = "SELECT o_custkey % 40 AS dataset, o_orderkey AS run, o_totalprice AS cost, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 97) / 97e0 END AS f1 FROM {orders}"
+
+
+@query(f"""WITH w AS (SELECT *, lag(cost) OVER o AS cost0, lag(f1) OVER o AS f0, lead(run) OVER o IS NULL AS last FROM {I.named(SCORES)} s WINDOW o AS (PARTITION BY dataset ORDER BY run))
+SELECT dataset, run, metric, value, previous, round(value - previous, 6) AS change FROM (SELECT dataset, run, 'cost' AS metric, cost::DOUBLE AS value, cost0::DOUBLE AS previous FROM w WHERE last UNION ALL SELECT dataset, run, 'f1', f1, f0 FROM w WHERE last) x""")
+def scorecard(spark, d):
+    """The last run of every dataset beside the one before it."""
+    return evaluation.scorecard(I.made(spark, d, SCORES), ["dataset"], "run", ["cost", "f1"])
+
+
+@query("WITH p AS (SELECT p_partkey AS pair_id, CASE WHEN p_partkey % 10 < 6 THEN 'edited' ELSE ['null_ident', 'null_prod', 'null_reword', 'not_a_pair'][p_partkey % 10 - 5] END AS pair_kind FROM part), r AS (SELECT ps AS pair_id FROM (SELECT o_orderkey % 700 AS ps FROM orders WHERE o_orderkey % 3 = 0) q) SELECT pair_kind, count(DISTINCT p.pair_id) AS n_pairs, CAST(0 AS BIGINT) AS n_deltas, count(r.pair_id) AS n_regions FROM p LEFT JOIN r USING (pair_id) GROUP BY pair_kind")
+def null_regions(spark, d):
+    """Raster regions of each kind of pair, where there are no other changes."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("pair_id"), generation.pair_kind(col("p_partkey")).alias("pair_kind"))
+    regions = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0").select((col("o_orderkey") % 700).alias("pair_id"))
+    none = p.where("pair_id < 0").select("pair_id", lit(True).alias("semantic_null"))
+    return evaluation.null_controls(none, p, regions).select("pair_kind", "n_pairs", "n_deltas", "n_regions")
+
+
 NAIVE = f"""WITH RECURSIVE s AS (SELECT * FROM {I.named(SIDES)} q WHERE type <> 'geometry'),
 a AS (SELECT *, row_number() OVER (PARTITION BY pair_id, type, content ORDER BY ord) AS k FROM s WHERE m <> 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY pair_id, type, content ORDER BY ord) AS k, min(ord) OVER (PARTITION BY pair_id, type, content) AS first FROM (
