@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from .alignment import similarity
+from .dealing import dealt, merged
 from .similar import scored, similar_texts
 
 # The bands of confidence.
@@ -52,28 +55,34 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, s: Settings = DEFAULT
     side = lambda d, n: d.select(*group, F.col("ord").alias(n), F.col("zone").alias(f"zone_{n}"), F.coalesce("description", F.lit("")).alias(f"text_{n}"))
     p, t = side(predictions, "a"), side(truth, "b")
     same = F.col("zone_a").eqNullSafe(F.col("zone_b"))
-    here = p.alias("p").join(t.alias("t"), [F.col(f"p.{c}") == F.col(f"t.{c}") for c in group] + [same]).select(*[f"p.{c}" for c in group], "a", "b", "text_a", "text_b")
+    here = merged(p.alias("p")).join(t.alias("t"), [F.col(f"p.{c}") == F.col(f"t.{c}") for c in group] + [same]).select(*[f"p.{c}" for c in group], "a", "b", "text_a", "text_b")
     texts = lambda d, n: d.select(*group, F.col(f"text_{n}").alias("text"))
     # Both sides may come from one table; new names keep their columns apart.
     near = similar_texts(_fresh(texts(p, "a"), [*group, "text"]), _fresh(texts(t, "b"), [*group, "text"]), group, s.match_floor)
-    far = near.join(p, [*group, "text_a"]).join(t, [*group, "text_b"]).where(~same)
+    far = merged(merged(near).join(p, [*group, "text_a"])).join(t, [*group, "text_b"]).where(~same)
     edges = scored(here).select(*group, "a", "b", "score", F.lit(True).alias("same_zone")).unionByName(far.select(*group, "a", "b", "score", F.lit(False).alias("same_zone")))
     types = dict(predictions.dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in by], "pred int", "truth int", "same_zone boolean"])
 
-    def run(key, found):
-        found = found.assign(better=-found["score"], last=found["b"].where(found["same_zone"], -found["b"]), other=~found["same_zone"])
-        used_a: set[int] = set()
-        used_b: set[int] = set()
-        out = []
-        for x in found.sort_values(["a", "other", "better", "last"]).itertuples():
-            if x.a not in used_a and x.b not in used_b:
-                used_a.add(x.a)
-                used_b.add(x.b)
-                out.append((*key[: len(by)], x.a, x.b, x.same_zone))
-        return pd.DataFrame(out, columns=[*by, "pred", "truth", "same_zone"])
-
-    return edges.groupBy(*group).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come group by group, each in the order of choice; what is kept are the group's used numbers."""
+        last, used_a, used_b = None, set(), set()
+        for batch in batches:
+            take = []
+            keys = zip(*(batch[c].to_pylist() for c in group), strict=True)
+            for i, (key, x, y) in enumerate(zip(keys, batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+                if key != last:
+                    last, used_a, used_b = key, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    take.append(i)
+            some = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[some[c] for c in by], some["a"].cast(pa.int32()), some["b"].cast(pa.int32()), some["same_zone"]], [*by, "pred", "truth", "same_zone"])
+
+    # Of one zone the first of equals is taken, of several the last.
+    order = [*group, "a", F.desc("same_zone"), F.desc("score"), F.when(F.col("same_zone"), F.col("b")).otherwise(-F.col("b"))]
+    return dealt(edges, *group).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 VISUAL = "unclassified_visual_change"
@@ -170,18 +179,26 @@ def naive_match(a: DataFrame, b: DataFrame, floor: float = NAIVE_FLOOR, move: fl
     p = _fresh(left(a, "a"), [*group, "ord", "content"]).select(*group, F.col("ord").alias("ord_a"), F.col("content").alias("text_a"))
     q = _fresh(left(b, "b"), [*group, "ord", "content", "first"]).select(*group, F.col("ord").alias("ord_b"), F.col("content").alias("text_b"), "first")
     near = similar_texts(p.select(*group, F.col("text_a").alias("text")), q.select(*group, F.col("text_b").alias("text")), group, floor)
-    edges = near.join(p, [*group, "text_a"]).join(q, [*group, "text_b"]).select(*group, "ord_a", "ord_b", "first", "score")
-
-    def run(key, found):
-        open_a, open_b, out = set(found["ord_a"]), set(found["ord_b"]), []
-        for x in found.assign(better=-found["score"]).sort_values(["better", "ord_a", "first", "ord_b"]).itertuples():
-            if x.ord_a in open_a and x.ord_b in open_b:
-                open_a.remove(x.ord_a)
-                open_b.remove(x.ord_b)
-                out.append((*key, "modified", x.ord_a, x.ord_b, x.score))
-        return pd.DataFrame(out, columns=["pair_id", "type", "status", "ord_a", "ord_b", "score"])
-
-    modified = edges.groupBy(*group).applyInPandas(run, NAIVE)
+    edges = merged(merged(near).join(p, [*group, "text_a"])).join(q, [*group, "text_b"]).select(*group, "ord_a", "ord_b", "first", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come group by group, the most similar first; what is kept are the group's used numbers."""
+        last, used_a, used_b = None, set(), set()
+        for batch in batches:
+            take = []
+            keys = zip(*(batch[c].to_pylist() for c in group), strict=True)
+            for i, (key, x, y) in enumerate(zip(keys, batch["ord_a"].to_pylist(), batch["ord_b"].to_pylist(), strict=True)):
+                if key != last:
+                    last, used_a, used_b = key, set(), set()
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    take.append(i)
+            some = batch.take(pa.array(take, pa.int64()))
+            status = pa.array(["modified"] * len(take), pa.string())
+            yield pa.RecordBatch.from_arrays([*[some[c] for c in group], status, some["ord_a"].cast(pa.int32()), some["ord_b"].cast(pa.int32()), some["score"]], [c.split()[0] for c in NAIVE.split(", ")])
+
+    modified = dealt(edges, *group).sortWithinPartitions(*group, F.desc("score"), "ord_a", "first", "ord_b").mapInArrow(run, NAIVE)
     rest = lambda d, n, status: d.join(modified, [*group, f"ord_{n}"], "left_anti").select(
         *group, F.lit(status).alias("status"), *[(F.col(c) if c == f"ord_{n}" else F.lit(None)).cast("int").alias(c) for c in ("ord_a", "ord_b")], F.lit(None).cast("double").alias("score")
     )
