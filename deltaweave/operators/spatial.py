@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import merged
+
 #: The finest grid has 512 x 512 cells.
 LEVELS = 9
 
@@ -42,8 +44,8 @@ def touching(left: DataFrame, right: DataFrame, page: list[str], box: str = "box
     names = lambda side: [*page, F.col("_box").alias(f"{side}_box"), "_level", "_cx", "_cy"]
     l, r = _listed(left, box, page), _listed(right, other, page)  # noqa: E741
     key = [*page, "_level", "_cx", "_cy"]
-    owned = l.where("_own = _level").select(*names("left")).join(r.select(*names("right")), key)
-    met = owned.unionByName(l.where("_own > _level").select(*names("left")).join(r.where("_own = _level").select(*names("right")), key))
+    owned = merged(l.where("_own = _level").select(*names("left"))).join(r.select(*names("right")), key)
+    met = owned.unionByName(merged(l.where("_own > _level").select(*names("left"))).join(r.where("_own = _level").select(*names("right")), key))
     a, b = F.col("left_box"), F.col("right_box")
     x, y = F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"])
     shared = (x <= F.least(a["x1"], b["x1"])) & (y <= F.least(a["y1"], b["y1"]))
