@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.images import read_png, write_png
+from .dealing import dealt
 from .rendering import STYLE
 
 # Widths of primary changes and of cascades, opacity of a filling, room around a box, and lengths of dashes and gaps, in pixels.
@@ -111,7 +112,7 @@ def overlays(images: DataFrame, drawn: DataFrame, legend: bool = True) -> DataFr
     """
     item = F.struct("filled", "did", F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"), F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"), "colour", "dashed", "width")
     grouped = drawn.groupBy("pair_id", "sheet", F.col("drawn_on").alias("side")).agg(F.sort_array(F.collect_list(F.struct((~F.col("filled")).alias("last"), item.alias("b")))).alias("boxes"))
-    both = images.select("pair_id", "side", "sheet", "content").join(grouped, ["pair_id", "side", "sheet"], "left")
+    both = dealt(images.select("pair_id", "side", "sheet", "content").join(grouped, ["pair_id", "side", "sheet"], "left"), "pair_id", "side", "sheet")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -129,18 +130,26 @@ def with_width(drawn: DataFrame, deltas: DataFrame) -> DataFrame:
     return drawn.join(cascades, ["pair_id", "did"], "left").withColumn("width", F.coalesce("_thin", F.lit(WIDE))).drop("_thin")
 
 
-def colour_counts(images: DataFrame) -> DataFrame:
-    """pair_id, side, sheet, colour, n: pixels of each of the styles' colours in images(..., content)."""
-    names = {rgb(c): c for c in STYLE.values()}
+def colour_counts(images: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """pair_id, side, sheet, carried, colour, n: pixels of each of the styles' colours in images(..., content).
+
+    With carried columns every sheet also has a row of no colour (null) and n = 0, so that none is lost.
+    """
+    names = {int.from_bytes(bytes(rgb(c))): c for c in STYLE.values()}
+    keep = ["pair_id", "side", "sheet", *carried]
+    kinds = dict(images.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..sources.images import read_colours
 
         for pdf in batches:
-            for r in pdf.itertuples():
-                pixels = read_colours(bytes(r.content)).reshape(-1, 3)
-                found, counts = np.unique(pixels, axis=0, return_counts=True)
-                rows = [(r.pair_id, r.side, r.sheet, names[tuple(c)], n) for c, n in zip(found.tolist(), counts.tolist(), strict=True) if tuple(c) in names]
-                yield pd.DataFrame(rows, columns=["pair_id", "side", "sheet", "colour", "n"])
-
-    return images.select("pair_id", "side", "sheet", "content").mapInPandas(run, f"pair_id {dict(images.dtypes)['pair_id']}, side string, sheet int, colour string, n long")
+            rows = []
+            for head, content in zip(pdf[keep].itertuples(index=False, name=None), pdf["content"], strict=True):
+                packed = read_colours(bytes(content)).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+                counts = [(colour, np.count_nonzero(packed == number)) for number, colour in names.items()]
+                rows += [(*head, colour, n) for colour, n in counts if n]
+                rows += [(*head, None, 0)] if carried else []
+            yield pd.DataFrame(rows, columns=[*keep, "colour", "n"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], "colour string, n long"])
+    return images.select(*keep, "content").mapInPandas(run, schema)
