@@ -51,7 +51,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -70,7 +70,7 @@ BLOCK_TOKENS = 1 << 21
 #: Texts are scored so many bytes at a time, since every token may leave several keys to look up.
 SCORED_BYTES = 1 << 20
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
-PARTS = 1
+PARTS = 2
 #: Terms that are not looked up in place are joined in so many passes, for the same reason.
 FAR_PARTS = 4
 
@@ -205,27 +205,22 @@ def learn(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Tree:
                 nexts = texts.mapInArrow(_next_counts(d, contexts, some, part, parts), "prefix bigint, word bigint, c bigint")  # noqa: B023
                 # Blocks leave few equal rows, so they are summed where they meet alone.
                 nexts = nexts.repartition("prefix", "word").groupBy("prefix", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_ENTRY)
-                return nexts.join(frequent, "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")  # noqa: B023
+                return nexts.join(frequent.hint("shuffle_hash"), "prefix").select("prefix", "word", "suffix", "c", "n").mapInArrow(_keyed, "key bigint, prefix bigint, suffix bigint, c bigint, n bigint")  # noqa: B023
 
             parts = [scratch.keep(counted(i, n), f"listed{d}/part={i}") for n in [PARTS if d == 1 else 1] for i in range(n)]
         listed = parts[0]
         for more in parts[1:]:
             listed = listed.unionByName(more)
-        level = scratch.keep(_level(listed, shorter), f"level{d}")
-        weighed = scratch.keep(_states(level), f"states{d}")
-        grown = level.join(weighed, "prefix", "left")
-        inside = F.log(F.col("share") + F.col("rest") * F.exp("below"))
-        grown = grown.withColumn("own", F.when(F.col("rest").isNotNull(), inside))
-        ten = float(np.log(10))
-        terms.append(grown.where("own IS NOT NULL").select("key", "c", ((F.col("own") - F.log("rest") - F.col("below")) / ten).alias("value")))
-        terms.append(weighed.select(F.col("prefix").bitwiseXOR(F.lit(STATE_KEY)).alias("key"), F.col("n").alias("c"), F.log10("rest").alias("value")))
-        shorter = grown.select(F.col("key").alias("suffix"), F.coalesce("own", "below").alias("below"))
+        level = scratch.keep(_states(_level(listed, shorter)), f"level{d}")
+        terms.append(level.where("value IS NOT NULL").select("key", "c", "value"))
+        terms.append(level.where("state IS NOT NULL").select(F.col("state.prefix").bitwiseXOR(F.lit(STATE_KEY)).alias("key"), F.col("state.n").alias("c"), "state.value"))
+        shorter = level.select(F.col("key").alias("suffix"), "below")
     made = terms[0] if terms else words.select("key", "c", F.lit(0.0).alias("value")).limit(0)
     for t in terms[1:]:
         made = made.unionByName(t)
     made = scratch.keep(made, "terms")
     for d in range(1, depth + 1):
-        for name in ("listed", "level", "states"):
+        for name in ("listed", "level"):
             scratch.drop(f"{name}{d}")
     return Tree(total, kinds, unknown, words, made)
 
@@ -240,13 +235,23 @@ def _level(listed: DataFrame, shorter: DataFrame) -> DataFrame:
 
 
 def _states(level: DataFrame) -> DataFrame:
-    """prefix, n, rest of the contexts that diverge enough."""
-    sums = level.groupBy("prefix").agg(F.first("n").alias("n"), F.sum("c").alias("seen"), F.count(F.lit(1)).alias("k"))
-    sums = sums.select("prefix", "n", "seen", ((F.col("n") - F.col("seen") + DISCOUNT * F.col("k")) / F.col("n")).alias("rest"))
-    gain = F.col("c") * (F.log(F.col("share") + F.col("rest") * F.exp("below")) - F.col("below"))
-    gains = level.select("prefix", "c", "share", "below").join(sums.select("prefix", "rest"), "prefix").groupBy("prefix").agg(F.sum(gain).alias("gain"))
+    """key, c, value, below, state of the nexts of each context.
+
+    value is what a next adds to below, in log10, or null where its context diverges
+    too little to be a state; below is log P(x | longest kept suffix), the context now
+    among them; state(prefix, n, value) stands in one row of each state. All of a
+    context's nexts meet once, in one sorted pass.
+    """
+    context, ten = Window.partitionBy("prefix"), float(np.log(10))
+    over = lambda c: c.over(context)
+    seen = level.withColumn("seen", over(F.sum("c"))).withColumn("k", over(F.count(F.lit(1)))).withColumn("least", over(F.min("key")))
+    rested = seen.withColumn("rest", (F.col("n") - F.col("seen") + DISCOUNT * F.col("k")) / F.col("n")).withColumn("own", F.log(F.col("share") + F.col("rest") * F.exp("below")))
+    gained = rested.withColumn("gain", over(F.sum(F.col("c") * (F.col("own") - F.col("below")))))
     keep = F.col("gain") + (F.col("n") - F.col("seen")) * F.log("rest") > DIVERGENCE * F.col("n")
-    return sums.join(gains, "prefix").where(keep).select("prefix", "n", "rest")
+    return gained.withColumn("keep", keep).select(
+        "key", "c", F.when(F.col("keep"), (F.col("own") - F.log("rest") - F.col("below")) / ten).alias("value"), F.when(F.col("keep"), F.col("own")).otherwise(F.col("below")).alias("below"),
+        F.when(F.col("keep") & (F.col("key") == F.col("least")), F.struct("prefix", "n", F.log10("rest").alias("value"))).alias("state"),
+    )
 
 
 class Shared:
@@ -382,14 +387,15 @@ def score_documents(docs: DataFrame, remainder: int = 1, depth: int = DEPTH, wor
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = (
         scored.select("row", F.explode("rare").alias("key"))
-        .join(tree.words, "key", "left")
+        .join(tree.words.hint("shuffle_hash"), "key", "left")
         .select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((c + 0.5) / F.lit(space)).alias("base"), F.log10(F.when(c > 0, F.lit(mass) * c).otherwise(F.lit(tree.unknown))).alias("score"))
     )
     sums = [F.sum(x).alias(x) for x in ("known", "base", "score")]
     more = rare.groupBy("row").agg(*sums)
     for part in range(FAR_PARTS):
         some = scored.select("row", F.explode(F.filter("far", lambda k: F.pmod(k, F.lit(FAR_PARTS)) == part)).alias("key"))  # noqa: B023
-        far = some.join(tree.terms, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
+        terms_of = tree.terms.where(F.pmod("key", F.lit(FAR_PARTS)) == part).select("key", "value")  # noqa: B023
+        far = some.join(terms_of.hint("shuffle_hash"), "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
         more = more.unionByName(scratch.keep(far.groupBy("row").agg(*sums), f"far{part}"))
     scratch.drop("terms")
     more = scored.select("row", "known", "base", "score").unionByName(more).groupBy("row").agg(*sums)

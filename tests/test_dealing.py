@@ -70,3 +70,17 @@ def test_equal_blocks_are_not_compared(monkeypatch):
     monkeypatch.setattr(raster, "structural_difference", lambda x, y, s: seen.append(x.size) or real(x, y, s))
     found = raster.changed_difference(a, b, DEFAULT)
     assert np.abs(found - whole).max() < 1e-9 and sum(seen) < a.size / 4
+
+
+def test_states_are_weighed_in_one_shuffle_of_a_level(spark):
+    from deltaweave.llm import suffix_tree
+
+    level = spark.createDataFrame([(1, 10, 30, 40, 0.7375, -3.0), (2, 10, 5, 40, 0.1125, -3.0), (3, 11, 2, 40, 0.0375, -0.1)], "key long, prefix long, c long, n long, share double, below double")
+    found = suffix_tree._states(level)
+    assert physical(found).count("Exchange hashpartitioning") == 1
+    rows = {r["key"]: r for r in found.collect()}
+    rest = (40 - 35 + 0.5 * 2) / 40
+    own = np.log(0.7375 + rest * np.exp(-3.0))
+    assert rows[1]["value"] == pytest.approx((own - np.log(rest) + 3.0) / np.log(10)) and rows[1]["below"] == pytest.approx(own)
+    assert tuple(rows[1]["state"]) == (10, 40, pytest.approx(np.log10(rest))) and rows[2]["state"] is None
+    assert rows[3]["value"] is None and rows[3]["below"] == -0.1 and rows[3]["state"] is None
