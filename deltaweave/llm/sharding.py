@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ from ._store import Scratch
 
 ITEMS = 1 << 14
 SLOT_BUCKETS = 1024
+#: Rows of a file that are numbered together, where slots follow the stored order.
+ORDERED_ROWS = 1 << 16
 
 
 def differencing(sizes: Iterable[int], shards: int) -> list[int]:
@@ -60,8 +62,13 @@ def differencing(sizes: Iterable[int], shards: int) -> list[int]:
     return label
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, items: int = ITEMS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for every row of docs."""
+def stored_order(docs: DataFrame) -> tuple[Column, Column]:
+    """The file of a row and its place there, of docs read from files written in order."""
+    return docs["_metadata.file_name"], docs["_metadata.row_index"]
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, items: int = ITEMS, ordered: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for every row of docs; ordered: slots of a shard follow the order in which docs are stored (``stored_order``)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -71,6 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, items: int = ITEMS) -> Da
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
             F.sha2(text, 256).alias("_group"),
+            *[c.alias(n) for c, n in zip(stored_order(docs) if ordered else (), ("_file", "_at"), strict=False)],
         ),
         "rows",
     )
@@ -83,7 +91,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, items: int = ITEMS) -> Da
     schema = T.StructType([T.StructField("_item", T.StringType()), T.StructField("shard", T.IntegerType())])
     chosen = spark.createDataFrame([(r["_item"], s) for r, s in zip(sized, labels, strict=True)], schema)
     placed = groups.join(F.broadcast(chosen), "_item").select("_group", "shard")
-    out = scratch.keep(rows.join(placed, "_group").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    out = scratch.keep(rows.join(placed, "_group").select("doc_id", "size", "text_crc32", "shard", *(("_file", "_at") if ordered else ())), "placed")
     scratch.drop("rows")
     scratch.drop("groups")
+    if ordered:
+        stretch = F.struct("_file", F.floor(F.col("_at") / ORDERED_ROWS).alias("_stretch"))
+        return with_slots(out, "shard", stretch, ["_at"]).drop("_file", "_at")
     return with_slots(out, "shard", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)), ["doc_id", "text_crc32"])
