@@ -182,4 +182,6 @@ def write_spans(spans: DataFrame, path: str) -> None:
     """Files of json lines, in folders by pair; a file holds spans of one pair and side alone, in the order of ord."""
     line = F.to_json(F.struct("sheet", "text", "x0", "y0", "x1", "y1", "origin_x", "origin_y", "size"))
     rows = spans.select("pair_id", F.lower("side").alias("side"), "ord", line.alias("value")).repartition("pair_id", "side").sortWithinPartitions("pair_id", "side", "ord")
-    rows.select("pair_id", "side", "value").write.mode("overwrite").partitionBy("pair_id", "side").text(path)
+    # Tasks move their own files in place; the driver would move them one by one.
+    moved = rows.select("pair_id", "side", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    moved.mode("overwrite").partitionBy("pair_id", "side").text(path)
