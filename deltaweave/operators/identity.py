@@ -42,21 +42,31 @@ def similar_sets(items: DataFrame, id_: str, item: str, least: float) -> DataFra
 
     Exact by prefixes: two such sets share one of the n - ceil(least * n) + 1 rarest
     items of either, so only those meet in a join, and furniture that stands in many
-    sets pairs them only if they have little else. Pairs are then counted in full.
+    sets pairs them only if they have little else. Items of one set alone pair nothing,
+    so a set is a row of its other items, and one with too few of these is left out.
+    Where the prefixes are all items of both sets, the join has counted the shared ones;
+    only other pairs meet their sets again.
     """
-    rare = items.groupBy(item).agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    sized = items.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(id_)))
-    # Items of one set alone are the rarest of all; they take up places of the prefix and pair nothing.
-    known = sized.join(rare, item, "left").withColumn("_df", F.coalesce("_df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(id_).orderBy("_df", item))
-    prefix = known.withColumn("_place", place).where((F.col("_place") <= F.col("_n") - F.ceil(F.round(F.col("_n") * least, 9)) + 1) & (F.col("_df") > 1))
-    left = prefix.select(item, F.col(id_).alias("a"), F.col("_n").alias("_na"))
-    right = prefix.select(item, F.col(id_).alias("b"), F.col("_n").alias("_nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)
-    pairs = left.join(right, item).where(fits).select("a", "b", "_na", "_nb").distinct()
-    first = pairs.join(items.select(F.col(id_).alias("a"), F.col(item).alias("_item")), "a")
-    shared = first.join(items.select(F.col(id_).alias("b"), F.col(item).alias("_item")), ["b", "_item"]).groupBy("a", "b", "_na", "_nb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.withColumn("jaccard", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+    counts = items.groupBy(item).agg(F.count(F.lit(1)).alias("_df"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_df") > 1, F.struct("_df", F.col(item).alias("i")))))
+    sets = items.join(counts, item).groupBy(id_).agg(F.count(F.lit(1)).alias("_n"), listed.alias("_items"))
+    needed = F.ceil(F.round(F.col("_n") * least, 9))
+    sets = sets.withColumn("_m", F.size("_items").cast("long")).where(F.col("_m") >= needed)
+    # Items of one set alone are the rarest of all; they take up places of the prefix.
+    sets = sets.withColumn("_p", F.least("_m", F.greatest(F.lit(0), F.col("_m") - needed + 1)))
+    prefix = sets.select(id_, "_n", "_m", "_p", F.explode(F.slice("_items", F.lit(1), F.col("_p").cast("int"))).alias("_x"))
+    side = lambda s: prefix.select(F.col("_x.i").alias("_i"), F.col(id_).alias(s), F.col("_n").alias(f"_n{s}"), F.col("_m").alias(f"_m{s}"), (F.col("_m") - F.col("_p")).alias(f"_s{s}"))
+    enough = lambda shared, sizes: shared / (sizes - shared) >= least
+    most, sizes = F.least("_ma", "_mb"), F.col("_na") + F.col("_nb")
+    met = side("a").join(side("b"), "_i").where((F.col("a") < F.col("b")) & enough(most, sizes))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.max(sizes).alias("_sizes"), F.max(most).alias("_most"), F.max(F.col("_sa") + F.col("_sb")).alias("_left"))
+    pairs = pairs.where(enough(F.least(F.col("_c") + F.col("_left"), "_most"), F.col("_sizes")))  # for both branches, so that they share the shuffle
+    whole = pairs.where(F.col("_left") == 0).select("a", "b", "_sizes", F.col("_c").alias("shared"))
+    open_ = pairs.where("_left > 0").select("a", "b", "_sizes")
+    of = lambda s: sets.select(F.col(id_).alias(s), F.transform("_items", lambda x: x["i"]).alias(f"_i{s}"))
+    counted_ = open_.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_sizes", F.size(F.array_intersect("_ia", "_ib")).cast("long").alias("shared"))
+    found = whole.unionByName(counted_).withColumn("jaccard", F.col("shared") / (F.col("_sizes") - F.col("shared")))
+    return found.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
 
 
 def decide(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:
