@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from math import inf, nan
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +56,61 @@ def run_text(runs: DataFrame, width: Column, height: Column, s: Settings = DEFAU
 def clean_words(words: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """OCR words with text and a confidence (any spelling of a number) of at least the least one."""
     conf = F.expr("try_cast(trim(conf) AS DOUBLE)")
-    return words.withColumn("text", strip(F.col("text"))).withColumn("conf", conf).where((F.col("text") != "") & (F.col("conf") >= s.ocr_least_conf))
+    text = F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r"))  # the characters of \s; there are many words, and a regular expression is slow
+    return words.withColumn("text", text).withColumn("conf", conf).where((F.col("text") != "") & (F.col("conf") >= s.ocr_least_conf))
+
+
+def _in_order(words: DataFrame) -> DataFrame:
+    columns = [*PAGE, "top", "left", "ord", "text", "conf", "width", "height"]
+    return words.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "left", "ord", "text", "conf", "width", "height")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column as floats; nulls are NaN."""
+    return pc.cast(column, pa.float64()).to_numpy(zero_copy_only=False)
+
+
+class _Bands:
+    """Bands of words that stream by in order; all that is kept is the page and the band's first word."""
+
+    def __init__(self, s: Settings):
+        self.s, self.page, self.seed, self.reach, self.band, self.group = s, None, nan, nan, 0, 0
+
+    def _turns(self, batch: pa.RecordBatch) -> np.ndarray:
+        turns = np.zeros(batch.num_rows, bool)
+        for c in PAGE:
+            codes = pc.dictionary_encode(batch[c], null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            turns[1:] |= codes[1:] != codes[:-1]
+        first, last = (tuple(batch[c][i].as_py() for c in PAGE) for i in (0, batch.num_rows - 1))
+        turns[0] = first != self.page
+        self.page = last
+        return turns
+
+    def _reached(self, tops: list[float], begin: int, end: int) -> int:
+        """Where the first word stands, from begin on, that the band's first word does not reach."""
+        if self.seed != self.seed or self.reach != self.reach:
+            return begin
+        return bisect_right(tops, self.reach, begin, end, key=lambda top: top - self.seed if top == top else inf)
+
+    def add(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the band, and a number of it that no other page's band has."""
+        tops, heights, turns = _numbers(batch["top"]).tolist(), _numbers(batch["height"]).tolist(), self._turns(batch)
+        begins = np.union1d([0], np.flatnonzero(turns)).tolist()
+        at, bands, groups = [], [], []
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            i = begin
+            if turns[begin]:
+                self.band, self.seed = 0, nan
+            elif (more := self._reached(tops, begin, end)) > begin:
+                at, bands, groups, i = [begin], [self.band], [self.group], more
+            while i < end:
+                self.seed, self.reach, self.band, self.group = tops[i], self.s.run_baseline * heights[i], self.band + 1, self.group + 1
+                at.append(i)
+                bands.append(self.band)
+                groups.append(self.group)
+                i = self._reached(tops, i + 1, end)
+        sizes = np.diff([*at, batch.num_rows])
+        return np.repeat(np.array(bands, np.int32), sizes), np.repeat(np.array(groups, np.int64), sizes)
 
 
 def word_bands(words: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -63,43 +121,80 @@ def word_bands(words: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     the order of (top, left, ord). Rows stream through it sorted by page; all that is
     kept is the seed, so a page may have any number of words.
     """
-    columns = [*PAGE, "top", "left", "ord", "text", "conf", "width", "height"]
-    sorted_ = words.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "top", "left", "ord", "text", "conf", "width", "height")
+    sorted_ = _in_order(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = _Bands(s)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands.add(batch)[0])], [*batch.schema.names, "band"])
+
+    found = sorted_.mapInArrow(run, ", ".join([*[f"{c} {kind}" for c, kind in sorted_.dtypes], "band int"]))
+    return found.select(*PAGE, "band", *sorted_.columns[len(PAGE) :])
+
+
+def _runs_of(batch: pa.RecordBatch, band: np.ndarray, group: np.ndarray, s: Settings) -> pa.RecordBatch:
+    """One row for each run of whole bands."""
+    left, width, top, height, conf = (_numbers(batch[c]) for c in ("left", "width", "top", "height", "conf"))
+    ord_ = batch["ord"].to_numpy(zero_copy_only=False)
+    if batch["ord"].null_count:
+        ord_ = np.nan_to_num(ord_.astype(float), nan=-inf)
+    order = np.lexsort((ord_, np.where(np.isnan(left), -inf, left), group))
+    left, width, top, height, conf, group = (x[order] for x in (left, width, top, height, conf, group))
+    right = left + width
+    gap = left[1:] - right[:-1]
+    joins = (group[1:] == group[:-1]) & (gap >= 0) & (gap <= s.run_gap * height[:-1])
+    starts = np.flatnonzero(np.append(True, ~joins))
+    opens = np.append(True, np.diff(group[starts]) != 0)
+    place = np.arange(len(starts))
+    run = place - np.maximum.accumulate(np.where(opens, place, 0)) + 1
+    texts = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), batch["text"].take(pa.array(order)))
+    known = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
+    pages = pa.array(order[starts])
+    return pa.RecordBatch.from_arrays(
+        [
+            *(batch[c].take(pages) for c in PAGE), pa.array(band[order[starts]]), pa.array(run, pa.int64()), pc.binary_join(texts, " "),
+            *(known(f.reduceat(x, starts)) for f, x in ((np.fmin, left), (np.fmin, top), (np.fmax, right), (np.fmax, top + height))),
+            pa.array(np.add.reduceat(np.nan_to_num(conf), starts)), pa.array(np.add.reduceat((~np.isnan(conf)).astype(np.int64), starts)),
+        ],
+        [*PAGE, "band", "run", "text", "left", "top", "right", "bottom", "_conf", "_n"],
+    )
+
+
+def band_runs(words: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """One row for each run of a band: words whose gap to the one before is from none to three of its heights.
+
+    Bands follow each other in the order of word_bands, so they are cut into runs in the
+    same stream, without a second shuffle and sort of all words; what is kept is the band
+    that is not over yet, one line of a page.
+    """
+    sorted_ = _in_order(words)
     kinds = dict(sorted_.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, seed, reach, band = None, 0.0, 0.0, 0
+        bands, held = _Bands(s), []
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches([b for b, _, _ in held]).combine_chunks().to_batches()[0]
+            return _runs_of(whole, np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held]), s)
+
         for batch in batches:
-            pages = zip(*(batch[c].to_pylist() for c in PAGE), strict=True)
-            out = []
-            for key, top, height in zip(pages, batch["top"].to_pylist(), batch["height"].to_pylist(), strict=True):
-                if key != page:
-                    page, band, seed = key, 0, None
-                near = None if top is None or seed is None or reach is None else abs(top - seed) <= reach
-                if not near:
-                    seed, band, reach = top, band + 1, None if height is None else s.run_baseline * height
-                out.append(band)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "band"])
-
-    found = sorted_.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in columns], "band int"]))
-    return found.select(*PAGE, "band", *columns[len(PAGE) :])
-
-
-def band_runs(banded: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row for each run of a band: words whose gap to the one before is from none to three of its heights."""
-    order = Window.partitionBy(*PAGE, "band").orderBy("left", "ord")
-    gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
-    joins = (gap >= 0) & (gap <= s.run_gap * F.lag("height").over(order))
-    marked = banded.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("place", F.row_number().over(order))
-    marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*PAGE, "band", "run").agg(
-        _joined(F.col("new") == 0).alias("text"),
-        F.min("left").alias("left"),
-        F.min("top").alias("top"),
-        F.max(F.col("left") + F.col("width")).alias("right"),
-        F.max(F.col("top") + F.col("height")).alias("bottom"),
-        F.round(F.avg("conf") / 100, 4).alias("confidence"),
-    )
+            if not batch.num_rows:
+                continue
+            band, group = bands.add(batch)
+            last = int(np.searchsorted(group, group[-1]))
+            if last or (held and held[-1][2][-1] != group[0]):
+                held.append((batch.slice(0, last), band[:last], group[:last]))
+                yield out()
+                held = []
+            held.append((batch.slice(last), band[last:], group[last:]))
+        if held:
+            yield out()
+
+    found = sorted_.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in PAGE], "band int, run bigint, text string, left double, top double, right double, bottom double, _conf double, _n bigint"]))
+    odd = F.col("text").rlike(r"^\s|\s$|\s\s|[\t\n\x0b\f\r]")
+    text = F.when(odd, strip(F.regexp_replace("text", r"\s+", " "))).otherwise(F.col("text"))
+    return found.select(*PAGE, "band", "run", text.alias("text"), "left", "top", "right", "bottom", F.round(F.try_divide("_conf", "_n") / 100, 4).alias("confidence"))
 
 
 def native_detect(words_on_first_page: Column, extension: Column, s: Settings = DEFAULT) -> Column:

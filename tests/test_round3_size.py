@@ -49,3 +49,32 @@ def test_revision_pairs_shuffle_no_texts(spark, tmp_path):
     found = revision_pairs(spark, documents(spark, tmp_path, texts))
     assert [tuple(x) for x in found.collect()] == [(1, 201, 8, 1.0)]
     assert shuffled(spark, found) < sum(map(len, texts)) / 2
+
+
+def test_runs_of_bands_in_one_stream(spark):
+    from deltaweave.operators import runs
+
+    r = random.Random(13)
+    words = [(p, "A", 1, i, f"w{i}", str(r.randrange(30, 99)), r.randrange(40) * 7.0, float(r.choice([3, 4, 5, 20, 22, 60])), float(r.randrange(2, 9)), float(r.choice([4, 10]))) for p in range(40) for i in range(r.randrange(1, 400))]
+    words += [(99, "A", 1, i, f"v{i}", "50", float(i), 8.0, 1.0, 10.0) for i in range(25000)]  # a band of several batches
+    df = spark.createDataFrame(words, "pair_id long, side string, sheet int, ord int, text string, conf string, left double, top double, width double, height double")
+    want = set()
+    pages = {}
+    for w in sorted(words, key=lambda w: (w[0], w[7], w[6], w[3])):
+        bands = pages.setdefault(w[0], [])
+        if not bands or abs(w[7] - bands[-1][0][7]) > 0.5 * bands[-1][0][9]:
+            bands.append([])
+        bands[-1].append(w)
+    for p, bands in pages.items():
+        for n, band in enumerate(bands, 1):
+            line, found = sorted(band, key=lambda w: (w[6], w[3])), []
+            for w in line:
+                gap = w[6] - (found[-1][-1][6] + found[-1][-1][8]) if found else -1
+                if not (found and 0 <= gap <= 3 * found[-1][-1][9]):
+                    found.append([])
+                found[-1].append(w)
+            want |= {(p, n, k, " ".join(w[4] for w in ws), min(w[6] for w in ws), min(w[7] for w in ws), max(w[6] + w[8] for w in ws), max(w[7] + w[9] for w in ws), len(ws)) for k, ws in enumerate(found, 1)}
+    made = runs.band_runs(runs.clean_words(df))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(x["pair_id"], x["band"], x["run"], x["text"], x["left"], x["top"], x["right"], x["bottom"], len(x["text"].split())) for x in made.collect()}
+    assert got == want
