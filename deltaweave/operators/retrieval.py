@@ -118,21 +118,30 @@ def split_counted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where(F.col("term") != WHOLE), totals
 
 
-def bm25(post: DataFrame, n_docs: DataFrame, query_terms: DataFrame, s: Settings = DEFAULT, boost: Column | None = None, only_wanted: bool = False) -> DataFrame:
+def bm25(
+    post: DataFrame, n_docs: DataFrame, query_terms: DataFrame, s: Settings = DEFAULT, boost: Column | None = None, only_wanted: bool = False, folder: str | None = None, parts: int | None = None
+) -> DataFrame:
     """question_id, doc_id, score. query_terms(question_id, term) counts a repeated term each time; only_wanted: postings hold no other terms.
 
     n_docs has one row (n, the number of documents with or without terms, and their
     total length), so only the query's postings are shuffled: idf comes from counts
-    of the queried terms alone.
+    of the queried terms alone. With a folder the terms' weights are stored there, so
+    that their size is known when they are joined; with parts the postings are dealt by
+    document, so that scores are summed where their postings are and none is shuffled.
     """
     asked = query_terms.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = post if only_wanted else post.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = wanted.join(df, "term").join(asked, "term").join(F.broadcast(n_docs), how="cross")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / (F.col("total") / F.col("n")))
-    part = F.col("times") * idf * F.col("tf") * (s.k1 + 1) / norm
-    return hits.groupBy("question_id", "doc_id").agg(F.sum(part * boost if boost is not None else part).alias("score")).where("score > 0")
+    weights = df.join(asked, "term").join(F.broadcast(n_docs), how="cross").select("question_id", "term", (F.col("times") * idf).alias("_w"), (F.col("total") / F.col("n")).alias("_mean"))
+    if folder is not None:
+        weights.write.parquet(folder)
+        weights = post.sparkSession.read.schema(weights.schema).parquet(folder)
+    if parts is not None:
+        wanted = wanted.repartition(parts, "doc_id")
+    norm = F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / F.col("_mean"))
+    part = F.col("_w") * F.col("tf") * (s.k1 + 1) / norm
+    return wanted.join(weights, "term").groupBy("question_id", "doc_id").agg(F.sum(part * boost if boost is not None else part).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -78,3 +78,17 @@ def test_runs_of_bands_in_one_stream(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {(x["pair_id"], x["band"], x["run"], x["text"], x["left"], x["top"], x["right"], x["bottom"], len(x["text"].split())) for x in made.collect()}
     assert got == want
+
+
+def test_bm25_shuffles_no_scores_but_the_best(spark, tmp_path):
+    from deltaweave.queries import bm25_topk
+
+    r = random.Random(16)
+    folder = documents(spark, tmp_path, [" ".join(r.choices(["valve", "pump", "pipe", "tank", "hose"], k=3)) for _ in range(2000)])
+    spark.createDataFrame([(i, "valve pump pipe tank hose") for i in range(1, 101)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = bm25_topk(spark, folder)
+    best = {}
+    for x in found.collect():
+        best.setdefault(x["question_id"], []).append((x["rank"], x["doc_id"], x["score"]))
+    assert len(best) == 100 and len({tuple(sorted(b)) for b in best.values()}) == 1 and len(best[1]) == 8
+    assert shuffled(spark, found) < 300_000
