@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import citation, parse_citations, strip, tokenise
+from .dealing import dealt
 
 REFUSAL = "REFUSED:"
 
@@ -29,13 +30,13 @@ def chunks(elements: DataFrame, deltas: DataFrame) -> DataFrame:
     )
 
 
-def expand_query(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """question_id, term: the targets of every alias phrase that the lower-cased question contains.
+def expand_query(questions: DataFrame, aliases: DataFrame, *more: str) -> DataFrame:
+    """question_id, more columns of the questions, term: the targets of every alias phrase that the lower-cased question contains.
 
     The alias table is a fixed vocabulary, so it is the broadcast side.
     """
     hit = F.contains(F.lower(F.col("question")), F.col("phrase"))
-    return questions.join(F.broadcast(aliases), hit).select("question_id", F.col("target").alias("term"))
+    return questions.join(F.broadcast(aliases), hit).select("question_id", *more, F.col("target").alias("term"))
 
 
 def load_aliases(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -67,10 +68,11 @@ def search(chunked: DataFrame, questions: DataFrame, aliases: DataFrame | None =
     it. Changes count one and a half times; equal scores go by source, sheet and id.
     Only postings of terms that a pair is asked for are shuffled.
     """
-    asked = questions.select("question_id", F.explode(tokenise(F.col("question"))).alias("term"))
+    questions, chunked = dealt(questions, "pair_id"), dealt(chunked, "pair_id")  # as short rows, before they are cut into terms
+    asked = questions.select("question_id", "pair_id", F.explode(tokenise(F.col("question"))).alias("term"))
     if aliases is not None:
-        asked = asked.unionByName(expand_query(questions, aliases))
-    asked = asked.join(questions.select("question_id", "pair_id"), "question_id").groupBy("question_id", "pair_id", "term").agg(F.count(F.lit(1)).alias("times"))
+        asked = asked.unionByName(expand_query(questions, aliases, "pair_id"))
+    asked = asked.groupBy("question_id", "pair_id", "term").agg(F.count(F.lit(1)).alias("times"))
     key = ["pair_id", "source", "sheet", "zone", "id", "content"]
     terms = chunked.select(*key, indexed_tokens(F.col("content"), F.col("zone")).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
     stats = terms.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))

@@ -92,3 +92,10 @@ def test_bm25_shuffles_no_scores_but_the_best(spark, tmp_path):
         best.setdefault(x["question_id"], []).append((x["rank"], x["doc_id"], x["score"]))
     assert len(best) == 100 and len({tuple(sorted(b)) for b in best.values()}) == 1 and len(best[1]) == 8
     assert shuffled(spark, found) < 300_000
+
+
+def test_search_deals_questions_and_chunks_by_pair(spark):
+    from deltaweave.queries import chunk_search
+
+    plan = chunk_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
