@@ -23,8 +23,9 @@ with joins and never gathered. What tasks get of it:
   without its last token may be a context and that without its first was listed,
   since it cannot be seen more often than either;
 * the HEAD_WORDS words and HEAD_TERMS terms seen most, which are looked up in
-  place. All others are looked up by a join; where the cut lies does not change
-  a result.
+  place. All others are looked up where their keys are: a block of texts sends each
+  bucket of keys one packed row of what it seeks there, and gets back the sums of
+  its texts. Where the cut lies does not change a result.
 
 Scores need no token-level join, because log P(x | s) is a sum: log P(x | root),
 and for every kept suffix t of the context log rest(t) and, if x is listed there,
@@ -50,7 +51,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+import pyarrow.compute as pc
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,12 @@ BLOCK_TOKENS = 1 << 21
 SCORED_BYTES = 1 << 20
 #: Pairs of words are counted in so many passes, by the second word, so that their shuffle takes less disk at a time.
 PARTS = 2
-#: Terms that are not looked up in place are joined in so many passes, for the same reason.
-FAR_PARTS = 4
+#: Texts are scored in so many passes, for the same reason; in more where there are too many terms for a filter.
+PASSES, UNFILTERED_PASSES = 3, 12
+#: What is not looked up in place is dealt to buckets of keys, each for so many tokens of training; there are a few at least.
+BUCKET_TOKENS, LEAST_BUCKETS = 1 << 19, 64
+#: Keys are sought a block of texts at a time, which numbers its texts with 16 bits.
+BLOCK_SOUGHT, MOST_TEXTS = 1 << 20, 1 << 16
 
 
 def held_out(doc_id: Column, remainder: int = 1) -> Column:
@@ -304,68 +310,179 @@ class Head:
         return self._tables
 
 
-def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> Head:
+def _head(tree: Tree, depth: int, words: int = HEAD_WORDS, terms: int = HEAD_TERMS) -> tuple[Head, DataFrame, DataFrame]:
+    """What is looked up in place; the other words and the other terms."""
     arrays = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    w, c = arrays(head(tree.words, min(words, tree.kinds // HEAD_SHARE))[0])
+    top_words, other_words = head(tree.words, min(words, tree.kinds // HEAD_SHARE))
+    w, c = arrays(top_words)
     top, others = head(tree.terms, min(terms, tree.terms.count() // HEAD_SHARE))
     k, v = arrays(top.select("key", "value"))
-    return Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), Bits.of(others), depth)
+    made = Head(tree.total, tree.kinds, tree.unknown, w.astype(np.int64).view(np.uint64), c.astype(np.int64), k.astype(np.int64).view(np.uint64), v.astype(float), Bits.of(tree.terms), Bits.of(others), depth)
+    return made, other_words, others
 
 
-SCORED = "held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, far array<bigint>"
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """A row for each bucket: its number and, of each column, its entries as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    bounds = np.append(first, len(order))
+    packed = lambda c: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((bounds * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])])
+    return [pa.array(found, pa.int32()), *map(packed, columns)]
+
+
+LOOKED = "bucket int, keys binary, numbers binary"
+
+
+def _bucketed(buckets: int, first: int):
+    """key, number as packed rows, for each block; buckets are numbered from ``first``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close():
+            keys, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays(_packed(_bucket(keys, buckets) + first, keys, numbers), ["bucket", "keys", "numbers"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > BLOCK_SOUGHT:
+                yield close()
+                held, size = [], 0
+        if size:
+            yield close()
+
+    return run
+
+
+#: Rows of texts, which have no keys, and rows of what the texts of a block seek in a bucket.
+SOUGHT = "bucket int, block bigint, texts binary, keys binary, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+#: Rows of texts as they were, and for each row of keys the texts and the numbers found: a count for a word, a sum for the terms of a text.
+FOUND = "block bigint, texts binary, numbers binary, words boolean, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+TEXT = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
 
 def _sums(of: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(of, values, count).astype(float)  # of no values it would be whole numbers
 
 
-def _score(shared):
+def _score(shared, buckets: int):
+    """What can be added in place for each text, taking words out of place for unknown; and what its tokens seek elsewhere."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h: Head = shared.value
         words, terms = h.tables()
         space = h.total + 0.5 * (h.kinds + 1)
-        for batch in small_batches(batches, 1, SCORED_BYTES):
+        held, seek, texts, size, block = [], [], 0, 0, TaskContext.get().partitionId() << 32
+
+        def close():
+            of, keys, bucket = (np.concatenate(x) for x in zip(*seek, strict=True))
+            asked = _packed(bucket, of, keys)
+            names = ["bucket", "block", "texts", "keys"]
+            # Texts keep their order, which is how keys name them; they are dealt by block.
+            own = pa.Table.from_batches(held).combine_chunks()
+            n, m = own.num_rows, len(asked[0])
+            place = pa.array(np.arange(n, dtype=np.uint16).view("V2").tolist(), pa.binary())
+            own = pa.table([pa.array(np.full(n, block % (2 * buckets)), pa.int32()), pa.array(np.full(n, block)), place, pa.nulls(n, pa.binary()), *own.columns], names + TEXT)
+            asked = pa.table([asked[0], pa.array(np.full(m, block)), *asked[1:], *(pa.nulls(m, t) for t in own.schema.types[4:])], names + TEXT)
+            return pa.concat_tables([own, asked]).to_batches()
+
+        for batch in (b for whole in small_batches(batches, 1, SCORED_BYTES) for b in cut_batch(whole, MOST_TEXTS // 2)):
             hashes, starts = sequences(batch.column(1))
             n, count = len(hashes), batch.num_rows
+            if texts and (size > BLOCK_SOUGHT or texts + count > MOST_TEXTS):
+                yield from close()
+                held, seek, texts, size, block = [], [], 0, 0, block + 1
             before = places(n, starts)
             text = np.repeat(np.arange(count), np.diff(starts))
             token = np.flatnonzero(before > 0)
             at = words.find(hashes[token])
             listed, rare = token[at >= 0], token[at < 0]
             c = h.counts[at[at >= 0]]
-            known = np.bincount(text[listed], minlength=count)
-            base = _sums(text[listed], np.log10((c + 0.5) / space), count)
-            score = _sums(text[listed], np.log10((1 - h.unknown) / max(1, h.total) * c), count)
-            keys, far = grams(hashes, h.depth + 1), []
+            known, unknown = np.bincount(text[listed], minlength=count), np.bincount(text[rare], minlength=count)
+            base = _sums(text[listed], np.log10((c + 0.5) / space), count) + unknown * np.log10(0.5 / space)
+            score = _sums(text[listed], np.log10((1 - h.unknown) / max(1, h.total) * c), count) + unknown * np.log10(h.unknown)
+            keys = grams(hashes, h.depth + 1)
+
+            def ask(of: np.ndarray, sought: np.ndarray, first: int) -> None:
+                nonlocal size
+                seek.append(((of + texts).astype(np.uint16), sought, _bucket(sought, buckets) + first))  # noqa: B023
+                size += len(sought)
 
             def look(of: np.ndarray, sought: np.ndarray) -> np.ndarray:
-                """Adds the values found for the texts ``of``; which keys were found or may be terms elsewhere."""
+                """Adds the values found for the texts ``of`` and asks for those that may be elsewhere; which keys were either."""
                 nonlocal score
                 some = np.flatnonzero(h.any.has(sought))
                 of, sought = of[some], sought[some]
                 at = terms.find(sought)
                 hit = at >= 0
-                score += _sums(of[hit], h.values[at[hit]], count)
+                score += _sums(of[hit], h.values[at[hit]], count)  # noqa: B023
                 of, sought = of[~hit], sought[~hit]
                 rest = h.others.has(sought)
-                far.append((of[rest], sought[rest]))
+                ask(of[rest], sought[rest], 0)  # noqa: B023
                 return some
 
+            ask(text[rare], hashes[rare], buckets)
             for d in range(1, h.depth + 1):
                 use = np.flatnonzero(before >= d)
                 use = use[look(text[use], keys[d - 1][use - 1] ^ np.uint64(STATE_KEY))]
                 look(text[use], keys[d][use])
-            of, sought = (np.concatenate(x) for x in zip(*far, strict=True)) if far else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            order = np.argsort(of, kind="stable")
-            bounds = lambda owner: pa.array(np.searchsorted(owner, np.arange(count + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2), pa.array(np.diff(starts) - 1), pa.array(known), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(bounds(text[rare]), _signed(hashes[rare])),
-                    pa.ListArray.from_arrays(bounds(of[order]), _signed(sought[order])),
-                ],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "far"],
-            )
+            held.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts) - 1), pa.array(known), pa.array(base), pa.array(score)], TEXT))
+            texts += count
+        if texts:
+            yield from close()
+
+    return run
+
+
+def _numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _find(buckets: int):
+    """The numbers of the keys that the texts of a bucket's blocks seek."""
+
+    def run(bucket: tuple, asked: pa.Table, looked: pa.Table) -> pa.Table:
+        table, numbers = HashTable(_numbers(looked["keys"], np.uint64)), _numbers(looked["numbers"], float)
+        is_word, rows = bucket[0].as_py() >= buckets, []
+        for block, of, keys in zip(*(asked.filter(pc.is_valid(asked["keys"]))[x].to_pylist() for x in ("block", "texts", "keys")), strict=True):
+            at, of = table.find(np.frombuffer(keys, np.uint64)), np.frombuffer(of, np.uint16)
+            of, found = of[at >= 0], numbers[at[at >= 0]]
+            if not is_word:
+                of, place = np.unique(of, return_inverse=True)
+                found = np.bincount(place, found, len(of))
+            if len(of):
+                rows.append((block, of.tobytes(), found.astype(float).tobytes()))
+        own = asked.filter(pc.is_null(asked["keys"]))
+        n, m, names = own.num_rows, len(rows), ["block", "texts", "numbers", "words", *TEXT]
+        own = pa.table([own["block"], own["texts"], pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_()), *(own[x] for x in TEXT)], names)
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+        found = pa.table([*columns, pa.array([is_word] * m, pa.bool_()), *(pa.nulls(m, own.schema.field(x).type) for x in TEXT)], names)
+        return pa.concat_tables([own, found])
+
+    return run
+
+
+def _sum_up(mass: float, unknown: float):
+    """The texts of a block with what was found for them."""
+
+    def run(found: pa.Table) -> pa.Table:
+        own = found.filter(pc.is_null(found["numbers"]))
+        own = own.take(pa.array(np.argsort(_numbers(own["texts"], np.uint16))))
+        known, base, score = (own[x].to_numpy().copy() for x in ("known", "base", "score"))
+        n = len(known)
+        for is_word in (True, False):
+            rows = found.filter(pc.equal(found["words"], is_word))  # null of texts
+            of, numbers = _numbers(rows["texts"], np.uint16), _numbers(rows["numbers"], float)
+            if is_word:
+                known += np.bincount(of, minlength=n)
+                base += _sums(of, np.log10((numbers + 0.5) / 0.5), n)
+                numbers = np.log10(mass * numbers / unknown)
+            score += _sums(of, numbers, n)
+        return pa.table([own["doc_id"], own["held_out"], own["n_tokens"], pa.array(known), pa.array(base), pa.array(score)], TEXT)
 
     return run
 
@@ -380,26 +497,28 @@ def score_documents(docs: DataFrame, remainder: int = 1, depth: int = DEPTH, wor
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), remainder).alias("held_out"))
     tree = learn(rows.where("NOT held_out"), scratch, depth)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    with Shared(docs.sparkSession.sparkContext, _head(tree, depth, words, terms)) as shared:
-        scored = rows.mapInArrow(_score(shared), f"doc_id {kind}, {SCORED}")
-        scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # stored, so the numbers stay
-    space, mass = tree.total + 0.5 * (tree.kinds + 1), (1 - tree.unknown) / max(1, tree.total)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = (
-        scored.select("row", F.explode("rare").alias("key"))
-        .join(tree.words.hint("shuffle_hash"), "key", "left")
-        .select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((c + 0.5) / F.lit(space)).alias("base"), F.log10(F.when(c > 0, F.lit(mass) * c).otherwise(F.lit(tree.unknown))).alias("score"))
-    )
-    sums = [F.sum(x).alias(x) for x in ("known", "base", "score")]
-    more = rare.groupBy("row").agg(*sums)
-    for part in range(FAR_PARTS):
-        some = scored.select("row", F.explode(F.filter("far", lambda k: F.pmod(k, F.lit(FAR_PARTS)) == part)).alias("key"))  # noqa: B023
-        terms_of = tree.terms.where(F.pmod("key", F.lit(FAR_PARTS)) == part).select("key", "value")  # noqa: B023
-        far = some.join(terms_of.hint("shuffle_hash"), "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("score"))
-        more = more.unionByName(scratch.keep(far.groupBy("row").agg(*sums), f"far{part}"))
+    buckets = max(LEAST_BUCKETS, tree.total // BUCKET_TOKENS)
+    top, other_words, others = _head(tree, depth, words, terms)
+    looked = other_words.select("key", F.col("c").cast("double")).mapInArrow(_bucketed(buckets, buckets), LOOKED)
+    looked = scratch.keep(looked.unionByName(others.select("key", "value").mapInArrow(_bucketed(buckets, 0), LOOKED)), "looked")
     scratch.drop("terms")
-    more = scored.select("row", "known", "base", "score").unionByName(more).groupBy("row").agg(*sums)
-    return scored.select("row", "doc_id", "held_out", "n_tokens").join(more, "row").select(
+    scratch.drop("words")
+    passes = PASSES if top.others.bits is not None else UNFILTERED_PASSES
+    with Shared(docs.sparkSession.sparkContext, top) as shared:
+
+        def scored(part: int) -> DataFrame:
+            some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == part)
+            sought = some.mapInArrow(_score(shared, buckets), SOUGHT.format(kind=kind))
+            found = sought.groupBy("bucket").cogroup(looked.groupBy("bucket")).applyInArrow(_find(buckets), FOUND.format(kind=kind))
+            summed = _sum_up((1 - tree.unknown) / max(1, tree.total), tree.unknown)
+            return found.groupBy("block").applyInArrow(summed, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double")
+
+        parts = [scratch.keep(scored(i), f"scored{i}") for i in range(passes)]
+    scratch.drop("looked")
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
