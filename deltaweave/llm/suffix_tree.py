@@ -327,9 +327,11 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _packed(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
     """A row for each bucket: its number and, of each column, its entries as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    bounds = np.append(first, len(order))
+    small = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket  # is sorted by its digits
+    order = np.argsort(small, kind="stable")
+    ordered = bucket[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else order
+    found, bounds = ordered[first], np.append(first, len(order))
     packed = lambda c: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((bounds * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])])
     return [pa.array(found, pa.int32()), *map(packed, columns)]
 
@@ -376,17 +378,18 @@ def _score(shared, buckets: int):
         h: Head = shared.value
         words, terms = h.tables()
         space = h.total + 0.5 * (h.kinds + 1)
-        held, seek, texts, size, block = [], [], 0, 0, TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        held, seek, texts, size, block = [], [], 0, 0, task << 32
 
         def close():
             of, keys, bucket = (np.concatenate(x) for x in zip(*seek, strict=True))
             asked = _packed(bucket, of, keys)
             names = ["bucket", "block", "texts", "keys"]
-            # Texts keep their order, which is how keys name them; they are dealt by block.
+            # Keys name texts by their places in the block; the texts go to all buckets in turn.
             own = pa.Table.from_batches(held).combine_chunks()
             n, m = own.num_rows, len(asked[0])
             place = pa.array(np.arange(n, dtype=np.uint16).view("V2").tolist(), pa.binary())
-            own = pa.table([pa.array(np.full(n, block % (2 * buckets)), pa.int32()), pa.array(np.full(n, block)), place, pa.nulls(n, pa.binary()), *own.columns], names + TEXT)
+            own = pa.table([pa.array((np.arange(n) + 31 * task + block) % (2 * buckets), pa.int32()), pa.array(np.full(n, block)), place, pa.nulls(n, pa.binary()), *own.columns], names + TEXT)
             asked = pa.table([asked[0], pa.array(np.full(m, block)), *asked[1:], *(pa.nulls(m, t) for t in own.schema.types[4:])], names + TEXT)
             return pa.concat_tables([own, asked]).to_batches()
 
@@ -451,11 +454,12 @@ def _find(buckets: int):
         for block, of, keys in zip(*(asked.filter(pc.is_valid(asked["keys"]))[x].to_pylist() for x in ("block", "texts", "keys")), strict=True):
             at, of = table.find(np.frombuffer(keys, np.uint64)), np.frombuffer(of, np.uint16)
             of, found = of[at >= 0], numbers[at[at >= 0]]
-            if not is_word:
-                of, place = np.unique(of, return_inverse=True)
-                found = np.bincount(place, found, len(of))
+            if not is_word and len(of):
+                sums = np.bincount(of, found)
+                of = np.flatnonzero(np.bincount(of)).astype(np.uint16)
+                found = sums[of]
             if len(of):
-                rows.append((block, of.tobytes(), found.astype(float).tobytes()))
+                rows.append((block, of.tobytes(), found.tobytes()))
         own = asked.filter(pc.is_null(asked["keys"]))
         n, m, names = own.num_rows, len(rows), ["block", "texts", "numbers", "words", *TEXT]
         own = pa.table([own["block"], own["texts"], pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_()), *(own[x] for x in TEXT)], names)

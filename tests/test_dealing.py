@@ -84,3 +84,18 @@ def test_states_are_weighed_in_one_shuffle_of_a_level(spark):
     assert rows[1]["value"] == pytest.approx((own - np.log(rest) + 3.0) / np.log(10)) and rows[1]["below"] == pytest.approx(own)
     assert tuple(rows[1]["state"]) == (10, 40, pytest.approx(np.log10(rest))) and rows[2]["state"] is None
     assert rows[3]["value"] is None and rows[3]["below"] == -0.1 and rows[3]["state"] is None
+
+
+def test_sought_terms_travel_packed_and_texts_go_to_all_buckets(spark):
+    from deltaweave.llm import suffix_tree
+    from deltaweave.llm._store import Scratch
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(40)), False) for i in range(400)], "doc_id long, text string, held_out boolean").coalesce(2)
+    tree = suffix_tree.learn(docs, Scratch(spark, "test"))
+    top, _, _ = suffix_tree._head(tree, 3, 0, 0)
+    with suffix_tree.Shared(spark.sparkContext, top) as shared:
+        rows = docs.mapInArrow(suffix_tree._score(shared, 64), suffix_tree.SOUGHT.format(kind="bigint")).collect()
+    keys = [r for r in rows if r["keys"] is not None]
+    assert len(keys) <= 2 * 128 and sum(len(r["keys"]) // 8 for r in keys) > 400 * 40 and all(len(r["keys"]) == 4 * len(r["texts"]) for r in keys)
+    own = [r["bucket"] for r in rows if r["keys"] is None]
+    assert len(own) == 400 and max(map(own.count, set(own))) <= 2 * (400 // 128 + 1)
