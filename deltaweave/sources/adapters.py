@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.dealing import dealt
 from .documents import SPANS, json_spans
+from .sinks import write_lines
 
 #: Bytes of a file that an adapter sees before it claims it.
 HEAD = 1024
+#: Spans that leave a task at a time.
+ROWS = 8192
 #: Where a path tells pair and side.
 PAIR, SIDE = r"(\d+)", r"/([ab])[^/]*$"
 FOUND = f"adapter string, path string, {SPANS}"
@@ -110,10 +115,9 @@ def read_spans(files: DataFrame, adapters: Sequence[Adapter] = ADAPTERS, pair: s
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                found = pd.DataFrame(list(_rows(r.path, bytes(r.content), adapters, pair, side)), columns=names)
-                yield found.astype({"pair_id": "Int64", "sheet": "int32", "ord": "int32"})
+        found = (row for pdf in batches for r in pdf.itertuples() for row in _rows(r.path, bytes(r.content), adapters, pair, side))
+        while rows := list(islice(found, ROWS)):  # small files share a frame, a large one has many
+            yield pd.DataFrame(rows, columns=names).astype({"pair_id": "Int64", "sheet": "int32", "ord": "int32"})
 
     return files.select("path", "content").mapInPandas(run, FOUND)
 
@@ -178,10 +182,10 @@ def register(spark: SparkSession, adapters: Sequence[Adapter] = ADAPTERS, name:
     spark.dataSource.register(source(adapters, name))
 
 
-def write_spans(spans: DataFrame, path: str) -> None:
-    """Files of json lines, in folders by pair; a file holds spans of one pair and side alone, in the order of ord."""
+def write_spans(spans: DataFrame, path: str) -> DataFrame:
+    """Files of json lines, in folders by pair; a file holds spans of one pair and side alone, in the order of ord. Gives their paths."""
     line = F.to_json(F.struct("sheet", "text", "x0", "y0", "x1", "y1", "origin_x", "origin_y", "size"))
-    rows = spans.select("pair_id", F.lower("side").alias("side"), "ord", line.alias("value")).repartition("pair_id", "side").sortWithinPartitions("pair_id", "side", "ord")
-    # Tasks move their own files in place; the driver would move them one by one.
-    moved = rows.select("pair_id", "side", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    moved.mode("overwrite").partitionBy("pair_id", "side").text(path)
+    rows = dealt(spans.select("pair_id", F.lower("side").alias("side"), "ord", line.alias("value")), "pair_id", "side").sortWithinPartitions("pair_id", "side", "ord")
+    folder = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.translate(F.url_encode(F.col(c).cast("string")), "%", "="), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    # Tasks open their own files; Spark's committer moves each, and its local file system starts processes for them.
+    return write_lines(rows.select(F.concat_ws("/", folder("pair_id"), folder("side"), F.lit("spans.txt")).alias("name"), "value"), path)

@@ -12,9 +12,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dealing import dealt
+from .sinks import store
+
 SPANS = "pair_id long, side string, sheet int, ord int, text string, x0 double, y0 double, x1 double, y1 double, origin_x double, origin_y double, size double"
 FILES = "path string, extension string, magic string, length long, content binary"
 
@@ -32,6 +36,33 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), F.substring(F.col("content"), 1, 2).cast("string").alias("magic"), "length", "content")
 
 
+#: Bytes of files that travel at a time; a longer file stands alone.
+BATCH = 1 << 22
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """path, content of files whose paths are known; tasks open them, and no folder is listed."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches):
+        paths, contents, held = [], [], 0
+        for path in (p for b in batches for p in b.column(0).to_pylist()):
+            files_of, name = store(path)
+            with files_of.open_input_stream(name) as stream:
+                content = stream.read()
+            paths.append(path)
+            contents.append(content)
+            held += len(content)
+            if held >= BATCH or len(paths) >= 4096:
+                yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema)
+                paths, contents, held = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema)
+
+    # Paths are a few bytes, and what they name is not.
+    return dealt(files.select("path"), "path").mapInArrow(run, "path string, content binary")
+
+
 def is_dwg(extension, magic):
     """DWG is recognised, but there is no reader for it."""
     return (extension == "dwg") & (magic == "AC")

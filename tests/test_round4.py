@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
 from deltaweave import queries
 from deltaweave.operators import identity
+from deltaweave.sources import adapters
+from deltaweave.sources.documents import SPANS, files, opened
 
 from .test_round3_size import documents
 
 
-def shuffled_rows(spark, df) -> int:
-    """Rows that running df writes to shuffles."""
+def total(spark, what: str) -> int:
+    """Sum of a figure over the stages so far."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
-    def total() -> int:
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
-    before = total()
+def shuffled_rows(spark, df) -> int:
+    """Rows that running df writes to shuffles."""
+    before = total(spark, "shuffleWriteRecords")
     df.write.format("noop").mode("overwrite").save()
-    return total() - before
+    return total(spark, "shuffleWriteRecords") - before
 
 
 def test_similar_sets_by_blocks_of_classes(spark, monkeypatch):
@@ -58,3 +62,31 @@ def test_revision_pairs_of_furniture_are_not_shuffled(spark, tmp_path):
         assert shuffled_rows(spark, queries.revision_pairs(spark, str(tmp_path))) < 40 * n
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_adapter_spans_list_no_folders(spark, tmp_path):
+    """Tasks do not grow with files: nobody lists a folder of each pair."""
+    part = "/root/testdata/sf0.01/part.parquet"
+    duckdb.sql(f"COPY (SELECT * REPLACE (p_partkey + i * 100000 AS p_partkey) FROM '{part}', (SELECT unnest(range(0, 4)) AS i) q) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.sql(queries.ORACLES["adapter_spans"]).fetchall()
+    before = total(spark, "numCompleteTasks")
+    found = queries.adapter_spans(spark, str(tmp_path))
+    got = [tuple(r) for r in found.collect()]
+    assert total(spark, "numCompleteTasks") - before < 40 < len({r[1] for r in want})
+    assert sorted(got) == sorted(want)
+
+
+def test_span_files(spark, tmp_path):
+    """One file a pair and side, whatever their letters; a second run replaces the first; large files come in many frames."""
+    made = lambda rows: spark.createDataFrame([(p, s, 1, i, t, 1.0, 2.0, 3.0, 4.0, 0.5, 3.5, 9.0) for p, s, i, t in rows], SPANS)
+    path = str(tmp_path / "spans")
+    adapters.write_spans(made([(5, "A", 0, "gone")]), path)
+    rows = [(1, "A", i, f"x\né{i}") for i in range(20000)] + [(2, "B", 0, "b"), (2, "A", 0, "a"), (3, "a/b c%", 7, "odd"), (None, "A", 0, "none")]
+    written = adapters.write_spans(made(rows), path)
+    assert written.count() == 5 == sum(f.is_file() for f in (tmp_path / "spans").rglob("*"))
+    back = adapters.read_spans(opened(written), pair=r"pair_id=(\d+)", side=r"/side=([ab])/").select("pair_id", "side", "ord", "text").collect()
+    assert sorted(map(tuple, back), key=str) == sorted([(p, s if len(s) == 1 else "", 0 if s == "a/b c%" else i, t) for p, s, i, t in rows], key=str)
+    again = adapters.read_spans(files(spark, path), pair=r"pair_id=(\d+)", side=r"/side=([ab])/").select("pair_id", "side", "ord", "text").collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, back), key=str)
